@@ -45,14 +45,15 @@ def ngrams(words: Column, n: int, sep: str = " ") -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
-def bounded_terms(texts: DataFrame, terms: DataFrame, edge: str = "[a-z0-9]") -> DataFrame:
+def bounded_terms(texts: DataFrame, terms: DataFrame, edge: str = "[a-z0-9]", token: bool = False) -> DataFrame:
     """(text_id, term) for every term found with no ``edge`` character on either side.
 
     Candidates come from an equi-join on the first run of edge characters of the term
     (terms without one are joined on their first character window); the exact boundary
     rule is then checked on the whole text, so terms such as "c++" or "node.js" work.
+    With ``token`` both ends must be word boundaries instead.
     """
-    run = edge + "+"
+    run = r"(?U)\w+" if token else edge + "+"
     lower = texts.select("text_id", F.lower("text").alias("text"))
     keyed = terms.select(F.lower("term").alias("term")).distinct().withColumn(
         "__head", F.regexp_extract("term", run, 0))
@@ -62,19 +63,41 @@ def bounded_terms(texts: DataFrame, terms: DataFrame, edge: str = "[a-z0-9]") ->
 
     def present(term: Column) -> Column:
         quoted = F.concat(F.lit("\\Q"), term, F.lit("\\E"))
-        bounded = F.concat(F.lit(f"(?<!{edge})"), quoted, F.lit(f"(?!{edge})"))
+        bounded = (
+            F.concat(F.lit(r"(?U)\b"), quoted, F.lit(r"\b")) if token
+            else F.concat(F.lit(f"(?<!{edge})"), quoted, F.lit(f"(?!{edge})")))
         return F.contains(F.col("text"), term) & F.regexp_like("text", bounded)
 
     met = dim_join(offered, by_head, "__head").select(
         "text_id", F.explode(F.filter("__terms", present)).alias("term"))
-    plain = keyed.filter("__head = ''").select("term")
-    odd = contained_terms(lower, plain)
+    odd = contained_terms(lower, keyed.filter("__head = ''").select("term"))
     return met.unionByName(odd)
 
 
 def dictionary_match(texts: DataFrame, terms: DataFrame, mode: str = "word") -> DataFrame:
-    """Terms found in texts. ``word``: whole words only; ``substring``: anywhere (case-insensitive)."""
+    """Terms found in texts (case-insensitive).
+
+    ``word``: no letter or digit of a-z0-9 next to the term; ``token``: word boundary at
+    both ends; ``substring``: anywhere.
+    """
     if mode == "substring":
         lower = texts.select("text_id", F.lower("text").alias("text"))
         return contained_terms(lower, terms.select(F.lower("term").alias("term")))
-    return bounded_terms(texts, terms)
+    return bounded_terms(texts, terms, token=mode == "token")
+
+
+def jd_skills(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """(text_id, skill): skills named in role texts, by name or by another spelling (term -> skill)."""
+    found = dictionary_match(texts, known.select("term"))
+    table = known.select(F.lower("term").alias("term"), "skill").distinct()
+    return dim_join(found, table, "term").select("text_id", "skill").distinct()
+
+
+def known_skill_terms(spark) -> DataFrame:
+    """Built-in names and spellings as a (term, skill, category) table."""
+    from corpusfit.functions import lists
+
+    names = [(n.lower(), n, kind) for kind, group in lists.KNOWN_SKILLS for n in group]
+    category = {n: kind for _, n, kind in names}
+    alias = [(a, n, category.get(n, "skill")) for a, n in lists.JD_ALIASES.items()]
+    return spark.createDataFrame(names + alias, "term string, skill string, category string")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusfit.functions.text import merged_years
 from corpusfit.scale import ordered_rank, salted_join
 
 LOG_ORDER = ("changed_at", "seq", "ref_a", "ref_b")
@@ -66,17 +67,8 @@ def experience_years(ranges: DataFrame, owner: str = "owner") -> DataFrame:
         .groupBy(owner, "start_year").agg(F.max("end_year").alias("end_year"))
     )
     spans = longest.groupBy(owner).agg(
-        F.array_sort(F.collect_list(F.struct("start_year", "end_year"))).alias("spans")
-    )
-    start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(None).cast("int").alias("reach"))
-
-    def step(acc, span):
-        reach = F.greatest(acc["reach"], span["end_year"])
-        fresh = acc["reach"].isNull() | (span["start_year"] > acc["reach"])
-        gain = F.when(fresh, span["end_year"] - span["start_year"]).otherwise(reach - acc["reach"])
-        return F.struct((acc["total"] + gain).cast("long").alias("total"), reach.cast("int").alias("reach"))
-
-    return spans.select(owner, F.aggregate("spans", start, step)["total"].cast("double").alias("years"))
+        F.collect_list(F.struct("start_year", "end_year")).alias("spans"))
+    return spans.select(owner, merged_years(F.col("spans")).alias("years"))
 
 
 def burst_window(
