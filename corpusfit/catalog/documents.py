@@ -300,15 +300,7 @@ def _(v):
         v("documents"), v("role_texts").withColumnRenamed("description", "role_doc"), v("doc_applications"))
 
 
-ROLE_DESC = "role_desc AS (SELECT role_id, 'Engineer and intern work with ' || string_agg(skill, ', ' ORDER BY skill) || ' and red widget c++ docker' AS description FROM role_skills GROUP BY role_id)"
-
-
-def _role_desc(v):
-    return v.sql("""SELECT role_id, 'Engineer and intern work with ' || array_join(array_sort(collect_set(skill)), ', ') || ' and red widget c++ docker' AS description
-      FROM role_skills GROUP BY role_id""")
-
-
-ALIGN = SECTIONS.replace("SRC", "profile_docs") + f""", {ROLE_DESC},
+ALIGN = SECTIONS.replace("SRC", "profile_docs") + f""",
     body AS (SELECT doc_id, string_agg(text, ' ' ORDER BY start_line) FILTER (type IN ('projects', 'experience')) AS work, string_agg(text, ' ' ORDER BY start_line) AS whole FROM sections GROUP BY doc_id),
     chosen AS (SELECT doc_id, coalesce(work, whole) AS text FROM body),
     {_tf('chosen', 'doc_id', norm_sql('text'), 3, '[a-z0-9][a-z0-9+#' + chr(92) + '-.]*', 'dt')}, {_tf('role_desc', 'role_id', norm_sql('description'), 3, '[a-z0-9][a-z0-9+#' + chr(92) + '-.]*', 'rt')},
@@ -318,7 +310,7 @@ ALIGN = SECTIONS.replace("SRC", "profile_docs") + f""", {ROLE_DESC},
 @query("jd_alignment", f"WITH {ALIGN} SELECT doc_id, role_id, round_even(jd, 6) AS score FROM align")
 def _(v):
     sections = segment.segment(v("profile_docs"))
-    return tfidf.jd_alignment(sections, _role_desc(v), v("applications")).withColumn("score", F.bround("score", 6))
+    return tfidf.jd_alignment(sections, v("role_desc"), v("applications")).withColumn("score", F.bround("score", 6))
 
 
 # -- entries ---------------------------------------------------------------------------------------

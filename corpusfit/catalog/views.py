@@ -147,6 +147,23 @@ VIEWS: dict[str, str] = {
         SELECT doc_id, doc_id % (SELECT count(*) FROM benchmark) AS role_id FROM documents""",
     "role_texts": """
         SELECT item_id AS role_id, text AS description FROM benchmark""",
+    "role_desc": """
+        SELECT role_id, 'Engineer and intern work with ' || part_names || ' and red widget c++ docker' AS description
+        FROM (SELECT role_id, LIST_AGG(skill, skill) AS part_names FROM role_skills GROUP BY role_id)""",
+    "role_config": """
+        SELECT r.*, d.description, 0.05E0 AS cosine_threshold
+        FROM roles r LEFT JOIN role_desc d ON d.role_id = r.role_id""",
+    "rules": """
+        SELECT role_id, skill_id AS rule_id, req_type, 100.0E0 / count(*) OVER (PARTITION BY role_id) AS weight,
+          CASE req_type WHEN 'education' THEN 'Bachelor of engineering ' || skill
+               WHEN 'experience' THEN 'engineer ' || skill || ' 3 years' ELSE skill END AS label,
+          CASE WHEN req_type = 'experience' AND skill_id % 3 = 0 THEN 2 END AS min_years
+        FROM (SELECT *, CASE skill_id % 4 WHEN 0 THEN 'skill' WHEN 1 THEN 'experience'
+                WHEN 2 THEN 'education' ELSE 'other' END AS req_type FROM role_skills WHERE role_id IN (2, 4))""",
+    "pair_people": """
+        SELECT a.doc_id, a.role_id, c.years_experience, c.level, c.graduation_year,
+          a.role_id = 1 OR c.level = 'entry' OR coalesce(c.graduation_year >= 2001, false) AS fresher
+        FROM applications a JOIN candidates c ON c.candidate_id = a.doc_id""",
     "companies_left": """
         SELECT owner, company, max(ym) AS end_month FROM (
           SELECT o_custkey AS owner, p_brand AS company,

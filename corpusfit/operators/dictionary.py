@@ -5,20 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusfit.scale import dim_join, spread
+from corpusfit.scale import dim_join, small_enough, spread
 
 ANCHOR = 4
+SHORT_LIST = 1000
 
 
 def contained_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """(text_id, term) for every term that is a substring of the text.
 
-    Each term is filed under its first ``ANCHOR`` characters (all of them when it is
+    A short list (checked) travels as one value and is tried inside each text's row. A
+    long one is joined: each term is filed under its first ``ANCHOR`` characters (all of them when it is
     shorter). A text offers its distinct character windows of the lengths in use, so a
     term that occurs always meets its text on that key; the full term is then checked.
     """
-    keyed = terms.select("term").distinct().filter(F.length("term") > 0).select(
-        "term", F.substring("term", 1, ANCHOR).alias("__anchor"))
+    wanted = terms.select("term").distinct().filter(F.length("term") > 0)
+    if small_enough(wanted, SHORT_LIST):
+        listed = wanted.agg(F.array_sort(F.collect_list("term"))).scalar()
+        return spread(texts).select("text_id", "text").withColumn("__terms", listed).select(
+            "text_id", F.explode(F.filter("__terms", lambda t: F.contains(F.col("text"), t))).alias("term"))
+    return anchored_terms(texts, wanted)
+
+
+def anchored_terms(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The join form of ``contained_terms``, for term lists of any length."""
+    keyed = wanted.select("term", F.substring("term", 1, ANCHOR).alias("__anchor"))
     by_anchor = keyed.groupBy("__anchor").agg(F.collect_list("term").alias("__terms"))
     lengths = F.array(*[F.lit(n) for n in range(1, ANCHOR + 1)])
     starts = F.when(F.length("text") > 0, F.sequence(F.lit(1), F.length("text"))).otherwise(

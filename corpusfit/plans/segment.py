@@ -50,10 +50,20 @@ def nearest_header(word: Column, headers: Headers = lists.SECTION_HEADERS, max_e
 
 
 def fuzzy_header_join(terms: DataFrame, headers: Headers = lists.SECTION_HEADERS, max_edit: int = 2) -> DataFrame:
-    """Distinct terms that are a known heading with at most ``max_edit`` edits."""
-    near = terms.select("term").distinct().withColumn("__h", nearest_header(F.col("term"), headers, max_edit))
-    return near.filter(F.col("__h").isNotNull()).select(
-        "term", F.col("__h.type").alias("section"), F.col("__h.distance").alias("distance"))
+    """Distinct terms that are a known heading with at most ``max_edit`` edits.
+
+    Terms meet only headings of a similar length, by an equi-join on the length; the
+    headings are a list the caller holds in memory, so they are broadcast.
+    """
+    flat = [(h, kind) for kind, names in headers for h in names]
+    table = terms.sparkSession.createDataFrame(
+        [(len(h) + d, h, kind, place) for place, (h, kind) in enumerate(flat)
+         for d in range(-max_edit, max_edit + 1)], "len int, header string, type string, place int")
+    met = terms.select("term").distinct().withColumn("len", F.length("term")).join(F.broadcast(table), "len")
+    return (
+        met.withColumn("distance", F.levenshtein("term", "header", max_edit)).filter("distance >= 0")
+        .groupBy("term").agg(F.min(F.struct("distance", "place", "type")).alias("__h"))
+        .select("term", F.col("__h.type").alias("section"), F.col("__h.distance").alias("distance")))
 
 
 def segment(
