@@ -99,7 +99,7 @@ VIEWS: dict[str, str] = {
         GROUP BY o_custkey, p_partkey, p_name, p_brand, p_size""",
     "judgements": """
         SELECT doc_id, name, max(score) AS score, min(confidence) AS confidence, min(section) AS section
-        FROM (SELECT l_orderkey AS doc_id, p_name AS name, l_quantity * 2 AS score,
+        FROM (SELECT l_orderkey AS doc_id, p_name AS name, l_quantity * 1.97E0 + 0.0137E0 AS score,
                 CASE l_returnflag WHEN 'A' THEN 'high' WHEN 'N' THEN 'medium' ELSE 'low' END AS confidence,
                 CASE l_linestatus WHEN 'F' THEN 'projects' ELSE 'skills' END AS section
               FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY doc_id, name""",

@@ -9,7 +9,7 @@ from corpusfit.functions.text import (
     all_matches, edu_score, norm_tech, skill_aliases, strip, tenure_years,
 )
 from corpusfit.operators.topk import best_excerpt
-from corpusfit.plans.scoring import majors_of
+from corpusfit.plans.scoring import majors_of, shown
 from corpusfit.plans.tfidf import TECH_WORD, term_counts, weighted
 from corpusfit.scale import dim_join
 
@@ -161,7 +161,7 @@ def score_requirements(
     project = F.when(c("jd") > 0, c("project_raw") * 0.70 + c("jd") * 0.30).otherwise(c("project_raw"))
     return sums.select(
         "doc_id", "role_id",
-        F.bround(F.greatest(F.lit(0.0), F.least(F.lit(100.0), total)), 0).cast("int").alias("total"),
-        F.bround(project * 100, 2).alias("project_score"), F.bround(c("skill_raw") * 100, 2).alias("skill_score"),
-        F.bround(c("edu_raw") * 100, 2).alias("education_score"), F.lit(0.0).alias("experience_score"),
-        F.bround(c("jd") * 100, 2).alias("jd_alignment"), "top_excerpt", "breakdown")
+        shown(F.greatest(F.lit(0.0), F.least(F.lit(100.0), total)), 0).cast("int").alias("total"),
+        shown(project * 100).alias("project_score"), shown(c("skill_raw") * 100).alias("skill_score"),
+        shown(c("edu_raw") * 100).alias("education_score"), F.lit(0.0).alias("experience_score"),
+        shown(c("jd") * 100).alias("jd_alignment"), "top_excerpt", "breakdown")

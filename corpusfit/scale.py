@@ -39,12 +39,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition only when the scan gives fewer tasks than the cluster has cores.
+    """Repartition inputs that are too small to give every core a file split.
 
-    A large table already has many splits, so this adds no shuffle there.
+    The planner's size estimate decides (nothing is executed); a large table already has
+    many splits, so no shuffle is added there.
     """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    spark = df.sparkSession
+    want = spark.sparkContext.defaultParallelism
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB")
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= want * (int(split) if split.isdigit() else 134217728):
         return df
     return df.repartition(want, *keys) if keys else df.repartition(want)
 
