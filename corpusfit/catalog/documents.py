@@ -117,17 +117,18 @@ PAIRS = """reps AS MATERIALIZED (SELECT fp, min(doc_id) AS rep FROM fps GROUP BY
 
 
 def _fps(v):
-    return dedup.simhash(v("documents"))
+    """Fingerprints are stored with the document versions: computed once, read by every later step."""
+    return v.keep("fps", lambda: dedup.simhash(v("documents")))
 
 
 @query("simhash", f"WITH {FPS} SELECT doc_id, fp FROM fps")
 def _(v):
-    return _fps(v)
+    return dedup.simhash(v("documents"))
 
 
 @query("near_dup_pairs", f"WITH {FPS}, {PAIRS} SELECT a, b, bits FROM pairs")
 def _(v):
-    return dedup.near_dup_pairs(dedup.cut_lineage(_fps(v)))
+    return dedup.near_dup_pairs(_fps(v))
 
 
 OWNED = """owned AS MATERIALIZED (SELECT source, fp, min(doc_id) AS rep FROM fps JOIN documents USING (doc_id) GROUP BY source, fp),
@@ -137,7 +138,7 @@ OWNED = """owned AS MATERIALIZED (SELECT source, fp, min(doc_id) AS rep FROM fps
 
 
 def _owned(v):
-    return dedup.cut_lineage(_fps(v).join(v("documents").select("doc_id", "source"), "doc_id"))
+    return v.keep("owned_fps", lambda: _fps(v).join(v("documents").select("doc_id", "source"), "doc_id"))
 
 
 @query("near_dup_same_owner", f"WITH {FPS}, {OWNED} SELECT source, a, b, bits FROM owner_pairs")
@@ -159,7 +160,7 @@ def _(v):
     reach AS (SELECT u, u AS r FROM e UNION SELECT reach.u, e.v FROM reach JOIN e ON e.u = reach.r)
   SELECT u AS doc_id, min(r) AS cluster_id, u = min(r) AS keep FROM reach GROUP BY u""")
 def _(v):
-    return dedup.dup_clusters(dedup.near_dup_pairs(dedup.cut_lineage(_fps(v))))
+    return dedup.dup_clusters(dedup.near_dup_pairs(_fps(v)))
 
 
 # -- sections --------------------------------------------------------------------------------------
@@ -315,13 +316,13 @@ def _(v):
 
 # -- entries ---------------------------------------------------------------------------------------
 
-@query("project_names", """SELECT owner AS doc_id, 'Deployed everything' AS project_name FROM profile_names WHERE owner % 5 = 0
-  UNION ALL SELECT owner, 'Built ' || k FROM profile_names, (SELECT unnest(['one', 'two']) AS k) WHERE owner % 5 = 0""")
+@query("project_names", "WITH " + SECTIONS.replace("SRC", "profile_docs") + r""", pl AS (SELECT doc_id, start_line, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS line FROM (
+      SELECT doc_id, start_line, list_transform(string_split(text, chr(10)), lambda x: trim(x)) AS l FROM sections WHERE type = 'projects')),
+    ok AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start_line, pos) AS rn FROM pl WHERE length(line) BETWEEN 4 AND 80
+      AND NOT regexp_matches(line, '^[•\-*–]') AND NOT regexp_matches(line, '\d{4}'))
+  SELECT doc_id, line AS project_name FROM ok WHERE rn <= 20""")
 def _(v):
-    docs = v("profile_names").select(C("owner").alias("doc_id"), F.when(
-        C("owner") % 5 == 0, F.lit("Projects\n- bullet\nDeployed everything\nMay 2001 - 2002\nBuilt one\nab\nBuilt two")).otherwise(
-        F.lit("Education\nCollege years")).alias("text"))
-    return flags.project_names(segment.segment(docs))
+    return flags.project_names(segment.segment(v("profile_docs")))
 
 
 @query("experience_entries", """SELECT owner AS doc_id, CASE WHEN first_range % 9 = 0 THEN 'Intern' ELSE 'Engineer' END AS company, first_years AS title FROM (

@@ -7,9 +7,13 @@
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusfit.scale import ensure_checkpoint_dir
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -135,7 +139,7 @@ VIEWS: dict[str, str] = {
         SELECT n.owner AS doc_id,
           name_line || chr(10) || 'EXPERIENCE' || chr(10) || coalesce(jobs, '') || chr(10) ||
           CASE WHEN n.owner % 3 = 0 THEN 'Skils' ELSE 'Skills' END || chr(10) || coalesce(part_names, '') || chr(10) ||
-          CASE WHEN n.owner % 5 = 0 THEN 'Projects' || chr(10) || 'Deployed ' || coalesce(part_names, 'nothing') ||
+          CASE WHEN n.owner % 5 = 0 THEN 'Projects' || chr(10) || replace(coalesce(part_names, ''), ', ', chr(10)) || chr(10) || 'Deployed ' || coalesce(part_names, 'nothing') ||
                ' with docker and 4 years of red widget work (coursework)' || chr(10) ELSE '' END ||
           'Education:' || chr(10) || 'Bachelor of Engineering ' ||
           CAST(1990 + n.owner % 13 AS STRING) AS text
@@ -238,6 +242,14 @@ def duck_sql(body: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + body
 
 
+# Views that many steps read: written once per session to the checkpoint folder.
+STORED = (
+    "profile_docs", "repos", "dict_terms", "token_docs", "pair_people", "rules", "role_config", "role_skills",
+    "matches", "judgements", "companies_left", "companies_right", "applications", "roles",
+)
+_kept: dict[tuple[str, str, str], str] = {}
+
+
 class Inputs:
     """Tables and derived views of one data folder: ``inputs("evals")``."""
 
@@ -248,8 +260,19 @@ class Inputs:
     def __call__(self, name: str) -> DataFrame:
         if name in TABLES:
             return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name in STORED:
+            return self.keep(name, lambda: self.sql(f"SELECT * FROM {name}"))
         return self.sql(f"SELECT * FROM {name}")
 
+    def keep(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """Table written on first use below the checkpoint folder and read from there."""
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _kept:
+            path = f"{ensure_checkpoint_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+            build().write.parquet(path)
+            _kept[key] = path
+        return self.spark.read.parquet(_kept[key])
+
     def sql(self, body: str) -> DataFrame:
         views = _needed(body, list(VIEWS))
         text = body + " " + " ".join(VIEWS[v] for v in views)

@@ -12,8 +12,20 @@ from corpusfit.functions import lists
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+def sql_text(value: str) -> str:
+    """A string as a SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def literal_array(values: Sequence[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    """Array of constants; parsed from one expression, since a call per element is slow to build."""
+    return F.expr("array(" + ", ".join(sql_text(v) for v in values) + ")")
+
+
+def literal_map(pairs: dict[str, str | float]) -> Column:
+    items = ", ".join(
+        f"{sql_text(k)}, {sql_text(v) if isinstance(v, str) else repr(float(v)) + 'D'}" for k, v in pairs.items())
+    return F.expr(f"map({items})")
 
 
 def strip(c: Column) -> Column:
@@ -312,8 +324,10 @@ def level_from_text(c: Column) -> Column:
 
 def skill_aliases(skill: Column) -> Column:
     """Other spellings of a skill, lower-cased."""
-    table = F.array(*[
-        F.struct(F.lit(k).alias("k"), literal_array(a).alias("a")) for k, a in lists.SKILL_ALIASES.items()])
+    rows = ", ".join(
+        f"named_struct('k', {sql_text(k)}, 'a', array({', '.join(sql_text(x) for x in a)}))"
+        for k, a in lists.SKILL_ALIASES.items())
+    table = F.expr(f"array({rows})")
     name = F.lower(skill)
     mine = F.filter(table, lambda e: (e["k"] == name) | F.array_contains(e["a"], name))
     return F.flatten(F.transform(mine, lambda e: e["a"]))

@@ -27,19 +27,28 @@ def contained_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
     return anchored_terms(texts, wanted)
 
 
+def _verified(texts: DataFrame, open_pairs: DataFrame, present) -> DataFrame:
+    """Keep (text_id, term) candidates that ``present(text, term)`` confirms; texts join once by id."""
+    return texts.join(open_pairs, "text_id").filter(present(F.col("text"), F.col("term"))).select("text_id", "term")
+
+
 def anchored_terms(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The join form of ``contained_terms``, for term lists of any length."""
+    """The join form of ``contained_terms``, for term lists of any length.
+
+    Only (text_id, window) pairs are joined with the terms; texts are looked at again just
+    for candidates that are longer than the window.
+    """
     keyed = wanted.select("term", F.substring("term", 1, ANCHOR).alias("__anchor"))
-    by_anchor = keyed.groupBy("__anchor").agg(F.collect_list("term").alias("__terms"))
     lengths = F.array(*[F.lit(n) for n in range(1, ANCHOR + 1)])
     starts = F.when(F.length("text") > 0, F.sequence(F.lit(1), F.length("text"))).otherwise(
         F.array().cast("array<int>"))
     grams = F.array_distinct(F.flatten(F.transform(
         lengths, lambda n: F.transform(starts, lambda i: F.substring(F.col("text"), i, n)))))
-    offered = spread(texts).select("text_id", "text", F.explode(grams).alias("__anchor"))
-    found = dim_join(offered, by_anchor, "__anchor")
-    return found.select("text_id", F.explode(F.filter(
-        "__terms", lambda t: F.contains(F.col("text"), t))).alias("term"))
+    offered = spread(texts).select("text_id", F.explode(grams).alias("__anchor"))
+    met = dim_join(offered, keyed, "__anchor")
+    sure = met.filter(F.col("term") == F.col("__anchor")).select("text_id", "term")
+    longer = met.filter(F.col("term") != F.col("__anchor")).select("text_id", "term")
+    return sure.unionByName(_verified(texts.select("text_id", "text"), longer, F.contains))
 
 
 def words_of(text: Column, pattern: str = r"(?U)\w+") -> Column:
@@ -59,30 +68,30 @@ def ngrams(words: Column, n: int, sep: str = " ") -> Column:
 def bounded_terms(texts: DataFrame, terms: DataFrame, edge: str = "[a-z0-9]", token: bool = False) -> DataFrame:
     """(text_id, term) for every term found with no ``edge`` character on either side.
 
-    Candidates come from an equi-join on the first run of edge characters of the term
-    (terms without one are joined on their first character window); the exact boundary
-    rule is then checked on the whole text, so terms such as "c++" or "node.js" work.
+    Candidates come from an equi-join of the text's distinct character runs with the first
+    run of each term. A term that is just that run is thereby found; for others, such as
+    "c++" or "node.js", the exact boundary rule is checked on the whole text.
     With ``token`` both ends must be word boundaries instead.
     """
     run = r"(?U)\w+" if token else edge + "+"
     lower = texts.select("text_id", F.lower("text").alias("text"))
     keyed = terms.select(F.lower("term").alias("term")).distinct().withColumn(
         "__head", F.regexp_extract("term", run, 0))
-    by_head = keyed.filter("__head <> ''").groupBy("__head").agg(F.collect_list("term").alias("__terms"))
     heads = F.array_distinct(F.regexp_extract_all("text", F.lit(run), 0))
-    offered = spread(lower).select("text_id", "text", F.explode(heads).alias("__head"))
+    offered = spread(lower).select("text_id", F.explode(heads).alias("__head"))
+    met = dim_join(offered, keyed.filter("__head <> ''"), "__head")
 
-    def present(term: Column) -> Column:
+    def present(text: Column, term: Column) -> Column:
         quoted = F.concat(F.lit("\\Q"), term, F.lit("\\E"))
         bounded = (
             F.concat(F.lit(r"(?U)\b"), quoted, F.lit(r"\b")) if token
             else F.concat(F.lit(f"(?<!{edge})"), quoted, F.lit(f"(?!{edge})")))
-        return F.contains(F.col("text"), term) & F.regexp_like("text", bounded)
+        return F.contains(text, term) & F.regexp_like(text, bounded)
 
-    met = dim_join(offered, by_head, "__head").select(
-        "text_id", F.explode(F.filter("__terms", present)).alias("term"))
+    sure = met.filter(F.col("term") == F.col("__head")).select("text_id", "term")
+    open_pairs = met.filter(F.col("term") != F.col("__head")).select("text_id", "term")
     odd = contained_terms(lower, keyed.filter("__head = ''").select("term"))
-    return met.unionByName(odd)
+    return sure.unionByName(_verified(lower, open_pairs, present)).unionByName(_verified(lower, odd, present))
 
 
 def dictionary_match(texts: DataFrame, terms: DataFrame, mode: str = "word") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusfit.operators.dictionary import contained_terms
 from corpusfit.operators.sets import skill_tokens
-from corpusfit.scale import dim_join, salted_join
+from corpusfit.scale import cut_lineage, dim_join, salted_join
 
 # Words ignored when a rule is compared with a project text.
 RULE_STOP_WORDS = ("and", "or", "the", "a", "an", "in", "with", "for", "to", "of", "is", "are")
@@ -78,6 +78,8 @@ def cross_reference(
     skills and distinct tokens, then applied per owner by equi-joins. Owners with
     little activity or no tokens are not questioned.
     """
+    claims = cut_lineage(claims.select("owner", "skill").distinct())
+    evidence = cut_lineage(evidence.select("owner", "token").distinct())
     skills = claims.select("skill").distinct().withColumn("__tokens", skill_tokens(F.col("skill")))
     skills = skills.withColumn("__joined", F.array_join("__tokens", ""))
     always = F.col("skill").rlike(CONCEPTS) | (F.size("__tokens") == 0)
@@ -94,14 +96,14 @@ def cross_reference(
         checked.select("skill", F.col("__joined").alias("form")), "form").select("skill", "token")
     by_part = checked.select("skill", F.explode("__tokens").alias("token")).filter("token <> ''")
     proof = by_form.unionByName(by_part).distinct()
-    asked = claims.join(checked.select("skill"), "skill", "left_semi").select("owner", "skill").distinct()
+    asked = claims.join(checked.select("skill"), "skill", "left_semi")
     shown = (
-        asked.join(proof, "skill").join(evidence.select("owner", "token"), ["owner", "token"], "left_semi")
+        dim_join(asked, proof, "skill").join(evidence.select("owner", "token"), ["owner", "token"], "left_semi")
         .select("owner", "skill").distinct().withColumn("__shown", F.lit(True)))
     judged = activity.filter(F.col("activity_score") > min_activity).select("owner").join(
-        evidence.select("owner"), "owner", "left_semi").withColumn("__judged", F.lit(True))
+        evidence.select("owner").distinct(), "owner", "left_semi").withColumn("__judged", F.lit(True))
     free = skills.filter(always).select("skill").withColumn("__free", F.lit(True))
-    out = salted_join(claims.select("owner", "skill").distinct(), judged, "owner", "left")
+    out = salted_join(claims, judged, "owner", "left")
     out = dim_join(out, free, "skill", "left").join(shown, ["owner", "skill"], "left")
     return out.select(
         "owner", "skill",

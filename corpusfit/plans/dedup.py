@@ -61,6 +61,11 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >= 1 << 63 else mask
 
 
+def _longs(values: list[int]) -> Column:
+    # the smallest long has no literal of its own
+    return F.expr("array(" + ", ".join(f"{v}L" if v != -(1 << 63) else "(-9223372036854775807L - 1L)" for v in values) + ")")
+
+
 def _masks(blocks: int, keep: int) -> list[int]:
     """Bit masks of every choice of ``keep`` out of ``blocks`` contiguous blocks."""
     edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
@@ -84,7 +89,7 @@ def _midpoint_pairs(reps: DataFrame, group: tuple[str, ...]) -> DataFrame:
     two = one + [_signed((1 << i) | (1 << j)) for i, j in combinations(range(64), 2)]
 
     def around(name, flips):
-        near = F.transform(F.array(*[F.lit(x) for x in flips]), lambda m: F.col("fp").bitwiseXOR(m))
+        near = F.transform(_longs(flips), lambda m: F.col("fp").bitwiseXOR(m))
         return reps.select(*group, F.col("fp").alias(f"fp_{name}"), F.col("rep").alias(name),
                            F.explode(near).alias("__mid"))
 
@@ -105,7 +110,7 @@ def block_pairs(
     """
     if keep > blocks - max_bits:
         raise ValueError("keep must not exceed blocks - max_bits")
-    masks = F.array(*[F.lit(m) for m in _masks(blocks, keep)])
+    masks = _longs(_masks(blocks, keep))
     keyed = reps.select(
         *group, "fp", "rep",
         F.posexplode(F.transform(masks, lambda m: F.col("fp").bitwiseAND(m))).alias("__choice", "__key"))

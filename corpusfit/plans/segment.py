@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusfit.functions import lists
-from corpusfit.functions.text import strip
+from corpusfit.functions.text import literal_map, sql_text, strip
 from corpusfit.scale import dim_join, spread
 
 Headers = Sequence[tuple[str, Sequence[str]]]
@@ -18,35 +18,36 @@ def _lines(c: Column) -> Column:
     return F.split(F.regexp_replace(c, r"(\r\n|\r|\n)\z", ""), r"\r\n|\r|\n")
 
 
-def is_header_candidate(line: Column) -> Column:
-    """Short, not a bullet, not a sentence, and title case, upper case or ending in a colon."""
-    s = strip(line)
+def is_header_candidate(s: Column) -> Column:
+    """Is a trimmed line short, not a bullet, not a sentence, and title case, upper case or
+    ending in a colon? Cheap tests come first."""
     core = F.regexp_replace(s, ":+$", "")
     lower_start = core.rlike(r"(?:^|\s)[\p{L}&&[^\p{Lu}]]")
     upper = (F.upper(core) == core) & core.rlike(r"\p{Lu}")
     return (
-        F.length(s).between(2, 60) & ~s.rlike(r"^[\-*•◦▪▸►]") & ~s.rlike(r"[.?!]$")
-        & s.rlike(r"\p{L}") & (~lower_start | upper | s.endswith(":"))
+        F.length(s).between(2, 60) & ~F.right(s, F.lit(1)).isin(".", "?", "!")
+        & ~F.left(s, F.lit(1)).isin(*"-*•◦▪▸►") & s.rlike(r"\p{L}")
+        & (s.endswith(":") | ~lower_start | upper)
     )
 
 
-def _header_array(headers: Headers) -> Column:
-    flat = [(h, kind) for kind, names in headers for h in names]
-    return F.array(*[
-        F.struct(F.lit(h).alias("header"), F.lit(kind).alias("type"), F.lit(i).alias("place"))
-        for i, (h, kind) in enumerate(flat)])
-
-
 def nearest_header(word: Column, headers: Headers = lists.SECTION_HEADERS, max_edit: int = 2) -> Column:
-    """Struct(distance, place, type) of the closest known heading within ``max_edit``, else null."""
-    scored = F.transform(
-        _header_array(headers),
-        lambda h: F.when(
-            (F.abs(F.length(word) - F.length(h["header"])) <= max_edit)
-            & (F.levenshtein(word, h["header"], max_edit) >= 0),
-            F.struct(F.levenshtein(word, h["header"], max_edit).alias("distance"), h["place"].alias("place"),
-                     h["type"].alias("type"))))
-    return F.array_min(F.array_compact(scored))
+    """Struct(distance, place, type) of the closest known heading within ``max_edit``, else null.
+
+    Headings are filed by the word lengths that can be that close, so most words meet none.
+    """
+    flat = [(h, kind, place) for place, (h, kind) in enumerate((h, kind) for kind, names in headers for h in names)]
+    by_length: dict[int, list[str]] = {}
+    for h, kind, place in flat:
+        for n in range(len(h) - max_edit, len(h) + max_edit + 1):
+            by_length.setdefault(n, []).append(
+                f"named_struct('header', {sql_text(h)}, 'place', {place}, 'type', {sql_text(kind)})")
+    table = F.expr("map(" + ", ".join(f"{n}, array({', '.join(group)})" for n, group in by_length.items()) + ")")
+    close = F.transform(
+        F.try_element_at(table, F.length(word)),
+        lambda h: F.struct(
+            F.levenshtein(word, h["header"], max_edit).alias("distance"), h["place"].alias("place"), h["type"].alias("type")))
+    return F.array_min(F.filter(close, lambda h: h["distance"] >= 0))
 
 
 def fuzzy_header_join(terms: DataFrame, headers: Headers = lists.SECTION_HEADERS, max_edit: int = 2) -> DataFrame:
@@ -78,18 +79,22 @@ def segment(
     without headings is one "other" section (0.5).
     """
     rows = spread(docs.select(id_col, "text")).withColumn("__lines", _lines(F.coalesce("text", F.lit(""))))
-    known = F.create_map(*[F.lit(x) for kind, names in headers for h in names for x in (h, kind)])
-    weight_of = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
-
-    def describe(line, i):
-        word = F.regexp_replace(F.lower(strip(line)), ":+$", "")
-        exact = F.try_element_at(known, word)
-        fuzzy = F.when(exact.isNull(), nearest_header(word, headers))
-        return F.when(is_header_candidate(line), F.struct(
-            i.alias("line"), strip(line).alias("title"), F.coalesce(exact, fuzzy["type"]).alias("type"),
-            F.when(exact.isNotNull(), 1.0).otherwise(0.85).alias("confidence")))
-
-    rows = rows.withColumn("__seen", F.array_compact(F.transform("__lines", describe)))
+    known = literal_map({h: kind for kind, names in headers for h in names})
+    weight_of = literal_map(weights)
+
+    titled = F.filter(
+        F.transform("__lines", lambda x, i: F.struct(i.alias("line"), strip(x).alias("title"))),
+        lambda h: is_header_candidate(h["title"]))
+    worded = F.transform(titled, lambda h: F.struct(
+        h["line"].alias("line"), h["title"].alias("title"), F.regexp_replace(F.lower(h["title"]), ":+$", "").alias("word")))
+    looked_up = F.transform(worded, lambda h: F.struct(
+        h["line"].alias("line"), h["title"].alias("title"), h["word"].alias("word"),
+        F.try_element_at(known, h["word"]).alias("exact")))
+    typed = F.transform(looked_up, lambda h: F.struct(
+        h["line"].alias("line"), h["title"].alias("title"),
+        F.coalesce(h["exact"], nearest_header(h["word"], headers)["type"]).alias("type"),
+        F.when(h["exact"].isNotNull(), 1.0).otherwise(0.85).alias("confidence")))
+    rows = rows.withColumn("__seen", typed)
     if vector_types is not None:
         open_lines = rows.select(
             id_col, F.explode(F.filter("__seen", lambda h: h["type"].isNull())).alias("__h")

@@ -54,21 +54,23 @@ def intake_route(batch: DataFrame, attachments: DataFrame, keywords: Sequence[st
     ).drop("__any")
 
 
+def landed(spark, folder: str, before: int | None = None) -> DataFrame:
+    """Landing table: the last stored row of each message."""
+    log = run.read_result(spark, folder)
+    if before is not None:
+        log = log.filter(F.col("batch_id") < before)
+    values = [c for c in log.columns if c not in ("message_id", "batch_id")]
+    return log.groupBy("message_id").agg(F.max_by(F.struct(*values), "batch_id").alias("__row")).select(
+        "message_id", "__row.*")
+
+
 def land_stream(stream: DataFrame, folder: str) -> None:
-    """Keep a landing table below ``folder`` up to date, one version per batch."""
+    """Append to a landing log only the messages of each batch that are new or may be retried."""
     spark = stream.sparkSession
-    values = stream.columns
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        empty = batch.limit(0)
-        stored = empty if batch_id == 0 else spark.read.parquet(f"{folder}/data/batch_id={batch_id - 1}")
-        run.write_batch(intake_merge(stored.select(*values), batch), folder, batch_id)
+        due = batch.dropDuplicates(["message_id"]) if batch_id == 0 else due_messages(
+            landed(spark, folder, batch_id), batch)
+        run.write_batch(due, folder, batch_id)
 
     run.run_batches(stream, folder, handle)
-
-
-def landed(spark, folder: str) -> DataFrame:
-    """Latest version of the landing table."""
-    everything = run.read_result(spark, folder)
-    last = everything.agg(F.max("batch_id")).scalar()
-    return everything.filter(F.col("batch_id") == last).drop("batch_id")

@@ -7,8 +7,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusfit.operators.topk import first_per_group
 from corpusfit.streaming import run
@@ -27,61 +26,47 @@ def route_limits(path, limits=ROUTE_LIMITS, default=DEFAULT_LIMIT):
     return out
 
 
-def use_state_store(spark) -> None:
-    """Stateful processors need the RocksDB state store."""
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-
-
-class SlidingLog(StatefulProcessor):
-    """Accepted stamps of one key: never more than the limit, rejected calls leave no trace."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._stamps = handle.getListState("stamps", StructType([StructField("us", LongType())]))
-
-    def handleInputRows(self, key: Any, rows: Iterator[Any], timerValues: Any) -> Iterator[Any]:
-        import pandas as pd
-
-        batch = pd.concat(list(rows)).sort_values(["us", "event_id"])
-        log = [s[0] for s in self._stamps.get()] if self._stamps.exists() else []
-        clock = log[-1] if log else 0
-        allowed, retry = [], []
-        for us, seconds, max_n in zip(batch["us"], batch["seconds"], batch["max_n"]):
-            clock = max(clock, int(us))
-            window = int(seconds) * 1_000_000
-            live = 0
-            while live < len(log) and log[live] < clock - window:
-                live += 1
-            del log[:live]
-            if len(log) >= max_n:
-                allowed.append(False)
-                retry.append((window - (clock - log[0])) // 1_000_000 + 1)
-            else:
-                log.append(clock)
-                allowed.append(True)
-                retry.append(None)
-        self._stamps.put([(s,) for s in log])
-        yield pd.DataFrame({
-            "key": batch["key"], "event_id": batch["event_id"], "allowed": allowed,
-            "retry_after": pd.array(retry, dtype="Int64")})
-
-    def close(self) -> None:
-        pass
+def _decide(key: tuple, batches: Iterator[Any], state: GroupState) -> Iterator[Any]:
+    """Sliding log of one key: accepted stamps only, never more than the limit."""
+    import pandas as pd
+
+    rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
+    log = list(state.get[0]) if state.exists else []
+    clock = log[-1] if log else 0
+    allowed, retry = [], []
+    for us, seconds, max_n in zip(rows["us"], rows["seconds"], rows["max_n"]):
+        clock = max(clock, int(us))
+        window = int(seconds) * 1_000_000
+        live = 0
+        while live < len(log) and log[live] < clock - window:
+            live += 1
+        del log[:live]
+        if len(log) >= max_n:
+            allowed.append(False)
+            retry.append((window - (clock - log[0])) // 1_000_000 + 1)
+        else:
+            log.append(clock)
+            allowed.append(True)
+            retry.append(None)
+    state.update((log,))
+    yield pd.DataFrame({
+        "key": key[0], "event_id": rows["event_id"].to_numpy(), "allowed": allowed,
+        "retry_after": pd.array(retry, dtype="Int64")})
 
 
 def rate_limit(stream: DataFrame) -> DataFrame:
     """Decide each request of a stream (key, event_id, ts, seconds, max_n) by its key's sliding log.
 
     Rows of a key are taken in time order within a batch; a row older than the last one
-    handled counts at that later time. State per key is at most ``max_n`` stamps.
+    handled counts at that later time. Whether a request passes depends on the ones before
+    it, so a key is handled in sequence; its state is at most ``max_n`` stamps and the source
+    bounds the rows of a batch (``maxFilesPerTrigger``).
     """
-    use_state_store(stream.sparkSession)
     rows = stream.select(
         F.col("key").cast("string").alias("key"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "seconds", "max_n")
-    return rows.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=SlidingLog(), outputStructType="key string, event_id long, allowed boolean, retry_after long",
-        outputMode="Append", timeMode="None")
+    return rows.groupBy("key").applyInPandasWithState(
+        _decide, "key string, event_id long, allowed boolean, retry_after long", "stamps array<long>",
+        "append", GroupStateTimeout.NoTimeout)
 
 
 def pause_decisions(batch: DataFrame, so_far: DataFrame, targets: DataFrame) -> DataFrame:
