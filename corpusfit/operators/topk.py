@@ -62,17 +62,19 @@ def significant_words(skill: Column) -> Column:
     return F.filter(F.split(F.lower(skill), r"\s+"), lambda w: F.length(w) > 2)
 
 
-def best_excerpt(text: Column, skill: Column) -> Column:
-    """First sentence holding the skill, else any of its longer words; at most 300 characters."""
-    lines = sentences(text)
-    whole = F.get(F.filter(lines, lambda s: F.contains(F.lower(s), F.lower(skill))), F.lit(0))
+def excerpt_of(lines: Column, name: Column, words: Column) -> Column:
+    """``best_excerpt`` from prepared sentences, lower-case name and its longer words."""
+    whole = F.get(F.filter(lines, lambda s: F.contains(F.lower(s), name)), F.lit(0))
     part = F.get(
-        F.filter(lines, lambda s: F.exists(significant_words(skill), lambda w: F.contains(F.lower(s), w))),
-        F.lit(0),
-    )
+        F.filter(lines, lambda s: F.exists(words, lambda w: F.contains(F.lower(s), w))), F.lit(0))
     return F.substring(F.coalesce(whole, part), 1, 300)
 
 
+def best_excerpt(text: Column, skill: Column) -> Column:
+    """First sentence holding the skill, else any of its longer words; at most 300 characters."""
+    return excerpt_of(sentences(text), F.lower(skill), significant_words(skill))
+
+
 def top_excerpt(matches: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Excerpt of the best match per group; the first skill in order on ties."""
     return matches.filter(F.col("excerpt").isNotNull()).groupBy(*keys).agg(

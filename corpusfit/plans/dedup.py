@@ -7,7 +7,7 @@ group of exact copies costs one row per copy, never one row per pair of copies.
 from __future__ import annotations
 
 import hashlib
-import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -18,6 +18,7 @@ from corpusfit.functions.text import norm_fingerprint
 from corpusfit.scale import cut_lineage, salted_join, spread
 
 HOT_BUCKET = 512
+SHINGLE_CACHE = 300_000
 
 
 def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
@@ -33,14 +34,27 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
         F.regexp_replace(norm_fingerprint(F.col(text_col)), r"(?U)\W+", "").alias("body"))
 
     def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place: dict[str, int] = {}          # shingle -> row of ``signs``; texts share most shingles
+        signs = np.zeros((1024, 64), dtype=np.float32)
         for batch in batches:
             prints = []
             for body in batch["body"]:
-                grams = [body[i:i + width] for i in range(max(len(body) - width + 1, 1))]
-                names, counts = np.unique(np.array(grams, dtype=object).astype(str), return_counts=True)
-                digests = b"".join(hashlib.md5(n.encode("utf-8")).digest()[-8:] for n in names)
-                bits = np.unpackbits(np.frombuffer(digests, dtype=np.uint8)).reshape(len(names), 64)
-                packed = np.packbits((counts @ bits.astype(np.int64)) * 2 > counts.sum())
+                grams = Counter(body[i:i + width] for i in range(max(len(body) - width + 1, 1)))
+                fresh = [g for g in grams if g not in place]
+                if len(place) + len(fresh) > SHINGLE_CACHE:
+                    place.clear()
+                    fresh = list(grams)
+                if fresh:
+                    first = len(place)
+                    while first + len(fresh) > len(signs):
+                        signs = np.concatenate([signs, np.zeros_like(signs)])
+                    digests = b"".join(hashlib.md5(g.encode("utf-8")).digest()[-8:] for g in fresh)
+                    bits = np.unpackbits(np.frombuffer(digests, dtype=np.uint8)).reshape(len(fresh), 64)
+                    signs[first:first + len(fresh)] = bits * 2.0 - 1.0
+                    place.update(zip(fresh, range(first, first + len(fresh))))
+                rows = np.fromiter((place[g] for g in grams), dtype=np.int64, count=len(grams))
+                counts = np.fromiter(grams.values(), dtype=np.float64, count=len(grams))
+                packed = np.packbits((counts @ signs[rows]) > 0)
                 prints.append(int.from_bytes(packed.tobytes(), "big", signed=True))
             yield pd.DataFrame({"id": batch["id"], "fp": np.array(prints, dtype=np.int64)})
 

@@ -91,6 +91,7 @@ def requirement_breakdown(
 ) -> DataFrame:
     """One row per (doc, role, rule): raw score 0..1 and the text that supports it."""
     c = F.col
+    sections = dim_join(sections, pairs.select("doc_id").distinct(), "doc_id", "left_semi")
     text_rules = rules.filter(c("req_type").isin("skill", "other"))
     sims = rule_similarity(sections, rules, pairs)
     ranked = sims.join(sections.select("doc_id", "start_line", "weight", "text"), ["doc_id", "start_line"]).withColumn(
