@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from html import unescape as decode_entities
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -466,13 +468,9 @@ def unescape_common(c: Column) -> Column:
 
 def unescape_all(c: Column) -> Column:
     """Every named and numeric character reference (Arrow batches; slower than the common set)."""
-    import html
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def decode(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: x if x is None else html.unescape(x))
+        return s.map(lambda x: x if x is None else decode_entities(x))
 
     return decode(c)
 
