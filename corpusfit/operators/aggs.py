@@ -74,10 +74,10 @@ def skill_match_rates(
     hits = matches.select("evaluation_id", "skill").join(
         evals.select("evaluation_id", "role_id"), "evaluation_id")
     if role_skills is None:
-        total = evals.agg(F.count(F.lit(1)).alias("total"))
+        total = evals.agg(F.count(F.lit(1)).alias("total")).scalar()
         counted = hits.groupBy("skill").agg(F.count(F.lit(1)).alias("matched_count"))
         best = counted.orderBy(F.desc("matched_count"), "skill").limit(top)
-        out = best.join(F.broadcast(total))
+        out = best.withColumn("total", total)
     else:
         totals = evals.groupBy("role_id").agg(F.count(F.lit(1)).alias("total"))
         counted = hits.groupBy("role_id", "skill").agg(F.count(F.lit(1)).alias("matched_count"))

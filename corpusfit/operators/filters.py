@@ -73,7 +73,9 @@ def search_fields(
         df = df.filter(hit)
     for name, value in (eq or {}).items():
         df = df.filter(F.col(name) == F.lit(value))
-    return df.orderBy(*order).offset((page - 1) * limit).limit(limit)
+    if order:
+        df = df.orderBy(*order)
+    return df.offset((page - 1) * limit).limit(limit)
 
 
 def snippet(text: Column, q: str) -> Column:

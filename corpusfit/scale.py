@@ -62,8 +62,11 @@ def salted_join(
     so it should be the aggregated or dimension side.
     """
     keys = [on] if isinstance(on, str) else list(on)
+    hashable = [f.name for f in left.schema.fields if f.dataType.typeName() in (
+        "long", "integer", "short", "byte", "string", "double", "float", "boolean", "date",
+        "timestamp", "timestamp_ntz", "decimal")]
     spread_left = left.withColumn(
-        "__salt", F.pmod(F.xxhash64(*[c for c in left.columns]), F.lit(salts)).cast("int")
+        "__salt", F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int")
     )
     spread_right = right.withColumn(
         "__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))

@@ -54,23 +54,27 @@ def intake_route(batch: DataFrame, attachments: DataFrame, keywords: Sequence[st
     ).drop("__any")
 
 
-def landed(spark, folder: str, before: int | None = None) -> DataFrame:
+def landed(spark, folder: str) -> DataFrame:
     """Landing table: the last stored row of each message."""
     log = run.read_result(spark, folder)
-    if before is not None:
-        log = log.filter(F.col("batch_id") < before)
     values = [c for c in log.columns if c not in ("message_id", "batch_id")]
     return log.groupBy("message_id").agg(F.max_by(F.struct(*values), "batch_id").alias("__row")).select(
         "message_id", "__row.*")
 
 
 def land_stream(stream: DataFrame, folder: str) -> None:
-    """Append to a landing log only the messages of each batch that are new or may be retried."""
+    """Append to a landing log only the messages of each batch that are new or may be retried.
+
+    A finished state is never replaced, so the log's ids in such a state are enough to decide;
+    only those two columns of earlier batches are read.
+    """
     spark = stream.sparkSession
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        due = batch.dropDuplicates(["message_id"]) if batch_id == 0 else due_messages(
-            landed(spark, folder, batch_id), batch)
+        due = batch.dropDuplicates(["message_id"])
+        if batch_id > 0:
+            log = run.read_result(spark, folder).filter(F.col("batch_id") < batch_id)
+            due = due_messages(log.select("message_id", "status"), batch)
         run.write_batch(due, folder, batch_id)
 
     run.run_batches(stream, folder, handle)

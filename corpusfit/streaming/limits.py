@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusfit.operators.topk import first_per_group
+from corpusfit.scale import dim_join
 from corpusfit.streaming import run
 
 # Fixed values: (route prefix, window seconds, requests) and the default.
@@ -79,7 +80,7 @@ def pause_decisions(batch: DataFrame, so_far: DataFrame, targets: DataFrame) ->
     left = targets.join(so_far, "role_id", "left").select(
         "role_id", "min_fit_score", (F.col("target") - F.coalesce("qualified", F.lit(0))).alias("room"))
     most = left.agg(F.max("room")).first()[0] or 0
-    rows = batch.join(F.broadcast(left), "role_id")
+    rows = dim_join(batch, left, "role_id")
     good = rows.filter((F.col("score") >= F.col("min_fit_score")) & (F.col("room") > 0))
     first = first_per_group(good, ["role_id"], [F.col("ts"), F.col("app_id")], max(int(most), 1))
     ranked = first.groupBy("role_id", "room").agg(
@@ -95,17 +96,24 @@ def pause_decisions(batch: DataFrame, so_far: DataFrame, targets: DataFrame) ->
 
 
 def pause_stream(stream: DataFrame, targets: DataFrame, folder: str) -> None:
-    """Decide a stream of applications; counts come from the stored decisions of earlier batches,
-    so a repeated batch gives the same answer."""
+    """Decide a stream of applications.
+
+    Each batch stores its decisions and the qualified counts after it. A batch starts from
+    the counts of the one before, so repeating it gives the same answer, and earlier
+    decisions are never read again.
+    """
     spark = stream.sparkSession
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         if batch_id == 0:
             so_far = spark.createDataFrame([], "role_id int, qualified long")
         else:
-            so_far = run.read_result(spark, folder).filter(F.col("batch_id") < batch_id).filter(
-                "decision = 'accepted' and qualified").groupBy("role_id").agg(F.count(F.lit(1)).alias("qualified"))
+            so_far = spark.read.parquet(f"{folder}/counts/batch_id={batch_id - 1}")
         run.write_batch(pause_decisions(batch, so_far, targets), folder, batch_id)
+        made = spark.read.parquet(f"{folder}/data/batch_id={batch_id}").filter("decision = 'accepted' and qualified")
+        counts = so_far.unionByName(made.groupBy("role_id").agg(F.count(F.lit(1)).alias("qualified")))
+        counts.groupBy("role_id").agg(F.sum("qualified").alias("qualified")).write.mode("overwrite").parquet(
+            f"{folder}/counts/batch_id={batch_id}")
 
     run.run_batches(stream, folder, handle)
 

@@ -206,3 +206,14 @@ def test_intake_retry_rule(spark):
     batch = spark.createDataFrame([(1, 2, "new"), (2, 2, "processed"), (3, 2, "new"), (3, 3, "new")], schema)
     assert {(r.message_id, r.status) for r in intake.intake_merge(log, batch).collect()} == {(1, "processed"), (2, "processed"), (3, "new")}
     assert sorted(r.message_id for r in intake.due_messages(log, batch).collect()) == [2, 3]
+
+
+def test_landing_over_batches(spark, tmp_path):
+    src = tmp_path / "mail"
+    schema = "message_id long, received_at int, status string"
+    for part in ([(1, 1, "processed"), (2, 1, "failed"), (2, 1, "failed")], [(1, 2, "failed"), (2, 2, "processed"), (3, 2, "new")]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(src))
+    folder = run.work_folder(spark, "land-test")
+    intake.land_stream(run.file_stream(spark, str(src), spark.read.parquet(str(src)).schema, files_per_trigger=1), folder)
+    assert {(r.message_id, r.status) for r in intake.landed(spark, folder).collect()} == {
+        (1, "processed"), (2, "processed"), (3, "new")}
