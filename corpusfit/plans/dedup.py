@@ -225,8 +225,8 @@ def dup_clusters(pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
     """Connected groups of the links: every member with the group's smallest id, which is kept.
 
     Each round takes the smallest label among neighbours (merged map-side) and then jumps
-    to the label of the label, so long chains close in few rounds. Each round is cut by a
-    reliable checkpoint.
+    to the label of the label, so long chains close in few rounds. Each round is written to
+    the checkpoint folder.
     """
     edges = cut_lineage(
         pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
