@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from corpusfit.functions import labels
 from corpusfit.operators.topk import first_per_group
 from corpusfit.operators.windows import latest_status
-from corpusfit.scale import dim_join
 
 # Hiring stages in board order with their labels.
 STAGES = ("applied", "screening", "coding", "interview", "offer", "hired", "rejected")
