@@ -9,6 +9,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -20,7 +21,11 @@ BROADCAST_ROWS = 200_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the folder named in ``spark.checkpoint.dir``; make one only if unset."""
+    """The folder named in ``spark.checkpoint.dir``; a temporary one only for a session of one machine.
+
+    A cluster has to name a shared folder: executors would write a local one each to their own disk, and reading
+    it back would miss rows without notice.
+    """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
@@ -28,6 +33,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir"
     )
     if not folder:
+        if not re.match(r"local(\[[^]]*\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="corpusfit-checkpoint-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
