@@ -24,3 +24,10 @@ def op3_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusfit.llm import packing
 
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusfit.llm import near_dup
+
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), near_dup.Rule(words=2))
