@@ -30,7 +30,7 @@ SCHEMA = (
     "loss_tokens long, segment long"
 )
 NAMES = [part.split()[0] for part in SCHEMA.split(", ")]
-TEXTS_AT_ONCE = 400
+ROWS_AT_ONCE = 5_000
 
 
 @dataclass(frozen=True)
@@ -188,16 +188,15 @@ def pack(
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                part = batch.slice(at, TEXTS_AT_ONCE)
-                ids = encoder.encode(part.column(1).to_pylist())
-                for doc_id, own, silent in zip(part.column(0).to_pylist(), ids, part.column(2).to_pylist()):
-                    own += end
-                    packer.add(Piece(doc_id, own, 0, len(own) // word_tokens.ID_BYTES, silent or 0))
-                yield out()
+            doc_ids, silent = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for k, ids in enumerate(encoder.encode(batch.column(1))):
+                own = ids.tobytes() + end
+                packer.add(Piece(doc_ids[k], own, 0, len(own) // word_tokens.ID_BYTES, silent[k] or 0))
+                if len(packer.rows) >= ROWS_AT_ONCE:
+                    yield out()
         packer.finish()
         yield out()
 
     silent = F.col(quiet).cast("long") if quiet else F.lit(1).cast("long")
-    columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary"), silent.alias("quiet"))
+    columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"), silent.alias("quiet"))
     return columns.mapInArrow(run, SCHEMA)

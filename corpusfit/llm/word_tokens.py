@@ -1,7 +1,7 @@
 """Token ids of whole texts, with each distinct word encoded once per Python worker.
 
 The word-level vocabulary drops white space and lower-cases, so the ids of a text are the ids of its
-white-space separated words one after another. A worker keeps the ids of the words it met in two
+white-space separated words one after another. A text is split and its words are numbered in Arrow; a worker keeps the ids of the words it met in two
 generations of bounded size; texts that hold the opening of a special token go to the library whole.
 """
 
@@ -9,13 +9,21 @@ from __future__ import annotations
 
 import functools
 import os
+import sys
 import unicodedata
-from itertools import chain
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 ID_BYTES = 4
 LATIN_END = "ɐ"
+MARKS = "!\"#$%&()*+,-./:;=?@[]^_`{}~"
+BYTES_AT_ONCE = 8_000_000
+
+assert sys.byteorder == "little" and array("I").itemsize == ID_BYTES
 
 
 def vocabulary() -> str:
@@ -25,66 +33,83 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordTokens:
-    """Encoder for lists of UTF-8 texts; ids come as little-endian unsigned 32-bit buffers."""
-
-    def __init__(self, path: str, words_kept: int = 250_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+class WordIds(dict):
+    """Ids of the words met, as buffers; a word that is asked for twice in two generations stays."""
 
-        self.library = Tokenizer.from_file(path)
-        self.model = self.library.model
-        self.words_kept = words_kept
-        self.young: dict[bytes, bytes] = {}
+    def __init__(self, model, whole, words_kept: int):
+        super().__init__()
+        self.model, self.whole, self.words_kept = model, whole, words_kept
         self.old: dict[bytes, bytes] = {}
-        self.marks = {mark: self._whole(mark.decode()) for mark in (b",", b".")}
         # Byte alphabet of the vocabulary: printable bytes stand for themselves, others follow from U+0100.
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in set(shown)]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self._made(word)
+        if len(self) >= self.words_kept:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def _made(self, word: bytes) -> bytes:
+        text = word.decode()
+        stem = text.rstrip(MARKS)
+        if stem and stem is not text and stem[-1] < LATIN_END and stem[-1].isalpha():
+            # Marks at the end of a word always make a piece of their own after a letter.
+            return self[stem.encode()] + self[text[len(stem):].encode()]
+        if not text.isalpha():
+            return self.whole(text)
+        if not text.isascii():
+            small = text.lower()
+            if max(text) >= LATIN_END or len(small) != len(text) or not unicodedata.is_normalized("NFC", text):
+                return self.whole(text)
+            text = "".join(map(self.letters.__getitem__, small.encode()))
+        # One run of lower-case letters is one piece: only the merges are left to do.
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+
+
+class WordTokens:
+    """Encoder for arrays of texts."""
+
+    def __init__(self, path: str, words_kept: int = 300_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.words = WordIds(self.library.model, self._whole, words_kept)
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _word(self, word: bytes) -> bytes:
-        text = word.decode()
-        plain = text.isalpha() and (
-            text.isascii()
-            or (max(text) < LATIN_END and text == text.lower() and unicodedata.is_normalized("NFC", text))
-        )
-        if not plain:
-            return self._whole(text)
-        # One run of lower-case letters is one piece: only the merges are left to do.
-        spelled = text if text.isascii() else "".join(map(self.letters.__getitem__, word))
-        return np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
-
-    def _learn(self, words: set[bytes]) -> None:
-        marks, young = self.marks, self.young
-        for word in words:
-            # A mark after a letter always starts a piece of its own.
-            stem = word[:-1] if word[-1:] in marks and word[-2:-1].isalpha() else word
-            ids = young.get(stem)
-            if ids is None:
-                ids = self.old.get(stem)
-                if ids is None:
-                    ids = self._word(stem)
-                young[stem] = ids
-            if stem is not word:
-                young[word] = ids + marks[word[-1:]]
-
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        """Ids of every text; null counts as empty."""
-        lowered = [(text or b"").lower() for text in texts]
-        whole = {k for k, text in enumerate(lowered) if b"<|" in text}
-        words = [() if k in whole else text.split() for k, text in enumerate(lowered)]
-        if len(self.young) > self.words_kept:
-            self.old, self.young = self.young, {}
-        self._learn(set(chain.from_iterable(words)).difference(self.young))
-        find = self.young.__getitem__
-        return [
-            self._whole(texts[k].decode()) if k in whole else b"".join(map(find, own))
-            for k, own in enumerate(words)
-        ]
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of every text in order (unsigned 32-bit); null counts as empty."""
+        at, ends = 0, np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        while at < len(texts):
+            before = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + BYTES_AT_ONCE, "right")))
+            yield from self._part(pc.fill_null(texts.slice(at, stop - at), ""))
+            at = stop
+
+    def _part(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        lowered = pc.ascii_lower(texts)
+        special = pc.match_substring(lowered, "<|")
+        split = pc.ascii_split_whitespace(pc.if_else(special, "", lowered))
+        coded = split.flatten().dictionary_encode()
+        own = list(map(self.words.__getitem__, coded.dictionary.cast(pa.binary()).to_pylist()))
+        flat = np.frombuffer(b"".join(own), "<u4")
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // ID_BYTES
+        starts = np.cumsum(sizes) - sizes
+        order = coded.indices.to_numpy()
+        counts = sizes[order]
+        after = np.cumsum(counts)
+        ids = flat[np.repeat(starts[order] - (after - counts), counts) + np.arange(after[-1] if len(after) else 0)]
+        edges = np.concatenate([[0], after])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        for k, whole in enumerate(special.to_pylist()):
+            yield np.frombuffer(self._whole(texts[k].as_py()), "<u4") if whole else ids[edges[k]:edges[k + 1]]
 
 
 @functools.cache

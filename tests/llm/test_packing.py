@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpusfit.llm import packing, word_tokens
@@ -60,6 +61,8 @@ def test_empty_table(spark):
 
 
 def test_words_one_by_one_equal_whole_texts():
-    texts = [r[1] for r in ROWS] + ["don't 'tis we'll.,a., B.C. x,y, ...", "ﬁ Ǆ ſ K", "ABC,\tdéjà,vu.\r\n"]
-    got = word_tokens.WordTokens(word_tokens.vocabulary(), 3).encode([None if t is None else t.encode() for t in texts])
-    assert got == [x[:-1].tobytes() for x in whole(texts)]
+    texts = [r[1] for r in ROWS] + ["don't 'tis we'll.,a., B.C. x,y, ... é$$$ ÉTÉ!? 's. 1,", "ﬁ Ǆ ſ K", "ABC,\tdéjà,vu.\r\n", " a", "\n"]
+    encoder = word_tokens.WordTokens(word_tokens.vocabulary(), 3)
+    for array in (pa.array(texts), pa.array(["x", *texts])[1:], pa.array(texts[:1] * 3)[:0]):
+        got = [x.tobytes() for x in encoder.encode(array)]
+        assert got == [x[:-1].tobytes() for x in whole(array.to_pylist())]
