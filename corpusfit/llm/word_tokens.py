@@ -1,8 +1,7 @@
 """Token ids of whole texts, with each distinct word encoded once per Python worker.
 
 The word-level vocabulary drops white space and lower-cases, so the ids of a text are the ids of its
-white-space separated words one after another. A text is split and its words are numbered in Arrow; a worker keeps the ids of the words it met in two
-generations of bounded size; texts that hold the opening of a special token go to the library whole.
+white-space separated words one after another. Texts that hold the opening of a special token go to the library whole.
 """
 
 from __future__ import annotations
@@ -18,10 +17,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from corpusfit.llm.word_arrays import WordMemo, expand, in_parts
+
 ID_BYTES = 4
 LATIN_END = "ɐ"
 MARKS = "!\"#$%&()*+,-./:;=?@[]^_`{}~"
-BYTES_AT_ONCE = 8_000_000
 
 assert sys.byteorder == "little" and array("I").itemsize == ID_BYTES
 
@@ -33,29 +33,18 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordIds(dict):
-    """Ids of the words met, as buffers; a word that is asked for twice in two generations stays."""
+class WordIds(WordMemo):
+    """Ids of single words."""
 
     def __init__(self, model, whole, words_kept: int):
-        super().__init__()
-        self.model, self.whole, self.words_kept = model, whole, words_kept
-        self.old: dict[bytes, bytes] = {}
+        super().__init__(words_kept)
+        self.model, self.whole = model, whole
         # Byte alphabet of the vocabulary: printable bytes stand for themselves, others follow from U+0100.
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in set(shown)]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.old.get(word)
-        if ids is None:
-            ids = self._made(word)
-        if len(self) >= self.words_kept:
-            self.old = dict(self)
-            self.clear()
-        self[word] = ids
-        return ids
-
-    def _made(self, word: bytes) -> bytes:
+    def made(self, word: bytes) -> bytes:
         text = word.decode()
         stem = text.rstrip(MARKS)
         if stem and stem is not text and stem[-1] < LATIN_END and stem[-1].isalpha():
@@ -87,29 +76,11 @@ class WordTokens:
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Ids of every text in order (unsigned 32-bit); null counts as empty."""
-        at, ends = 0, np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-        while at < len(texts):
-            before = ends[at - 1] if at else 0
-            stop = max(at + 1, int(np.searchsorted(ends, before + BYTES_AT_ONCE, "right")))
-            yield from self._part(pc.fill_null(texts.slice(at, stop - at), ""))
-            at = stop
-
-    def _part(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        lowered = pc.ascii_lower(texts)
-        special = pc.match_substring(lowered, "<|")
-        split = pc.ascii_split_whitespace(pc.if_else(special, "", lowered))
-        coded = split.flatten().dictionary_encode()
-        own = list(map(self.words.__getitem__, coded.dictionary.cast(pa.binary()).to_pylist()))
-        flat = np.frombuffer(b"".join(own), "<u4")
-        sizes = np.fromiter(map(len, own), np.int64, len(own)) // ID_BYTES
-        starts = np.cumsum(sizes) - sizes
-        order = coded.indices.to_numpy()
-        counts = sizes[order]
-        after = np.cumsum(counts)
-        ids = flat[np.repeat(starts[order] - (after - counts), counts) + np.arange(after[-1] if len(after) else 0)]
-        edges = np.concatenate([[0], after])[split.offsets.to_numpy() - split.offsets[0].as_py()]
-        for k, whole in enumerate(special.to_pylist()):
-            yield np.frombuffer(self._whole(texts[k].as_py()), "<u4") if whole else ids[edges[k]:edges[k + 1]]
+        for part in in_parts(texts):
+            special = pc.match_substring(part, "<|")
+            values, edges = expand(pc.if_else(special, "", part), self.words)
+            for k, whole in enumerate(special.to_pylist()):
+                yield np.frombuffer(self._whole(part[k].as_py()), "<u4") if whole else values[edges[k]:edges[k + 1]]
 
 
 @functools.cache
