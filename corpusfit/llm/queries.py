@@ -31,3 +31,10 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusfit.llm import near_dup
 
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), near_dup.Rule(words=2))
+
+
+@query
+def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusfit.llm import decontam
+
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
