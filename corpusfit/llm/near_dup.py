@@ -50,6 +50,8 @@ class Rule:
     #: Most members and most shingles of a block.
     block_members: int = 128
     block_shingles: int = 200_000
+    #: 64-bit words of the bitmap that tells which texts to read again.
+    filter_words: int = 1 << 18
 
     @property
     def hashes(self) -> int:
@@ -132,7 +134,14 @@ def _pruned(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
-    """``id, shingles`` (packed 64-bit hashes) of the documents named in ``ids``."""
+    """``id, shingles`` (packed 64-bit hashes) of the documents named in ``ids``, and of few others.
+
+    Texts stay where they are: a bitmap over hashed ids, of a fixed number of words whatever the input, goes to all
+    tasks. A document that passes by chance is only worked out in vain; joins by id drop it.
+    """
+    place = F.pmod(F.xxhash64("id"), F.lit(64 * rule.filter_words))
+    word, bit = F.shiftright(place, 6), F.expr("shiftleft(1L, cast(pmod(xxhash64(id), 64L) as int))")
+    bitmap = ids.where("id is not null").groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,7 +149,8 @@ def _sets(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["id", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
-    return texts.join(ids, "id", "left_semi").mapInArrow(run, "id long, shingles binary")
+    near = texts.withColumn("word", word).join(F.broadcast(bitmap), "word").where(F.col("bits").bitwiseAND(bit) != 0)
+    return near.select("id", "text").mapInArrow(run, "id long, shingles binary")
 
 
 def _linked(common: int, first: int, second: int, rule: Rule) -> bool:
