@@ -38,3 +38,12 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusfit.llm import decontam
 
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusfit.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    chain = toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.categories_of_labels())
+    return toxicity.score(docs, chain)
