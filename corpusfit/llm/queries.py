@@ -47,3 +47,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     chain = toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.categories_of_labels())
     return toxicity.score(docs, chain)
+
+
+#: Key of the registered queries and of the pipeline; a deployment passes its own secret.
+PSEUDONYM_KEY = "corpus-key-1"
+
+
+@query
+def op2_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusfit.llm import pii
+
+    return pii.with_counts(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
