@@ -27,6 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -179,10 +180,13 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
-    left = cut_lineage(_pruned(pairs, classes, rule))
+    left = _pruned(pairs, classes, rule).persist(StorageLevel.DISK_ONLY)
     ids = left.select(F.col("a").alias("id")).union(left.select(F.col("b").alias("id"))).distinct()
-    sets = cut_lineage(_sets(docs, ids, rule))
-    return cut_lineage(_confirmed(left, sets, rule))
+    sets = _sets(docs, ids, rule).persist(StorageLevel.DISK_ONLY)
+    links = cut_lineage(_confirmed(left, sets, rule))
+    for kept in (left, sets):
+        kept.unpersist()
+    return links
 
 
 def _block_links(docs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
@@ -192,12 +196,10 @@ def _block_links(docs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
     block with outside members meets every block of its bucket once. Of the links of two blocks, those that join components
     are given: the others say nothing new.
     """
-    sized = members.join(
-        cut_lineage(_sets(docs, members.select("id").distinct(), rule)), "id").withColumn(
-        "size", F.length("shingles") / 8)
+    sets = _sets(docs, members.select("id").distinct(), rule).persist(StorageLevel.DISK_ONLY)
+    sized = members.join(sets, "id").withColumn("size", F.length("shingles") / 8)
     # Blocks by hash: about as full as wanted on average, without an order over the bucket.
-    load = members.join(sized.select("key", "id", "size"), ["key", "id"]).groupBy("key", "outside").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.max("size").alias("largest"))
+    load = sized.groupBy("key", "outside").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
     load = load.select(
         "key", "outside",
         F.ceil(F.greatest(F.col("n") / rule.block_members, F.col("total") / rule.block_shingles)).cast("int").alias("blocks"))
@@ -205,7 +207,7 @@ def _block_links(docs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
         "block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
     rows = placed.groupBy("key", "outside", "block").agg(
         F.collect_list(F.struct("id", "component", "shingles")).alias("own"))
-    rows = cut_lineage(rows)
+    rows = rows.persist(StorageLevel.DISK_ONLY)
     first = rows.where("outside").select("key", F.col("block").alias("i"), F.col("own").alias("left"))
     second = rows.select("key", F.col("outside").alias("also"), F.col("block").alias("j"), F.col("own").alias("right"))
     met = first.join(second, "key").where("not also or i <= j").select("left", "right")
@@ -218,7 +220,10 @@ def _block_links(docs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
             a, b = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return met.mapInArrow(run, "a long, b long")
+    links = cut_lineage(met.mapInArrow(run, "a long, b long"))
+    for kept in (sets, rows):
+        kept.unpersist()
+    return links
 
 
 def _links_between(left: list[dict], right: list[dict], rule: Rule) -> list[tuple[int, int]]:
@@ -265,8 +270,9 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     shared = cut_lineage(bands.join(buckets, "key"))
     stars = shared.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     links = _verified(docs, stars, classes, rule)
-    links = links.union(_rest(docs, shared, links, classes, rule))
     joined = components(links)
+    more = _rest(docs, shared, joined, classes, rule)
+    joined = components(more.union(joined.select(F.col("component").alias("a"), F.col("node").alias("b"))))
     by_class = classes.join(joined, classes["id"] == joined["node"], "left").select(
         "set_key", F.coalesce("component", "id").alias("component_id"))
     return (
@@ -278,24 +284,25 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
-def _rest(docs: DataFrame, shared: DataFrame, links: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+def _rest(docs: DataFrame, shared: DataFrame, joined: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     """Links across the components that comparing with each bucket's least member left apart."""
-    joined = components(links)
     members = shared.where("n > 2").join(joined, shared["id"] == joined["node"], "left").select(
         "key", "id", "first", "n", F.coalesce("component", "id").alias("component"))
     parts = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
     open_buckets = parts.groupBy("key").agg(
         F.max_by("component", F.struct("size", "component")).alias("main"),
         F.max("size").alias("main_size"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    members = cut_lineage(
+    members = (
         members.join(open_buckets, "key")
         .withColumn("outside", F.col("component") != F.col("main"))
         .withColumn("crowded", (F.col("n") - F.col("main_size")) * F.col("n") > rule.pairs_as_rows)
-        .select("key", "id", "first", "component", "outside", "crowded"))
+        .select("key", "id", "first", "component", "outside", "crowded").persist(StorageLevel.DISK_ONLY))
     few = members.where("not crowded")
     outside = few.where("outside and id <> first").select("key", F.col("id").alias("x"), F.col("component").alias("own"))
     pairs = (
         outside.join(few.where("id <> first").select("key", "id", "component"), "key").where("component <> own")
         .select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct())
     crowded = members.where("crowded").select("key", "id", "component", "outside")
-    return _verified(docs, pairs, classes, rule).union(cut_lineage(_block_links(docs, crowded, rule)))
+    links = _verified(docs, pairs, classes, rule).union(_block_links(docs, crowded, rule))
+    members.unpersist()
+    return links
