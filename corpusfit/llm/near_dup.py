@@ -306,3 +306,13 @@ def _rest(docs: DataFrame, shared: DataFrame, joined: DataFrame, classes: DataFr
     links = _verified(docs, pairs, classes, rule).union(_block_links(docs, crowded, rule))
     members.unpersist()
     return links
+
+
+def keep_first(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """The documents, with all their columns, that are the first of their group.
+
+    The ids to drop are joined to the documents. Rows that repeat an id with a text of the same class are one document
+    and stay together.
+    """
+    gone = near_duplicates(docs, rule).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
