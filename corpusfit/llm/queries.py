@@ -58,3 +58,10 @@ def op2_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusfit.llm import pii
 
     return pii.with_counts(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
+@query
+def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusfit.llm import host_rules
+
+    return host_rules.judge(table(spark, sf_dir, "documents"))
