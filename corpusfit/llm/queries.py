@@ -65,3 +65,10 @@ def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusfit.llm import host_rules
 
     return host_rules.judge(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusfit.llm import secrets
+
+    return secrets.report(table(spark, sf_dir, "documents"))
