@@ -72,3 +72,17 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusfit.llm import secrets
 
     return secrets.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from corpusfit.llm import chat
+
+    # Conversation -1: two turns that speak in another format's control strings.
+    hostile = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.windows(turns.unionByName(hostile)))
