@@ -86,3 +86,12 @@ def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.digests(chat.windows(turns.unionByName(hostile)))
+
+
+@query
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusfit.llm import token_store
+
+    folder = token_store.new_folder(spark)
+    token_store.write_store(table(spark, sf_dir, "documents"), folder)
+    return token_store.read_store(spark, folder)
