@@ -95,3 +95,16 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_store.new_folder(spark)
     token_store.write_store(table(spark, sf_dir, "documents"), folder)
     return token_store.read_store(spark, folder)
+
+
+#: Rules of the registered query, and domains whose hosts begin as distrusted.
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+BLOCKED_DOMAINS = ["casino-win.example.com", "cheap-pills.example.com", "free-bets.example.com", "ads-track.example.com"]
+
+
+@query
+def op4_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusfit.llm import url_trust
+
+    rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
+    return url_trust.judge(table(spark, sf_dir, "pages"), rules, blocked=BLOCKED_DOMAINS)
