@@ -99,7 +99,9 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Rules of the registered query, and domains whose hosts begin as distrusted.
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
-BLOCKED_DOMAINS = ["casino-win.example.com", "cheap-pills.example.com", "free-bets.example.com", "ads-track.example.com"]
+BLOCKED_DOMAINS = [
+    "casino-win.example.com", "cheap-pills.example.com", "free-bets.example.com", "ads-track.example.com", "spam-farm.example.com",
+    "adult-x.example.net"]
 
 
 @query
