@@ -59,7 +59,7 @@ def _import_rows(v):
         F.concat(F.lit("https://code.example.com/new"), k.cast("string")).alias("github_url"))
 
 
-@query("bulk_import_errors", """SELECT candidate_id + 2 AS row_no, 'both name and email are empty — skipped' AS reason
+@query("bulk_import_errors", """SELECT candidate_id + 2 AS row_no, 'row without name and address' AS reason
   FROM candidates WHERE email IS NULL AND candidate_id % 4 <> 3""")
 def _(v):
     return readers.bulk_import(_import_rows(v), v("candidates").select("candidate_id", "name", "email"))[1]
@@ -75,17 +75,30 @@ def _(v):
     return sinks.export_csv(_board(v), v("status_log"), v("roles"), status="shortlisted")
 
 
-INCOMING = """incoming AS (SELECT role_id, version_id AS doc_id, evaluated_at, CAST(total_score / 2 AS DOUBLE) AS total_score,
-    CASE version_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'tfidf_filtered' WHEN 2 THEN 'experience_filtered' WHEN 3 THEN 'queued' ELSE 'none' END AS eval_status
-    FROM evals)"""
-
-
-@query("upsert_evaluations", f"""WITH {INCOMING} SELECT e.role_id, e.version_id AS doc_id,
-    CASE WHEN take THEN i.total_score ELSE e.total_score END AS total_score, CASE WHEN take THEN i.eval_status ELSE e.eval_status END AS eval_status
-  FROM (SELECT e.*, CASE version_id % 5 WHEN 0 THEN true WHEN 1 THEN eval_status IS NULL OR eval_status IN ('tfidf_filtered', 'queued')
-      WHEN 2 THEN true ELSE false END AS take FROM evals e) e JOIN incoming i ON i.doc_id = e.version_id""")
+# Four runs per pair in changing order of scores and stops, and pairs that are not stored yet.
+INCOMING = """incoming AS (SELECT role_id, version_id + CASE WHEN version_id % 7 = 0 THEN 100000000 ELSE 0 END AS doc_id,
+    evaluated_at + make_interval_hours AS evaluated_at, CAST(total_score / 2 + k AS DOUBLE) AS total_score,
+    CASE (version_id // 3 + k * (1 + version_id % 4)) % 5 WHEN 0 THEN NULL WHEN 1 THEN 'tfidf_filtered' WHEN 2 THEN 'experience_filtered' WHEN 3 THEN 'queued' ELSE 'none' END AS eval_status
+    FROM evals JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) runs ON k < 1 + version_id % 4)"""
+INCOMING_DUCK = INCOMING.replace("make_interval_hours", "to_hours(k)")
+INCOMING_SPARK = INCOMING.replace("make_interval_hours", "make_interval(0, 0, 0, 0, k)").replace("version_id // 3", "version_id DIV 3")
+
+
+@query("upsert_evaluations", f"""WITH {INCOMING_DUCK}, r AS (SELECT role_id, doc_id, arg_min({{'t': total_score, 's': eval_status}}, evaluated_at) AS f,
+      max(evaluated_at) FILTER (eval_status IS NULL) AS score_at, arg_max(total_score, evaluated_at) FILTER (eval_status IS NULL) AS score,
+      max(evaluated_at) FILTER (eval_status = 'experience_filtered') AS early_at, arg_max(total_score, evaluated_at) FILTER (eval_status = 'experience_filtered') AS early,
+      max(evaluated_at) FILTER (eval_status = 'tfidf_filtered') AS weak_at, arg_max(total_score, evaluated_at) FILTER (eval_status = 'tfidf_filtered') AS weak
+      FROM incoming GROUP BY role_id, doc_id),
+    b AS (SELECT coalesce(e.role_id, r.role_id) AS role_id, coalesce(e.version_id, r.doc_id) AS doc_id, f, score_at, score, early_at, early, weak_at, weak, e.version_id IS NOT NULL AS stored,
+        CASE WHEN score_at IS NOT NULL THEN NULL WHEN e.version_id IS NOT NULL THEN e.eval_status ELSE f.s END AS s0,
+        CASE WHEN score_at IS NOT NULL THEN score WHEN e.version_id IS NOT NULL THEN e.total_score ELSE f.t END AS t0
+      FROM evals e FULL JOIN r ON r.role_id = e.role_id AND r.doc_id = e.version_id),
+    c AS (SELECT *, early_at IS NOT NULL AND (score_at IS NULL OR early_at > score_at) AND (s0 IS NULL OR s0 IN ('experience_filtered', 'tfidf_filtered', 'queued')) AS take_early,
+        weak_at IS NOT NULL AND (score_at IS NULL OR weak_at > score_at) AND (s0 IS NULL OR s0 IN ('tfidf_filtered', 'queued')) AS take_weak FROM b)
+  SELECT role_id, doc_id, CASE WHEN take_early THEN early WHEN take_weak THEN weak ELSE t0 END AS total_score,
+    CASE WHEN take_early THEN 'experience_filtered' WHEN take_weak THEN 'tfidf_filtered' ELSE s0 END AS eval_status FROM c""")
 def _(v):
-    incoming = v.sql(f"SELECT * FROM ({INCOMING.split('AS (', 1)[1][:-1]})")
+    incoming = v.sql(f"SELECT * FROM ({INCOMING_SPARK.split('AS (', 1)[1][:-1]})")
     stored = v("evals").select("role_id", C("version_id").alias("doc_id"), "evaluated_at", "total_score", "eval_status")
     return sinks.upsert_evaluations(stored, incoming).select("role_id", "doc_id", "total_score", "eval_status")
 
@@ -260,7 +273,7 @@ def _(v):
 
 
 @query("union_projects", r"""SELECT owner, name, language, stars, NULL AS description, 'github' AS source FROM repos
-  UNION ALL SELECT page_id, substr(h, 1, 60), NULL, NULL, h, 'portfolio' FROM (SELECT page_id, trim(regexp_replace(replace(regexp_replace(
+  UNION ALL SELECT page_id, h, NULL, NULL, h, 'portfolio' FROM (SELECT page_id, trim(regexp_replace(replace(regexp_replace(
     unnest(regexp_extract_all(html, '(?is)<h[1-4][^>]*>(.*?)</h[1-4]>', 1)), '<[^>]+>', ' ', 'g'), '&amp;', '&'), '\s+', ' ', 'g')) AS h FROM pages) WHERE length(h) BETWEEN 5 AND 199""")
 def _(v):
     pages = v("pages").select(C("page_id").alias("owner"), F.explode(page_headings(C("html"))).alias("description"))
@@ -320,13 +333,13 @@ def _(v):
       SELECT doc_id, start_line, list_transform(string_split(text, chr(10)), lambda x: trim(x)) AS l FROM sections WHERE type = 'projects')),
     ok AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start_line, pos) AS rn FROM pl WHERE length(line) BETWEEN 4 AND 80
       AND NOT regexp_matches(line, '^[•\-*–]') AND NOT regexp_matches(line, '\d{4}'))
-  SELECT doc_id, line AS project_name FROM ok WHERE rn <= 20""")
+  SELECT doc_id, line AS project_name FROM ok""")
 def _(v):
     return flags.project_names(segment.segment(v("profile_docs")))
 
 
-@query("experience_entries", """SELECT owner AS doc_id, CASE WHEN first_range % 9 = 0 THEN 'Intern' ELSE 'Engineer' END AS company, first_years AS title FROM (
-    SELECT owner, min(range_id) AS first_range, arg_min(start_year || ' - ' || end_year, range_id) AS first_years FROM profile_ranges GROUP BY owner)""")
+@query("experience_entries", """SELECT owner AS doc_id, CASE WHEN range_id % 9 = 0 THEN 'Intern' ELSE 'Engineer' END AS company, CAST(NULL AS VARCHAR) AS title,
+    CAST(start_year AS VARCHAR) AS "start", CAST(end_year AS VARCHAR) AS "end" FROM profile_ranges""")
 def _(v):
     return flags.experience_entries(segment.segment(v("profile_docs")))
 

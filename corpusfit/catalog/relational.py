@@ -69,14 +69,13 @@ def _(v):
 @query("gate_experience", """
   SELECT doc_id, a.role_id,
     CASE WHEN r.min_experience > 0 AND years_experience < r.min_experience THEN
-        'Candidate has ' || printf('%.1f', years_experience) || ' yr(s) experience but the role requires '
-        || r.min_experience || '+ yr(s)'
+        printf('%.1f', years_experience) || ' years of experience, at least ' || r.min_experience || ' wanted'
       WHEN r.allowed_levels IS NOT NULL AND level IS NOT NULL AND level NOT IN ('junior', 'mid', 'senior') THEN
-        'Candidate level ''' || level || ''' is not in allowed levels: junior, mid, senior'
-      WHEN graduation_year < r.min_graduation_year THEN 'Candidate graduated in ' || graduation_year
-        || ' but role requires graduation year ' || r.min_graduation_year || ' or later'
-      WHEN graduation_year > r.max_graduation_year THEN 'Candidate graduated in ' || graduation_year
-        || ' but role is open only to candidates who graduated by ' || r.max_graduation_year
+        'level ' || level || ' is none of: junior, mid, senior'
+      WHEN graduation_year < r.min_graduation_year THEN 'graduated in ' || graduation_year
+        || ', wanted from ' || r.min_graduation_year || ' on'
+      WHEN graduation_year > r.max_graduation_year THEN 'graduated in ' || graduation_year
+        || ', wanted up to ' || r.max_graduation_year
     END AS gate_reason
   FROM applications a JOIN candidates c ON c.candidate_id = a.doc_id JOIN roles r ON r.role_id = a.role_id""")
 def _(v):
@@ -287,23 +286,32 @@ def _(v):
     return joins.resolve_entities(incoming, v("candidates"))
 
 
-@query("reconcile_sources", """WITH both_sides AS (
-    SELECT coalesce(a.owner, b.owner) AS owner, a.company AS l_name, a.end_month AS l_end, b.company AS r_name, b.end_month AS r_end,
+# Every tenth owner has an entry without company and end month, too.
+LEFT_SIDE = """left_side AS (SELECT owner, company, end_month FROM companies_left
+    UNION ALL SELECT DISTINCT owner, CAST(NULL AS VARCHAR(99)), CAST(NULL AS VARCHAR(99)) FROM companies_left WHERE owner % 10 = 0)"""
+
+
+def _reconciled(v):
+    return joins.reconcile_sources(v.sql(f"SELECT * FROM ({LEFT_SIDE.split('AS (', 1)[1][:-1]})"), v("companies_right"))
+
+
+@query("reconcile_sources", f"""WITH {LEFT_SIDE}, both_sides AS (
+    SELECT coalesce(a.owner, b.owner) AS owner, a.owner IS NOT NULL AS l, a.company AS l_name, a.end_month AS l_end, b.company AS r_name, b.end_month AS r_end,
       abs((CAST(substr(a.end_month, 1, 4) AS INT) * 12 + CAST(substr(a.end_month, 6, 2) AS INT))
         - (CAST(substr(b.end_month, 1, 4) AS INT) * 12 + CAST(substr(b.end_month, 6, 2) AS INT))) AS gap
-    FROM companies_left a FULL JOIN companies_right b ON a.owner = b.owner AND lower(a.company) = lower(b.company))
+    FROM left_side a FULL JOIN companies_right b ON a.owner = b.owner AND lower(a.company) = lower(b.company))
   SELECT owner, 'experience.' || l_name || '.end_date' AS field, l_end AS left_value, r_end AS right_value, 'date_mismatch' AS flag_type
     FROM both_sides WHERE gap > 3
-  UNION ALL SELECT owner, 'experience.' || l_name, l_name, NULL, 'missing_entry' FROM both_sides WHERE r_name IS NULL
-  UNION ALL SELECT owner, 'experience.' || r_name, NULL, r_name, 'missing_entry' FROM both_sides WHERE l_name IS NULL""")
+  UNION ALL SELECT owner, 'experience.' || coalesce(l_name, ''), l_name, NULL, 'missing_entry' FROM both_sides WHERE r_name IS NULL
+  UNION ALL SELECT owner, 'experience.' || r_name, NULL, r_name, 'missing_entry' FROM both_sides WHERE NOT l""")
 def _(v):
-    return joins.reconcile_sources(v("companies_left"), v("companies_right"))[1]
+    return _reconciled(v)[1]
 
 
-@query("reconcile_merged", """SELECT a.owner, a.company, a.end_month, b.company IS NOT NULL AS validated
-  FROM companies_left a LEFT JOIN companies_right b ON a.owner = b.owner AND lower(a.company) = lower(b.company)""")
+@query("reconcile_merged", f"""WITH {LEFT_SIDE} SELECT a.owner, a.company, a.end_month, b.company IS NOT NULL AS validated, b.company AS other_name
+  FROM left_side a LEFT JOIN companies_right b ON a.owner = b.owner AND lower(a.company) = lower(b.company)""")
 def _(v):
-    return joins.reconcile_sources(v("companies_left"), v("companies_right"))[0]
+    return _reconciled(v)[0]
 
 
 @query("calibration_join", """SELECT s.candidate_id, total_score, outcome FROM scored_docs s

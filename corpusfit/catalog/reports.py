@@ -170,7 +170,7 @@ def _(v):
 @query("inferred_skills", """WITH known AS (SELECT DISTINCT o_custkey AS owner, lower(company) AS k FROM orders JOIN companies_left ON owner = o_custkey),
   n AS (SELECT owner, language, repo_id, name, row_number() OVER (PARTITION BY owner, language ORDER BY repo_id) AS rn FROM repos r
     WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.owner = r.owner AND k.k = lower(r.language)))
-  SELECT owner, language, string_agg(name, ', ' ORDER BY repo_id) AS evidence FROM n WHERE rn <= 5 GROUP BY owner, language""")
+  SELECT owner, language, string_agg(name, ', ' ORDER BY repo_id) AS evidence FROM n GROUP BY owner, language""")
 def _(v):
     known = v("companies_left").select("owner", F.col("company").alias("skill"))
     return aggs.inferred_skills(v("repos"), known)
@@ -225,7 +225,7 @@ def _(v):
     return projects.project_overall(scored, owners, wanted)
 
 
-CROSS = f"""WITH {ACTIVITY}, terms AS (SELECT owner, language AS term FROM repos UNION ALL SELECT owner, name FROM repos WHERE stars < 25),
+CROSS = f"""WITH {ACTIVITY}, terms AS (SELECT owner, language AS term FROM repos UNION ALL SELECT owner, name FROM repos),
     vocab AS (SELECT DISTINCT owner, token FROM (SELECT owner, regexp_replace(t, '[^a-z0-9]', '', 'g') AS token FROM (
       SELECT owner, unnest(string_split_regex(lower(term), '[\\s\\-_./]+')) AS t FROM terms) WHERE length(t) >= 3) WHERE token <> ''),
     claims AS (SELECT DISTINCT doc_id AS owner, skill FROM applications JOIN role_skills USING (role_id)
@@ -243,7 +243,7 @@ def _verified(v):
     repos = v("repos")
     evidence = sets.vocab_union([
         repos.select("owner", F.col("language").alias("term")),
-        repos.filter("stars < 25").select("owner", F.col("name").alias("term"))])
+        repos.select("owner", F.col("name").alias("term"))])
     claims = v.sql("""SELECT DISTINCT doc_id AS owner, skill FROM applications JOIN role_skills USING (role_id)
       UNION SELECT doc_id, 'Agile ' || skill FROM applications JOIN role_skills USING (role_id) WHERE role_id = 1""")
     return projects.cross_reference(claims, evidence, aggs.activity_score(repos, "2002-01-01"))

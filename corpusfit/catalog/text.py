@@ -98,7 +98,7 @@ PIECES = rf"""jobs AS ({JOBS}), cut AS (SELECT owner, string_split_regex(jobs, {
       regexp_extract_all(jobs, {q(lists.YEAR_RANGE_PATTERN)}) AS whole,
       regexp_extract_all(jobs, {q(lists.YEAR_RANGE_PATTERN)}, 1) AS s, regexp_extract_all(jobs, {q(lists.YEAR_RANGE_PATTERN)}, 2) AS e FROM jobs),
     spans AS (SELECT owner, i, CAST(s[i] AS INT) AS start_year, CAST(regexp_extract(e[i], '\d{{4}}') AS INT) AS end_year,
-      right(array_to_string(list_transform(range(1, i + 1), lambda j: pieces[j] || CASE WHEN j < i THEN whole[j] ELSE '' END), ''), 400) AS ctx
+      array_to_string(list_transform(range(1, i + 1), lambda j: pieces[j] || CASE WHEN j < i THEN whole[j] ELSE '' END), '') AS ctx
       FROM (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM cut)),
     flagged AS (SELECT *, regexp_matches(array_to_string(list_filter(list_transform(string_split(ctx, chr(10)), lambda x: trim(x)), lambda x: x <> '')[-5:], chr(10)),
       {q(lists.INTERN_PATTERN)}) AS intern FROM spans),
@@ -252,7 +252,7 @@ def _(v):
 
 @query("best_excerpt", rf"""WITH s AS (SELECT doc_id, term, list_filter(list_transform(string_split_regex(text, '[.!?\n]+'), lambda x: {strip('x')}), lambda x: length(x) > 15) AS ls
       FROM documents JOIN token_docs USING (doc_id) JOIN dict_terms ON term = token)
-  SELECT doc_id, term, substr(coalesce(list_filter(ls, lambda x: contains(lower(x), term))[1], list_filter(ls, lambda x: contains(lower(x), term))[1]), 1, 300) AS excerpt FROM s""")
+  SELECT doc_id, term, list_filter(ls, lambda x: contains(lower(x), term))[1] AS excerpt FROM s""")
 def _(v):
     hits = v("token_docs").join(v("dict_terms"), C("token") == C("term")).select("doc_id", "term")
     return v("documents").join(hits, "doc_id").select(
@@ -309,14 +309,14 @@ def _(v):
     return v("pages").select("page_id", text.page_text(C("html")).alias("plain"))
 
 
-@query("page_meta", rf"""SELECT page_id, substr({tags("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, 1, 120) AS title,
-    substr({PAGE}, 1, 300) AS description FROM pages""")
+@query("page_meta", rf"""SELECT page_id, {tags("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title,
+    {PAGE} AS description FROM pages""")
 def _(v):
     return v("pages").select("page_id", text.page_meta(C("html")).alias("m")).select("page_id", "m.*")
 
 
 @query("page_headings", rf"""SELECT page_id, array_to_string(list_filter(list_transform(regexp_extract_all(html, '(?is)<h[1-4][^>]*>(.*?)</h[1-4]>', 1),
-    lambda h: {tags('h')}), lambda h: length(h) BETWEEN 5 AND 199)[1:8], ' | ') AS headings FROM pages""")
+    lambda h: {tags('h')}), lambda h: length(h) BETWEEN 5 AND 199), ' | ') AS headings FROM pages""")
 def _(v):
     return v("pages").select("page_id", F.array_join(text.page_headings(C("html")), " | ").alias("headings"))
 
@@ -362,9 +362,9 @@ FLAGS = """both_sides AS (
 
 
 @query("flag_severity", f"""WITH {FLAGS} SELECT owner, 'date_mismatch' AS flag_type, 'medium' AS severity,
-      'LinkedIn shows end date for ' || l_name || ' as ' || r_end || ', but resume lists ' || l_end || '.' AS note FROM both_sides WHERE gap > 3
-    UNION ALL SELECT owner, 'missing_entry', 'medium', 'Resume lists employment at ' || l_name || ', but no matching entry found on LinkedIn.' FROM both_sides WHERE r_name IS NULL
-    UNION ALL SELECT owner, 'missing_entry', 'medium', 'LinkedIn shows employment at ' || r_name || ', which is not listed on the resume.' FROM both_sides WHERE l_name IS NULL""")
+      'The public profile gives end date of ' || l_name || ' as ' || r_end || ', the document says ' || l_end || '.' AS note FROM both_sides WHERE gap > 3
+    UNION ALL SELECT owner, 'missing_entry', 'medium', 'The document names ' || l_name || ', the public profile does not.' FROM both_sides WHERE r_name IS NULL
+    UNION ALL SELECT owner, 'missing_entry', 'medium', 'The public profile names ' || r_name || ', the document does not.' FROM both_sides WHERE l_name IS NULL""")
 def _(v):
     found = joins.reconcile_sources(v("companies_left"), v("companies_right"))[1]
     return flags.flag_severity(found).select("owner", "flag_type", "severity", "note")
@@ -389,28 +389,28 @@ def _worded(v):
 
 
 @query("fit_summary", f"""WITH {WORDED} SELECT evaluation_id, concat_ws(' ',
-    'The candidate is a ' || CASE WHEN total_score >= 75 THEN 'strong' WHEN total_score >= 50 THEN 'moderate' ELSE 'weak' END || ' fit for the ' || job
-      || ' role with an overall score of ' || CAST(round_even(total_score, 0) AS INT) || '%.',
-    CASE WHEN len(found) > 0 THEN 'Key strengths include ' || array_to_string(found[1:5], ', ') || CASE WHEN len(found) > 5 THEN ' among others' ELSE '' END || '.' END,
-    CASE WHEN len(gaps) > 0 THEN 'Notable gaps are ' || array_to_string(gaps[1:3], ', ') || CASE WHEN len(gaps) > 3 THEN ' and other areas' ELSE '' END || '.' END,
-    CASE WHEN skill_score >= 70 THEN 'Their project experience aligns well with the job description (' || CAST(round_even(skill_score, 0) AS INT) || '% alignment).'
-      WHEN skill_score > 0 AND skill_score < 35 THEN 'Their experience shows limited alignment with the specific job description responsibilities ('
+    'The candidate, for ' || job || ': ' || CASE WHEN total_score >= 75 THEN 'strong' WHEN total_score >= 50 THEN 'moderate' ELSE 'weak' END
+      || ' match, ' || CAST(round_even(total_score, 0) AS INT) || '% in all.',
+    CASE WHEN len(found) > 0 THEN 'Found skills: ' || array_to_string(found[1:5], ', ') || CASE WHEN len(found) > 5 THEN ' and more' ELSE '' END || '.' END,
+    CASE WHEN len(gaps) > 0 THEN 'Missing skills: ' || array_to_string(gaps[1:3], ', ') || CASE WHEN len(gaps) > 3 THEN ' and more' ELSE '' END || '.' END,
+    CASE WHEN skill_score >= 70 THEN 'Work described is close to the role text (' || CAST(round_even(skill_score, 0) AS INT) || '%).'
+      WHEN skill_score > 0 AND skill_score < 35 THEN 'Work described is far from the role text ('
         || CAST(round_even(skill_score, 0) AS INT) || '%).' END,
-    CASE WHEN education_score < 30 THEN 'Education credentials appear limited or could not be verified from the resume.'
-      WHEN education_score >= 80 THEN 'Strong educational background was detected.' END) AS summary FROM w""")
+    CASE WHEN education_score < 30 THEN 'Little or no education was found.'
+      WHEN education_score >= 80 THEN 'Education scores high.' END) AS summary FROM w""")
 def _(v):
     return _worded(v).select("evaluation_id", text.fit_summary(
         F.lit(""), C("job"), C("total_score"), C("education_score"), C("found"), C("gaps"), C("skill_score")).alias("summary"))
 
 
 @query("interview_questions", f"""WITH {WORDED} SELECT evaluation_id, array_to_string(list_filter([
-    'You listed ' || gaps[1] || ' as a gap area. Can you walk me through your exposure to it and how you''d ramp up quickly?',
-    'The role requires strong ' || gaps[2] || '. Describe a time you had to learn a new technology under time pressure.',
-    'Tell me about a challenging project where you used ' || found[1] || '. What was the hardest technical decision you made?',
-    'What excites you most about this ' || job || ' role and how does your background uniquely prepare you for it?',
-    'Describe a time you had to debug a critical production issue under pressure. What was your process?',
-    'How do you stay current with new technologies relevant to this role?',
-    'Tell me about a project where you had to collaborate across teams with competing priorities.'], lambda x: x IS NOT NULL)[1:5], ' ') AS questions FROM w""")
+    'Where have you met ' || gaps[1] || ' so far, and what would help you to learn it?',
+    'For this role you need ' || gaps[2] || '. How have you picked up something similar before?',
+    'Which of your projects relied most on ' || found[1] || '? What would you change in it today?',
+    'Why the ' || job || ' role, and why now?',
+    'Which failure in a running system taught you most?',
+    'What did you learn last, and from where?',
+    'When did two teams want opposite things from you, and what came of it?'], lambda x: x IS NOT NULL)[1:5], ' ') AS questions FROM w""")
 def _(v):
     return _worded(v).select("evaluation_id", F.array_join(
         text.interview_questions(C("job"), C("found"), C("gaps")), " ").alias("questions"))

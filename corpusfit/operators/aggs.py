@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusfit.functions import labels
-from corpusfit.operators.topk import first_per_group
 from corpusfit.operators.windows import latest_status
 
 # Hiring stages in board order with their labels.
@@ -234,20 +233,11 @@ def language_ranking(repos: DataFrame, owner: str = "owner") -> DataFrame:
     )
 
 
-def _first_n(col: Column, n: int) -> Column:
-    return F.slice(F.array_sort(col), 1, n)
-
-
-def inferred_skills(repos: DataFrame, known: DataFrame, owner: str = "owner", n: int = 5) -> DataFrame:
-    """Languages of an owner that are not known skills yet, with up to ``n`` names as evidence.
-
-    Evidence keeps the ``n`` first names by repository id; rows beyond them are cut
-    before the shuffle, so no list grows with the data.
-    """
+def inferred_skills(repos: DataFrame, known: DataFrame, owner: str = "owner") -> DataFrame:
+    """Languages of an owner that are not known skills yet, with the names of their repositories as evidence."""
     named = repos.filter(F.coalesce("language", F.lit("")) != "").withColumn("__k", F.lower("language"))
     have = known.select(F.col(owner), F.lower("skill").alias("__k")).distinct()
     fresh = named.join(have, [owner, "__k"], "left_anti")
-    kept = first_per_group(fresh, [owner, "language"], [F.col("repo_id")], n)
-    return kept.groupBy(owner, "language").agg(
-        F.array_join(F.transform(_first_n(F.collect_list(F.struct("repo_id", "name")), n), lambda x: x["name"]), ", ")
+    return fresh.groupBy(owner, "language").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("repo_id", "name"))), lambda x: x["name"]), ", ")
         .alias("evidence"))

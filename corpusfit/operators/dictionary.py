@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusfit.scale import dim_join, small_enough, spread
+from corpusfit.scale import small_enough, spread
 
 ANCHOR = 4
 SHORT_LIST = 1000
@@ -45,7 +45,7 @@ def anchored_terms(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     grams = F.array_distinct(F.flatten(F.transform(
         lengths, lambda n: F.transform(starts, lambda i: F.substring(F.col("text"), i, n)))))
     offered = spread(texts).select("text_id", F.explode(grams).alias("__anchor"))
-    met = dim_join(offered, keyed, "__anchor")
+    met = offered.join(keyed, "__anchor")
     sure = met.filter(F.col("term") == F.col("__anchor")).select("text_id", "term")
     longer = met.filter(F.col("term") != F.col("__anchor")).select("text_id", "term")
     return sure.unionByName(_verified(texts.select("text_id", "text"), longer, F.contains))
@@ -79,7 +79,7 @@ def bounded_terms(texts: DataFrame, terms: DataFrame, edge: str = "[a-z0-9]", to
         "__head", F.regexp_extract("term", run, 0))
     heads = F.array_distinct(F.regexp_extract_all("text", F.lit(run), 0))
     offered = spread(lower).select("text_id", F.explode(heads).alias("__head"))
-    met = dim_join(offered, keyed.filter("__head <> ''"), "__head")
+    met = offered.join(keyed.filter("__head <> ''"), "__head")
 
     def present(text: Column, term: Column) -> Column:
         quoted = F.concat(F.lit("\\Q"), term, F.lit("\\E"))
@@ -110,7 +110,7 @@ def jd_skills(texts: DataFrame, known: DataFrame) -> DataFrame:
     """(text_id, skill): skills named in role texts, by name or by another spelling (term -> skill)."""
     found = dictionary_match(texts, known.select("term"))
     table = known.select(F.lower("term").alias("term"), "skill").distinct()
-    return dim_join(found, table, "term").select("text_id", "skill").distinct()
+    return found.join(table, "term").select("text_id", "skill").distinct()
 
 
 def known_skill_terms(spark) -> DataFrame:

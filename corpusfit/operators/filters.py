@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusfit.functions import labels
 from corpusfit.operators.windows import latest_status
-from corpusfit.scale import dim_join
+
 
 
 def active_current(rows: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def gate_experience(pairs: DataFrame, roles: DataFrame) -> DataFrame:
         "role_id", "min_experience", "allowed_levels", "min_graduation_year", "max_graduation_year"
     )
     c = F.col
-    return dim_join(pairs, rules, "role_id").withColumn(
+    return pairs.join(rules, "role_id").withColumn(
         "gate_reason",
         labels.gate_reason(
             c("years_experience"), c("level"), c("graduation_year"), c("min_experience"),
@@ -42,10 +42,7 @@ def select_for_run(pairs: DataFrame, roles: DataFrame, evals: DataFrame) -> Data
     ``pairs`` holds role_id, doc_id and the owner's attributes.
     """
     allowed = F.filter(F.transform(F.split("allowed_levels", ","), lambda x: F.trim(x)), lambda x: x != "")
-    due = dim_join(
-        pairs.filter(F.col("is_current") & ~F.coalesce(F.col("deleted"), F.lit(False))),
-        roles.select("role_id", "min_experience", "allowed_levels"), "role_id",
-    ).filter(
+    due = pairs.filter(F.col("is_current") & ~F.coalesce(F.col("deleted"), F.lit(False))).join(roles.select("role_id", "min_experience", "allowed_levels"), "role_id").filter(
         (F.coalesce(F.col("min_experience"), F.lit(0)) <= 0)
         | F.col("years_experience").isNull()
         | (F.col("years_experience") >= F.col("min_experience"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusfit.functions.dates import month_gap
-from corpusfit.scale import dim_join, ordered_rank, salted_join
+from corpusfit.scale import ordered_rank, salted_join
 
 
 def anti_deleted(facts: DataFrame, deleted: DataFrame, key: str) -> DataFrame:
@@ -20,12 +20,12 @@ def semi_match(facts: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 def lookup_titles(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
     """Add the columns of a small keyed table."""
-    return dim_join(df, dim, key, "left")
+    return df.join(dim, key, "left")
 
 
 def skill_gaps(evals: DataFrame, role_skills: DataFrame, matches: DataFrame) -> DataFrame:
     """Skills of the evaluation's role that were not matched (case-insensitive)."""
-    wanted = dim_join(evals.select("evaluation_id", "role_id"), role_skills.select("role_id", "skill"), "role_id")
+    wanted = evals.select("evaluation_id", "role_id").join(role_skills.select("role_id", "skill"), "role_id")
     have = matches.select("evaluation_id", F.lower("skill").alias("__key")).distinct()
     return (
         wanted.withColumn("__key", F.lower("skill"))
@@ -92,22 +92,25 @@ def assign_new_ids(resolved: DataFrame, incoming: DataFrame, first_id: int) -> D
 
 def reconcile_sources(
     left: DataFrame, right: DataFrame, owner: str = "owner", key: str = "company",
-    end_month: str = "end_month", tolerance: int = 3,
+    end_month: str = "end_month", tolerance: int = 3, listed: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Match two histories on the lower-cased key; return (merged left rows, flags).
 
-    Several right rows of one key collapse to the one with the latest end.
+    Several right rows of one key collapse to the one listed last by the column ``listed``, or without it to the
+    one with the latest end.
     """
-    a = left.withColumn("__key", F.lower(F.coalesce(key, F.lit(""))))
+    a = left.withColumn("__key", F.lower(F.coalesce(key, F.lit("")))).withColumn("__left", F.lit(True))
+    last = [F.col(listed)] if listed else []
     b = (
         right.withColumn("__key", F.lower(F.coalesce(key, F.lit(""))))
         .groupBy(owner, "__key")
         .agg(F.max_by(F.struct(F.col(key).alias("name"), F.col(end_month).alias("end")),
-                      F.struct(F.col(end_month), F.col(key))).alias("__r"))
+                      F.struct(*last, F.col(end_month), F.col(key))).alias("__r"))
     )
     both = a.join(b, [owner, "__key"], "full")
-    on_left, on_right = F.col(key).isNotNull() | F.col(end_month).isNotNull(), F.col("__r").isNotNull()
-    merged = both.filter(on_left).select(owner, key, end_month, on_right.alias("validated"))
+    on_left, on_right = F.col("__left").isNotNull(), F.col("__r").isNotNull()
+    merged = both.filter(on_left).select(
+        owner, key, end_month, on_right.alias("validated"), F.col("__r.name").alias("other_name"))
     gap = month_gap(F.col(end_month), F.col("__r.end"))
     kind = (
         F.when(on_left & on_right & (gap > tolerance), "date_mismatch")
@@ -118,7 +121,7 @@ def reconcile_sources(
         .select(
             owner,
             F.concat(
-                F.lit("experience."), F.coalesce(F.col(key), F.col("__r.name")),
+                F.lit("experience."), F.coalesce(F.col(key), F.col("__r.name"), F.lit("")),
                 F.when(F.col("flag_type") == "date_mismatch", ".end_date").otherwise(""),
             ).alias("field"),
             F.when(F.col("flag_type") == "date_mismatch", F.col(end_month)).otherwise(F.col(key)).alias("left_value"),

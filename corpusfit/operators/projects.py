@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusfit.operators.dictionary import contained_terms
 from corpusfit.operators.sets import skill_tokens
-from corpusfit.scale import cut_lineage, dim_join, salted_join
+from corpusfit.scale import cut_lineage, salted_join
 
 # Words ignored when a rule is compared with a project text.
 RULE_STOP_WORDS = ("and", "or", "the", "a", "an", "in", "with", "for", "to", "of", "is", "are")
@@ -35,9 +35,7 @@ def project_match(projects: DataFrame, role_skills: DataFrame, requirements: Dat
         F.collect_list(F.struct(
             F.lower("label").alias("label"),
             rule_words(F.concat_ws(" ", "label", "description")).alias("words"))).alias("__rules"))
-    rows = dim_join(
-        dim_join(projects, skills, "role_id", "left"), rules, "role_id", "left"
-    ).withColumn("__text", F.lower("text")).withColumn(
+    rows = projects.join(skills, "role_id", "left").join(rules, "role_id", "left").withColumn("__text", F.lower("text")).withColumn(
         "__words", F.array_distinct(F.regexp_extract_all("__text", F.lit(r"[a-z0-9#+.]+"), 0)))
     empty_skills, empty_rules = F.array().cast("array<string>"), F.expr(
         "cast(array() as array<struct<label:string,words:array<string>>>)")
@@ -62,7 +60,7 @@ def project_overall(scored: DataFrame, owners: DataFrame, role_skills: DataFrame
         .select("owner", "role_id", F.explode_outer("matched_skills").alias("skill"))
         .groupBy("owner", "role_id").agg(F.countDistinct("skill").alias("shown")))
     total = role_skills.groupBy("role_id").agg(F.countDistinct("skill").alias("total"))
-    return dim_join(shown, total, "role_id").select(
+    return shown.join(total, "role_id").select(
         "owner", "role_id",
         F.bround(F.col("shown") / F.greatest("total", F.lit(1)) * 100, 0).cast("int").alias("overall_match"),
         (F.col("total") - F.col("shown")).alias("unmatched"))
@@ -98,13 +96,13 @@ def cross_reference(
     proof = by_form.unionByName(by_part).distinct()
     asked = claims.join(checked.select("skill"), "skill", "left_semi")
     shown = (
-        dim_join(asked, proof, "skill").join(evidence.select("owner", "token"), ["owner", "token"], "left_semi")
+        asked.join(proof, "skill").join(evidence.select("owner", "token"), ["owner", "token"], "left_semi")
         .select("owner", "skill").distinct().withColumn("__shown", F.lit(True)))
     judged = activity.filter(F.col("activity_score") > min_activity).select("owner").join(
         evidence.select("owner").distinct(), "owner", "left_semi").withColumn("__judged", F.lit(True))
     free = skills.filter(always).select("skill").withColumn("__free", F.lit(True))
     out = salted_join(claims, judged, "owner", "left")
-    out = dim_join(out, free, "skill", "left").join(shown, ["owner", "skill"], "left")
+    out = out.join(free, "skill", "left").join(shown, ["owner", "skill"], "left")
     return out.select(
         "owner", "skill",
         (F.col("__judged").isNull() | F.col("__free").isNotNull() | F.col("__shown").isNotNull()).alias("verified"))

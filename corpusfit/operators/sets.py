@@ -80,7 +80,7 @@ def union_skill_sources(
 def union_projects(code: DataFrame, pages: DataFrame) -> DataFrame:
     """Repository projects and page headings in one schema."""
     a = code.withColumn("source", F.lit("github"))
-    b = pages.withColumn("source", F.lit("portfolio")).withColumn("name", F.substring("description", 1, 60))
+    b = pages.withColumn("source", F.lit("portfolio")).withColumn("name", F.col("description"))
     return a.unionByName(b, allowMissingColumns=True)
 
 

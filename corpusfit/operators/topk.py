@@ -67,11 +67,11 @@ def excerpt_of(lines: Column, name: Column, words: Column) -> Column:
     whole = F.get(F.filter(lines, lambda s: F.contains(F.lower(s), name)), F.lit(0))
     part = F.get(
         F.filter(lines, lambda s: F.exists(words, lambda w: F.contains(F.lower(s), w))), F.lit(0))
-    return F.substring(F.coalesce(whole, part), 1, 300)
+    return F.coalesce(whole, part)
 
 
 def best_excerpt(text: Column, skill: Column) -> Column:
-    """First sentence holding the skill, else any of its longer words; at most 300 characters."""
+    """First sentence holding the skill, else any of its longer words."""
     return excerpt_of(sentences(text), F.lower(skill), significant_words(skill))
 
 

@@ -221,7 +221,7 @@ def dup_status(
         F.coalesce("__dup", "__near").alias("match_id"))
 
 
-def dup_clusters(pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
+def dup_clusters(pairs: DataFrame) -> DataFrame:
     """Connected groups of the links: every member with the group's smallest id, which is kept.
 
     Each round takes the smallest label among neighbours (merged map-side) and then jumps
@@ -232,7 +232,7 @@ def dup_clusters(pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
         pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
         .unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
     labels = cut_lineage(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")))
-    for _ in range(max_rounds):
+    while True:
         offered = salted_join(edges, labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(
             F.min("label").alias("__near"))
         low = labels.join(offered, "u").select("u", F.col("label").alias("__old"), F.least("label", "__near").alias("label"))
@@ -243,7 +243,5 @@ def dup_clusters(pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
         labels = moved.select("u", "label")
         if not changed:
             break
-    else:
-        raise RuntimeError("label propagation did not settle")
     return labels.select(
         F.col("u").alias("doc_id"), F.col("label").alias("cluster_id"), (F.col("u") == F.col("label")).alias("keep"))

@@ -9,7 +9,7 @@ from corpusfit.functions import labels
 from corpusfit.functions.text import fit_summary
 from corpusfit.operators.filters import gate_experience
 from corpusfit.plans import matching, requirements, scoring, tfidf
-from corpusfit.scale import cut_lineage, dim_join
+from corpusfit.scale import cut_lineage
 
 MAIL_FROM = 85
 
@@ -30,9 +30,7 @@ def evaluate(
     role_docs = roles.join(names, "role_id", "left").withColumn(
         "__skills", F.coalesce("__skills", F.array().cast("array<string>"))).withColumn(
         "role_doc", tfidf.role_document(c("__skills"), c("description")))
-    routed = dim_join(
-        gate_experience(pairs, roles),
-        role_docs.select("role_id", "intake_paused", "tfidf_threshold", "is_entry_level", "__skills"), "role_id")
+    routed = gate_experience(pairs, roles).join(role_docs.select("role_id", "intake_paused", "tfidf_threshold", "is_entry_level", "__skills"), "role_id")
     open_pairs = routed.filter(~c("intake_paused") & c("gate_reason").isNull())
     relevance = tfidf.tfidf_relevance(docs, role_docs, open_pairs.select("doc_id", "role_id"))
     routed = cut_lineage(routed.join(
@@ -59,10 +57,10 @@ def evaluate(
     stopped = routed.filter(c("eval_status").isNotNull())
     hits = stopped.filter("eval_status = 'tfidf_filtered'").join(docs.select("doc_id", "text"), "doc_id").select(
         "doc_id", "role_id", F.array_join(tfidf.keyword_hits(c("text"), c("__skills")), ", ").alias("__hits"))
-    early = F.concat(F.lit("Stage 0 (Experience) pre-filter: "), c("gate_reason"), F.lit(". Evaluation skipped."))
+    early = F.concat(F.lit("Entry rules: "), c("gate_reason"), F.lit(". Not scored."))
     weak = F.concat(
-        F.lit("Stage 1 pre-filter: relevance score "), F.bround(c("tfidf_score") * 100, 0).cast("int").cast("string"),
-        F.lit("% is below the configured threshold. LLM evaluation skipped. Keyword matches found: "),
+        F.lit("Relevance "), F.bround(c("tfidf_score") * 100, 0).cast("int").cast("string"),
+        F.lit("% is below the threshold of the role. Not scored. Skills named: "),
         F.coalesce(F.nullif(c("__hits"), F.lit("")), F.lit("none")), F.lit("."))
     zero = [F.lit(0.0).alias(n) for n in ("project_score", "skill_score", "education_score", "experience_score", "jd_alignment")]
     early_rows = stopped.join(hits, ["doc_id", "role_id"], "left").select(
@@ -81,7 +79,7 @@ def summaries(evals: DataFrame, people: DataFrame, roles: DataFrame, matches: Da
     def listed(rows, name):
         return rows.groupBy(*key).agg(F.array_sort(F.collect_set("skill")).alias(name))
 
-    rows = dim_join(evals.filter("eval_status is null"), roles.select("role_id", "title"), "role_id").join(
+    rows = evals.filter("eval_status is null").join(roles.select("role_id", "title"), "role_id").join(
         people.select("doc_id", "name"), "doc_id", "left").join(listed(matches, "__m"), key, "left").join(
         listed(gaps, "__g"), key, "left")
     return rows.select(*key, fit_summary(
@@ -91,15 +89,13 @@ def summaries(evals: DataFrame, people: DataFrame, roles: DataFrame, matches: Da
 
 def auto_shortlist(evals: DataFrame, roles: DataFrame, log: DataFrame) -> DataFrame:
     """New log rows: scored pairs at or above the role's minimum that have no log row yet."""
-    return dim_join(
-        evals.filter("eval_status is null"), roles.select("role_id", "min_fit_score"), "role_id"
-    ).filter("total_score >= min_fit_score").join(log.select("evaluation_id"), "evaluation_id", "left_anti").select(
+    return evals.filter("eval_status is null").join(roles.select("role_id", "min_fit_score"), "role_id").filter("total_score >= min_fit_score").join(log.select("evaluation_id"), "evaluation_id", "left_anti").select(
         "evaluation_id", F.lit("shortlisted").alias("status"))
 
 
 def auto_pause(evals: DataFrame, roles: DataFrame) -> DataFrame:
     """Roles whose qualified count has reached the target."""
-    good = dim_join(evals.select("role_id", "total_score"), roles.select("role_id", "min_fit_score"), "role_id").filter(
+    good = evals.select("role_id", "total_score").join(roles.select("role_id", "min_fit_score"), "role_id").filter(
         "total_score >= min_fit_score").groupBy("role_id").agg(F.count(F.lit(1)).alias("qualified"))
     return roles.join(good, "role_id", "left").na.fill(0, ["qualified"]).select(
         "role_id", "qualified", "shortlist_target",
@@ -112,8 +108,7 @@ def outreach_list(
     """Who gets a message: high scores of roles that allow it, and anyone ever shortlisted, unless sent."""
     reachable = candidates.filter(F.coalesce("email", F.lit("")) != "").select("candidate_id", "email")
     unsent = evals.filter("email_sent_at is null").join(reachable, "candidate_id")
-    high = dim_join(unsent.filter((F.col("total_score") >= min_total) & F.col("eval_status").isNull()),
-                    roles.filter("auto_email").select("role_id"), "role_id")
+    high = unsent.filter((F.col("total_score") >= min_total) & F.col("eval_status").isNull()).join(roles.filter("auto_email").select("role_id"), "role_id")
     picked = unsent.join(log.filter("status = 'shortlisted'").select("evaluation_id"), "evaluation_id", "left_semi")
     tagged = high.select("evaluation_id", "email", F.lit("score").alias("why")).unionByName(
         picked.select("evaluation_id", "email", F.lit("shortlist").alias("why")))

@@ -11,7 +11,7 @@ from corpusfit.functions import labels
 from corpusfit.operators.filters import active_current
 from corpusfit.operators.topk import sort_page
 from corpusfit.operators.windows import latest_status
-from corpusfit.scale import dim_join
+
 
 
 def board_rows(evals: DataFrame, versions: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def leaderboard(
     wanted = role_skills.groupBy("role_id").agg(F.count(F.lit(1)).alias("skills_total"))
     c = F.col
     return (
-        dim_join(shown, roles.select("role_id", F.col("title").alias("role_title"), "require_github"), "role_id")
+        shown.join(roles.select("role_id", F.col("title").alias("role_title"), "require_github"), "role_id")
         .join(last.select("evaluation_id", "latest_status"), "evaluation_id", "left")
         .join(found, "evaluation_id", "left").join(wanted, "role_id", "left")
         .select(

@@ -11,7 +11,7 @@ from corpusfit.functions.text import (
 from corpusfit.operators.topk import best_excerpt
 from corpusfit.plans.scoring import majors_of, shown
 from corpusfit.plans.tfidf import TECH_WORD, term_counts, weighted
-from corpusfit.scale import dim_join
+
 
 TOP_SECTION_WEIGHT = 1.2
 
@@ -48,11 +48,9 @@ def rule_similarity(sections: DataFrame, rules: DataFrame, pairs: DataFrame) ->
     role_own = by_frequency(role_terms, "role_id", "rule_id", "dr", "rule_own")
     n_sec = sections.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sec"))
     n_req = rules.groupBy("role_id").agg(F.count(F.lit(1)).alias("n_req"))
-    sized = dim_join(pairs.select("doc_id", "role_id").distinct().join(n_sec, "doc_id"), n_req, "role_id").withColumn(
+    sized = pairs.select("doc_id", "role_id").distinct().join(n_sec, "doc_id").join(n_req, "role_id").withColumn(
         "n", F.col("n_sec") + F.col("n_req"))
-    shared = dim_join(
-        sized.join(doc_terms, "doc_id"), role_terms, ["role_id", "term"]
-    ).withColumn("idf", _idf(F.col("n"), F.col("ds") + F.col("dr"))).select(
+    shared = sized.join(doc_terms, "doc_id").join(role_terms, ["role_id", "term"]).withColumn("idf", _idf(F.col("n"), F.col("ds") + F.col("dr"))).select(
         "doc_id", "role_id", "idf",
         (F.pow("idf", 2) - F.pow(_idf(F.col("n"), F.col("ds")), 2)).alias("fix_s"),
         (F.pow("idf", 2) - F.pow(_idf(F.col("n"), F.col("dr")), 2)).alias("fix_r"), "ds_rows", "dr_rows")
@@ -72,7 +70,7 @@ def rule_similarity(sections: DataFrame, rules: DataFrame, pairs: DataFrame) ->
     full = (
         dots.join(sec_fix, [*key, "start_line"]).join(rule_fix, [*key, "rule_id"])
         .join(sized.select(*key, "n"), key).join(doc_own, ["doc_id", "start_line"]))
-    full = dim_join(full, role_own, ["role_id", "rule_id"])
+    full = full.join(role_own, ["role_id", "rule_id"])
     norm = F.sqrt(own("sec_own") + F.col("sec_fix")) * F.sqrt(own("rule_own") + F.col("rule_fix"))
     return full.select(*key, "rule_id", "start_line", F.least(F.col("dot") / F.nullif(norm, F.lit(0.0)), F.lit(1.0)).alias("cosine"))
 
@@ -91,17 +89,15 @@ def requirement_breakdown(
 ) -> DataFrame:
     """One row per (doc, role, rule): raw score 0..1 and the text that supports it."""
     c = F.col
-    sections = dim_join(sections, pairs.select("doc_id").distinct(), "doc_id", "left_semi")
+    sections = sections.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
     text_rules = rules.filter(c("req_type").isin("skill", "other"))
     sims = rule_similarity(sections, rules, pairs)
     ranked = sims.join(sections.select("doc_id", "start_line", "weight", "text"), ["doc_id", "start_line"]).withColumn(
         "effective", c("cosine") * c("weight"))
-    ranked = dim_join(ranked, text_rules.select("role_id", "rule_id", "label"), ["role_id", "rule_id"]).filter("effective > 0")
+    ranked = ranked.join(text_rules.select("role_id", "rule_id", "label"), ["role_id", "rule_id"]).filter("effective > 0")
     best = ranked.withColumn("evidence", best_excerpt(c("text"), c("label"))).groupBy("doc_id", "role_id", "rule_id").agg(
         F.max("effective").alias("best"), F.max_by("evidence", F.struct("effective", -c("start_line"))).alias("evidence"))
-    skill_rows = dim_join(
-        pairs.select("doc_id", "role_id").distinct(), text_rules.select("role_id", "rule_id", "label", "req_type", "weight"), "role_id"
-    ).join(best, ["doc_id", "role_id", "rule_id"], "left").select(
+    skill_rows = pairs.select("doc_id", "role_id").distinct().join(text_rules.select("role_id", "rule_id", "label", "req_type", "weight"), "role_id").join(best, ["doc_id", "role_id", "rule_id"], "left").select(
         "doc_id", "role_id", "rule_id", "label", "req_type", "weight",
         F.least(F.coalesce("best", F.lit(0.0)) / TOP_SECTION_WEIGHT, F.lit(1.0)).alias("raw"), "evidence")
 
@@ -116,7 +112,7 @@ def requirement_breakdown(
         .otherwise(F.array_join(F.transform("__p", lambda p: p["text"]), " ")).alias("exp_text"))
     other = rules.filter(c("req_type").isin("education", "experience"))
     settings = roles.select("role_id", "min_degree", "preferred_majors")
-    rows = dim_join(dim_join(pairs.select("doc_id", "role_id").distinct().join(texts, "doc_id"), settings, "role_id"), other, "role_id")
+    rows = pairs.select("doc_id", "role_id").distinct().join(texts, "doc_id").join(settings, "role_id").join(other, "role_id")
     words = _label_words(c("label"))
     edu_base = edu_score(c("edu_text"), c("min_degree"), majors_of(c("preferred_majors")))
     edu_raw = F.least(edu_base + _share(words, c("edu_text")) * 0.5 * (1.0 - edu_base), F.lit(1.0))
@@ -131,7 +127,7 @@ def requirement_breakdown(
     raw = F.when(c("req_type") == "education", edu_raw).otherwise(exp_raw)
     text_rows = rows.withColumn("raw", raw).select(
         "doc_id", "role_id", "rule_id", "label", "req_type", "weight", "raw",
-        F.when(c("raw") > 0.1, F.when(c("req_type") == "education", F.nullif(F.substring("edu_text", 1, 200), F.lit("")))
+        F.when(c("raw") > 0.1, F.when(c("req_type") == "education", F.nullif(F.col("edu_text"), F.lit("")))
                .otherwise(best_excerpt(c("exp_text"), c("label")))).alias("evidence"))
     return skill_rows.unionByName(text_rows)
 
@@ -141,7 +137,7 @@ def score_requirements(
 ) -> DataFrame:
     """Totals and per-type averages from the rule rows; the rules stay as an array column."""
     c = F.col
-    rows = dim_join(breakdown, roles.select("role_id", "cosine_threshold"), "role_id")
+    rows = breakdown.join(roles.select("role_id", "cosine_threshold"), "role_id")
 
     def average(kind):
         w = F.sum(F.when(kind, c("weight")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusfit.functions import lists
 from corpusfit.functions.text import literal_map, sql_text, strip
-from corpusfit.scale import dim_join, spread
+from corpusfit.scale import spread
 
 Headers = Sequence[tuple[str, Sequence[str]]]
 
@@ -99,7 +99,7 @@ def segment(
         open_lines = rows.select(
             id_col, F.explode(F.filter("__seen", lambda h: h["type"].isNull())).alias("__h")
         ).select(id_col, F.col("__h.title").alias("line"))
-        named = dim_join(open_lines.distinct(), vector_types.select("line", "type"), "line").groupBy(id_col).agg(
+        named = open_lines.distinct().join(vector_types.select("line", "type"), "line").groupBy(id_col).agg(
             F.map_from_entries(F.collect_list(F.struct("line", "type"))).alias("__by_vector"))
         rows = rows.join(named, id_col, "left").withColumn("__seen", F.transform("__seen", lambda h: F.when(
             h["type"].isNull() & F.try_element_at("__by_vector", h["title"]).isNotNull(),

@@ -67,7 +67,7 @@ def bulk_import(rows: DataFrame, candidates: DataFrame) -> tuple[DataFrame, Data
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(""))
     empty = (F.coalesce("name", F.lit("")) == "") & (F.coalesce("email", F.lit("")) == "")
-    errors = rows.filter(empty).select("row_no", F.lit("both name and email are empty — skipped").alias("reason"))
+    errors = rows.filter(empty).select("row_no", F.lit("row without name and address").alias("reason"))
     good = rows.filter(~empty).withColumn("__key", F.nullif(F.lower("email"), F.lit("")))
     fields = [f for f in IMPORT_FIELDS if f in candidates.columns]
 

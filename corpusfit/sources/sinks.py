@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusfit.operators.windows import latest_status
-from corpusfit.scale import dim_join
+
 
 
 def export_csv(
@@ -27,9 +27,7 @@ def export_csv(
     if status is not None:
         rows = rows.join(status_log.filter(F.col("status") == status).select("evaluation_id"), "evaluation_id", "left_semi")
     last = latest_status(status_log).select("evaluation_id", "latest_status")
-    named = dim_join(
-        rows.join(last, "evaluation_id", "left"),
-        roles.select("role_id", F.col("title").alias("job_role")), "role_id", "left")
+    named = rows.join(last, "evaluation_id", "left").join(roles.select("role_id", F.col("title").alias("job_role")), "role_id", "left")
 
     def text(c):
         return F.coalesce(c, F.lit(""))
@@ -70,15 +68,31 @@ def upsert_evaluations(
     existing: DataFrame, incoming: DataFrame, keys: Sequence[str] = ("role_id", "doc_id"),
     order: str = "evaluated_at",
 ) -> DataFrame:
-    """One row per key: the newest incoming row where the guard lets it replace the stored row."""
+    """One row per key: the incoming rows applied in order, each where the guard lets it replace what is there.
+
+    The last score, if there is one, starts the result, else the stored row, else the first incoming row. Of the rows
+    after it only the last experience stop, or else the last relevance stop, can still replace it.
+    """
     values = [c for c in existing.columns if c not in keys]
-    newest = incoming.groupBy(*keys).agg(
-        F.max_by(F.struct(*values), F.struct(F.col(order), F.xxhash64(*values))).alias("__new"))
-    old = existing.select(*keys, F.struct(*values).alias("__old"))
-    both = old.join(newest, list(keys), "full")
-    taken = F.when(
-        F.col("__old").isNull() | (F.col("__new").isNotNull() & may_replace(F.col("__old.eval_status"), F.col("__new.eval_status"))),
-        F.col("__new")).otherwise(F.col("__old"))
+    status, at, row = F.col("eval_status"), F.struct(F.col(order), F.xxhash64(*values)), F.struct(*values)
+
+    def last(test: Column, name: str):
+        return [F.max_by(row, F.when(test, at)).alias(f"__{name}"), F.max(F.when(test, at)).alias(f"__{name}_at")]
+
+    runs = incoming.groupBy(*keys).agg(
+        F.min_by(row, at).alias("__first"), F.min(at).alias("__first_at"), *last(status.isNull(), "score"),
+        *last(status == "experience_filtered", "early"), *last(status == "tfidf_filtered", "weak"))
+    old = existing.select(*keys, row.alias("__old"))
+    both = old.join(runs, list(keys), "full")
+    scored = F.col("__score_at").isNotNull()
+    start = F.when(scored, F.col("__score")).when(F.col("__old").isNotNull(), F.col("__old")).otherwise(F.col("__first"))
+    both = both.withColumn("__start", start)
+
+    def after(name: str) -> Column:
+        return F.col(f"__{name}_at").isNotNull() & (~scored | (F.col(f"__{name}_at") > F.col("__score_at"))) & may_replace(
+            F.col("__start.eval_status"), F.col(f"__{name}.eval_status"))
+
+    taken = F.when(after("early"), F.col("__early")).when(after("weak"), F.col("__weak")).otherwise(F.col("__start"))
     return both.withColumn("__row", taken).select(*keys, "__row.*")
 
 

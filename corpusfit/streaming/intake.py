@@ -50,7 +50,7 @@ def intake_route(batch: DataFrame, attachments: DataFrame, keywords: Sequence[st
         F.when(~hit, "keyword_filtered").when(F.col("files").isNull(), "no_attachment")
         .when(F.col("__any") == 1, "processed").otherwise("failed"),
     ).withColumn(
-        "error", F.when(F.col("status") == "failed", "All attachments failed to parse — check logs for details")
+        "error", F.when(F.col("status") == "failed", "no attachment could be read")
     ).drop("__any")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusfit.operators.topk import first_per_group
-from corpusfit.scale import dim_join
+
 from corpusfit.streaming import run
 
 # Fixed values: (route prefix, window seconds, requests) and the default.
@@ -80,7 +80,7 @@ def pause_decisions(batch: DataFrame, so_far: DataFrame, targets: DataFrame) ->
     left = targets.join(so_far, "role_id", "left").select(
         "role_id", "min_fit_score", (F.col("target") - F.coalesce("qualified", F.lit(0))).alias("room"))
     most = left.agg(F.max("room")).first()[0] or 0
-    rows = dim_join(batch, left, "role_id")
+    rows = batch.join(left, "role_id")
     good = rows.filter((F.col("score") >= F.col("min_fit_score")) & (F.col("room") > 0))
     first = first_per_group(good, ["role_id"], [F.col("ts"), F.col("app_id")], max(int(most), 1))
     ranked = first.groupBy("role_id", "room").agg(

@@ -148,7 +148,7 @@ def test_import_file(spark, tmp_path):
     after, errors = readers.bulk_import(rows, people)
     got = {(r.candidate_id, r.name, r.email, r.phone, r.action) for r in after.collect()}
     assert got == {(1, "Ann", "a@x.example", "1", "updated"), (None, "New Person", "new.person@x.example", "2", "created"), (None, "Loose", None, None, "created")}
-    assert [(r.row_no, r.reason) for r in errors.collect()] == [(3, "both name and email are empty — skipped")]
+    assert [(r.row_no, r.reason) for r in errors.collect()] == [(3, "row without name and address")]
 
 
 def test_file_triage_on_real_files(spark, tmp_path):

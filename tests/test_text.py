@@ -117,8 +117,8 @@ def test_flag_notes(spark):
             ("github_skill_gap", "github.skills", "x, y", None)]
     got = flags.flag_severity(spark.createDataFrame(rows, "flag_type string, field string, left_value string, right_value string")).collect()
     assert [r.severity for r in got] == ["low", "high", "medium"]
-    assert got[0].note == "LinkedIn shows end date for Acme as 2020-03, but resume lists 2020-01."
-    assert "2 claimed skill(s): x, y" in got[2].note
+    assert got[0].note == "The public profile gives end date of Acme as 2020-03, the document says 2020-01."
+    assert "2 listed skills: x, y" in got[2].note
 
 
 def test_interview_questions_are_five(one):
