@@ -215,7 +215,7 @@ def promising(index: Index, words: np.ndarray, edges: np.ndarray) -> list[np.nda
     at = np.repeat(index.block_first[words] - (after - count), count) + np.arange(total)
     wide = int(strides.sum())
     hit = np.zeros(wide + 2, bool)
-    rows_at_once = max(1, 4_000_000 // blocks)
+    rows_at_once = max(1, 2_000_000 // blocks)
     place, block, gain = np.repeat(stride, count), index.blocks[at], index.block_best[at]
     for low in range(0, wide, rows_at_once):
         high = min(wide, low + rows_at_once)

@@ -7,6 +7,8 @@ import functools
 import numpy as np
 import xxhash
 
+from corpusfit.llm.word_arrays import take_over
+
 #: A-Z are lower-cased and words are split at ASCII white space: what bytes.lower() and bytes.split() do.
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 ROWS_AT_ONCE = 512
@@ -19,6 +21,9 @@ class WordHashes(dict):
         super().__init__()
         self.words_kept = words_kept
 
+    def forget(self) -> None:
+        self.clear()
+
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.words_kept:
             self.clear()
@@ -33,8 +38,9 @@ def word_hashes() -> WordHashes:
 
 def hashes_of(text: bytes | None) -> np.ndarray:
     """Hash of every word of a text, in order."""
-    words = (text or b"").lower().split()
-    return np.fromiter(map(word_hashes().__getitem__, words), np.uint64, len(words))
+    words, memo = (text or b"").lower().split(), word_hashes()
+    take_over(memo)
+    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
 
 def mixed(values: np.ndarray) -> np.ndarray:

@@ -29,13 +29,14 @@ from pyspark.sql import functions as F
 from corpusfit.llm.word_arrays import WordMemo, expand, in_parts
 from corpusfit.scale import cut_lineage
 
+ROWS_AT_ONCE = 2_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
 @dataclass(frozen=True)
 class Settings:
-    max_training_rows: int = 20_000
-    features: int = 600
+    max_training_rows: int = 10_000
+    features: int = 400
     least_documents: int = 3
     prefixes: tuple[int, ...] = (3, 4, 5, 6)
     folds: int = 5
@@ -100,22 +101,28 @@ def counts(texts: pa.Array, names: tuple[str, ...], prefixes: tuple[int, ...]) -
         yield np.bincount(owner * len(names) + values, minlength=len(part) * len(names)).reshape(len(part), len(names))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the first column is the intercept, which is not shrunk."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, rows: np.ndarray, ridge: float, steps: int) -> np.ndarray:
+    """Ridge logistic regression over some rows by Newton steps, read in pieces.
+
+    The first column of ``x`` is the intercept, which is not shrunk.
+    """
     w = np.zeros(x.shape[1])
-    rate = (y.sum() + 0.5) / (len(y) + 1)
+    rate = (y[rows].sum() + 0.5) / (len(rows) + 1)
     w[0] = np.log(rate / (1 - rate))
-    if len(np.unique(y)) < 2:
+    if len(np.unique(y[rows])) < 2:
         return w
     shrink = np.full(x.shape[1], ridge)
     shrink[0] = 1e-9
     for _ in range(steps):
-        p = _sigmoid(x @ w)
-        gradient = x.T @ (p - y) + shrink * w
-        curvature = (x * (p * (1 - p))[:, None]).T @ x + np.diag(shrink)
+        gradient, curvature = shrink * w, np.diag(shrink)
+        for at in range(0, len(rows), ROWS_AT_ONCE):
+            piece = x[rows[at:at + ROWS_AT_ONCE]]
+            p = _sigmoid(piece @ w)
+            gradient += piece.T @ (p - y[rows[at:at + ROWS_AT_ONCE]])
+            curvature += (piece * (p * (1 - p))[:, None].astype(np.float32)).T @ piece
         move = np.linalg.solve(curvature, gradient)
         w -= move
-        if np.abs(move).max() < 1e-6:
+        if np.abs(move).max() < 1e-4:
             break
     return w
 
@@ -192,26 +199,29 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], set
     keyed = rows.withColumn("key", F.xxhash64("text"))
     schema = "doc_id long, key long, " + ", ".join(f"{n} int" for n in names) + ", counts binary"
     local = sorted(keyed.mapInArrow(run, schema).collect())
-    table = np.frombuffer(b"".join(r.counts for r in local), "<u2").reshape(len(local), len(chosen)).astype(float)
+    width = 1 + len(chosen)
+    inputs = np.ones((len(local), width + len(names)), np.float32)  # the last columns are for earlier categories
+    for k, r in enumerate(local):
+        inputs[k, 1:width] = np.log1p(np.frombuffer(r.counts, "<u2"))
     fold = np.array([r.key for r in local], np.int64) % settings.folds
-    inputs = np.hstack([np.ones((len(local), 1)), np.log1p(table)])
     weights, thresholds, held_out = [], [], []
-    for name in names:
+    for place, name in enumerate(names):
         y = np.array([r[name] for r in local], float)
-        weights.append(fit_logistic(inputs, y, settings.ridge, settings.steps))
+        known, every = inputs[:, :width + place], np.arange(len(y))
+        weights.append(fit_logistic(known, y, every, settings.ridge, settings.steps))
         apart = np.zeros(len(y))
         for k in range(settings.folds):
-            rest, own = fold != k, fold == k
-            if own.any():
-                part = fit_logistic(inputs[rest], y[rest], settings.ridge, settings.steps) if rest.any() else weights[-1]
-                apart[own] = _sigmoid(inputs[own] @ part)
+            rest, own = every[fold != k], every[fold == k]
+            if len(own):
+                part = fit_logistic(known, y, rest, settings.ridge, settings.steps) if len(rest) else weights[-1]
+                apart[own] = _sigmoid(known[own] @ part)
         cut = _best_threshold(apart, y)
         thresholds.append(cut)
         said = apart >= cut
         hits = float((said & (y > 0)).sum())
         held_out.append((
             float((said == (y > 0)).mean()) if len(y) else 0.0, hits / max(1, said.sum()), hits / max(1.0, y.sum())))
-        inputs = np.hstack([inputs, apart[:, None]])
+        inputs[:, width + place] = apart
     return Chain(
         tuple(names), {f: k for k, f in enumerate(chosen)}, tuple(weights), tuple(thresholds), settings, tuple(held_out))
 

@@ -13,7 +13,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BYTES = 4
-BYTES_AT_ONCE = 8_000_000
+BYTES_AT_ONCE = 4_000_000
+
+
+_in_use: list = []
+
+
+def take_over(memo) -> None:
+    """Make ``memo`` the only one of this process that holds words: workers are reused from one operator to the next."""
+    if not _in_use or _in_use[0] is not memo:
+        for other in _in_use:
+            other.forget()
+        _in_use[:] = [memo]
 
 
 class WordMemo(dict):
@@ -27,6 +38,10 @@ class WordMemo(dict):
     def made(self, word: bytes) -> bytes:
         raise NotImplementedError
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
     def __missing__(self, word: bytes) -> bytes:
         values = self.old.get(word)
         if values is None:
@@ -50,6 +65,7 @@ def in_parts(texts: pa.Array) -> Iterator[pa.Array]:
 
 def expand(texts: pa.Array, memo: WordMemo) -> tuple[np.ndarray, np.ndarray]:
     """Values of all words of the texts (A-Z lower-cased) one after another, and where each text begins and ends."""
+    take_over(memo)
     split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     coded = split.flatten().dictionary_encode()
     own = list(map(memo.__getitem__, coded.dictionary.cast(pa.binary()).to_pylist()))
