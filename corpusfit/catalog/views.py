@@ -182,27 +182,27 @@ VIEWS: dict[str, str] = {
           WHERE l_linenumber NOT IN (2, 4, 6)) GROUP BY owner, company""",
     "token_docs": """
         SELECT DISTINCT doc_id, token FROM (
-          SELECT doc_id, WORDS_5(text) AS token FROM documents WHERE lang = 'en') WHERE token <> ''""",
+          SELECT doc_id, WORDS(text) AS token FROM documents) WHERE token <> ''""",
     "dict_terms": """
         SELECT token AS term, term_id FROM (
           SELECT token, row_number() OVER (ORDER BY n DESC, token) AS term_id
-          FROM (SELECT token, count(*) AS n FROM token_docs GROUP BY token)) WHERE term_id <= 50""",
+          FROM (SELECT token, count(*) AS n FROM token_docs GROUP BY token)) WHERE term_id <= 2000""",
 }
 
 _SPARK = {
     "LINES_AGG": r"listagg(\1, chr(10)) WITHIN GROUP (ORDER BY \2)",
     "LIST_AGG": r"listagg(\1, ', ') WITHIN GROUP (ORDER BY \2)",
-    "WORDS_5": r"explode(regexp_extract_all(lower(\1), '[a-z]{5,}', 0))",
+    "WORDS": r"explode(regexp_extract_all(lower(\1), '[a-z0-9]+', 0))",
 }
 _DUCK = {
     "LINES_AGG": r"string_agg(\1, chr(10) ORDER BY \2)",
     "LIST_AGG": r"string_agg(\1, ', ' ORDER BY \2)",
-    "WORDS_5": r"unnest(regexp_extract_all(lower(\1), '[a-z]{5,}'))",
+    "WORDS": r"unnest(regexp_extract_all(lower(\1), '[a-z0-9]+'))",
 }
 _PATTERNS = {
     "LINES_AGG": r"LINES_AGG\((.*?), (\w+)\) AS",
     "LIST_AGG": r"LIST_AGG\((\w+), (\w+)\) AS",
-    "WORDS_5": r"WORDS_5\((\w+)\) AS",
+    "WORDS": r"WORDS\((\w+)\) AS",
 }
 
 

@@ -5,52 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusfit.scale import small_enough, spread
+from corpusfit.scale import spread
 
 ANCHOR = 4
-SHORT_LIST = 1000
 
 
-def contained_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(text_id, term) for every term that is a substring of the text.
-
-    A short list (checked) travels as one value and is tried inside each text's row. A
-    long one is joined: each term is filed under its first ``ANCHOR`` characters (all of them when it is
-    shorter). A text offers its distinct character windows of the lengths in use, so a
-    term that occurs always meets its text on that key; the full term is then checked.
-    """
-    wanted = terms.select("term").distinct().filter(F.length("term") > 0)
-    if small_enough(wanted, SHORT_LIST):
-        listed = wanted.agg(F.array_sort(F.collect_list("term"))).scalar()
-        return spread(texts).select("text_id", "text").withColumn("__terms", listed).select(
-            "text_id", F.explode(F.filter("__terms", lambda t: F.contains(F.col("text"), t))).alias("term"))
-    return anchored_terms(texts, wanted)
-
-
-def _verified(texts: DataFrame, open_pairs: DataFrame, present) -> DataFrame:
-    """Keep (text_id, term) candidates that ``present(text, term)`` confirms; texts join once by id."""
-    return texts.join(open_pairs, "text_id").filter(present(F.col("text"), F.col("term"))).select("text_id", "term")
+def _windows(text: Column) -> Column:
+    """Distinct character windows of 1 to ``ANCHOR`` characters, found in one pass over the text per length."""
+    return F.array_distinct(F.concat(*[
+        F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(1, ANCHOR + 1)]))
 
 
-def anchored_terms(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The join form of ``contained_terms``, for term lists of any length.
+def contained_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(text_id, term) for every term that is a substring of the text; one plan for lists of any length.
 
-    Only (text_id, window) pairs are joined with the terms; texts are looked at again just
-    for candidates that are longer than the window.
+    Each term is filed under its first ``ANCHOR`` characters (all of them when it is shorter). A text offers its
+    windows, so a term that occurs always meets its text on that key. Texts are looked at again just for candidates that
+    are longer than the window.
     """
+    wanted = terms.select("term").distinct().filter(F.length("term") > 0)
     keyed = wanted.select("term", F.substring("term", 1, ANCHOR).alias("__anchor"))
-    lengths = F.array(*[F.lit(n) for n in range(1, ANCHOR + 1)])
-    starts = F.when(F.length("text") > 0, F.sequence(F.lit(1), F.length("text"))).otherwise(
-        F.array().cast("array<int>"))
-    grams = F.array_distinct(F.flatten(F.transform(
-        lengths, lambda n: F.transform(starts, lambda i: F.substring(F.col("text"), i, n)))))
-    offered = spread(texts).select("text_id", F.explode(grams).alias("__anchor"))
+    offered = spread(texts).select("text_id", F.explode(_windows(F.col("text"))).alias("__anchor"))
     met = offered.join(keyed, "__anchor")
     sure = met.filter(F.col("term") == F.col("__anchor")).select("text_id", "term")
     longer = met.filter(F.col("term") != F.col("__anchor")).select("text_id", "term")
     return sure.unionByName(_verified(texts.select("text_id", "text"), longer, F.contains))
 
 
+def _verified(texts: DataFrame, open_pairs: DataFrame, present) -> DataFrame:
+    """Keep (text_id, term) candidates that ``present(text, term)`` confirms; texts join once by id."""
+    return texts.join(open_pairs, "text_id").filter(present(F.col("text"), F.col("term"))).select("text_id", "term")
+
+
 def words_of(text: Column, pattern: str = r"(?U)\w+") -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(pattern), 0)
 

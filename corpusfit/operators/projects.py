@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusfit.operators.dictionary import contained_terms
 from corpusfit.operators.sets import skill_tokens
-from corpusfit.scale import cut_lineage, salted_join
 
 # Words ignored when a rule is compared with a project text.
 RULE_STOP_WORDS = ("and", "or", "the", "a", "an", "in", "with", "for", "to", "of", "is", "are")
@@ -71,41 +69,21 @@ def cross_reference(
 ) -> DataFrame:
     """Are claimed skills (owner, skill) visible in the owner's evidence tokens (owner, token)?
 
-    A skill is shown by one of its parts, by its joined form, or when the joined form
-    and a token contain one another. Containment is worked out once over distinct
-    skills and distinct tokens, then applied per owner by equi-joins. Owners with
-    little activity or no tokens are not questioned.
+    A skill is shown by one of its parts, by its joined form, or when the joined form and a token of at least three
+    characters contain one another. The owner's distinct tokens come to each claim as one set, so the work follows
+    the owner's own claims and tokens. Owners with little activity or no tokens are not questioned.
     """
-    claims = cut_lineage(claims.select("owner", "skill").distinct())
-    evidence = cut_lineage(evidence.select("owner", "token").distinct())
-    skills = claims.select("skill").distinct().withColumn("__tokens", skill_tokens(F.col("skill")))
-    skills = skills.withColumn("__joined", F.array_join("__tokens", ""))
-    always = F.col("skill").rlike(CONCEPTS) | (F.size("__tokens") == 0)
-    checked = skills.filter(~always)
-    tokens = evidence.select("token").distinct().filter(F.length("token") >= 3)
-    forms = checked.select(F.col("__joined").alias("form")).distinct()
-    inside_token = contained_terms(
-        tokens.select(F.col("token").alias("text_id"), F.col("token").alias("text")),
-        forms.select(F.col("form").alias("term"))).select(F.col("term").alias("form"), F.col("text_id").alias("token"))
-    inside_form = contained_terms(
-        forms.select(F.col("form").alias("text_id"), F.col("form").alias("text")),
-        tokens.select(F.col("token").alias("term"))).select(F.col("text_id").alias("form"), F.col("term").alias("token"))
-    by_form = inside_token.unionByName(inside_form).join(
-        checked.select("skill", F.col("__joined").alias("form")), "form").select("skill", "token")
-    by_part = checked.select("skill", F.explode("__tokens").alias("token")).filter("token <> ''")
-    proof = by_form.unionByName(by_part).distinct()
-    asked = claims.join(checked.select("skill"), "skill", "left_semi")
-    shown = (
-        asked.join(proof, "skill").join(evidence.select("owner", "token"), ["owner", "token"], "left_semi")
-        .select("owner", "skill").distinct().withColumn("__shown", F.lit(True)))
-    judged = activity.filter(F.col("activity_score") > min_activity).select("owner").join(
-        evidence.select("owner").distinct(), "owner", "left_semi").withColumn("__judged", F.lit(True))
-    free = skills.filter(always).select("skill").withColumn("__free", F.lit(True))
-    out = salted_join(claims, judged, "owner", "left")
-    out = out.join(free, "skill", "left").join(shown, ["owner", "skill"], "left")
-    return out.select(
-        "owner", "skill",
-        (F.col("__judged").isNull() | F.col("__free").isNotNull() | F.col("__shown").isNotNull()).alias("verified"))
+    tokens = evidence.groupBy("owner").agg(F.collect_set("token").alias("__tokens"))
+    judged = activity.filter(F.col("activity_score") > min_activity).select("owner").distinct().withColumn("__judged", F.lit(True))
+    rows = (
+        claims.select("owner", "skill").distinct().withColumn("__parts", skill_tokens(F.col("skill")))
+        .withColumn("__joined", F.array_join("__parts", ""))
+        .join(tokens, "owner", "left").join(judged, "owner", "left"))
+    free = F.col("skill").rlike(CONCEPTS) | (F.size("__parts") == 0)
+    shown = F.exists("__tokens", lambda t: F.array_contains(F.col("__parts"), t) | (F.length(t) >= 3) & (
+        F.contains(F.col("__joined"), t) | F.contains(t, F.col("__joined"))))
+    questioned = F.col("__judged").isNotNull() & F.col("__tokens").isNotNull()
+    return rows.select("owner", "skill", (~questioned | free | F.coalesce(shown, F.lit(False))).alias("verified"))
 
 
 def skill_gap_flags(verified: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@
 * ``cut_lineage``   table written to the cluster's shared checkpoint folder
 * ``spread``        more tasks for an input that arrives as few file splits
 * ``salted_join``   equi-join whose left key may be hot
-* ``small_enough``  size check that has to pass before a side is broadcast
 * ``ordered_rank``  global 1..n ranks without a single-task window
 """
 
@@ -17,8 +16,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
-
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; a temporary one only for a session of one machine.
@@ -87,11 +84,6 @@ def salted_join(
     return spread_left.join(spread_right, [*keys, "__salt"], how).drop("__salt")
 
 
-def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``rows`` rows; reads no more than ``rows + 1`` of them."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def ordered_rank(
     df: DataFrame, order: Sequence[Column], rank_col: str = "rank"
 ) -> DataFrame:
@@ -119,16 +111,3 @@ def ordered_rank(
         .withColumn(rank_col, (F.col("__before") + F.col("__pos") + 1).cast("long"))
         .drop("__pid", "__pos", "__before")
     )
-
-
-def dim_join(
-    facts: DataFrame, dim: DataFrame, on: str | Sequence[str], how: str = "inner", salts: int = 16
-) -> DataFrame:
-    """Join a large table to a keyed dimension.
-
-    The dimension is broadcast only when a bounded count shows it is small;
-    otherwise hot fact keys are spread with salts.
-    """
-    if small_enough(dim):
-        return facts.join(F.broadcast(dim), on, how)
-    return salted_join(facts, dim, on, how, salts)
