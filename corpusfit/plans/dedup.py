@@ -7,7 +7,6 @@ group of exact copies costs one row per copy, never one row per pair of copies.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -19,6 +18,7 @@ from corpusfit.scale import cut_lineage, salted_join, spread
 
 HOT_BUCKET = 512
 SHINGLE_CACHE = 300_000
+TEXTS_AT_ONCE = 128
 
 
 def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
@@ -33,17 +33,36 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
         F.col(id_col).alias("id"),
         F.regexp_replace(norm_fingerprint(F.col(text_col)), r"(?U)\W+", "").alias("body"))
 
+    def shingles_of(part: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """For some texts: owner, shingle number and count of every distinct shingle, and the shingles by number."""
+        joined, sizes = "".join(part), np.array([len(body) for body in part], np.int64)
+        ends, owner = np.cumsum(sizes), np.repeat(np.arange(len(part)), sizes)
+        single = key = np.unique(np.frombuffer(joined.encode("utf-32-le"), "<u4"), return_inverse=True)[1].astype(np.int64)
+        for k in range(1, min(width, len(key))):
+            # Numbers of runs one character longer; numbers stay below the length of the texts, so products fit.
+            key = np.unique(key[:-1] * (len(single) + 1) + single[k:], return_inverse=True)[1].astype(np.int64)
+        at = np.flatnonzero(np.arange(len(key)) + width <= ends[owner[:len(key)]]) if len(single) >= width else np.zeros(0, np.int64)
+        pairs, counts = np.unique(owner[at] * (len(key) + 1) + key[at], return_counts=True)
+        numbers, first, inverse = np.unique(key[at], return_index=True, return_inverse=True)
+        names = [joined[at[i]:at[i] + width] for i in first]
+        renumbered = np.searchsorted(numbers, pairs % (len(key) + 1))
+        short = [k for k, size in enumerate(sizes) if size < width]  # shorter texts are one shingle
+        owners = np.concatenate([pairs // (len(key) + 1), np.array(short, np.int64)])
+        which = np.concatenate([renumbered, len(names) + np.arange(len(short))])
+        return owners, which, np.concatenate([counts, np.ones(len(short), np.int64)]), names + [part[k] for k in short]
+
     def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         place: dict[str, int] = {}          # shingle -> row of ``signs``; texts share most shingles
         signs = np.zeros((1024, 64), dtype=np.float32)
         for batch in batches:
-            prints = []
-            for body in batch["body"]:
-                grams = Counter(body[i:i + width] for i in range(max(len(body) - width + 1, 1)))
-                fresh = [g for g in grams if g not in place]
+            prints, bodies = [], list(batch["body"])
+            for at in range(0, len(bodies), TEXTS_AT_ONCE):
+                part = bodies[at:at + TEXTS_AT_ONCE]
+                owners, which, counts, names = shingles_of(part)
+                fresh = [g for g in dict.fromkeys(names) if g not in place]
                 if len(place) + len(fresh) > SHINGLE_CACHE:
                     place.clear()
-                    fresh = list(grams)
+                    fresh = list(dict.fromkeys(names))
                 if fresh:
                     first = len(place)
                     while first + len(fresh) > len(signs):
@@ -52,10 +71,13 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
                     bits = np.unpackbits(np.frombuffer(digests, dtype=np.uint8)).reshape(len(fresh), 64)
                     signs[first:first + len(fresh)] = bits * 2.0 - 1.0
                     place.update(zip(fresh, range(first, first + len(fresh))))
-                rows = np.fromiter((place[g] for g in grams), dtype=np.int64, count=len(grams))
-                counts = np.fromiter(grams.values(), dtype=np.float64, count=len(grams))
-                packed = np.packbits((counts @ signs[rows]) > 0)
-                prints.append(int.from_bytes(packed.tobytes(), "big", signed=True))
+                rows = np.fromiter(map(place.__getitem__, names), np.int64, len(names))[which]
+                order = np.argsort(owners, kind="stable")
+                edges = np.searchsorted(owners[order], np.arange(len(part) + 1))
+                for k in range(len(part)):
+                    own = order[edges[k]:edges[k + 1]]
+                    packed = np.packbits((counts[own].astype(np.float64) @ signs[rows[own]]) > 0)
+                    prints.append(int.from_bytes(packed.tobytes(), "big", signed=True))
             yield pd.DataFrame({"id": batch["id"], "fp": np.array(prints, dtype=np.int64)})
 
     kind = prepared.schema["id"].dataType.simpleString()

@@ -104,3 +104,24 @@ def test_some_block_choice_survives_three_flips(fp, flips):
     for b in flips:
         other ^= 1 << b
     assert any((fp & m) == (other & m) for m in (x & (2**64 - 1) for x in dedup._masks(6, 3)))
+
+
+def test_fingerprints_of_a_batch(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdé🙂ß日") for _ in range(rng.randrange(0, 60))) for _ in range(300)] + ["", "a", "abc", "abcd", "é" * 5000]
+
+    def plain(body):
+        votes = [0] * 64
+        for i in range(max(1, len(body) - 3)):
+            h = int.from_bytes(hashlib.md5(body[i:i + 4].encode()).digest()[-8:], "big")
+            for b in range(64):
+                votes[b] += 1 if h >> b & 1 else -1
+        return signed(sum(1 << b for b in range(64) if votes[b] > 0))
+
+    from pyspark.sql import functions as F
+
+    from corpusfit.functions.text import norm_fingerprint
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bodies = {r.doc_id: r.b for r in docs.select("doc_id", F.regexp_replace(norm_fingerprint(F.col("text")), r"(?U)\W+", "").alias("b")).collect()}
+    assert {r.doc_id: r.fp for r in dedup.simhash(docs).collect()} == {i: plain(b) for i, b in bodies.items()}
