@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusfit.catalog.documents import SECTIONS
 from corpusfit.catalog.registry import query
 from corpusfit.catalog.relational import BOARD, LAST, _board
-from corpusfit.functions import labels
 from corpusfit.operators import aggs, joins, projects, sets
+from corpusfit.operators.flags import project_names
+from corpusfit.plans.segment import segment
 
 BINS = "bins AS (SELECT unnest(range(10)) AS bin)"
 
@@ -176,16 +178,54 @@ def _(v):
     return aggs.inferred_skills(v("repos"), known)
 
 
-@query("rescore_modifier", f"""WITH {ACTIVITY}, n AS (SELECT owner, activity_score, repos % 5 AS relevant, repos % 4 AS unverified, repos % 7 AS projects FROM activity)
-  SELECT owner, CAST(greatest(-10, least(10,
-    CASE WHEN activity_score >= 70 THEN 4.0 WHEN activity_score >= 50 THEN 2.0 WHEN activity_score >= 30 THEN 1.0
-      WHEN activity_score < 15 THEN -2.0 ELSE 0.0 END
-    + CASE WHEN relevant >= 3 THEN 3.0 WHEN relevant >= 1 THEN 1.5 ELSE 0.0 END
-    + CASE WHEN unverified >= 3 THEN -3.0 WHEN unverified = projects AND projects >= 2 THEN -2.0 ELSE 0.0 END)) AS DOUBLE) AS modifier FROM n""")
+MODIFIER_BODY = f"""{ACTIVITY},
+    pn AS (SELECT doc_id AS owner, line AS project_name FROM (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x: trim(x))) AS line FROM sections WHERE type = 'projects')
+      WHERE length(line) BETWEEN 4 AND 80 AND NOT regexp_matches(line, '^[•\\-*–]') AND NOT regexp_matches(line, '\\d{{4}}')),
+    ow AS (SELECT DISTINCT doc_id AS owner, role_id FROM applications),
+    relevant AS (SELECT o.owner, o.role_id, repo_id, name, list_sort(list(DISTINCT lower(skill))) AS matched FROM ow o JOIN repos r ON r.owner = o.owner
+      JOIN role_skills k ON k.role_id = o.role_id AND (contains(lower(name) || ' ', lower(skill)) OR contains(lower(skill), lower(name) || ' ')) GROUP BY 1, 2, 3, 4),
+    rel_words AS (SELECT DISTINCT owner, role_id, unnest(string_split(regexp_replace(lower(name), '[^a-z0-9 ]', '', 'g'), ' ')) AS w FROM relevant),
+    named AS (SELECT o.owner, o.role_id, EXISTS (SELECT 1 FROM rel_words x WHERE x.owner = o.owner AND x.role_id = o.role_id AND w <> ''
+        AND list_contains(string_split(regexp_replace(lower(project_name), '[^a-z0-9 ]', '', 'g'), ' '), w)) AS known FROM ow o JOIN pn ON pn.owner = o.owner),
+    unverified AS (SELECT owner, role_id, count(*) AS projects, count(*) FILTER (NOT known) AS unverified FROM named GROUP BY 1, 2),
+    n_rel AS (SELECT owner, role_id, count(*) AS relevant FROM relevant GROUP BY 1, 2),
+    modifiers AS (SELECT o.owner, o.role_id, CAST(greatest(-10, least(10,
+      CASE WHEN activity_score >= 70 THEN 4.0 WHEN activity_score >= 50 THEN 2.0 WHEN activity_score >= 30 THEN 1.0
+        WHEN activity_score < 15 THEN -2.0 ELSE 0.0 END
+      + CASE WHEN relevant >= 3 THEN 3.0 WHEN relevant >= 1 THEN 1.5 ELSE 0.0 END
+      + CASE WHEN unverified >= 3 THEN -3.0 WHEN unverified = projects AND projects >= 2 THEN -2.0 ELSE 0.0 END)) AS DOUBLE) AS modifier
+      FROM ow o JOIN activity a ON a.owner = o.owner LEFT JOIN n_rel x ON x.owner = o.owner AND x.role_id = o.role_id
+      LEFT JOIN unverified u ON u.owner = o.owner AND u.role_id = o.role_id)"""
+MODIFIER = SECTIONS.replace("SRC", "profile_docs") + ", " + MODIFIER_BODY
+
+
+def _code_evidence(v):
+    """Pairs, relevant repositories and counts of unverified projects."""
+    pairs = v("applications").withColumnRenamed("doc_id", "owner")
+    relevant = projects.relevant_repos(v("repos"), v("role_skills"), pairs)
+    sections = v.keep("sections", lambda: segment(v("profile_docs")))
+    names = project_names(sections).withColumnRenamed("doc_id", "owner")
+    return pairs, relevant, projects.unverified_projects(names, relevant, pairs)
+
+
+def modifiers(v):
+    pairs, relevant, unverified = _code_evidence(v)
+    return projects.score_modifiers(aggs.activity_score(v("repos"), "2002-01-01"), relevant, unverified, pairs)
+
+
+@query("relevant_repos", f"WITH {MODIFIER} SELECT owner, role_id, repo_id, name, array_to_string(matched, ', ') AS matched_skills FROM relevant")
 def _(v):
-    n = F.col("repos")
-    return aggs.activity_score(v("repos"), "2002-01-01").select(
-        "owner", labels.rescore_modifier(F.col("activity_score"), n % 5, n % 4, n % 7).alias("modifier"))
+    return _code_evidence(v)[1].withColumn("matched_skills", F.array_join("matched_skills", ", "))
+
+
+@query("unverified_projects", f"WITH {MODIFIER} SELECT owner, role_id, projects, unverified FROM unverified")
+def _(v):
+    return _code_evidence(v)[2]
+
+
+@query("rescore_modifier", f"WITH {MODIFIER} SELECT owner, role_id, modifier FROM modifiers")
+def _(v):
+    return modifiers(v)
 
 
 PROJECT = """WITH words AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9#+.]+'),

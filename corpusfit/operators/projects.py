@@ -93,3 +93,45 @@ def skill_gap_flags(verified: DataFrame) -> DataFrame:
     n = verified.groupBy("owner").agg(
         F.count(F.lit(1)).alias("total"), F.count_if(~F.col("verified")).alias("unverified"))
     return n.withColumn("severity", skill_gap_severity(F.col("unverified"), F.col("total")))
+
+
+def relevant_repos(repos: DataFrame, role_skills: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Repositories of an owner whose name or description names a skill of the role (owner, role_id), or the reverse.
+
+    The role's skills come as one array to each repository, so nothing is multiplied by skills.
+    """
+    skills = role_skills.groupBy("role_id").agg(F.array_sort(F.collect_set(F.lower("skill"))).alias("__skills"))
+    about = F.col("description") if "description" in repos.columns else F.lit("")
+    said = F.lower(F.concat(F.coalesce("name", F.lit("")), F.lit(" "), F.coalesce(about, F.lit(""))))
+    matched = F.filter("__skills", lambda s: F.contains(F.col("__said"), s) | F.contains(s, F.col("__said")))
+    return (
+        pairs.select("owner", "role_id").distinct()
+        .join(repos.select("owner", "repo_id", "name", said.alias("__said")), "owner").join(skills, "role_id")
+        .select("owner", "role_id", "repo_id", "name", matched.alias("matched_skills")).filter(F.size("matched_skills") > 0))
+
+
+def _name_words(name: Column) -> Column:
+    return F.filter(F.split(F.regexp_replace(F.lower(name), "[^a-z0-9 ]", ""), " "), lambda w: w != "")
+
+
+def unverified_projects(names: DataFrame, relevant: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Per (owner, role): how many named projects there are, and how many share no word with a relevant repository's name."""
+    words = relevant.groupBy("owner", "role_id").agg(
+        F.array_distinct(F.flatten(F.collect_set(_name_words(F.col("name"))))).alias("__words"))
+    rows = pairs.select("owner", "role_id").distinct().join(names.select("owner", "project_name"), "owner").join(
+        words, ["owner", "role_id"], "left")
+    known = F.coalesce(F.arrays_overlap(_name_words(F.col("project_name")), F.col("__words")), F.lit(False))
+    return rows.groupBy("owner", "role_id").agg(
+        F.count(F.lit(1)).alias("projects"), F.count_if(~known).alias("unverified"))
+
+
+def score_modifiers(activity: DataFrame, relevant: DataFrame, unverified: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Score change per (owner, role) from activity, relevant repositories and projects nothing speaks for."""
+    from corpusfit.functions.labels import rescore_modifier
+
+    count = relevant.groupBy("owner", "role_id").agg(F.count(F.lit(1)).alias("__relevant"))
+    rows = pairs.select("owner", "role_id").distinct().join(activity.select("owner", "activity_score"), "owner").join(
+        count, ["owner", "role_id"], "left").join(unverified, ["owner", "role_id"], "left")
+    zero = F.lit(0)
+    return rows.select("owner", "role_id", rescore_modifier(
+        F.col("activity_score"), F.coalesce("__relevant", zero), F.coalesce("unverified", zero), F.coalesce("projects", zero)).alias("modifier"))

@@ -47,7 +47,7 @@ def evaluate(
     scored = scoring.score_documents(found, sections, roles, role_skills, by_skills, jd)
     ruled = requirements.score_requirements(
         requirements.requirement_breakdown(sections, rules, roles, by_rules, as_of_year), roles, jd).select(*scored.columns)
-    both = scored.unionByName(ruled).join(modifiers.select("doc_id", "modifier"), "doc_id", "left")
+    both = scored.unionByName(ruled).join(modifiers.select("doc_id", "role_id", "modifier"), ["doc_id", "role_id"], "left")
     final = both.select(
         "doc_id", "role_id", F.lit(None).cast("string").alias("eval_status"),
         F.greatest(F.lit(0.0), F.least(F.lit(100.0), c("total") + F.coalesce("modifier", F.lit(0.0)))).alias("total_score"),
