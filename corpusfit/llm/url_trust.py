@@ -137,8 +137,9 @@ def judge(
     scored = found.groupBy("host").agg(
         F.coalesce(F.max(F.when(F.col("kind") == "trust", F.col("rank"))), F.lit(0.0)).alias("trust"),
         F.coalesce(F.max(F.when(F.col("kind") == "distrust", F.col("rank"))), F.lit(0.0)).alias("distrust"))
-    verdicts = hosts.select("host").join(by_host, "host", "left").join(scored, "host", "left").select(
-        "host", "rules", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    # Written, so that the join below begins with plain exchanges, which Spark can split at a host with very many pages.
+    verdicts = cut_lineage(hosts.select("host").join(by_host, "host", "left").join(scored, "host", "left").select(
+        "host", "rules", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")))
     fits = F.get(F.filter("rules", lambda r: F.col("path").startswith(r["start"])), F.lit(0))
     general = F.when(F.col("distrust") > settings.times * F.col("trust") + settings.least_distrust, "block").otherwise("allow")
     return places.drop("html").join(verdicts, "host").withColumn("fit", fits).select(
