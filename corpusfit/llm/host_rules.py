@@ -122,7 +122,8 @@ def judge(docs: DataFrame, rules: Rules = Rules(), host: str = "source") -> Data
     checks = failures(rules)
     # Written once: texts are read and counted a single time for documents, hosts and the prior.
     judged = cut_lineage(_counts(docs, host).select("*", *[c.alias(f"failed_{n}") for n, c in checks.items()]))
-    verdicts = host_verdicts(judged, rules).select("host", "host_failed")
+    # Written, so that the join begins with plain exchanges, which Spark can split at a host with very many documents.
+    verdicts = cut_lineage(host_verdicts(judged, rules).select("host", "host_failed"))
     base = F.col("failed_short") | F.col("failed_repeats")
     return judged.join(verdicts, "host", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"),
