@@ -250,6 +250,15 @@ STORED = (
 _kept: dict[tuple[str, str, str], str] = {}
 
 
+def forget() -> None:
+    """Make stored views anew on their next use, as after a change of the files."""
+    _kept.clear()
+
+
+def kept_names() -> list[str]:
+    return sorted({name for _, _, name in _kept})
+
+
 class Inputs:
     """Tables and derived views of one data folder: ``inputs("evals")``."""
 

@@ -29,9 +29,10 @@ def intake_merge(landing: DataFrame, incoming: DataFrame, order: str = "received
 
 
 def due_messages(landing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Messages of a batch that still have to be handled."""
+    """Messages of a batch that still have to be handled, the earliest row of each."""
     done = landing.filter(~F.col("status").isin(*RETRYABLE)).select("message_id")
-    return incoming.dropDuplicates(["message_id"]).join(done, "message_id", "left_anti")
+    order = [c for c in ("received_at",) if c in incoming.columns]
+    return run.first_rows(incoming, ["message_id"], order).join(done, "message_id", "left_anti")
 
 
 def intake_route(batch: DataFrame, attachments: DataFrame, keywords: Sequence[str] = ()) -> DataFrame:
@@ -71,7 +72,7 @@ def land_stream(stream: DataFrame, folder: str) -> None:
     spark = stream.sparkSession
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        due = batch.dropDuplicates(["message_id"])
+        due = run.first_rows(batch, ["message_id"], [c for c in ("received_at",) if c in batch.columns])
         if batch_id > 0:
             log = run.read_result(spark, folder).filter(F.col("batch_id") < batch_id)
             due = due_messages(log.select("message_id", "status"), batch)

@@ -9,12 +9,29 @@ from corpusfit.streaming import run
 
 
 def daily_stream(stream: DataFrame, ts: str, delay: str = "1 day") -> DataFrame:
-    """Rows per day as data arrives; a day is final once the watermark has passed it."""
+    """Rows per day as data arrives; a day is final once the watermark has passed it.
+
+    Rows that come later than ``delay`` are not counted; ``store_daily`` counts them too.
+    """
     return (
         stream.withWatermark(ts, delay).groupBy(F.window(ts, "1 day").alias("w"))
         .agg(F.count(F.lit(1)).alias("count")).select(F.date_format("w.start", "yyyy-MM-dd").alias("date"), "count"))
 
 
+def store_daily(stream: DataFrame, ts: str, folder: str) -> None:
+    """Rows per day of every batch, under the batch's id. No watermark, so rows that come late are counted like all others."""
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        days = batch.groupBy(F.date_format(ts, "yyyy-MM-dd").alias("date")).agg(F.count(F.lit(1)).alias("count"))
+        run.write_batch(days, folder, batch_id)
+
+    run.run_batches(stream, folder, handle)
+
+
+def daily_totals(spark, folder: str) -> DataFrame:
+    """Rows per day over all stored batches."""
+    return run.read_result(spark, folder).groupBy("date").agg(F.sum("count").alias("count"))
+
+
 def first_open(stream: DataFrame, token: str, ts: str) -> DataFrame:
     """Earliest event per token so far (update mode)."""
     return stream.groupBy(token).agg(F.min(ts).alias("first_open"))
@@ -41,7 +58,7 @@ def score_stream(stream: DataFrame, folder: str, score) -> None:
     spark = stream.sparkSession
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        pairs = batch.dropDuplicates(["doc_id", "role_id"])
+        pairs = run.first_rows(batch, ["doc_id", "role_id"])
         if batch_id == 0:
             done = spark.createDataFrame([], "doc_id long, role_id long, eval_status string")
         else:

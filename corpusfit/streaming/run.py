@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from corpusfit.scale import ensure_checkpoint_dir
@@ -54,3 +56,11 @@ def start_polling(stream: DataFrame, folder: str, handle, seconds: int = POLL_SE
     return (
         stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{folder}/progress")
         .trigger(processingTime=f"{seconds} seconds").start())
+
+
+def first_rows(batch: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """One row per key, the same one in every attempt: the first by ``order``, then by a hash of the row."""
+    values = [c for c in batch.columns if c not in keys]
+    place = F.struct(*order, F.xxhash64(*batch.columns))
+    return batch.groupBy(*keys).agg(F.min_by(F.struct(*values), place).alias("__row")).select(*keys, "__row.*") if values else (
+        batch.select(*keys).distinct())
