@@ -286,6 +286,29 @@ def _(v):
     return joins.resolve_entities(incoming, v("candidates"))
 
 
+RESOLVED = f"""{INCOMING}, resolved AS (SELECT i.*,
+      (SELECT min(candidate_id) FROM candidates c WHERE lower(c.email) = lower(i.sender_email)) AS by_sender,
+      (SELECT min(candidate_id) FROM candidates c WHERE lower(c.email) = lower(i.doc_email)) AS by_doc,
+      (SELECT min(candidate_id) FROM candidates c WHERE NOT c.deleted AND lower(trim(c.name)) = lower(trim(i.name))) AS by_name FROM incoming i)"""
+
+
+@query("reactivated", f"""WITH {RESOLVED} SELECT candidate_id, name, email FROM candidates
+  WHERE deleted AND candidate_id IN (SELECT coalesce(by_sender, by_doc) FROM resolved)""")
+def _(v):
+    incoming = v.sql(INCOMING.split("AS (", 1)[1][:-1])
+    found = joins.reactivated(joins.resolve_entities(incoming, v("candidates")), v("candidates"))
+    return found.select("candidate_id", "name", "email")
+
+
+@query("assign_new_ids", f"""WITH {RESOLVED}, fresh AS (SELECT incoming_id, coalesce(nullif(lower(sender_email), ''), nullif(lower(doc_email), ''), lower(trim(name))) AS person_key
+    FROM resolved WHERE by_sender IS NULL AND by_doc IS NULL AND by_name IS NULL)
+  SELECT incoming_id, person_key, 1000000 + dense_rank() OVER (ORDER BY person_key) - 1 AS candidate_id FROM fresh""")
+def _(v):
+    incoming = v.sql(INCOMING.split("AS (", 1)[1][:-1])
+    resolved = joins.resolve_entities(incoming, v("candidates"))
+    return joins.assign_new_ids(resolved, incoming, 1_000_000).select("incoming_id", "person_key", "candidate_id")
+
+
 # Every tenth owner has an entry without company and end month, too.
 LEFT_SIDE = """left_side AS (SELECT owner, company, end_month FROM companies_left
     UNION ALL SELECT DISTINCT owner, CAST(NULL AS VARCHAR(99)), CAST(NULL AS VARCHAR(99)) FROM companies_left WHERE owner % 10 = 0)"""

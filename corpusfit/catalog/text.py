@@ -370,6 +370,16 @@ def _(v):
     return flags.flag_severity(found).select("owner", "flag_type", "severity", "note")
 
 
+@query("needs_review", f"""WITH {FLAGS} SELECT owner, bool_or(gap IS NULL AND l_name IS NOT NULL AND length(l_name) % 2 = 0) AS needs_review
+  FROM both_sides WHERE gap > 3 OR r_name IS NULL OR l_name IS NULL GROUP BY owner""")
+def _(v):
+    """Missing entries of companies with names of even length are filed as different company names, which is severe."""
+    found = joins.reconcile_sources(v("companies_left"), v("companies_right"))[1]
+    other = (C("flag_type") == "missing_entry") & C("left_value").isNotNull() & (F.length("left_value") % 2 == 0)
+    found = found.withColumn("flag_type", F.when(other, "company_mismatch").otherwise(C("flag_type")))
+    return flags.needs_review(flags.flag_severity(found))
+
+
 WORDED = """g AS (SELECT e.evaluation_id, list(s.skill ORDER BY s.skill) AS gaps FROM evals e JOIN role_skills s ON s.role_id = e.role_id
       WHERE NOT EXISTS (SELECT 1 FROM matches x WHERE x.evaluation_id = e.evaluation_id AND x.skill = s.skill) GROUP BY 1),
     m AS (SELECT evaluation_id, list(skill ORDER BY skill) AS found FROM matches GROUP BY 1),

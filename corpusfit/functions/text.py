@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from html import unescape as decode_entities
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -473,23 +471,14 @@ def unescape_common(c: Column) -> Column:
     return c
 
 
-def unescape_all(c: Column) -> Column:
-    """Every named and numeric character reference (Arrow batches; slower than the common set)."""
-    @F.pandas_udf("string")
-    def decode(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: x if x is None else decode_entities(x))
-
-    return decode(c)
-
-
-def strip_tags(c: Column, full_entities: bool = False) -> Column:
+def strip_tags(c: Column) -> Column:
     bare = F.regexp_replace(c, "<[^>]+>", " ")
-    return squeeze(unescape_all(bare) if full_entities else unescape_common(bare))
+    return squeeze(unescape_common(bare))
 
 
-def page_text(html: Column, full_entities: bool = False) -> Column:
+def page_text(html: Column) -> Column:
     return strip_tags(
-        F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</\1>", ""), full_entities)
+        F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</\1>", ""))
 
 
 def page_meta(html: Column) -> Column:
