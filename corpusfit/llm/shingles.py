@@ -17,7 +17,7 @@ ROWS_AT_ONCE = 512
 class WordHashes(dict):
     """64-bit hash of each word met, forgotten as a whole when there are too many."""
 
-    def __init__(self, words_kept: int = 400_000):
+    def __init__(self, words_kept: int = 200_000):
         super().__init__()
         self.words_kept = words_kept
 

@@ -30,7 +30,7 @@ def take_over(memo) -> None:
 class WordMemo(dict):
     """Buffers of little-endian unsigned 32-bit values by word, in two generations of bounded size."""
 
-    def __init__(self, words_kept: int = 300_000):
+    def __init__(self, words_kept: int = 200_000):
         super().__init__()
         self.words_kept = words_kept
         self.old: dict[bytes, bytes] = {}
