@@ -11,7 +11,6 @@ from corpusfit.functions import labels
 from corpusfit.operators.windows import latest_status
 
 
-
 def active_current(rows: DataFrame) -> DataFrame:
     """Current version, owner not deleted, scored or stopped by a filter."""
     return rows.filter(
@@ -42,7 +41,8 @@ def select_for_run(pairs: DataFrame, roles: DataFrame, evals: DataFrame) -> Data
     ``pairs`` holds role_id, doc_id and the owner's attributes.
     """
     allowed = F.filter(F.transform(F.split("allowed_levels", ","), lambda x: F.trim(x)), lambda x: x != "")
-    due = pairs.filter(F.col("is_current") & ~F.coalesce(F.col("deleted"), F.lit(False))).join(roles.select("role_id", "min_experience", "allowed_levels"), "role_id").filter(
+    current = pairs.filter(F.col("is_current") & ~F.coalesce(F.col("deleted"), F.lit(False)))
+    due = current.join(roles.select("role_id", "min_experience", "allowed_levels"), "role_id").filter(
         (F.coalesce(F.col("min_experience"), F.lit(0)) <= 0)
         | F.col("years_experience").isNull()
         | (F.col("years_experience") >= F.col("min_experience"))

@@ -30,7 +30,9 @@ def evaluate(
     role_docs = roles.join(names, "role_id", "left").withColumn(
         "__skills", F.coalesce("__skills", F.array().cast("array<string>"))).withColumn(
         "role_doc", tfidf.role_document(c("__skills"), c("description")))
-    routed = gate_experience(pairs, roles).join(role_docs.select("role_id", "intake_paused", "tfidf_threshold", "is_entry_level", "__skills"), "role_id")
+    routed = (
+        gate_experience(pairs, roles)
+        .join(role_docs.select("role_id", "intake_paused", "tfidf_threshold", "is_entry_level", "__skills"), "role_id"))
     open_pairs = routed.filter(~c("intake_paused") & c("gate_reason").isNull())
     relevance = tfidf.tfidf_relevance(docs, role_docs, open_pairs.select("doc_id", "role_id"))
     routed = cut_lineage(routed.join(
@@ -89,7 +91,9 @@ def summaries(evals: DataFrame, people: DataFrame, roles: DataFrame, matches: Da
 
 def auto_shortlist(evals: DataFrame, roles: DataFrame, log: DataFrame) -> DataFrame:
     """New log rows: scored pairs at or above the role's minimum that have no log row yet."""
-    return evals.filter("eval_status is null").join(roles.select("role_id", "min_fit_score"), "role_id").filter("total_score >= min_fit_score").join(log.select("evaluation_id"), "evaluation_id", "left_anti").select(
+    scored = evals.filter("eval_status is null").join(roles.select("role_id", "min_fit_score"), "role_id")
+    good = scored.filter("total_score >= min_fit_score")
+    return good.join(log.select("evaluation_id"), "evaluation_id", "left_anti").select(
         "evaluation_id", F.lit("shortlisted").alias("status"))
 
 
@@ -108,7 +112,9 @@ def outreach_list(
     """Who gets a message: high scores of roles that allow it, and anyone ever shortlisted, unless sent."""
     reachable = candidates.filter(F.coalesce("email", F.lit("")) != "").select("candidate_id", "email")
     unsent = evals.filter("email_sent_at is null").join(reachable, "candidate_id")
-    high = unsent.filter((F.col("total_score") >= min_total) & F.col("eval_status").isNull()).join(roles.filter("auto_email").select("role_id"), "role_id")
+    high = (
+        unsent.filter((F.col("total_score") >= min_total) & F.col("eval_status").isNull())
+        .join(roles.filter("auto_email").select("role_id"), "role_id"))
     picked = unsent.join(log.filter("status = 'shortlisted'").select("evaluation_id"), "evaluation_id", "left_semi")
     tagged = high.select("evaluation_id", "email", F.lit("score").alias("why")).unionByName(
         picked.select("evaluation_id", "email", F.lit("shortlist").alias("why")))

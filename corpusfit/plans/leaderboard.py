@@ -13,7 +13,6 @@ from corpusfit.operators.topk import sort_page
 from corpusfit.operators.windows import latest_status
 
 
-
 def board_rows(evals: DataFrame, versions: DataFrame, candidates: DataFrame) -> DataFrame:
     """Evaluations with version and owner columns (the base of every board query)."""
     return evals.join(versions.select("version_id", "is_current"), "version_id").join(

@@ -50,7 +50,8 @@ def rule_similarity(sections: DataFrame, rules: DataFrame, pairs: DataFrame) ->
     n_req = rules.groupBy("role_id").agg(F.count(F.lit(1)).alias("n_req"))
     sized = pairs.select("doc_id", "role_id").distinct().join(n_sec, "doc_id").join(n_req, "role_id").withColumn(
         "n", F.col("n_sec") + F.col("n_req"))
-    shared = sized.join(doc_terms, "doc_id").join(role_terms, ["role_id", "term"]).withColumn("idf", _idf(F.col("n"), F.col("ds") + F.col("dr"))).select(
+    met = sized.join(doc_terms, "doc_id").join(role_terms, ["role_id", "term"])
+    shared = met.withColumn("idf", _idf(F.col("n"), F.col("ds") + F.col("dr"))).select(
         "doc_id", "role_id", "idf",
         (F.pow("idf", 2) - F.pow(_idf(F.col("n"), F.col("ds")), 2)).alias("fix_s"),
         (F.pow("idf", 2) - F.pow(_idf(F.col("n"), F.col("dr")), 2)).alias("fix_r"), "ds_rows", "dr_rows")
@@ -97,7 +98,9 @@ def requirement_breakdown(
     ranked = ranked.join(text_rules.select("role_id", "rule_id", "label"), ["role_id", "rule_id"]).filter("effective > 0")
     best = ranked.withColumn("evidence", best_excerpt(c("text"), c("label"))).groupBy("doc_id", "role_id", "rule_id").agg(
         F.max("effective").alias("best"), F.max_by("evidence", F.struct("effective", -c("start_line"))).alias("evidence"))
-    skill_rows = pairs.select("doc_id", "role_id").distinct().join(text_rules.select("role_id", "rule_id", "label", "req_type", "weight"), "role_id").join(best, ["doc_id", "role_id", "rule_id"], "left").select(
+    wanted = pairs.select("doc_id", "role_id").distinct().join(
+        text_rules.select("role_id", "rule_id", "label", "req_type", "weight"), "role_id")
+    skill_rows = wanted.join(best, ["doc_id", "role_id", "rule_id"], "left").select(
         "doc_id", "role_id", "rule_id", "label", "req_type", "weight",
         F.least(F.coalesce("best", F.lit(0.0)) / TOP_SECTION_WEIGHT, F.lit(1.0)).alias("raw"), "evidence")
 

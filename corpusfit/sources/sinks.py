@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from corpusfit.operators.windows import latest_status
 
 
-
 def export_csv(
     rows: DataFrame, status_log: DataFrame, roles: DataFrame, role: int | None = None,
     status: str | None = None,
