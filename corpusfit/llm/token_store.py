@@ -52,7 +52,7 @@ class Settings:
     sample_documents: int = 4_000
     #: Ids of a document that the dictionary is trained on at most; encoding always takes all.
     sample_ids: int = 1_024
-    documents_per_file: int = 50_000
+    documents_per_file: int = 10_000
     most_files: int = 8_192
 
 
