@@ -10,7 +10,10 @@ documents at once, which blocks of which passage can reach the threshold at all;
 with block-max WAND, which gives every part at or above the threshold.
 
 Verification. A hit counts when enough of the item's question words and of its answer words are covered by word runs
-that the document has in the same order. The answer is the item's last sentence, or its second half if it has one only.
+that the document has too, but for one word of each. When only one of the two is, the other counts too if enough of its
+words stand in the same order within ``near`` words of the place where the first is found, so a short answer counts in its
+own right, with a label before it or an edited word. The answer is the item's last sentence, or its second half if it
+has one only.
 
 The index is broadcast. It is built from groups of items whose text is within ``group_bytes`` (measured first), and
 all documents are searched with one group after another, so no broadcast grows with the benchmark.
@@ -49,6 +52,8 @@ class Rule:
     b: float = 0.75
     block: int = 8
     run: int = 5
+    #: Words that may stand between question and answer.
+    near: int = 16
     least_words: int = 8
     question_overlap: float = 0.6
     answer_overlap: float = 0.6
@@ -227,22 +232,70 @@ def promising(index: Index, words: np.ndarray, edges: np.ndarray) -> list[np.nda
     return [np.flatnonzero(hit[x:x + n]) for x, n in zip(base, strides)]
 
 
-def covered(item: np.ndarray, passage: np.ndarray, run: int) -> np.ndarray:
-    """Which words of the item lie in a run of ``run`` words that the passage has too."""
+def _keys(words: np.ndarray, offsets: tuple[int, ...]) -> np.ndarray:
+    """A hash at every place of the words at these offsets from it."""
+    key = np.zeros(max(0, len(words) - offsets[-1]), np.uint64)
+    for k in offsets:
+        key = key * np.uint64(0x9E3779B97F4A7C15) + words[k:k + len(key)].astype(np.uint64) + np.uint64(1)
+        key ^= key >> np.uint64(29)
+    return key
+
+
+def covered(item: np.ndarray, passage: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which words of the item lie in a run of ``run`` words that the passage has too but for one word, and where they are.
+
+    The places are those in the passage at which the item would begin by each run found.
+    """
     run = min(run, len(item))
-    key = np.zeros(0, np.uint64)
-    views = []
-    for words in (item, passage):
-        key = np.zeros(max(0, len(words) - run + 1), np.uint64)
-        for k in range(run):
-            key = key * np.uint64(0x9E3779B97F4A7C15) + words[k:k + len(key)].astype(np.uint64) + np.uint64(1)
-            key ^= key >> np.uint64(29)
-        views.append(key)
-    starts = np.isin(views[0], views[1])
-    marks = np.zeros(len(item), bool)
-    for k in range(run):
-        marks[k:k + len(starts)] |= starts
-    return marks
+    # All but one word of a run: without an outer one, or with another word inside.
+    shapes = [tuple(j for j in range(run) if j != k) for k in range(1, run)] if run > 2 else [tuple(range(run))]
+    marks, begins = np.zeros(len(item), bool), []
+    for offsets in shapes:
+        own, other = _keys(item, offsets), _keys(passage, offsets)
+        starts = np.isin(own, other)
+        for k in offsets:
+            marks[k:k + len(starts)] |= starts
+        places = np.flatnonzero(np.isin(other, own))
+        by_key = np.argsort(own, kind="stable")
+        low = np.searchsorted(own[by_key], other[places], "left")
+        count = np.searchsorted(own[by_key], other[places], "right") - low
+        nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        begins.append(np.repeat(places, count) - by_key[np.repeat(low, count) + nth])
+    return marks, np.unique(np.concatenate(begins))
+
+
+def in_order(part: np.ndarray, passage: np.ndarray) -> float:
+    """Share of the words of ``part`` that the passage has in the same order (longest common subsequence, bit-parallel)."""
+    places: dict[int, int] = {}
+    for k, word in enumerate(part.tolist()):
+        places[word] = places.get(word, 0) | 1 << k
+    full = (1 << len(part)) - 1
+    state = full
+    for word in passage.tolist():
+        if same := state & places.get(word, 0):
+            state = (state + same | state - same) & full
+    return (len(part) - state.bit_count()) / len(part)
+
+
+def overlaps(item: np.ndarray, question: int, passage: np.ndarray, rule: Rule) -> tuple[float, float]:
+    """Question and answer overlap. Runs find one of the two; the other is also looked for in the words beside it."""
+    marks, begins = covered(item, passage, rule.run)
+    q, a = float(marks[:question].mean()), float(marks[question:].mean())
+
+    def beside(part: np.ndarray, before: np.ndarray, after: np.ndarray, enough: float) -> float:
+        best, wide = 0.0, len(part) + rule.near
+        for low, high in zip(before.tolist(), after.tolist()):
+            for near in (passage[max(0, high):max(0, high) + wide], passage[max(0, low - wide):max(0, low)]):
+                best = max(best, in_order(part, near))
+                if best >= enough:
+                    return best
+        return best
+
+    if q >= rule.question_overlap and a < rule.answer_overlap:
+        a = max(a, beside(item[question:], begins, begins + question, rule.answer_overlap))
+    elif a >= rule.answer_overlap and q < rule.question_overlap:
+        q = max(q, beside(item[:question], begins + question, begins + len(item), rule.question_overlap))
+    return q, a
 
 
 def matches(index: Index, words: np.ndarray, passages: np.ndarray) -> dict[int, tuple[float, float, float, int]]:
@@ -255,9 +308,8 @@ def matches(index: Index, words: np.ndarray, passages: np.ndarray) -> dict[int,
         for part, score in block_max_wand(index, query, rule.threshold - 1e-9):
             item = int(index.part_item[part])
             _, ids, question = index.items[item]
-            around = words[max(0, start - len(ids)):start + 3 * rule.stride + len(ids)]
-            marks = covered(ids, around, rule.run)
-            q, a = float(marks[:question].mean()), float(marks[question:].mean())
+            reach = len(ids) + rule.near
+            q, a = overlaps(ids, question, words[max(0, start - reach):start + 3 * rule.stride + reach], rule)
             if q >= rule.question_overlap and a >= rule.answer_overlap and score > out.get(item, (0.0,))[0]:
                 out[item] = (score, q, a, start)
     return out

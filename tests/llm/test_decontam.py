@@ -87,3 +87,53 @@ def test_empty_sides(spark):
     assert decontam.contaminated(docs, bench).count() == 0
     assert decontam.contaminated(bench.withColumnRenamed("item_id", "doc_id"), bench.limit(0)).count() == 0
     assert decontam.contaminated(bench.withColumnRenamed("item_id", "doc_id"), bench).count() == 1
+
+
+def edited(rng, words, share):
+    return [f"zz{k}" if rng.random() < share else w for k, w in enumerate(words)]
+
+
+@pytest.mark.parametrize("answer", [1, 2, 3, 4, 6])
+def test_short_answers_with_labels_and_edits(answer):
+    rng = random.Random(answer)
+    rows, pairs = [], []
+    for k in range(40):
+        q, a = rng.sample(WORDS, rng.randrange(9, 25)), rng.sample(WORDS, answer)
+        rows.append((k, " ".join(q) + "? " + " ".join(a)))
+        pairs.append((q, a))
+    rule = decontam.Rule()
+    index = decontam.build(rows, rule)
+
+    def found(words):
+        docs = pa.array([" ".join([f"b{i}" for i in range(60)] + words + [f"e{i}" for i in range(60)])])
+        got, edges = decontam.expand(docs, decontam.TermIds(index))
+        got = got.astype(np.int64)
+        return {index.items[i][0] for i in decontam.matches(index, got, decontam.promising(index, got, edges)[0])}
+
+    lost = 0
+    for k, (q, a) in enumerate(pairs):
+        assert k in found(q + a)
+        for label in (["Answer:"], ["The", "right", "answer", "is", "(B)"], ["Answer:", "\n"]):
+            assert k in found(q + label + a)
+        assert k in found(a + ["is", "what", "was", "asked:"] + q)
+        at = rng.randrange(len(q))
+        assert k in found(q[:at] + ["other"] + q[at + 1:] + a)
+        assert k in found(q[:at] + ["more"] + q[at:] + a)
+        if answer > 2:
+            at = rng.randrange(answer)
+            assert k in found(q + ["Answer:"] + a[:at] + ["other"] + a[at + 1:])
+        lost += k not in found(edited(rng, q, 0.1) + a)
+        assert k not in found(q[:len(q) // 3] + a)
+        assert k not in found(q + ["Answer:"] + [f"no{i}" for i in range(answer + 60)])
+    assert lost <= 4
+
+
+def test_short_question_with_a_label():
+    rule = decontam.Rule()
+    index = decontam.build([(1, "Define slow growth. A change that takes very long in most cases")], rule)
+    for doc, want in (("Define slow growth. Answer: a change that takes very long in most cases", {0}),
+                      ("define quick growth: a change that takes very long in most cases", {0}),
+                      ("a change that takes very long in most cases", set())):
+        words, edges = decontam.expand(pa.array([doc]), decontam.TermIds(index))
+        words = words.astype(np.int64)
+        assert set(decontam.matches(index, words, decontam.promising(index, words, edges)[0])) == want, doc
