@@ -18,8 +18,10 @@ has one only.
 The index is broadcast. It is built from groups of items whose text is within ``group_bytes`` (measured first), and
 all documents are searched with one group after another, so no broadcast grows with the benchmark.
 
-Defined cases: null or empty documents match nothing; items with fewer than ``least_words`` words (or null text) cannot be
-verified by runs and are not searched; repeated items and documents give a row each; an empty side gives no rows;
+Items of fewer than ``least_words`` words are not scored: a document holds one when it has all of the item's words
+one after another, which is looked up for every place of every document. Score and overlaps are then 1.
+
+Defined cases: null or empty documents match nothing; items without a word (or null text) are not searched; repeated items and documents give a row each; an empty side gives no rows;
 further columns are ignored (and returned by ``clean``).
 """
 
@@ -79,6 +81,8 @@ class Index:
     block_first: np.ndarray
     blocks: np.ndarray
     block_best: np.ndarray
+    #: Short items by number of words: their hashes in order, and which items have these words.
+    short: dict[int, tuple[np.ndarray, dict[tuple[int, ...], list[int]]]] = field(default_factory=dict)
     usual: np.ndarray = field(default_factory=lambda: np.zeros(0))  # per block: most that common terms can add
     common: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
 
@@ -91,9 +95,15 @@ def build(rows: list[tuple[int | None, str | None]], rule: Rule) -> Index:
     """Index of a bounded group of items."""
     terms: dict[str, int] = {}
     items, parts = [], []
+    whole: dict[int, dict[tuple[int, ...], list[int]]] = {}
     for item_id, text in rows:
         words = terms_of(text)
+        if not words:
+            continue
         if len(words) < rule.least_words:
+            ids = np.array([terms.setdefault(w, len(terms) + 1) for w in words], np.int64)
+            whole.setdefault(len(ids), {}).setdefault(tuple(ids.tolist()), []).append(len(items))
+            items.append((item_id, ids, len(ids)))
             continue
         sentences = [s for s in SENTENCE.split(text) if TERM.search(s)]
         question = len(words) - len(terms_of(sentences[-1])) if len(sentences) > 1 else 0
@@ -127,7 +137,8 @@ def build(rows: list[tuple[int | None, str | None]], rule: Rule) -> Index:
     block_t, blocks = keys // (n // rule.block + 1), keys % (n // rule.block + 1)
     block_first = np.searchsorted(block_t, np.arange(vocabulary + 1))
     index = Index(
-        rule, uuid.uuid4().hex, terms, items, np.array([q for q, _ in parts], np.int64), first, p, w, block_first, blocks, best)
+        rule, uuid.uuid4().hex, terms, items, np.array([q for q, _ in parts], np.int64), first, p, w, block_first, blocks, best,
+        {n: (np.unique(_keys(np.array(list(own)).reshape(-1), tuple(range(n)))[::n]), own) for n, own in whole.items()})
     # Common terms enter bounds as a constant per block: take the most frequent ones while they stay below half the threshold.
     index.common = np.zeros(vocabulary, bool)
     mass = np.zeros(n)
@@ -315,6 +326,20 @@ def matches(index: Index, words: np.ndarray, passages: np.ndarray) -> dict[int,
     return out
 
 
+def short_matches(index: Index, words: np.ndarray, edges: np.ndarray) -> dict[int, dict[int, tuple[float, float, float, int]]]:
+    """Short items by document of a batch, as ``matches`` gives them."""
+    out: dict[int, dict[int, tuple[float, float, float, int]]] = {}
+    for n, (keys, own) in index.short.items():
+        places = np.flatnonzero(np.isin(_keys(words, tuple(range(n))), keys))
+        docs = np.searchsorted(edges, places, "right") - 1
+        inside = places + n <= edges[docs + 1]
+        for place, doc in zip(places[inside].tolist(), docs[inside].tolist()):
+            for item in own.get(tuple(words[place:place + n].tolist()), ()):
+                start = (place - int(edges[doc])) // index.rule.stride * index.rule.stride
+                out.setdefault(doc, {}).setdefault(item, (1.0, 1.0, 1.0, start))
+    return out
+
+
 @functools.lru_cache(maxsize=2)
 def _memo(token: str, holder) -> TermIds:
     return TermIds(holder.value)
@@ -357,8 +382,9 @@ def _found(text: pa.Array, holder: Broadcasted) -> Iterator[dict]:
     for part in in_parts(text):
         words, edges = expand(part, memo)
         words = words.astype(np.int64)
+        short = short_matches(index, words, edges)
         for k, passages in enumerate(promising(index, words, edges)):
-            yield matches(index, words[edges[k]:edges[k + 1]], passages) if len(passages) else {}
+            yield (matches(index, words[edges[k]:edges[k + 1]], passages) if len(passages) else {}) | short.get(k, {})
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule()) -> DataFrame:

@@ -137,3 +137,22 @@ def test_short_question_with_a_label():
         words, edges = decontam.expand(pa.array([doc]), decontam.TermIds(index))
         words = words.astype(np.int64)
         assert set(decontam.matches(index, words, decontam.promising(index, words, edges)[0])) == want, doc
+
+
+def test_items_of_few_words(spark, items):
+    rows = [(1, "Capital of France? Paris."), (2, "yes"), (3, "one two three four five six seven"), (4, "Capital of France? Paris."), (5, "?!"),
+            (6, items[0][1])]
+    docs = [
+        (1, "so: capital of france - PARIS", {1, 4}), (2, "capital of France is Paris", set()), (3, "capital of France?", set()), (4, "Paris", set()),
+        (5, "Yes. " + "x " * 500 + "one two three four five six seven eight", {2, 3}), (6, "one two three four five six", set()), (7, "seven", set()),
+        (8, None, set()), (9, "", set()), (10, "yes " + items[0][1], {2, 6})]
+    frame = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string").coalesce(1)
+    want = {(d, i) for d, _, found in docs for i in found}
+    for some in (rows, rows[:5]):
+        bench = spark.createDataFrame(some, "item_id long, text string")
+        got = decontam.contaminated(frame, bench).collect()
+        assert len(got) == len({(r.doc_id, r.item_id) for r in got})
+        assert {(r.doc_id, r.item_id) for r in got} == {x for x in want if x[1] in {i for i, _ in some}}
+        assert all(r.score > 0.999 for r in got)
+        assert {r.first_word for r in got if (r.doc_id, r.item_id) == (5, 3)} == {480}
+        assert [r.doc_id for r in decontam.clean(frame, bench).collect()] == [d for d, _, found in docs if not found]
