@@ -2,8 +2,10 @@
 
 Rules name a host (with all its subdomains) and the beginning of a path; the longest one that fits decides. Hosts without a rule
 are judged by two personalised PageRanks over host edges: trust starts at trusted hosts and follows links, distrust
-starts at blocked hosts and goes against them (who links to a bad host is suspect). A host is blocked when its distrust exceeds
-``times`` its trust by more than ``least_distrust``.
+starts at blocked hosts and goes against them (who links to a bad host is suspect). Blocked hosts without a rule are blocked.
+Any other host is blocked when its distrust exceeds ``times`` its trust by more than ``least_distrust`` of one blocked
+seed's mass, so the least distrust does not depend on how many hosts are blocked. Trust and distrust are compared as
+shares of all trust and all distrust.
 
 Host edges are counted per pair of hosts: absolute links and named hosts in the pages' HTML, and a host's parent domain
 where that is a host of the table too. Seeds are the hosts of rules that cover whole hosts, and those of two given lists.
@@ -38,6 +40,7 @@ class Settings:
     rounds_between_looks: int = 5
     settled: float = 1e-3
     times: float = 1.0
+    #: In masses of one blocked seed.
     least_distrust: float = 1e-3
 
 
@@ -87,13 +90,18 @@ def _in_domains(host: Column, domains: Sequence[str]) -> Column:
     return out
 
 
+def _totals(seeds: DataFrame) -> DataFrame:
+    """``kind, all``: the mass of all seeds of a kind."""
+    return seeds.groupBy("kind").agg(F.sum("mass").alias("all"))
+
+
 def ranks(edges: DataFrame, seeds: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``kind, host, rank``: personalised PageRank of seeds (``kind, host, mass``) along the edges of their kind.
 
     Edges are ``kind, source, target, pages``. Masses of a kind are scaled to a sum of 1; rank that reaches a host without
     edges ends there.
     """
-    total = seeds.groupBy("kind").agg(F.sum("mass").alias("all"))
+    total = _totals(seeds)
     start = cut_lineage(seeds.join(total, "kind").select("kind", "host", (F.col("mass") / F.col("all")).alias("mass")))
     out = edges.groupBy("kind", "source").agg(F.sum("pages").alias("all"))
     shares = cut_lineage(edges.join(out, ["kind", "source"]).select(
@@ -109,9 +117,11 @@ def ranks(edges: DataFrame, seeds: DataFrame, settings: Settings = Settings()) -
             state = moved.union(base).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
             done += 1
         state = cut_lineage(state)
-        change = state.withColumnRenamed("rank", "now").join(before, ["kind", "host"], "full").agg(
-            F.sum(F.abs(F.coalesce("now", F.lit(0.0)) - F.coalesce("rank", F.lit(0.0))))).first()[0]
-        if (change or 0.0) <= settings.settled:
+        # In all, and at every host in masses of one seed: a single seed's surroundings are small in all when there are many.
+        moved = F.abs(F.coalesce("now", F.lit(0.0)) - F.coalesce("rank", F.lit(0.0)))
+        change = state.withColumnRenamed("rank", "now").join(before, ["kind", "host"], "full").join(total, "kind").agg(
+            F.sum(moved), F.max(moved * F.col("all"))).first()
+        if max(change[0] or 0.0, change[1] or 0.0) <= settings.settled:
             break
     return state
 
@@ -128,19 +138,26 @@ def judge(
         "host", F.get(whole, F.lit(0))["verdict"].alias("rule_says"))
     bad = _in_domains(F.col("host"), blocked) | (F.col("rule_says") == "block")
     good = (_in_domains(F.col("host"), trusted) | (F.col("rule_says") == "allow")) & ~F.coalesce(bad, F.lit(False))
-    seeds = marked.select("host", F.explode(F.filter(F.array(
-        F.when(good, F.lit("trust")), F.when(bad, F.lit("distrust"))), lambda k: k.isNotNull())).alias("kind"), F.lit(1.0).alias("mass"))
+    marked = marked.select("host", F.coalesce(bad, F.lit(False)).alias("bad"), good.alias("good"))
+    seeds = cut_lineage(marked.select("host", F.explode(F.filter(F.array(
+        F.when(F.col("good"), F.lit("trust")), F.when(F.col("bad"), F.lit("distrust"))), lambda k: k.isNotNull())).alias("kind"), F.lit(1.0).alias("mass")))
     edges = cut_lineage(host_edges(places, hosts))
     both = edges.select(F.lit("trust").alias("kind"), "source", "target", "pages").union(
         edges.select(F.lit("distrust").alias("kind"), F.col("target").alias("source"), F.col("source").alias("target"), "pages"))
     found = ranks(both, seeds, settings)
-    scored = found.groupBy("host").agg(
-        F.coalesce(F.max(F.when(F.col("kind") == "trust", F.col("rank"))), F.lit(0.0)).alias("trust"),
-        F.coalesce(F.max(F.when(F.col("kind") == "distrust", F.col("rank"))), F.lit(0.0)).alias("distrust"))
+    in_seeds = found.join(_totals(seeds), "kind")
+    kinds = ("trust", "distrust")
+    scored = in_seeds.groupBy("host").agg(
+        *[F.coalesce(F.max(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0)).alias(k) for k in kinds],
+        F.max(F.when(F.col("kind") == "distrust", F.col("all"))).alias("blocked"))
+    # Null, and so no suspect, for a host that no distrust reaches.
+    suspect = F.coalesce(F.col("distrust") > settings.times * F.col("trust") + settings.least_distrust / F.col("blocked"), F.lit(False))
+    scored = scored.join(seeds.where("kind = 'distrust'").select("host", F.lit(True).alias("bad")), "host", "left").select(
+        "host", *kinds, (F.coalesce("bad", F.lit(False)) | suspect).alias("suspect"))
     # Written, so that the join below begins with plain exchanges, which Spark can split at a host with very many pages.
     verdicts = cut_lineage(hosts.select("host").join(by_host, "host", "left").join(scored, "host", "left").select(
-        "host", "rules", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")))
+        "host", "rules", F.coalesce("suspect", F.lit(False)).alias("suspect"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")))
     fits = F.get(F.filter("rules", lambda r: F.col("path").startswith(r["start"])), F.lit(0))
-    general = F.when(F.col("distrust") > settings.times * F.col("trust") + settings.least_distrust, "block").otherwise("allow")
+    general = F.when(F.col("suspect"), "block").otherwise("allow")
     return places.drop("html").join(verdicts, "host").withColumn("fit", fits).select(
         "page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce(F.col("fit.verdict"), general).alias("verdict"), "trust", "distrust")

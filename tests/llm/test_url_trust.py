@@ -87,3 +87,24 @@ def test_empty(spark):
     rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
     assert url_trust.judge(pages, rules).count() == 0
     assert url_trust.judge(spark.createDataFrame([(1, None, None)], pages.schema), rules.limit(0)).first().verdict == "allow"
+
+
+@pytest.mark.parametrize("seeds", [1, 1000])
+def test_verdicts_do_not_depend_on_the_number_of_seeds(spark, seeds):
+    rows = [(k, f"http://h{k}.bad.net/", "https://good.org/" if k % 2 else None) for k in range(seeds)]
+    rows += [(5000, "http://friend.net/", "https://h0.bad.net/"), (5001, "http://far.net/", "https://friend.net/ https://good.org/"),
+             (5002, "http://plain.net/", None), (5003, "http://good.org/", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rules = spark.createDataFrame([("org/", "allow")], "rule string, verdict string")
+    got = {r.page_id: r.verdict for r in url_trust.judge(pages, rules, blocked=["bad.net"]).collect()}
+    assert {got[k] for k in range(seeds)} == {"block"}
+    assert [got[k] for k in range(5000, 5004)] == ["block", "block", "allow", "allow"]
+
+
+def test_a_long_way_from_one_of_many_seeds(spark):
+    rows = [(k, f"http://h{k}.bad.net/", None) for k in range(2000)]
+    rows += [(5000 + k, f"http://c{k}.net/", f"https://{'c%d.net' % (k - 1) if k else 'h0.bad.net'}/") for k in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rules = spark.createDataFrame([("org/", "allow")], "rule string, verdict string")
+    got = {r.page_id: r.verdict for r in url_trust.judge(pages, rules, blocked=["bad.net"]).collect()}
+    assert set(got.values()) == {"block"}
