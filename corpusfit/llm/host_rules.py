@@ -1,9 +1,11 @@
 """Quality rules whose failures are also judged by host, with column functions only.
 
 Per document: word and line counts and the base rule (few words, or many repeated five-word windows), and further
-single rules. Per host: how many documents fail each rule. A host's failure rate is shrunk towards all hosts' with a
-beta prior that is fitted to the rates themselves (by their mean and variance), so a host with few documents is
-judged mostly by the prior. A host fails when a shrunk rate is far above the prior mean; the verdict is joined back to its documents.
+single rules. Per host: how many documents fail each rule. A host's failure rate is shrunk towards that of all documents
+with a beta prior that is fitted to the counts (beta-binomial moments from pairs of documents, hosts weighted by documents,
+so without the sampling noise of the rates), so a host with few documents is judged mostly by the prior. A host fails when a shrunk rate has odds
+of ``times_mean`` those of the prior mean and at least ``least_rate``, or is over ``greatest_limit`` in any case; the
+verdict is joined back to its documents. ``rate_*`` are the rates by a prior with the plain mean and variance of the hosts' rates.
 
 Counts are pre-aggregated in the map tasks, so a host with a third of all documents is one row per task.
 
@@ -34,9 +36,11 @@ class Rules:
     dup_line_percent: int = 30
     least_mean_word: float = 2.0
     greatest_mean_word: float = 12.0
-    #: A host fails a rule at this many times the prior mean, and at no less than the given rate.
+    #: A host fails a rule at this many times the odds of the prior mean, and at no less than the given rate.
     times_mean: float = 3.0
     least_rate: float = 0.5
+    #: No limit is higher, however many hosts are bad.
+    greatest_limit: float = 0.9
 
 
 def _counts(docs: DataFrame, host: str) -> DataFrame:
@@ -95,6 +99,19 @@ def failures(rules: Rules) -> dict[str, Column]:
     }
 
 
+def _beta_binomial(hosts: int, docs: float, failed: int, pairs: float) -> tuple[float, float]:
+    """Mean and strength of the prior from ``pairs``, the sum of ``failed * (failed - 1) / docs`` over hosts.
+
+    Two documents of a host fail together with ``mean ** 2`` and a share ``alike`` of ``mean * (1 - mean)``; pairs hold no
+    sampling noise, and hosts of one document have none. Without pairs, or where they do not fail together, the prior is
+    as strong as a million documents; it is never weaker than two, so that no single document fails its host.
+    """
+    mean = failed / docs if docs else 0.0
+    alone = mean * (1 - mean)
+    alike = (pairs / (docs - hosts) - mean * mean) / alone if docs > hosts and alone > 0 else 0.0
+    return mean, min(1e6, max(2.0, 1 / alike - 1)) if alike > 0 else 1e6
+
+
 def host_verdicts(judged: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """``host, n_docs, host_failed`` and a shrunk rate per rule, from rows with ``host`` and a boolean per rule."""
     names = list(failures(rules))
@@ -103,8 +120,10 @@ def host_verdicts(judged: DataFrame, rules: Rules = Rules()) -> DataFrame:
     stats = []
     for n in names:
         rate = F.col(n) / F.col("n_docs")
-        stats += [F.avg(rate).alias(f"mean_{n}"), F.var_samp(rate).alias(f"var_{n}")]
-    prior, out = hosts.agg(*stats).first(), hosts  # the prior is one row: two numbers per rule
+        stats += [F.avg(rate).alias(f"mean_{n}"), F.var_samp(rate).alias(f"var_{n}"), F.sum(n).alias(f"sum_{n}"),
+                  F.sum((F.col(n) - 1) * rate).alias(f"pairs_{n}")]
+    stats += [F.count(F.lit(1)).alias("hosts"), F.sum("n_docs").alias("docs")]
+    prior, out = hosts.agg(*stats).first(), hosts  # the prior is one row: a few numbers per rule
     failed = F.lit(False)
     for n in names:
         mean, var = prior[f"mean_{n}"] or 0.0, prior[f"var_{n}"] or 0.0
@@ -113,7 +132,10 @@ def host_verdicts(judged: DataFrame, rules: Rules = Rules()) -> DataFrame:
         strength = min(1e6, max(1e-3, mean * (1 - mean) / var - 1)) if var > 0 else 1e6
         shrunk = (F.col(n) + mean * strength) / (F.col("n_docs") + strength)
         out = out.withColumn(f"rate_{n}", shrunk)
-        failed = failed | (shrunk > max(rules.least_rate, rules.times_mean * mean))
+        mean, strength = _beta_binomial(prior["hosts"], prior["docs"] or 0, prior[f"sum_{n}"] or 0, prior[f"pairs_{n}"] or 0.0)
+        by_odds = rules.times_mean * mean / (1 - mean + rules.times_mean * mean)
+        limit = min(rules.greatest_limit, max(rules.least_rate, by_odds))
+        failed = failed | ((F.col(n) + mean * strength) / (F.col("n_docs") + strength) > limit)
     return out.withColumn("host_failed", failed).select("host", "n_docs", *[f"rate_{n}" for n in names], "host_failed")
 
 

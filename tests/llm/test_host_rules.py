@@ -5,6 +5,8 @@ import re
 import statistics
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from corpusfit.llm import host_rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -71,3 +73,24 @@ def test_empty_and_single_host(spark):
     assert host_rules.judge(spark.createDataFrame([], schema)).count() == 0
     one = host_rules.judge(spark.createDataFrame([(1, None, "h"), (1, None, "h"), (None, "a b", None)], schema)).collect()
     assert len(one) == 3 and all(r.base_failed and not r.kept for r in one)
+
+
+def verdicts(spark, hosts):
+    """Failed hosts, from (host, documents, failures of symbols)."""
+    rows = [(h, k < bad) for h, n, bad in hosts for k in range(n)]
+    judged = spark.createDataFrame(rows, "host string, failed_symbols boolean").select(
+        "*", *[F.lit(False).alias(f"failed_{n}") for n in host_rules.failures(host_rules.Rules()) if n != "symbols"])
+    return {r.host for r in host_rules.host_verdicts(judged).collect() if r.host_failed}
+
+
+def test_bad_hosts_among_few_or_many(spark):
+    assert verdicts(spark, [("a", 200, 200), ("b", 200, 2)]) == {"a"}
+    assert verdicts(spark, [("a", 200, 200), ("b", 200, 2), ("c", 50, 0)]) == {"a"}
+    assert verdicts(spark, [("a", 200, 200), ("b", 100, 100), ("c", 5, 0)]) == {"a", "b"}
+    assert verdicts(spark, [(f"h{k}", 100, 100 if k % 3 == 0 else 1) for k in range(30)]) == {f"h{k}" for k in range(0, 30, 3)}
+
+
+def test_one_document_is_no_verdict(spark):
+    assert verdicts(spark, [(f"h{k}", 1, int(k % 20 == 0)) for k in range(400)]) == set()
+    assert verdicts(spark, [(f"h{k}", 1 + k % 2, int(k % 20 == 0)) for k in range(400)]) == set()
+    assert verdicts(spark, [(f"h{k}", 1, int(k % 20 == 0)) for k in range(400)] + [("bad", 200, 190)]) == {"bad"}
