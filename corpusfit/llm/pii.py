@@ -11,7 +11,8 @@ undoes it with the key.
 | phone | ``+country`` and national number, or a national number in parts | halves of the national digits |
 | ssn | number of the US form with possible parts | area and group, serial |
 | ip | four numbers up to 255 | upper and lower 16 bits |
-| date | 1900 to 2099, year first with ``-`` or ``/``, or day first with ``.`` or ``/`` | days in two digits of base 270 |
+| date | 1900 to 2099, year first with ``-`` or ``/`` (also before ``T`` and a time), or day first with ``.`` or ``/`` | days in two digits of base 270 |
+| | month first with ``.`` or ``/``, where it cannot be day first | days after the 12th of a month in two digits of base 210 |
 | email | name before ``@`` | (a keyed stream of letters and digits of the same shape; not undone) |
 
 Defined cases: null stays null; numbers that fail validation stay as they are; repeated rows give equal
@@ -28,7 +29,7 @@ ROUNDS = 10
 EDGE, END = r"(?<![\p{L}\p{N}@_])", r"(?![\p{L}\p{N}@_])"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 IP = EDGE + r"(?<!\d\.)(?:\d{1,3}\.){3}\d{1,3}(?!\.\d)" + END
-DATE = EDGE + r"(?:(?:19|20)\d\d([-/])\d\d\1\d\d|\d\d([./])\d\d\2(?:19|20)\d\d)" + END
+DATE = EDGE + r"(?:(?:19|20)\d\d([-/])\d\d\1\d\d(?:(?=[Tt](?:[01]\d|2[0-4]))|" + END + r")|\d\d([./])\d\d\2(?:19|20)\d\d" + END + ")"
 SSN = EDGE + r"\d{3}-\d{2}-\d{4}(?!-\d)" + END
 PHONE = (
     r"(?<![\p{L}\p{N}@_+])(?:\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}|\(\d{3}\) ?\d{3}[ .-]\d{4}"
@@ -38,7 +39,9 @@ CARD = EDGE + r"(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6
 PATTERNS = {"email": EMAIL, "ip": IP, "date": DATE.replace(r"\1", r"\k<y>").replace(r"([-/])", "(?<y>[-/])")
             .replace(r"\2", r"\k<d>").replace(r"([./])", "(?<d>[./])"), "ssn": SSN, "phone": PHONE, "card": CARD}
 ANY = "|".join(PATTERNS.values())
-FIRST_DAY, SMALL_BASE = "1900-01-01", 270
+FIRST_DAY = "1900-01-01"
+#: Number of dates in all, and of those after the 12th of a month, with the base of two digits that holds most of them.
+ALL_DAYS, LATE_DAYS = (73_049, 270), (44_249, 210)
 
 
 def permuted(left: Column, right: Column, a: Column, b: Column, tweak: Column, key: str, back: bool = False) -> Column:
@@ -157,17 +160,19 @@ def _ip(m: Column, key: str, back: bool) -> Column:
 def _date(m: Column, key: str, back: bool) -> Column:
     year_first = m.rlike(r"^[0-9]{4}")
     mark = F.when(year_first, F.substring(m, 5, 1)).otherwise(F.substring(m, 3, 1))
-    day = F.when(year_first, F.try_to_date(F.translate(m, "/", "-"), "yyyy-MM-dd")).otherwise(
-        F.try_to_date(F.translate(m, "./", "--"), "dd-MM-yyyy"))
+    dashed = F.translate(m, "./", "--")
+    day = F.when(year_first, F.try_to_date(dashed, "yyyy-MM-dd")).otherwise(F.try_to_date(dashed, "dd-MM-yyyy"))
+    # Read only where the day-first form fails, so always after the 12th; such dates are moved among themselves to be read alike again.
+    late = F.when(~year_first, F.try_to_date(dashed, "MM-dd-yyyy"))
     first = F.lit(FIRST_DAY).cast("date")
-    whole = SMALL_BASE * SMALL_BASE
-    last = 73_049 - whole  # days of 1900 to 2099 that do not fill the square; they are turned among themselves
-
-    def moved(n: Column) -> Column:
-        base = F.lit(SMALL_BASE)
-        pair = permuted(F.floor(n / SMALL_BASE), n % SMALL_BASE, base, base, F.lit("date"), key, back)
-        turn = F.pmod(F.conv(F.substring(F.sha2(F.concat(F.lit(key), F.lit("|date")), 256), 1, 12), 16, 10).cast("long"), F.lit(last))
-        return F.when(n < whole, _let(pair, lambda p: p["left"] * SMALL_BASE + p["right"])).otherwise(
+
+    def moved(n: Column, total: int, size: int, tweak: str) -> Column:
+        whole = size * size
+        last = total - whole  # those that do not fill the square; they are turned among themselves
+        base = F.lit(size)
+        pair = permuted(F.floor(n / size), n % size, base, base, F.lit(tweak), key, back)
+        turn = F.pmod(F.conv(F.substring(F.sha2(F.concat(F.lit(key), F.lit(f"|{tweak}")), 256), 1, 12), 16, 10).cast("long"), F.lit(last))
+        return F.when(n < whole, _let(pair, lambda p: p["left"] * size + p["right"])).otherwise(
             F.lit(whole) + F.pmod(n - whole + F.lit(-1 if back else 1) * turn, F.lit(last)))
 
     def shown(n: Column) -> Column:
@@ -176,7 +181,22 @@ def _date(m: Column, key: str, back: bool) -> Column:
         return F.when(year_first, F.concat(parts[0], mark, parts[1], mark, parts[2])).otherwise(
             F.concat(parts[2], mark, parts[1], mark, parts[0]))
 
-    return _let(F.datediff(day, first).cast("long"), lambda n: F.when(n.isNotNull(), _let(moved(n), shown)))
+    def before(months: Column) -> Column:
+        """Late days before a month, which is counted from the first."""
+        return F.datediff(F.add_months(first, months.cast("int")), first) - 12 * months
+
+    def shown_late(n: Column) -> Column:
+        # A month has 18.4 late days and never strays far from it: it is one of the five about that place.
+        about = F.floor(n * 2400 / LATE_DAYS[0])
+        months = F.filter(F.sequence(about - 2, about + 2), lambda k: before(k) <= n)
+        return _let(F.array_max(months), lambda k: F.date_format(
+            F.date_add(F.add_months(first, k.cast("int")), (n - before(k) + 12).cast("int")), "MM-dd-yyyy"))
+
+    months = (F.year(late) - 1900) * 12 + F.month(late) - 1
+    rank = (before(months) + F.dayofmonth(late) - 13).cast("long")
+    any_day = _let(F.datediff(day, first).cast("long"), lambda n: F.when(n.isNotNull(), _let(moved(n, *ALL_DAYS, "date"), shown)))
+    late_day = _let(rank, lambda n: F.when(n.isNotNull(), _let(moved(n, *LATE_DAYS, "late"), lambda x: F.replace(shown_late(x), F.lit("-"), mark))))
+    return F.coalesce(any_day, late_day)
 
 
 def _email(m: Column, key: str, back: bool) -> Column:

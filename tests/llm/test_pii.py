@@ -97,3 +97,17 @@ def test_counts_columns_and_empty(spark):
     kept = pii.replace_personal_data(docs, KEY)
     assert kept.columns == docs.columns and kept.where(F.col("n_card") == 6).first().kind == "y"
     assert pii.with_counts(docs.limit(0), KEY).count() == 0
+
+
+def test_month_first_dates_and_timestamps(spark):
+    late = [datetime.date(1900, 1, 1) + datetime.timedelta(days=k) for k in [*range(0, 73_049, 61), *range(72_700, 73_049)]]
+    late = sorted({d for d in late if d.day > 12})
+    texts = [" ".join(d.strftime("%m/%d/%Y") for d in late), "born 03/25/1984, 03.25.1984", "at 1984-03-07T10:00:00Z and 1984/03/07t23:59",
+             "1984-03-07Tx 1984-03-07T99 13/32/1984 1984-02-30T10:00"]
+    coded = run(spark, texts)
+    assert coded[3] == texts[3] and run(spark, coded, back=True) == texts
+    got = [datetime.datetime.strptime(t, "%m/%d/%Y").date() for t in coded[0].split()]
+    assert len(set(got)) == len(late) and all(d.day > 12 for d in got) and sum(a == b for a, b in zip(got, late)) < 5
+    assert re.fullmatch(r"born \d\d/\d\d/\d{4}, \d\d\.\d\d\.\d{4}", coded[1]) and "03/25/1984" not in coded[1] and "03.25.1984" not in coded[1]
+    assert coded[2] == "at {}T10:00:00Z and {}t23:59".format(*run(spark, ["1984-03-07", "1984/03/07"]))
+    assert "1984-03-07" not in coded[2]
