@@ -3,7 +3,7 @@
 Patterns. Assignments to a secret's name, access keys and long hexadecimal runs; matches of a kind are leftmost and do not
 overlap, and those that are too short drop out after matching.
 
-Entropy. Candidates are runs of one character class (hexadecimal, base64, words of letters and digits). A window of the class's
+Entropy. Candidates are runs of one character class (hexadecimal, base64, words of lower-case or of upper-case letters and digits). A window of the class's
 length slides over a candidate. Its counts change by one character in and one out, and so does the sum of
 ``c * log2(c)`` over the counts, from which the window's Shannon entropy follows: ``log2(size) - sum / size``.
 A candidate whose best window reaches the class's threshold gives a span, unless the allow-list names its shape, or a
@@ -53,9 +53,11 @@ DIGITS = "0123456789"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 CLASSES = (
     EntropyClass("entropy_hex", r"(?<![0-9A-Za-z])(?:[0-9A-F]{20,}|[0-9a-f]{20,})(?![0-9A-Za-z])", DIGITS + "abcdefABCDEF", 20, 3.0),
-    EntropyClass("entropy_base64", r"(?<![0-9A-Za-z+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[^A-Z\x20]*[A-Z])(?=[^a-z\x20]*[a-z])[0-9A-Za-z+/_-]{24,}",
+    EntropyClass("entropy_base64", r"(?<![0-9A-Za-z+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[^A-Z\x20]*[A-Z])(?=[^a-z\x20]*[a-z])[0-9A-Za-z+/_-]{24,}",
                  DIGITS + LOWER + LOWER.upper() + "+/_-", 24, 3.9),
-    EntropyClass("entropy_token", r"(?<![0-9A-Za-z])(?=[a-z]*[0-9])(?=[0-9]*[a-z])[0-9a-z]{24,}(?![0-9A-Za-z])", DIGITS + LOWER, 24, 3.6),
+    # In lower case, or in upper case as tokens and base32 are; runs that are hexadecimal have their own class.
+    EntropyClass("entropy_token", r"(?<![0-9A-Za-z])(?:(?=[a-z]*[0-9])(?=[0-9]*[a-z])[0-9a-z]{24,}|(?=[A-Z]*[0-9])(?=[0-9A-F]*[G-Z])[0-9A-Z]{24,})(?![0-9A-Za-z])",
+                 DIGITS + LOWER + LOWER.upper(), 24, 3.6),
 )
 #: Shapes that are no secrets: unique ids, digests that say so, numbered or repeated fillers.
 ALLOWED = (

@@ -66,3 +66,19 @@ def test_scan_equals_plain(spark):
     kinds = Counter(s.split(":")[0] for g in got.values() for s in g[4].split(",") if s)
     assert all(kinds[c.name] for c in secrets.CLASSES), kinds
     assert secrets.report(docs.limit(0)).count() == 0
+
+
+def test_values_after_an_equals_sign_and_upper_case(spark):
+    b64, b32 = "wJalrXUtnFEMI/K7MDENG/bPxRfiCY8aQ2zT5vLk", "JBSWY3DPEHPK3PXPGEZDGNBVGY3TQOJQ"
+    found = [
+        (f"AWS_SECRET_ACCESS_KEY={b64}", "entropy_base64", b64), (f"PRIVATE_KEY={b64}", "entropy_base64", b64), (f"AccountKey={b64}==;x", "entropy_base64", b64),
+        (f"https://host.net/a?sv=1&sig={b64}", "entropy_base64", b64), (f"seed={b32}", "entropy_token", b32), (f"otp {b32}====", "entropy_token", b32),
+        ("license K7Q2ZP9XW4MT8RB3VN6YH5JD now", "entropy_token", "K7Q2ZP9XW4MT8RB3VN6YH5JD")]
+    plain_texts = ["THISISALONGHEADINGWITHOUTANYDIGIT", "AAAA1111AAAA1111AAAA1111ZZZZ", "A" * 40]
+    docs = spark.createDataFrame([*enumerate([t for t, _, _ in found] + plain_texts)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.report(docs).collect()}
+    for i, (text, kind, value) in enumerate(found):
+        at = text.index(value)
+        assert f"{kind}:{at}:{at + len(value)}" in got[i].split(","), (text, got[i])
+        assert got[i] == plain(text)[-1]
+    assert all(got[len(found) + k] == "" for k in range(len(plain_texts)))
