@@ -141,3 +141,10 @@ def op4_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
     return url_trust.judge(table(spark, sf_dir, "pages"), rules, blocked=BLOCKED_DOMAINS)
+
+
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusfit.llm import alignment
+
+    return alignment.measures(table(spark, sf_dir, "documents"))
