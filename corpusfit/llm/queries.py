@@ -148,3 +148,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusfit.llm import alignment
 
     return alignment.measures(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusfit.llm import kd_shards
+
+    return kd_shards.shards(table(spark, sf_dir, "documents"))
