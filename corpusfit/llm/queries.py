@@ -155,3 +155,10 @@ def op13_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusfit.llm import kd_shards
 
     return kd_shards.shards(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusfit.llm import prefix_trie
+
+    return prefix_trie.nodes(table(spark, sf_dir, "conversations"))
