@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
+import json
 import os
 import re
 from array import array
@@ -38,9 +40,12 @@ from corpusfit.scale import cut_lineage
 BLANK = "▁"
 #: A pair of ids as one number: A's id above B's.
 B_BITS = 20
+MARKS_AT_ONCE = 4_000_000
 BLOCKS = (
     "block long, text_key binary, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, words binary, "
     "link_counts binary, link_places binary, codes array<long>, docs array<long>")
+#: Words whose bytes a vocabulary loses.
+LOST: tuple = ()
 MEASURES = "text_key binary, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
@@ -82,61 +87,95 @@ class Aligner:
         self.b_bytes = [
             bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)]
         self.b_blank = self.b.piece_to_id(BLANK)
+        self.a_named = {i: str(i) for i in self.a_bytes}
+        self.b_named = list(map(str, range(len(pieces))))
+        self.quick = self._ranked(a_path)
         held = "".join(pieces)
         white = "".join(c for c in "\t\n" if c not in held) + ("" if any(BLANK in p.lstrip(BLANK) for p in pieces) else " ")
         self.word = re.compile(f"[{white}]*[^{white}]+|[{white}]+") if " " in white else None
         self.other = re.compile(rf"[^\S{white}]|{BLANK}") if self.word else None
-        self.kept: dict[str, tuple | None] = {}
-        self.old: dict[str, tuple | None] = {}
+        self.kept: dict[str, tuple] = {}
+        self.old: dict[str, tuple] = {}
+
+    def _ranked(self, a_path: str):
+        """A's merges by rank, quicker for short words; None unless ids follow the order of the merges."""
+        import public_tokenizers
+        import tiktoken
+
+        with open(a_path) as f:
+            told = json.load(f)
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in told["model"]["merges"]]
+        ids, vocabulary = [told["model"]["vocab"].get(x + y) for x, y in pairs], told["model"]["vocab"]
+        special = {t["id"] for t in told["added_tokens"]}
+        plain = {i for entry, i in vocabulary.items() if len(entry) == 1}
+        if told["normalizer"] or ids != sorted(ids) or plain | set(ids) != set(vocabulary.values()) - special or max(plain) > ids[0]:
+            return None
+        ranks = {self.a_bytes[i]: i for i in self.a_bytes if i not in special}
+        return tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def _a_ids(self, words: list[str]) -> list[list[int]]:
+        short = self.settings.kept_chars if self.quick else 0
+        whole = [w for w in words if len(w) > short]
+        ours = iter(self.a.encode_batch(whole, add_special_tokens=False) if whole else [])
+        return [self.quick.encode_ordinary(w) if len(w) <= short else next(ours).ids for w in words]
 
     def words(self, text: str) -> list[str]:
         """Blank + text in pieces that both vocabularies encode one by one."""
         whole = " " + text
         return [whole] if self.word is None or self.other.search(text) else self.word.findall(whole)
 
-    def entries(self, words: list[str]) -> list[tuple | None]:
-        """For each distinct word: tokens of A and B, groups, links and the groups' text; None where bytes are lost."""
-        found = [self.kept.get(w, self.old.get(w, False)) for w in words]
-        new = [k for k, entry in enumerate(found) if entry is False]
+    def entries(self, words: list[str]) -> list[tuple]:
+        """For each distinct word: tokens of A and B, groups, links and the groups' text; ``LOST`` where bytes are lost."""
+        found = list(map(self.kept.get, words))
+        new = []
+        for k, entry in enumerate(found):
+            if entry is None:
+                found[k] = entry = self.old.get(words[k])
+                if entry is None:
+                    new.append(k)
+                else:
+                    self.kept[words[k]] = entry
         if new:
             texts = [words[k] for k in new]
-            ours = self.a.encode_batch(texts, add_special_tokens=False)
             theirs = self.b.encode([w[1:] if w[0] == " " else w for w in texts], num_threads=1)
-            for k, w, a, b in zip(new, texts, ours, theirs):
+            for k, w, a, b in zip(new, texts, self._a_ids(texts), theirs):
                 if w == " ":
                     b = [self.b_blank]
                 elif w[0] != " " and b and b[0] == self.b_blank:  # the blank that B puts before any text
                     b = b[1:]
-                found[k] = self.aligned(w.encode(), a.ids, b)
-        for w, entry in zip(words, found):
-            if len(w) <= self.settings.kept_chars:
-                self.kept[w] = entry
+                found[k] = entry = self.aligned(w.encode(), a, b)
+                if len(w) <= self.settings.kept_chars:
+                    self.kept[w] = entry
         if len(self.kept) > self.settings.words_kept:
             self.old, self.kept = self.kept, {}
         return found
 
-    def aligned(self, raw: bytes, a: list[int], b: list[int]) -> tuple | None:
+    def aligned(self, raw: bytes, a: list[int], b: list[int]) -> tuple:
         own, other = [self.a_bytes[x] for x in a], [self.b_bytes[x] for x in b]
         if not raw or b"".join(own) != raw or b"".join(other) != raw:
-            return None
+            return LOST
         links, groups = array("q"), []
-        i = j = first_a = first_b = 0
+        a_named, b_named, last = self.a_named, self.b_named, len(a) - 1
+        i = j = 0
         end_a, end_b = len(own[0]), len(other[0])
+        named_a, named_b = a_named[a[0]], b_named[b[0]]
         while True:
             links.append(a[i] << B_BITS | b[j])
             if end_a == end_b:
-                groups.append(",".join(map(str, a[first_a:i + 1])) + "|" + ",".join(map(str, b[first_b:j + 1])))
-                i, j = i + 1, j + 1
-                if i == len(a):
+                groups.append(f"{named_a}|{named_b}")
+                if i == last:
                     break
-                first_a, first_b = i, j
+                i, j = i + 1, j + 1
+                named_a, named_b = a_named[a[i]], b_named[b[j]]
                 end_a, end_b = end_a + len(own[i]), end_b + len(other[j])
             elif end_a < end_b:
                 i += 1
                 end_a += len(own[i])
+                named_a = f"{named_a},{a_named[a[i]]}"
             else:
                 j += 1
                 end_b += len(other[j])
+                named_b = f"{named_b},{b_named[b[j]]}"
         return len(a), len(b), len(groups), links.tobytes(), ";".join(groups).encode()
 
 
@@ -152,58 +191,65 @@ class _Block:
     def __init__(self, number: int):
         self.number, self.chars = number, 0
         self.place: dict[str, int] = {}
-        self.entries: list[tuple | None] = []
+        self.entries: list[tuple] = []
+        self.lost: set[int] = set()
         self.keys: list[bytes] = []
         self.copies: list[int] = []
         self.sequences: list[list[int]] = []
 
     def add(self, aligner: Aligner, rows: list[tuple[bytes, str, int]]) -> None:
         parts = [aligner.words(text) for _, text, _ in rows]
-        new = [w for w in dict.fromkeys(w for own in parts for w in own) if w not in self.place]
-        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
+        new = list(set().union(*parts).difference(self.place))
+        first = len(self.place)
+        self.place.update(zip(new, range(first, first + len(new))))
         self.entries += aligner.entries(new)
+        self.lost.update(k for k in range(first, len(self.entries)) if self.entries[k] is LOST)
         for (key, text, copies), own in zip(rows, parts):
-            sequence = [self.place[w] for w in own]
-            if any(self.entries[k] is None for k in sequence):
-                sequence = []
+            sequence = list(map(self.place.__getitem__, own))
             self.keys.append(key)
             self.copies.append(copies)
-            self.sequences.append(sequence)
+            self.sequences.append([] if self.lost and not self.lost.isdisjoint(sequence) else sequence)
             self.chars += len(text)
 
     def rows(self) -> pa.RecordBatch:
         entries = [e or (0, 0, 0, b"", b"") for e in self.entries]
-        counts = np.array([e[:3] for e in entries], np.int64).reshape(-1, 3)
-        links = np.frombuffer(b"".join(e[3] for e in entries), np.int64)
+        links = np.frombuffer(b"".join([e[3] for e in entries]), np.int64)
         sizes = np.array([len(e[3]) // 8 for e in entries], np.int64)
+        counts = np.column_stack([np.array([e[:3] for e in entries], np.int64).reshape(-1, 3), sizes])
         codes, places = np.unique(links, return_inverse=True)
-        documents = self._documents(sizes, places, len(codes))
         said = [e[4] for e in entries]
+        lengths = np.array([len(s) for s in self.sequences], np.int64)
+        words = np.fromiter(itertools.chain.from_iterable(self.sequences), np.int64, lengths.sum())
+        ends = np.cumsum(lengths)
+        upto = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(counts[words], 0)])
+        totals = (upto[ends] - upto[ends - lengths]).tolist()
+        narrow = words.astype("<u4")
         out = []
-        for key, sequence in zip(self.keys, self.sequences):
-            own = np.array(sequence, np.uint32)
-            n_a, n_b, n_groups = counts[own].sum(0).tolist()
-            shown = hashlib.sha256(b";".join([said[k] for k in sequence])).hexdigest() if sequence else ""
-            out.append((self.number, key, n_a, n_b, n_groups, int(sizes[own].sum()), shown, own.tobytes(), None, None, None, None))
-        head = (self.number, *[None] * 7, sizes.astype("<u4").tobytes(), places.astype("<u4").tobytes(), codes, documents)
+        for k, (key, sequence) in enumerate(zip(self.keys, self.sequences)):
+            shown = hashlib.sha256(b";".join([said[w] for w in sequence])).hexdigest() if sequence else ""
+            out.append((self.number, key, *totals[k], shown, narrow[ends[k] - lengths[k]:ends[k]].tobytes(), None, None, None, None))
+        kind = "<u2" if len(codes) < 1 << 16 else "<u4"
+        documents = self._documents(words, lengths, sizes, places, len(codes))
+        head = (self.number, *[None] * 7, sizes.astype("<u4").tobytes(), places.astype(kind).tobytes(), codes, documents)
         columns = list(zip(*out, head))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _KINDS)], names=_NAMES)
 
-    def _documents(self, sizes: np.ndarray, places: np.ndarray, n_codes: int) -> np.ndarray:
-        """In how many documents each pair is linked."""
-        if not n_codes:
-            return np.zeros(0, np.int64)
-        owner = np.repeat(np.arange(len(self.sequences)), [len(s) for s in self.sequences])
-        words = np.concatenate([np.array(s, np.int64) for s in self.sequences])
-        pairs = np.unique(owner * len(sizes) + words)
-        owner, words = np.divmod(pairs, len(sizes))
-        own = sizes[words]
-        ends, first = np.cumsum(own), np.cumsum(sizes) - sizes
-        at = np.repeat(first[words] - (ends - own), own) + np.arange(ends[-1])
-        met = np.unique(np.repeat(owner, own) * n_codes + places[at])
-        owner, code = np.divmod(met, n_codes)
+    def _documents(self, words: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, places: np.ndarray, n_codes: int) -> np.ndarray:
+        """In how many documents each pair is linked: pairs are marked for some texts at a time."""
         out = np.zeros(n_codes, np.int64)
-        np.add.at(out, code, np.array(self.copies, np.int64)[owner])
+        first, ends, copies = np.cumsum(sizes) - sizes, np.cumsum(lengths), np.array(self.copies, np.int64)
+        at_once = max(1, MARKS_AT_ONCE // max(1, n_codes))
+        for low in range(0, len(lengths), at_once):
+            high = min(len(lengths), low + at_once)
+            own = words[ends[low] - lengths[low]:ends[high - 1]]
+            owner = np.repeat(np.arange(high - low), lengths[low:high])
+            links = sizes[own]
+            stops = np.cumsum(links)
+            at = np.repeat(first[own] - (stops - links), links) + np.arange(stops[-1] if len(stops) else 0)
+            marks = np.zeros((high - low, n_codes), bool)
+            marks[np.repeat(owner, links), places[at]] = True
+            for text in range(high - low):
+                out[marks[text]] += copies[low + text]
         return out
 
 
@@ -269,26 +315,26 @@ def text_measures(aligned: DataFrame) -> DataFrame:
         "block", "place", F.col("p.codes").alias("code"), F.col("p.docs").alias("docs"))
     own = pairs.select("block", "place", "code").join(_totals(pairs.select("code", "docs")), "code")
     totals = own.groupBy("block").agg(F.collect_list(F.struct("place", "n_docs", "best")).alias("totals"))
+    # Of a block there come first the totals of its pairs, then the links of its words, then its texts.
     kind = totals.schema["totals"].dataType
-    texts = aligned.where("codes is null").select(
-        "block", F.lit(1).alias("kind"), *_NAMES[1:8], *(F.lit(None).cast("binary").alias(n) for n in _NAMES[8:10]),
-        F.lit(None).cast(kind).alias("totals"))
-    first = heads.join(totals, "block").select("block", F.lit(0).alias("kind"), *_NAMES[1:10], "totals")
-    laid_out = texts.unionByName(first).repartition("block").sortWithinPartitions("block", "kind")
+    rows = aligned.select(
+        "block", F.when(F.col("codes").isNull(), 2).otherwise(1).alias("kind"), *_NAMES[1:10], F.lit(None).cast(kind).alias("totals"))
+    first = totals.select("block", F.lit(0).alias("kind"), *(F.lit(None).cast(rows.schema[n].dataType).alias(n) for n in _NAMES[1:10]), "totals")
+    laid_out = rows.unionByName(first).repartition("block").sortWithinPartitions("block", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sums = None, None
+        totals, sums = [], np.zeros((0, 2), np.int64)
         for batch in batches:
-            rows = []
+            out = []
             for row in batch.to_pylist():
                 if row["kind"] == 0:
-                    now, sums = row["block"], _word_sums(row)
-                    continue
-                own = np.frombuffer(row["words"], "<u4")
-                # A block without any link has no totals, and its texts have no words.
-                n_best, count_sum = sums[own].sum(0).tolist() if now == row["block"] else (0, 0)
-                rows.append((*(row[n] for n in _NAMES[1:6]), n_best, count_sum, row["groups_sha256"]))
-            columns = list(zip(*rows)) or [()] * 8
+                    totals = row["totals"]
+                elif row["kind"] == 1:
+                    sums, totals = _word_sums(row, totals), []
+                else:
+                    n_best, count_sum = sums[np.frombuffer(row["words"], "<u4")].sum(0).tolist()
+                    out.append((*(row[n] for n in _NAMES[1:6]), n_best, count_sum, row["groups_sha256"]))
+            columns = list(zip(*out)) or [()] * 8
             kinds = [pa.binary(), *[pa.int64()] * 6, pa.string()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, kinds)], names=[p.split()[0] for p in MEASURES.split(", ")])
@@ -296,12 +342,12 @@ def text_measures(aligned: DataFrame) -> DataFrame:
     return laid_out.mapInArrow(run, MEASURES)
 
 
-def _word_sums(head: dict) -> np.ndarray:
+def _word_sums(head: dict, totals: list[dict]) -> np.ndarray:
     """Best links and sum of documents over the links of every word of a block."""
     sizes = np.frombuffer(head["link_counts"], "<u4").astype(np.int64)
-    places = np.frombuffer(head["link_places"], "<u4")
-    by_pair = np.zeros((len(head["totals"]), 2), np.int64)
-    for t in head["totals"]:
+    places = np.frombuffer(head["link_places"], "<u2" if len(totals) < 1 << 16 else "<u4")
+    by_pair = np.zeros((len(totals), 2), np.int64)
+    for t in totals:
         by_pair[t["place"]] = t["best"], t["n_docs"]
     before = np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(by_pair[places], 0)])
     ends = np.cumsum(sizes)
