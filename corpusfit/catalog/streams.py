@@ -74,18 +74,27 @@ def _(v):
     return intake.intake_route(batch, files, ["High", "low"]).select("message_id", "status")
 
 
-@query("rate_limit", """WITH RECURSIVE o AS MATERIALIZED (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
-    r AS (SELECT user_id, event_id, rn, [us] AS log, true AS allowed, CAST(NULL AS BIGINT) AS retry_after FROM o WHERE rn = 1
-      UNION ALL SELECT s.user_id, s.event_id, s.rn, CASE WHEN len(live) >= 2 THEN live ELSE list_append(live, us) END, len(live) < 2,
-        CASE WHEN len(live) >= 2 THEN (86400000000 - (us - live[1])) // 1000000 + 1 END
-      FROM (SELECT o.*, list_filter(r.log, lambda x: x >= o.us - 86400000000) AS live FROM r JOIN o ON o.user_id = r.user_id AND o.rn = r.rn + 1) s)
-  SELECT CAST(user_id AS VARCHAR) AS key, event_id, allowed, retry_after FROM r""")
+# Event types as paths, with limits over days so that the given events reach them.
+EVENT_ROUTES = (("/purchase", 86400, 1), ("/signup", 172800, 2), ("/view", 86400, 1))
+EVENT_DEFAULT = (86400, 2)
+EVENT_RULE = """CASE WHEN event_type = 'purchase' THEN {'route': '/purchase', 'w': 86400, 'm': 1} WHEN event_type = 'signup' THEN {'route': '/signup', 'w': 172800, 'm': 2}
+      WHEN event_type = 'view' THEN {'route': '/view', 'w': 86400, 'm': 1} ELSE {'route': '__default__', 'w': 86400, 'm': 2} END"""
+
+
+@query("rate_limit", f"""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, {EVENT_RULE} AS r FROM events),
+    o AS MATERIALIZED (SELECT user_id, r.route AS route, r.w * CAST(1000000 AS BIGINT) AS w, r.m AS m, event_id, us, row_number() OVER (PARTITION BY user_id, r.route ORDER BY us, event_id) AS rn FROM e),
+    d AS (SELECT user_id, route, event_id, rn, [us] AS log, true AS allowed, CAST(NULL AS BIGINT) AS retry_after FROM o WHERE rn = 1
+      UNION ALL SELECT s.user_id, s.route, s.event_id, s.rn, CASE WHEN len(live) >= m THEN live ELSE list_append(live, us) END, len(live) < m,
+        CASE WHEN len(live) >= m THEN (w - (us - live[1])) // 1000000 + 1 END
+      FROM (SELECT o.*, list_filter(d.log, lambda x: x >= o.us - o.w) AS live FROM d JOIN o ON o.user_id = d.user_id AND o.route = d.route AND o.rn = d.rn + 1) s)
+  SELECT CAST(user_id AS VARCHAR) AS client, route, event_id, allowed, retry_after FROM d""")
 def _(v):
+    """Requests by event type, in four batches by time."""
     folder = run.work_folder(v.spark, "rate")
-    rows = _stream(v, "events").select(
-        C("user_id").alias("key"), "event_id", "ts", F.lit(86400).alias("seconds"), F.lit(2).alias("max_n"))
-    run.run_once(limits.rate_limit(rows), folder)
-    return run.read_result(v.spark, folder)
+    rows = v("events").select(C("user_id").alias("client"), "event_id", "ts", F.concat(F.lit("/"), "event_type").alias("path"))
+    requests = run.batches_stream(rows, f"{folder}/in", [F.dayofmonth("ts") <= d for d in (7, 15, 22)])
+    limits.rate_limit(limits.requests_of(requests, C("path"), EVENT_ROUTES, EVENT_DEFAULT), folder)
+    return run.read_result(v.spark, folder).select("client", "route", "event_id", "allowed", "retry_after")
 
 
 @query("first_open", "SELECT user_id, min(ts) AS first_open FROM events GROUP BY user_id")
@@ -101,14 +110,53 @@ def _(v):
   SELECT role_id, app_id, CASE WHEN before >= shortlist_target THEN 'queued' ELSE 'accepted' END AS decision, qualified FROM n""")
 def _(v):
     folder = run.work_folder(v.spark, "pause")
-    orders = _stream(v, "orders")
-    apps = orders.select(
+    stream = run.batches_stream(_applications(v), f"{folder}/in", [F.year("ts") <= y for y in (1993, 1996)])
+    limits.pause_stream(stream, _targets(v), folder)
+    return run.read_result(v.spark, folder).select("role_id", "app_id", "decision", "qualified")
+
+
+def _applications(v):
+    return v("orders").select(
         F.substring("o_orderpriority", 1, 1).cast("int").alias("role_id"), C("o_orderkey").alias("app_id"),
         C("o_orderdate").alias("ts"),
         F.least(F.floor(C("o_totalprice") / 450 + 0.5) / 10, F.lit(100.0)).alias("score"))
-    targets = v("roles").select("role_id", "min_fit_score", C("shortlist_target").alias("target"))
-    limits.pause_stream(apps, targets, folder)
-    return run.read_result(v.spark, folder).select("role_id", "app_id", "decision", "qualified")
+
+
+def _targets(v):
+    return v("roles").select("role_id", "min_fit_score", C("shortlist_target").alias("target"))
+
+
+# Batches: to 1994, to 1996, the rest. Odd roles are resumed with the second batch and a target 50 higher.
+RESUMED = """app AS (SELECT e.role_id, evaluation_id AS app_id, evaluated_at AS ts, total_score >= min_fit_score AS good, shortlist_target AS target,
+      CASE WHEN year(evaluated_at) <= 1994 THEN 0 WHEN year(evaluated_at) <= 1996 THEN 1 ELSE 2 END AS b FROM evals e JOIN roles r ON r.role_id = e.role_id),
+    before0 AS (SELECT *, coalesce(sum(good::INT) OVER (PARTITION BY role_id ORDER BY ts, app_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n0,
+      row_number() OVER (PARTITION BY role_id ORDER BY ts, app_id) AS p0 FROM app WHERE b = 0),
+    d0 AS (SELECT *, p0 = 1 OR n0 < target AS ok FROM before0),
+    s0 AS (SELECT role_id, count(*) FILTER (ok AND good) AS q0 FROM d0 GROUP BY role_id),
+    rest AS (SELECT role_id, app_id, ts, good, target, 1 AS b, true AS again FROM d0 WHERE NOT ok AND role_id % 2 = 1 UNION ALL SELECT role_id, app_id, ts, good, target, b, false FROM app WHERE b > 0),
+    before1 AS (SELECT rest.*, coalesce(q0, 0) + coalesce(sum(good::INT) OVER (PARTITION BY rest.role_id ORDER BY b, again DESC, ts, app_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n1,
+      row_number() OVER (PARTITION BY rest.role_id ORDER BY b, again DESC, ts, app_id) AS p1, coalesce(q0, 0) AS q0 FROM rest LEFT JOIN s0 ON s0.role_id = rest.role_id),
+    d1 AS (SELECT *, CASE WHEN role_id % 2 = 1 THEN p1 = 1 OR n1 < target + 50 ELSE n1 < target END AS ok FROM before1),
+    final AS (SELECT role_id, app_id, ok, good FROM d1 UNION ALL SELECT role_id, app_id, ok, good FROM d0 WHERE ok OR role_id % 2 = 0)"""
+
+
+def _resumed(v, name):
+    folder = run.work_folder(v.spark, name)
+    stream = run.batches_stream(_applications(v), f"{folder}/in", [F.year("ts") <= y for y in (1994, 1996)])
+    controls = _targets(v).where("role_id % 2 = 1").select("role_id", F.lit(1).alias("batch_id"), (C("target") + 50).alias("target"))
+    limits.pause_stream(stream, _targets(v), folder, controls)
+    return limits.latest_decisions(run.read_result(v.spark, folder))
+
+
+@query("pause_resume", f"WITH {RESUMED} SELECT role_id, app_id, CASE WHEN ok THEN 'accepted' ELSE 'queued' END AS decision, good AS qualified FROM final")
+def _(v):
+    return _resumed(v, "resume").select("role_id", "app_id", "decision", "qualified")
+
+
+@query("drain_queue", f"WITH {RESUMED} SELECT role_id, app_id, good AS qualified FROM final WHERE NOT ok AND role_id <= 3")
+def _(v):
+    """What waits for the first three roles after the run."""
+    return limits.drain_queue(_resumed(v, "drain"), v("roles").where("role_id <= 3")).select("role_id", "app_id", "qualified")
 
 
 @query("daily_stream", "SELECT strftime(ts, '%Y-%m-%d') AS date, count(*) AS count FROM events GROUP BY 1")

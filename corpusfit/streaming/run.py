@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -28,6 +28,17 @@ def file_stream(
         .option("maxFilesPerTrigger", files_per_trigger).parquet(folder))
 
 
+def batches_stream(rows: DataFrame, folder: str, upto: Sequence[Column]) -> DataFrame:
+    """The rows as a stream with one batch for those that each condition holds for first, and one for the rest.
+
+    Each batch is one file, written one after another: a file source takes files by time of change.
+    """
+    number = F.coalesce(*(F.when(c, k) for k, c in enumerate(upto)), F.lit(len(upto)))
+    for k in range(len(upto) + 1):
+        rows.where(number == k).coalesce(1).write.mode("append").parquet(folder)
+    return file_stream(rows.sparkSession, folder, rows.schema, files_per_trigger=1)
+
+
 def run_once(stream: DataFrame, folder: str, mode: str = "append") -> None:
     """Process everything available, appending result files to ``folder``/data."""
     (

@@ -167,41 +167,11 @@ def test_judgement_answers_with_fences(spark):
     assert [(r.doc_id, r.name, r.score) for r in got] == [(1, "Spark", 80.0)]
 
 
-def test_rate_limit_state_survives_batches(spark, tmp_path):
-    stamps = [0, 10, 20, 30, 61, 62, 75, 200]
-    src = tmp_path / "in"
-    for part, chunk in enumerate((stamps[:4], stamps[4:])):
-        spark.createDataFrame([(part * 10 + i, s) for i, s in enumerate(chunk)], "event_id long, s int").select(
-            "event_id", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.mode("append").parquet(str(src))
-    schema = spark.read.parquet(str(src)).schema
-    stream = run.file_stream(spark, str(src), schema, files_per_trigger=1).select(
-        F.lit("k").alias("key"), "event_id", "ts", F.lit(60).alias("seconds"), F.lit(3).alias("max_n"))
-    folder = run.work_folder(spark, "rate-test")
-    run.run_once(limits.rate_limit(stream), folder)
-    got = {r.event_id: (r.allowed, r.retry_after) for r in run.read_result(spark, folder).collect()}
-    assert [got[i][0] for i in (0, 1, 2, 3)] == [True, True, True, False] and got[3][1] == 31
-    assert [got[i][0] for i in (10, 11, 12, 13)] == [True, False, True, True]
-
-
 def test_route_limits(spark):
     row = spark.createDataFrame([("/upload/x",), ("/other",)], "p string").select(limits.route_limits(F.col("p")).alias("r")).collect()
     assert [(x.r.route, x.r.max_n) for x in row] == [("/upload", 30), ("__default__", 300)]
 
 
-def test_pause_over_batches_and_drain(spark, tmp_path):
-    src = tmp_path / "apps"
-    apps = [(1, i, i, 90.0 if i % 2 == 0 else 10.0) for i in range(8)]
-    for part in (apps[:3], apps[3:]):
-        spark.createDataFrame(part, "role_id int, app_id long, ts int, score double").coalesce(1).write.mode("append").parquet(str(src))
-    targets = spark.createDataFrame([(1, 50.0, 3)], "role_id int, min_fit_score double, target long")
-    stream = run.file_stream(spark, str(src), spark.read.parquet(str(src)).schema, files_per_trigger=1)
-    folder = run.work_folder(spark, "pause-test")
-    limits.pause_stream(stream, targets, folder)
-    out = run.read_result(spark, folder)
-    assert {r.app_id: r.decision for r in out.collect()} == {i: "accepted" if i <= 4 else "queued" for i in range(8)}
-    assert limits.drain_queue(out, targets).count() == 3
-
-
 def test_intake_retry_rule(spark):
     schema = "message_id long, received_at int, status string"
     log = spark.createDataFrame([(1, 1, "processed"), (2, 1, "failed")], schema)
