@@ -166,14 +166,34 @@ def _(v):
   FROM fps f LEFT JOIN d USING (doc_id) LEFT JOIN n USING (doc_id)""")
 def _(v):
     fps = _owned(v)
-    return dedup.dup_status(fps, dedup.near_dup_pairs(fps), dedup.near_dup_same_owner(fps, "source"), "source")
+    return dedup.dup_status(fps, dedup.near_dup_links(fps), dedup.near_dup_links(fps, 10, 11, 1, "source"), "source")
 
 
 @query("dup_clusters", f"""WITH RECURSIVE {FPS}, {PAIRS}, e AS MATERIALIZED (SELECT a AS u, b AS v FROM pairs UNION SELECT b, a FROM pairs),
     reach AS (SELECT u, u AS r FROM e UNION SELECT reach.u, e.v FROM reach JOIN e ON e.u = reach.r)
   SELECT u AS doc_id, min(r) AS cluster_id, u = min(r) AS keep FROM reach GROUP BY u""")
 def _(v):
-    return dedup.dup_clusters(dedup.near_dup_pairs(_fps(v)))
+    links = dedup.near_dup_links(_fps(v))
+    members = dedup.near_dup_classes(_fps(v), links)
+    several = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("class_id")
+    return members.join(several, "class_id").select("doc_id", C("class_id").alias("cluster_id"), (C("doc_id") == C("class_id")).alias("keep"))
+
+
+@query("near_dup_classes", f"""WITH RECURSIVE {FPS}, {PAIRS}, e AS MATERIALIZED (SELECT a AS u, b AS v FROM pairs UNION SELECT b, a FROM pairs),
+    reach AS (SELECT u, u AS r FROM e UNION SELECT reach.u, e.v FROM reach JOIN e ON e.u = reach.r),
+    low AS (SELECT u, min(r) AS r FROM reach GROUP BY u), near AS (SELECT u, count(*) AS n FROM (SELECT a AS u FROM pairs WHERE bits > 0 UNION ALL SELECT b FROM pairs WHERE bits > 0) GROUP BY u)
+  SELECT doc_id, rep, coalesce(r, rep) AS class_id, coalesce(n, 0) AS n_links FROM fps JOIN reps USING (fp) LEFT JOIN low ON low.u = rep LEFT JOIN near ON near.u = rep""")
+def _(v):
+    return dedup.near_dup_classes(_fps(v), dedup.near_dup_links(_fps(v)))
+
+
+@query("dup_first_come", f"""WITH RECURSIVE {FPS}, o AS MATERIALIZED (SELECT doc_id, fp, row_number() OVER (ORDER BY doc_id) AS rn FROM fps),
+    s AS (SELECT rn, doc_id, true AS kept, [fp] AS log FROM o WHERE rn = 1
+      UNION ALL SELECT rn, doc_id, ok, CASE WHEN ok THEN list_append(log, fp) ELSE log END
+      FROM (SELECT o.rn, o.doc_id, o.fp, s.log, len(list_filter(s.log, lambda x: bit_count(xor(x, o.fp)) <= 3)) = 0 AS ok FROM s JOIN o ON o.rn = s.rn + 1) q)
+  SELECT doc_id, kept FROM s""")
+def _(v):
+    return dedup.first_come(_fps(v), dedup.near_dup_pairs(_fps(v)))
 
 
 # -- sections --------------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ group of exact copies costs one row per copy, never one row per pair of copies.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from corpusfit.functions.text import norm_fingerprint
 from corpusfit.scale import cut_lineage, salted_join, spread
 
-HOT_BUCKET = 512
+#: Members of a chunk, and pairs looked at in one step: they bound a task's memory, not what is compared.
+CHUNK = 512
+PAIRS_AT_ONCE = 1_000_000
 SHINGLE_CACHE = 300_000
 TEXTS_AT_ONCE = 128
 
@@ -109,75 +111,199 @@ def _masks(blocks: int, keep: int) -> list[int]:
     return [_signed(sum(block[i] for i in chosen)) for chosen in combinations(range(blocks), keep)]
 
 
-def representatives(fps: DataFrame, id_col: str, group: tuple[str, ...] = ()) -> DataFrame:
+def representatives(fps: DataFrame, id_col: str, group: Sequence[str] = ()) -> DataFrame:
     """One row per distinct fingerprint: its smallest id."""
     return fps.filter(F.col("fp").isNotNull()).groupBy(*group, "fp").agg(F.min(id_col).alias("rep"))
 
 
-def _midpoint_pairs(reps: DataFrame, group: tuple[str, ...]) -> DataFrame:
-    """All pairs at most three bits apart, found without comparing bucket members.
+def _dealt_out(reps: DataFrame, blocks: int, keep: int, group: Sequence[str]) -> DataFrame:
+    """Bucket members in runs of bounded length: one row for each run that a member takes part in.
 
-    Two such fingerprints have a common neighbour within one bit of the first and two
-    bits of the second, so equal neighbours are joined: 65 and 2081 rows per fingerprint
-    whatever the bucket size, and every match is a true pair.
+    A bucket holds the prints that agree in one choice of blocks. Its members fall into chunks by a hash, and every two chunks (and each
+    chunk with itself) are a run of their own, so a bucket that a family of copies fills is many runs, dealt out one by one.
     """
-    one = [0] + [_signed(1 << i) for i in range(64)]
-    two = one + [_signed((1 << i) | (1 << j)) for i, j in combinations(range(64), 2)]
+    masks = _longs(_masks(blocks, keep))
+    keyed = reps.select(
+        *group, "fp", F.col("rep").cast("long").alias("rep"),
+        F.posexplode(F.transform(masks, lambda m: F.col("fp").bitwiseAND(m))).alias("__choice", "__key"))
+    key = [*group, "__choice", "__key"]
+    met = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    chunks = F.ceil(F.col("__n") / CHUNK).cast("int")
+    rows = keyed.join(met, key).withColumn("__own", F.pmod(F.xxhash64("fp"), chunks).cast("int")).withColumn(
+        "__other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    run = [*key, "__low", "__high"]
+    return rows.select(
+        *key, F.least("__own", "__other").alias("__low"), F.greatest("__own", "__other").alias("__high"), "__own", "fp", "rep"
+    ).repartition(*run).sortWithinPartitions(*run)
+
+
+class _Runs:
+    """Pairs within runs of sorted rows, worked out for many runs at once in NumPy."""
+
+    def __init__(self, max_bits: int, blocks: int, keep: int):
+        import numpy as np
+
+        self.max_bits = np.uint8(max_bits)
+        self.blocks = np.array(_masks(blocks, 1), np.int64).view(np.uint64)
+        chosen = list(combinations(range(blocks), keep))
+        self.chosen = np.array([sum(1 << k for k in c) for c in chosen], np.int64)
+        # Blocks up to the last chosen one: a pair counts in the first choice that it agrees in.
+        self.upto = np.array([(2 << c[-1]) - 1 for c in chosen], np.int64)
+
+    def pairs(self, starts, size: int, choice, own, low, high, fp):
+        """(i, j, bits) of rows of a run that are near, each pair of prints in one run only; runs begin at ``starts``."""
+        import numpy as np
+
+        ends = np.repeat(np.append(starts[1:], size), np.diff(np.append(starts, size)))
+        after = ends - np.arange(size) - 1
+        upto = np.cumsum(after)
+        at = 0
+        while at < size:
+            # As many rows as give a bounded number of pairs, one at least.
+            stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
+            n = after[at:stop]
+            i = np.repeat(np.arange(at, stop), n)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+            differ = fp[i] ^ fp[j]
+            bits = np.bitwise_count(differ)
+            near = np.flatnonzero((bits <= self.max_bits) & ((low[i] == high[i]) | (own[i] != own[j])))
+            i, j, differ, bits = i[near], j[near], differ[near], bits[near]
+            agree = sum(((differ & mask) == 0).astype(np.int64) << k for k, mask in enumerate(self.blocks))
+            first = (agree & self.upto[choice[i]]) == self.chosen[choice[i]]
+            yield i[first], j[first], bits[first]
+            at = stop
+
+
+def _whole_runs(batches, n_keys: int):
+    """Batches cut at ends of runs; each comes with the places where its runs begin. A run has two chunks at most."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    kept = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch] if kept is None else [*kept.to_batches(), batch]).combine_chunks()
+        if not table.num_rows:
+            continue
+        new = np.zeros(max(0, table.num_rows - 1), bool)
+        for k in range(n_keys):
+            column = table.column(k)
+            new |= pc.fill_null(pc.not_equal(column[1:], column[:-1]), True).to_numpy() & ~(
+                pc.is_null(column[1:]).to_numpy() & pc.is_null(column[:-1]).to_numpy())
+        starts = np.concatenate([[0], np.flatnonzero(new) + 1])
+        if len(starts) > 1:
+            yield table.slice(0, int(starts[-1])), starts[:-1]
+        kept = table.slice(int(starts[-1]))
+    if kept is not None and kept.num_rows:
+        yield kept, np.zeros(1, np.int64)
+
+
+def _kinds(reps: DataFrame, group: Sequence[str]) -> str:
+    return "".join(f"{g} {reps.schema[g].dataType.simpleString()}, " for g in group)
+
+
+def block_pairs(reps: DataFrame, max_bits: int, blocks: int, keep: int, group: Sequence[str] = ()) -> DataFrame:
+    """Pairs (a < b, bits) of fingerprints at most ``max_bits`` apart, optionally inside a group.
+
+    ``max_bits`` changed bits leave at least ``blocks - max_bits`` blocks alone, so with ``keep`` not above that number every true pair
+    agrees in one of the choices of blocks: the buckets are exact. The same plan serves every size of bucket and group.
+    """
+    import pyarrow as pa
 
-    def around(name, flips):
-        near = F.transform(_longs(flips), lambda m: F.col("fp").bitwiseXOR(m))
-        return reps.select(*group, F.col("fp").alias(f"fp_{name}"), F.col("rep").alias(name),
-                           F.explode(near).alias("__mid"))
+    if keep > blocks - max_bits:
+        raise ValueError("keep must not exceed blocks - max_bits")
+    n = len(group)
 
-    return around("a", one).join(around("b", two), [*group, "__mid"]).drop("__mid")
+    def find(batches):
+        runs = _Runs(max_bits, blocks, keep)
+        for table, starts in _whole_runs(batches, n + 4):
+            choice, low, high, own, fp, rep = _columns(table, n)
+            for i, j, bits in runs.pairs(starts, table.num_rows, choice, own, low, high, fp):
+                owners = [table.column(g).combine_chunks().take(pa.array(i)) for g in range(n)]
+                first, last = rep[i], rep[j]
+                columns = [*owners, *(pa.array(x) for x in (_least(first, last), _most(first, last), bits.astype("int32")))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*group, "a", "b", "bits"])
 
+    return _dealt_out(reps, blocks, keep, group).mapInArrow(find, f"{_kinds(reps, group)}a long, b long, bits int")
+
+
+def _least(x, y):
+    import numpy as np
+
+    return np.minimum(x, y)
 
-def block_pairs(
-    reps: DataFrame, max_bits: int, blocks: int, keep: int, group: tuple[str, ...] = (),
-    hot: int = HOT_BUCKET,
-) -> DataFrame:
-    """Distinct pairs (a < b) of fingerprints at most ``max_bits`` apart, optionally inside a group.
 
-    ``max_bits`` changed bits leave at least ``blocks - max_bits`` blocks alone, so with
-    ``keep`` not above that number every true pair shares one of the block choices: the
-    equi-join is exact. Buckets with more than ``hot`` members (boilerplate) are taken out
-    and, for up to three bits, solved by neighbour joins; beyond that they are cut again by
-    the remaining blocks.
+def _most(x, y):
+    import numpy as np
+
+    return np.maximum(x, y)
+
+
+def _columns(table, n: int):
+    """choice, low, high, own chunk, print and id of rows, as arrays."""
+    import numpy as np
+
+    plain = [table.column(k).combine_chunks().to_numpy(zero_copy_only=False) for k in (n, n + 2, n + 3, n + 4, n + 5, n + 6)]
+    plain[4] = plain[4].astype(np.int64).view(np.uint64)
+    return plain
+
+
+def block_links(reps: DataFrame, max_bits: int, blocks: int, keep: int, group: Sequence[str] = ()) -> DataFrame:
+    """Per fingerprint and run: ``rep, n_links, least, root``, never more rows than members.
+
+    ``n_links`` adds up over a fingerprint's runs to its number of near fingerprints, the smallest ``least`` is the smallest id among
+    them, and (rep, root) join those that are connected within the run: together they connect exactly what the pairs connect.
     """
+    import numpy as np
+    import pyarrow as pa
+
     if keep > blocks - max_bits:
         raise ValueError("keep must not exceed blocks - max_bits")
-    masks = _longs(_masks(blocks, keep))
-    keyed = reps.select(
-        *group, "fp", "rep",
-        F.posexplode(F.transform(masks, lambda m: F.col("fp").bitwiseAND(m))).alias("__choice", "__key"))
-    key = [*group, "__choice", "__key"]
-    if max_bits <= 3:
-        crowded = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > hot).select(*key)
-        calm = keyed.join(crowded, key, "left_anti")
-    else:
-        calm = keyed
-    left = calm.select(*key, F.col("fp").alias("fp_a"), F.col("rep").alias("a"))
-    right = calm.select(*key, F.col("fp").alias("fp_b"), F.col("rep").alias("b"))
-    found = left.join(right, key).drop("__choice", "__key")
-    if max_bits <= 3:
-        dense = keyed.join(crowded, key, "left_semi").select(*group, "fp", "rep").distinct()
-        found = found.unionByName(_midpoint_pairs(dense, group))
-    return (
-        found.filter(F.col("a") < F.col("b"))
-        .withColumn("bits", hamming(F.col("fp_a"), F.col("fp_b")).cast("int"))
-        .filter(F.col("bits") <= max_bits).select(*group, "a", "b", "bits").distinct()
-    )
-
-
-def near_dup_pairs(
-    fps: DataFrame, max_bits: int = 3, blocks: int = 6, id_col: str = "doc_id"
-) -> DataFrame:
+    n = len(group)
+
+    def find(batches):
+        runs = _Runs(max_bits, blocks, keep)
+        for table, starts in _whole_runs(batches, n + 4):
+            size = table.num_rows
+            choice, low, high, own, fp, rep = _columns(table, n)
+            count, least = np.zeros(size, np.int64), np.full(size, np.iinfo(np.int64).max)
+            label = np.arange(size)
+            for i, j, _ in runs.pairs(starts, size, choice, own, low, high, fp):
+                for x, y in ((i, j), (j, i)):
+                    count += np.bincount(x, minlength=size)
+                    np.minimum.at(least, x, rep[y])
+                label = _joined(label, i, j)
+            some = np.flatnonzero(count)
+            owners = [table.column(g).combine_chunks().take(pa.array(some)) for g in range(n)]
+            columns = [*owners, *(pa.array(x[some]) for x in (rep, count, least, rep[label]))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*group, "rep", "n_links", "least", "root"])
+
+    return _dealt_out(reps, blocks, keep, group).mapInArrow(find, f"{_kinds(reps, group)}rep long, n_links long, least long, root long")
+
+
+def _joined(label, i, j):
+    """Labels after putting the ends of all pairs together: each label is the smallest place of its set."""
+    import numpy as np
+
+    while len(i):
+        low = np.minimum(label[i], label[j])
+        before = label.copy()
+        for x in (i, j):
+            np.minimum.at(label, label[x], low)
+            np.minimum.at(label, x, low)
+        label = label[label]
+        if (label == before).all():
+            break
+    return label
+
+
+def near_dup_pairs(fps: DataFrame, max_bits: int = 3, blocks: int = 6, id_col: str = "doc_id") -> DataFrame:
     """Near-duplicate links (a, b, bits).
 
     Between different fingerprints: one row per pair of their smallest ids. For copies of
     one fingerprint: one row from its smallest id to each copy (bits = 0). Any two documents
     are near-duplicates exactly if their smallest ids are equal or linked, so nothing is lost
-    while the result stays linear in the number of copies.
+    while the result stays linear in the number of copies. ``near_dup_links`` is linear in families of different prints too.
     """
     reps = cut_lineage(representatives(fps, id_col))
     near = block_pairs(reps, max_bits, blocks, blocks - max_bits)
@@ -187,52 +313,55 @@ def near_dup_pairs(
     return near.unionByName(copies)
 
 
-def near_dup_same_owner(
-    fps: DataFrame, owner: str, max_bits: int = 10, id_col: str = "doc_id", direct_limit: int = 1000
-) -> DataFrame:
-    """Links like ``near_dup_pairs`` inside each owner, with a wider tolerance.
-
-    Owners with few distinct fingerprints (the usual handful of versions) are compared
-    directly; larger ones go through block keys inside the owner (4 of 14 blocks).
-    """
+def near_dup_same_owner(fps: DataFrame, owner: str, max_bits: int = 10, id_col: str = "doc_id") -> DataFrame:
+    """Links like ``near_dup_pairs`` inside each owner, with a wider tolerance: a block in eleven is left alone."""
     g = (owner,)
     reps = cut_lineage(representatives(fps, id_col, g))
-    size = reps.groupBy(owner).agg(F.count(F.lit(1)).alias("__n"))
-    big = size.filter(F.col("__n") > direct_limit).select(owner)
-    small = reps.join(big, owner, "left_anti")
-    direct = (
-        small.select(owner, F.col("fp").alias("fp_a"), F.col("rep").alias("a"))
-        .join(small.select(owner, F.col("fp").alias("fp_b"), F.col("rep").alias("b")), owner)
-        .filter((F.col("a") < F.col("b")) & (hamming(F.col("fp_a"), F.col("fp_b")) <= max_bits))
-        .select(owner, "a", "b", hamming(F.col("fp_a"), F.col("fp_b")).cast("int").alias("bits")))
-    wide = block_pairs(reps.join(big, owner, "left_semi"), max_bits, 14, 4, g)
+    wide = block_pairs(reps, max_bits, max_bits + 1, 1, g)
     copies = salted_join(fps.filter(F.col("fp").isNotNull()), reps, [owner, "fp"]).filter(
         F.col(id_col) != F.col("rep")
     ).select(owner, F.col("rep").alias("a"), F.col(id_col).alias("b"), F.lit(0).alias("bits"))
-    return direct.unionByName(wide).unionByName(copies)
+    return wide.unionByName(copies)
 
 
-def _earliest(links: DataFrame, fps: DataFrame, id_col: str, group: tuple[str, ...] = ()) -> DataFrame:
+def near_dup_links(
+    fps: DataFrame, max_bits: int = 3, blocks: int = 6, keep: int | None = None, owner: str | None = None, id_col: str = "doc_id"
+) -> DataFrame:
+    """One row per distinct fingerprint (and owner): ``rep, fp, n_links, least, root`` from ``block_links``, written down.
+
+    ``least`` is the smallest id among its near fingerprints and itself; ``roots`` joins it with others of its group of links.
+    """
+    g = (owner,) if owner else ()
+    reps = cut_lineage(representatives(fps, id_col, g))
+    found = block_links(reps, max_bits, blocks, keep or blocks - max_bits, g).groupBy(*g, "rep").agg(
+        F.sum("n_links").alias("n_links"), F.min("least").alias("least"), F.collect_set("root").alias("roots"))
+    return cut_lineage(reps.join(found, [*g, "rep"], "left").select(
+        *g, "rep", "fp", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.least("least", "rep").alias("least"),
+        F.coalesce("roots", F.array().cast("array<bigint>")).alias("roots")))
+
+
+def near_dup_classes(fps: DataFrame, links: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``id, rep, class_id, n_links`` per document: its print's smallest id, the smallest id of its group, and how many other prints are near."""
+    edges = links.select(F.col("rep").alias("a"), F.explode("roots").alias("b")).where("a <> b")
+    groups = dup_clusters(edges).select(F.col("doc_id").alias("rep"), "cluster_id")
+    classes = links.join(groups, "rep", "left").select("fp", "rep", F.coalesce("cluster_id", "rep").alias("class_id"), "n_links")
+    return salted_join(fps.filter(F.col("fp").isNotNull()), classes, "fp").select(id_col, "rep", "class_id", "n_links")
+
+
+def _earliest(links: DataFrame, fps: DataFrame, id_col: str, group: Sequence[str] = ()) -> DataFrame:
     """Smallest earlier near-duplicate of each document."""
-    reps = representatives(fps, id_col, group)
-    by_rep = (
-        links.filter("bits > 0").select(F.col("b").alias("rep"), F.col("a").alias("other"))
-        .unionByName(links.filter("bits > 0").select(F.col("a").alias("rep"), F.col("b").alias("other")))
-        .unionByName(reps.select("rep", F.col("rep").alias("other")))
-        .groupBy("rep").agg(F.min("other").alias("first_id")))
-    homes = salted_join(fps.filter(F.col("fp").isNotNull()), reps, [*group, "fp"])
-    return salted_join(homes.select(id_col, "rep"), by_rep, "rep").filter(
-        F.col("first_id") < F.col(id_col)).select(id_col, "first_id")
+    homes = salted_join(fps.filter(F.col("fp").isNotNull()), links.select(*group, "fp", F.col("least").alias("first_id")), [*group, "fp"])
+    return homes.filter(F.col("first_id") < F.col(id_col)).select(id_col, "first_id")
 
 
 def dup_status(
-    fps: DataFrame, pairs: DataFrame, owner_pairs: DataFrame | None = None, owner: str | None = None,
+    fps: DataFrame, links: DataFrame, owner_links: DataFrame | None = None, owner: str | None = None,
     id_col: str = "doc_id",
 ) -> DataFrame:
-    """duplicate / near_duplicate / unique per document in id order, with the earliest match."""
-    out = fps.select(id_col).join(_earliest(pairs, fps, id_col), id_col, "left").withColumnRenamed("first_id", "__dup")
-    if owner_pairs is not None:
-        near = _earliest(owner_pairs, fps, id_col, (owner,)).withColumnRenamed("first_id", "__near")
+    """duplicate / near_duplicate / unique per document in id order, with the earliest match; links are those of ``near_dup_links``."""
+    out = fps.select(id_col).join(_earliest(links, fps, id_col), id_col, "left").withColumnRenamed("first_id", "__dup")
+    if owner_links is not None:
+        near = _earliest(owner_links, fps, id_col, (owner,)).withColumnRenamed("first_id", "__near")
         out = out.join(near, id_col, "left")
     else:
         out = out.withColumn("__near", F.lit(None).cast("long"))
@@ -243,6 +372,41 @@ def dup_status(
         F.coalesce("__dup", "__near").alias("match_id"))
 
 
+def first_come(fps: DataFrame, pairs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``id, kept`` as one upload after another would decide: a document stays unless it is near one that stayed before it.
+
+    Copies of a print never stay beside its first document. Among first documents, each round keeps those with no undecided
+    earlier neighbour and drops the neighbours of what it keeps; a round's rows are written down, and only undecided pairs go on.
+    The rounds needed are the longest chain of documents that hang on one another, a few for most data.
+    """
+    reps = cut_lineage(representatives(fps, id_col))
+    open_pairs = cut_lineage(pairs.where("bits > 0").select("a", "b"))
+    kept = reps.join(open_pairs.select(F.col("b").alias("rep")).distinct(), "rep", "left_anti").select("rep")
+    out = [kept]
+    while open_pairs.limit(1).count():
+        # Neighbours of kept documents are dropped, and with them all their pairs.
+        first = cut_lineage(open_pairs.select(F.col("a").alias("x")).distinct().join(
+            open_pairs.select(F.col("b").alias("x")).distinct(), "x", "left_anti"))
+        gone = open_pairs.join(first.select(F.col("x").alias("a")), "a", "left_semi").select(F.col("b").alias("x")).distinct()
+        settled = cut_lineage(first.unionByName(gone))
+        ends = cut_lineage(open_pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct())
+        left = open_pairs
+        for end in ("a", "b"):
+            left = left.join(settled.select(F.col("x").alias(end)), end, "left_anti")
+        open_pairs = cut_lineage(left.select("a", "b"))
+        # A document whose pairs are all settled, and that is not dropped, stays: no earlier neighbour of it has stayed.
+        waiting = open_pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct()
+        free = ends.join(settled, "x", "left_anti").join(waiting, "x", "left_anti")
+        later = open_pairs.select(F.col("b").alias("x")).distinct()
+        out += [free.select(F.col("x").alias("rep")), open_pairs.select(F.col("a").alias("x")).distinct().join(later, "x", "left_anti").select(F.col("x").alias("rep"))]
+    stays = out[0]
+    for part in out[1:]:
+        stays = stays.unionByName(part)
+    return fps.filter(F.col("fp").isNotNull()).select(id_col).join(
+        stays.distinct().select(F.col("rep").alias(id_col), F.lit(True).alias("kept")), id_col, "left").select(
+        id_col, F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
 def dup_clusters(pairs: DataFrame) -> DataFrame:
     """Connected groups of the links: every member with the group's smallest id, which is kept.
 

@@ -72,22 +72,103 @@ def test_pairs_equal_brute_force(spark):
     assert links(dedup.near_dup_pairs(fps)) == brute_links(rows, 3)
 
 
-def test_crowded_buckets_equal_brute_force(spark):
-    rows = neighbours(11, 90, 5)
+def family(n, flips, seed=5):
+    """Edited copies of one print: all different, each a few bits from it."""
+    rng, base = random.Random(seed), random.Random(seed).getrandbits(64)
+    made = {base}
+    while len(made) < n:
+        fp = base
+        for b in rng.sample(range(64), flips):
+            fp ^= 1 << b
+        made.add(fp)
+    return [(i, signed(fp)) for i, fp in enumerate(made)]
+
+
+def test_runs_of_many_chunks_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "CHUNK", 7)
+    rows = neighbours(11, 120, 5)
     reps = dedup.representatives(spark.createDataFrame(rows, "doc_id long, fp long"), "doc_id")
-    got = links(dedup.block_pairs(reps, 3, 6, 3, hot=4))
-    assert got == {x for x in brute_links(rows, 3) if x[2] > 0}
+    got = [tuple(r) for r in dedup.block_pairs(reps, 3, 6, 3).collect()]
+    assert len(got) == len(set(got)) and set(got) == {x for x in brute_links(rows, 3) if x[2] > 0}
+    few = [tuple(r) for r in dedup.block_pairs(reps, 10, 11, 1).collect()]
+    assert len(few) == len(set(few)) and set(few) == {x for x in brute_links(rows, 10) if x[2] > 0}
 
 
-def test_owner_links_direct_and_by_blocks(spark):
-    rows = [(i, fp, "x" if i % 2 else "y") for i, fp in neighbours(3, 80, 14)]
+def test_owner_links(spark):
+    rows = [(i, fp, "x" if i % 2 else "y") for i, fp in neighbours(3, 80, 14)] + [(500 + i, fp, None) for i, fp in neighbours(4, 6, 3)]
     fps = spark.createDataFrame(rows, "doc_id long, fp long, owner string")
     want = set()
     for owner in "xy":
         want |= {(owner, *p) for p in brute_links([(i, fp) for i, fp, o in rows if o == owner], 10)}
     cols = ("owner", "a", "b", "bits")
-    assert links(dedup.near_dup_same_owner(fps, "owner"), *cols) == want
-    assert links(dedup.near_dup_same_owner(fps, "owner", direct_limit=5), *cols) == want
+    assert {r for r in links(dedup.near_dup_same_owner(fps, "owner"), *cols) if r[0]} == want
+
+
+def test_one_owner_with_thousands_of_prints(spark):
+    rows = neighbours(8, 4000, 12)
+    fps = spark.createDataFrame([(*r, "o") for r in rows], "doc_id long, fp long, owner string")
+    first = {}
+    for i, fp in sorted(rows):
+        first.setdefault(fp, i)
+    import numpy as np
+
+    prints = np.array(sorted(first, key=first.get), np.int64).view(np.uint64)
+    near = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 10
+    ids = [first[int(np.int64(x))] for x in prints.view(np.int64)]
+    got = {r.rep: (r.n_links, r.least) for r in dedup.near_dup_links(fps, 10, 11, 1, "owner").collect()}
+    assert got == {ids[k]: (int(near[k].sum()) - 1, ids[int(np.argmax(near[k]))]) for k in range(len(ids))}
+
+
+def test_links_are_linear_in_a_family_of_edited_copies(spark):
+    for n in (200, 400, 800):
+        fps = spark.createDataFrame(family(n, 1 if n < 60 else 2), "doc_id long, fp long")
+        reps = dedup.representatives(fps, "doc_id")
+        found = dedup.block_links(reps, 3, 6, 3)
+        assert found.count() <= 20 * n  # a row per print and choice of blocks at most
+        classes = dedup.near_dup_classes(fps, dedup.near_dup_links(fps)).collect()
+        assert len(classes) == n and {r.class_id for r in classes} == {0}
+
+
+def test_classes_and_status_equal_brute_force(spark):
+    rows = neighbours(21, 200, 7)
+    fps = spark.createDataFrame(rows, "doc_id long, fp long")
+    pairs = {(a, b) for a, b, _ in brute_links(rows, 3)}
+    label = {i: i for i, _ in rows}
+    for _ in rows:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    found = dedup.near_dup_links(fps)
+    got = {r.doc_id: r for r in dedup.near_dup_classes(fps, found).collect()}
+    assert {i: r.class_id for i, r in got.items()} == label
+    near = [(a, b) for a, b, n in brute_links(rows, 3) if n]
+    assert all(got[i].n_links == sum(got[i].rep in p for p in near) for i, _ in rows)
+    status = {r.doc_id: r.match_id for r in dedup.dup_status(fps, found).collect()}
+    assert status == {i: min((j for j, g in rows if j < i and bits(fp, g) <= 3), default=None) for i, fp in rows}
+
+
+def test_first_come_equals_the_sequential_rule(spark):
+    rows = neighbours(31, 2000, 9)
+    kept = []
+    want = {}
+    for i, fp in rows:
+        want[i] = all(bits(fp, g) > 3 for g in kept)
+        if want[i]:
+            kept.append(fp)
+    fps = spark.createDataFrame(rows, "doc_id long, fp long")
+    assert {r.doc_id: r.kept for r in dedup.first_come(fps, dedup.near_dup_pairs(fps)).collect()} == want
+
+
+def test_first_come_on_a_chain_and_without_pairs(spark):
+    # Each print is near its neighbours only: every second one stays.
+    chain, fp = [], 0
+    for i in range(9):
+        chain.append((i, signed(fp)))
+        for b in range(2):
+            fp ^= 1 << (2 * i + b)
+    fps = spark.createDataFrame(chain, "doc_id long, fp long")
+    pairs = spark.createDataFrame([(i, i + 1, 2) for i in range(8)], "a long, b long, bits int")
+    assert [r.kept for r in sorted(dedup.first_come(fps, pairs).collect())] == [i % 2 == 0 for i in range(9)]
+    assert all(r.kept for r in dedup.first_come(fps, pairs.limit(0)).collect())
 
 
 def test_clusters_of_a_long_chain(spark):
