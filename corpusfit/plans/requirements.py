@@ -10,7 +10,9 @@ from corpusfit.functions.text import (
 )
 from corpusfit.operators.topk import best_excerpt
 from corpusfit.plans.scoring import majors_of, shown
-from corpusfit.plans.tfidf import TECH_WORD, term_counts, weighted
+from corpusfit.plans import vectors
+from corpusfit.plans.tfidf import TECH_WORD
+from corpusfit.scale import cut_lineage
 
 
 TOP_SECTION_WEIGHT = 1.2
@@ -28,26 +30,20 @@ def rule_similarity(sections: DataFrame, rules: DataFrame, pairs: DataFrame) ->
     document frequency, and only shared terms become rows of a pair. Sections of one
     document and rules of one role are short lists.
     """
-    sec = weighted(term_counts(sections, ["doc_id", "start_line"], norm_tech(F.col("text")), 3, TECH_WORD))
     query = F.concat_ws(" ", F.array(F.col("label")), skill_aliases(F.col("label")))
-    req = weighted(term_counts(rules, ["role_id", "rule_id"], norm_tech(query), 3, TECH_WORD))
-
-    def by_term(rows, group, item, df):
-        return rows.groupBy(group, "term").agg(
-            F.count(F.lit(1)).alias(df), F.collect_list(F.struct(F.col(item), F.col("w"))).alias(f"{df}_rows"))
-
-    doc_terms = by_term(sec, "doc_id", "start_line", "ds")
-    role_terms = by_term(req, "role_id", "rule_id", "dr")
-
-    def by_frequency(rows, group, item, df, out):
-        flat = rows.select(group, df, F.explode(f"{df}_rows").alias("x")).groupBy(group, F.col(f"x.{item}").alias(item), df).agg(
-            F.sum(F.col("x.w") * F.col("x.w")).alias("s"))
-        return flat.groupBy(group, item).agg(F.collect_list(F.struct(F.col(df).alias("df"), "s")).alias(out))
-
-    doc_own = by_frequency(doc_terms, "doc_id", "start_line", "ds", "sec_own")
-    role_own = by_frequency(role_terms, "role_id", "rule_id", "dr", "rule_own")
-    n_sec = sections.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sec"))
-    n_req = rules.groupBy("role_id").agg(F.count(F.lit(1)).alias("n_req"))
+    rule_vectors = cut_lineage(vectors.group_vectors(rules, "role_id", "rule_id", norm_tech(query), 3, TECH_WORD))
+    known = vectors.vocabulary(rule_vectors)
+    doc_vectors = cut_lineage(vectors.group_vectors(sections, "doc_id", "start_line", norm_tech(F.col("text")), 3, TECH_WORD, known))
+
+    def parts(rows, group, df, out):
+        named = rows.select(group, F.explode("terms").alias("t")).select(
+            group, F.col("t.term").alias("term"), F.col("t.df").alias(df), F.col("t.rows").alias(f"{df}_rows"))
+        return named, rows.select(group, F.inline("own")).withColumnRenamed("own", out)
+
+    doc_terms, doc_own = parts(doc_vectors, "doc_id", "ds", "sec_own")
+    role_terms, role_own = parts(rule_vectors, "role_id", "dr", "rule_own")
+    n_sec = doc_vectors.select("doc_id", F.col("n_items").alias("n_sec"))
+    n_req = rule_vectors.select("role_id", F.col("n_items").alias("n_req"))
     sized = pairs.select("doc_id", "role_id").distinct().join(n_sec, "doc_id").join(n_req, "role_id").withColumn(
         "n", F.col("n_sec") + F.col("n_req"))
     met = sized.join(doc_terms, "doc_id").join(role_terms, ["role_id", "term"])
