@@ -403,6 +403,14 @@ def _(v):
     return topk.page_count(filters.active_current(_board(v)), 25)
 
 
+@query("deep_page", """SELECT evaluation_id, total_score FROM evals ORDER BY total_score DESC, evaluation_id LIMIT 20 OFFSET (SELECT (count(*) // 40) * 20 FROM evals)""")
+def _(v):
+    """The page in the middle of the board, sought with few rows sorted."""
+    rows = v("evals").select("evaluation_id", "total_score")
+    page = rows.agg(F.count(F.lit(1))).first()[0] // 40 + 1
+    return topk.sort_page(rows, page=page, limit=20, most=200)
+
+
 @query("client_sort", """SELECT candidate_id, name, years_experience FROM candidates
   ORDER BY coalesce(years_experience, 0) DESC, candidate_id""")
 def _(v):

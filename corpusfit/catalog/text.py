@@ -255,8 +255,7 @@ def _(v):
   SELECT doc_id, term, list_filter(ls, lambda x: contains(lower(x), term))[1] AS excerpt FROM s""")
 def _(v):
     hits = v("token_docs").join(v("dict_terms"), C("token") == C("term")).select("doc_id", "term")
-    return v("documents").join(hits, "doc_id").select(
-        "doc_id", "term", topk.best_excerpt(C("text"), C("term")).alias("excerpt"))
+    return topk.best_excerpts(v("documents").select("doc_id", "text"), hits)
 
 
 @query("manifest_deps", """SELECT DISTINCT owner, repo_id, replace(name, ' ', '-') AS dependency FROM repos

@@ -33,8 +33,13 @@ def contained_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def _verified(texts: DataFrame, open_pairs: DataFrame, present) -> DataFrame:
-    """Keep (text_id, term) candidates that ``present(text, term)`` confirms; texts join once by id."""
-    return texts.join(open_pairs, "text_id").filter(present(F.col("text"), F.col("term"))).select("text_id", "term")
+    """Keep (text_id, term) candidates that ``present(text, term)`` confirms.
+
+    A text's candidates come to it as one list and are looked for in its own row, so a text is copied once, whatever their number.
+    """
+    listed = open_pairs.groupBy("text_id").agg(F.collect_set("term").alias("__terms"))
+    return texts.join(listed, "text_id").select(
+        "text_id", F.explode(F.filter("__terms", lambda t: present(F.col("text"), t))).alias("term"))
 
 
 def words_of(text: Column, pattern: str = r"(?U)\w+") -> Column:

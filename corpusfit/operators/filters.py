@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusfit.operators.topk import sort_page
+
 from corpusfit.functions import labels
 from corpusfit.operators.windows import latest_status
 
@@ -95,16 +97,14 @@ def search_text(
 ) -> DataFrame:
     """Scored documents whose text holds ``q``, best score first, with a snippet.
 
-    The text column is filtered before the join and only the page that is shown
-    carries it further.
+    The page is cut from ids and scores; texts then meet the page's ids only. A deep page is sought, see ``topk.seek_page``.
     """
-    hits = docs.filter(F.lower("text").contains(q.lower()))
+    hits = docs.filter(F.lower("text").contains(q.lower())).select("doc_id")
     scored = evals.filter(F.col("eval_status").isNull()) if "eval_status" in evals.columns else evals
+    shown = sort_page(scored.join(hits, "doc_id"), "total_score", "desc", page, limit, "doc_id")
     return (
-        scored.join(hits.select("doc_id", "text"), "doc_id")
-        .orderBy(F.desc("total_score"), "doc_id").offset((page - 1) * limit).limit(limit)
-        .withColumn("snippet", snippet(F.col("text"), q)).drop("text")
-    )
+        F.broadcast(shown).join(docs.select("doc_id", "text"), "doc_id")
+        .withColumn("snippet", snippet(F.col("text"), q)).drop("text").orderBy(F.desc("total_score"), "doc_id"))
 
 
 def filter_by_status(evals: DataFrame, status_log: DataFrame, status: str) -> DataFrame:

@@ -21,12 +21,78 @@ def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     return df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= n).drop("__rn")
 
 
+#: Rows that may be sorted together for a page; a page that begins later is sought first.
+SORTED_AT_ONCE = 10_000
+SKETCH = 64
+
+
+def _sought(rows: DataFrame, key: str, offset: int, upto: int, most: int) -> tuple[DataFrame, int]:
+    """The rows of a narrow range of ``key`` that holds places ``offset`` to ``upto``, and how many rows come before that range.
+
+    Quantiles of the key give a range, two exact counts confirm it, and it is narrowed again until at most ``most`` rows (or one value) are left.
+    Each step reads the rows once and brings ``SKETCH`` numbers to the driver.
+    """
+    before = 0
+    while True:
+        told = rows.agg(
+            F.count(F.lit(1)).alias("n"),
+            F.percentile_approx(key, [k / SKETCH for k in range(SKETCH + 1)], 100 * SKETCH).alias("cuts")).first()
+        if offset - before >= told.n:  # beyond the last row
+            return rows.limit(0), before
+        if told.n <= most or told.cuts[0] == told.cuts[-1]:
+            return rows, before
+        first = max(0, int((offset - before) * SKETCH / told.n) - 1)
+        last = min(SKETCH, int((upto - before) * SKETCH / told.n) + 2)
+        low, high = told.cuts[first], told.cuts[last]
+        value = F.col(key)
+        seen = rows.agg(F.count_if(value < low).alias("under"), F.count_if(value <= high).alias("upto")).first()
+        # The sketch may be off at the ends: then the range is left open on that side.
+        under = seen.under if before + seen.under <= offset else 0
+        narrowed = rows if under == 0 and seen.under else rows.where(value >= low)
+        if before + seen.upto >= min(upto, before + told.n):
+            narrowed = narrowed.where(value <= high)
+            kept = seen.upto - under
+        else:
+            kept = told.n - under
+        if kept == told.n:
+            return rows, before
+        rows, before = narrowed, before + under
+
+
+def seek_page(
+    df: DataFrame, sort_by: str, sort_dir: str = "desc", page: int = 1, limit: int = 20, id_col: str = "evaluation_id",
+    most: int = SORTED_AT_ONCE,
+) -> DataFrame:
+    """A page in order of a number or time (then id), however deep: only a range of about ``most`` rows around it is sorted.
+
+    Unknown values count as the smallest. Rows of equal value are sought by id.
+    """
+    kind = df.schema[sort_by].dataType.typeName()
+    value = F.unix_micros(F.col(sort_by).cast("timestamp")) if kind.startswith("timestamp") else F.col(sort_by)
+    value = F.coalesce(value.cast("double"), F.lit(float("-inf")))
+    offset = (page - 1) * limit
+    keyed = df.withColumn("__key", value if sort_dir == "asc" else -value)
+    rows, before = _sought(keyed, "__key", offset, offset + limit, most)
+    rows, more = _sought(rows, id_col, offset - before, offset - before + limit, most) if _one_value(rows) else (rows, 0)
+    return rows.orderBy("__key", id_col).offset(max(0, offset - before - more)).limit(limit).drop("__key")
+
+
+def _one_value(rows: DataFrame) -> bool:
+    ends = rows.agg(F.min("__key").alias("low"), F.max("__key").alias("high")).first()
+    return ends.low is not None and ends.low == ends.high
+
+
 def sort_page(
     df: DataFrame, sort_by: str = "total_score", sort_dir: str = "desc", page: int = 1,
-    limit: int = 20, id_col: str = "evaluation_id",
+    limit: int = 20, id_col: str = "evaluation_id", most: int = SORTED_AT_ONCE,
 ) -> DataFrame:
-    """One page in a whitelisted order (unknown names fall back to total_score); id breaks ties."""
+    """One page in a whitelisted order (unknown names fall back to total_score); id breaks ties.
+
+    A page that ends beyond ``most`` rows is sought (``seek_page``) if its column is a number or a time.
+    """
     name = sort_by if sort_by in SORTABLE else "total_score"
+    if page * limit > most and df.schema[name].dataType.typeName() != "string":
+        return seek_page(df, name, sort_dir, page, limit, id_col, most)
     order = F.desc(name) if sort_dir == "desc" else F.asc(name)
     return df.orderBy(order, id_col).offset((page - 1) * limit).limit(limit)
 
@@ -75,6 +141,15 @@ def best_excerpt(text: Column, skill: Column) -> Column:
     return excerpt_of(sentences(text), F.lower(skill), significant_words(skill))
 
 
+def best_excerpts(docs: DataFrame, hits: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``best_excerpt`` for many (key, term) at once: a text meets its terms as one list and is cut into sentences once."""
+    listed = hits.groupBy(key).agg(F.collect_set("term").alias("__terms"))
+    lines = docs.select(key, sentences(F.col("text")).alias("__lines")).join(listed, key)
+    found = F.transform("__terms", lambda t: F.struct(
+        t.alias("term"), excerpt_of(F.col("__lines"), F.lower(t), significant_words(t)).alias("excerpt")))
+    return lines.select(key, F.inline(found))
+
+
 def top_excerpt(matches: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Excerpt of the best match per group; the first skill in order on ties."""
     return matches.filter(F.col("excerpt").isNotNull()).groupBy(*keys).agg(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusfit.functions import labels
 from corpusfit.operators.filters import active_current
 from corpusfit.operators.topk import sort_page
+from corpusfit.scale import cut_lineage
 from corpusfit.operators.windows import latest_status
 
 
@@ -30,7 +31,7 @@ def leaderboard(
     """One page of the board.
 
     The page is cut before the matched skills and the log are joined, because neither
-    changes which rows are shown: only ``limit`` rows go through those joins.
+    changes which rows are shown: only ``limit`` rows go through those joins. It is written once for all of them.
     """
     rows = active_current(board_rows(evals, versions, candidates))
     for name, value in (filters or {}).items():
@@ -40,7 +41,7 @@ def leaderboard(
         rows = rows.filter(
             F.coalesce(F.lower("name").contains(needle), F.lit(False))
             | F.coalesce(F.lower("email").contains(needle), F.lit(False)))
-    shown = F.broadcast(sort_page(rows, sort_by, sort_dir, page, limit))
+    shown = F.broadcast(cut_lineage(sort_page(rows, sort_by, sort_dir, page, limit)))
     ids = shown.select("evaluation_id")
     last = latest_status(status_log.join(F.broadcast(ids), "evaluation_id", "left_semi"))
     found = matches.join(F.broadcast(ids), "evaluation_id", "left_semi").groupBy("evaluation_id").agg(
