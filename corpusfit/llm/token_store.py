@@ -135,7 +135,8 @@ def write_store(docs: DataFrame, folder: str, path: str | None = None, settings:
                  pa.array(places, pa.int32())], names=["doc_id", "count", "crc", "frame", "bucket"])
 
     frames = _texts(docs).mapInArrow(encode, "doc_id long, count long, crc long, frame binary, bucket int")
-    laid_out = frames.repartition(files, "bucket").sortWithinPartitions("bucket", "doc_id", "crc")
+    # Buckets are dealt by their number, one to a task; a hash would put several on one.
+    laid_out = frames.repartitionById(files, "bucket").sortWithinPartitions("bucket", "doc_id", "crc")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, rows = None, []
