@@ -55,10 +55,10 @@ def located(pages: DataFrame) -> DataFrame:
         F.col("page_id").cast("long").alias("page_id"), F.translate(host, UPPER, LOWER).alias("host"), path.alias("path"), F.col("html"))
 
 
-def _suffixes(host: Column) -> Column:
-    """A host and its parent domains."""
+def _suffixes(host: Column, most: int) -> Column:
+    """A host and its parent domains, as far as they have at most ``most`` labels."""
     parts = F.split(host, r"\.", -1)
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    return F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(most))), lambda n: F.array_join(F.slice(parts, -n, n), "."))
 
 
 def rules_by_host(hosts: DataFrame, rules: DataFrame) -> DataFrame:
@@ -68,8 +68,10 @@ def rules_by_host(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     own = F.struct(
         (-F.length("rule")).alias("by_length"), (-F.length("suffix")).alias("by_host"), (F.col("verdict") == "allow").alias("soft"),
         "start", "rule", "verdict")
+    # No longer suffix can be a rule's, so a host of very many labels is cut into few.
+    most = named.agg(F.max(F.size(F.split("suffix", r"\.", -1)))).first()[0] or 1
     return (
-        hosts.select("host", F.explode(_suffixes(F.col("host"))).alias("suffix")).where("suffix <> ''")
+        hosts.select("host", F.explode(_suffixes(F.col("host"), most)).alias("suffix")).where("suffix <> ''")
         .join(named, "suffix").groupBy("host").agg(F.sort_array(F.collect_set(own)).alias("rules")))
 
 

@@ -108,3 +108,13 @@ def test_a_long_way_from_one_of_many_seeds(spark):
     rules = spark.createDataFrame([("org/", "allow")], "rule string, verdict string")
     got = {r.page_id: r.verdict for r in url_trust.judge(pages, rules, blocked=["bad.net"]).collect()}
     assert set(got.values()) == {"block"}
+
+
+def test_hosts_of_very_many_labels(spark):
+    rules = spark.createDataFrame([("org/", "allow"), ("a.example.org/es/", "block"), ("b.c.example.net/", "block")], "rule string, verdict string")
+    long_ = "x." * 50_000
+    hosts = spark.createDataFrame([(long_ + "a.example.org",), (long_ + "b.c.example.net",), ("org",), ("net",), ("",), ("c.example.net",)], "host string")
+    got = {r.host[-15:]: [x.rule for x in r.rules] for r in url_trust.rules_by_host(hosts, rules).collect()}
+    assert got == {"x.a.example.org": ["a.example.org/es/", "org/"], "b.c.example.net": ["b.c.example.net/"], "org": ["org/"]}
+    empty = url_trust.rules_by_host(hosts, rules.limit(0))
+    assert empty.count() == 0
