@@ -232,8 +232,11 @@ def _(v):
 def _(v):
     listed = v.sql("""SELECT DISTINCT owner AS doc_id, name AS skill FROM repos
       UNION SELECT owner, 'red widget' FROM profile_names WHERE owner % 5 = 0""")
-    return v("profile_docs").join(listed, "doc_id").select(
-        "doc_id", "skill", text.tenure_years(C("skill"), C("text"), YEAR).alias("years"))
+    named = listed.groupBy("doc_id").agg(F.collect_list("skill").alias("skills"))
+    docs = v("profile_docs").select("doc_id", F.lower("text").alias("lower"), text.tenure_text(C("text")).alias("years_in"))
+    found = F.transform(F.filter("skills", lambda s: F.contains(C("lower"), F.lower(s))), lambda s: F.struct(
+        s.alias("skill"), text.tenure_in(F.lower(s), C("years_in"), YEAR).alias("years")))
+    return docs.join(named, "doc_id").select("doc_id", F.inline(found))
 
 
 EDU = ", ".join(f"'{w}'" for w in lists.EDUCATION_WORDS)
