@@ -11,6 +11,7 @@ from corpusfit.functions.text import page_headings
 from corpusfit.operators import dictionary, flags, sets
 from corpusfit.plans import dedup, segment, tfidf
 from corpusfit.sources import readers, sinks
+from corpusfit.streaming import run
 
 C = F.col
 
@@ -46,7 +47,32 @@ def _(v):
       SELECT candidate_id, c.candidate_id AS k, name, email, NULL AS new_email, github_url, email IS NOT NULL AND candidate_id % 4 <> 3 AS sent FROM candidates c
       UNION ALL SELECT NULL, c_custkey, NULL, NULL, 'new' || c_custkey || '@example.net', NULL, true FROM customer WHERE c_custkey % 4 = 3)""")
 def _(v):
-    return readers.bulk_import(_import_rows(v), v("candidates").select("candidate_id", "name", "email", "github_url"))[0]
+    rows = readers.read_import_csv(v.spark, _import_files(v))[0]
+    return readers.bulk_import(rows, v("candidates").select("candidate_id", "name", "email", "github_url"))[0]
+
+
+PARTS = 8
+
+
+def _import_files(v):
+    """The import as CSV files, one per part in the order of ids. Every third row has a note on two lines."""
+    k = C("row_no") - 2
+    note = F.when(k % 3 == 0, F.concat(F.lit('says "hi", twice\n'), k.cast("string"))).otherwise(F.lit("plain, one line"))
+    rows = _import_rows(v).select((k % PARTS).alias("part"), "name", note.alias("Note"), C("email").alias(" EMAIL "), "github_url", k.alias("id"))
+    folder = run.work_folder(v.spark, "import")
+    rows.repartition(PARTS, "part").sortWithinPartitions("part", "id").write.partitionBy("part").csv(
+        folder, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return folder
+
+
+@query("import_lines", f"""WITH r AS (SELECT candidate_id AS id, candidate_id % {PARTS} AS part, CASE WHEN candidate_id % 3 = 0 THEN 2 ELSE 1 END AS n,
+      CASE WHEN candidate_id % 4 = 3 THEN 'NEW' || candidate_id || '@example.net' ELSE coalesce(upper(email), '') END AS email FROM candidates)
+  SELECT CAST(part AS INT) AS part, CAST(id AS BIGINT) AS id, CAST(2 + coalesce(sum(n) OVER (PARTITION BY part ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS row_no, email,
+    CASE WHEN n = 2 THEN 'says "hi", twice' || chr(10) || id ELSE 'plain, one line' END AS note FROM r""")
+def _(v):
+    rows = readers.read_import_csv(v.spark, _import_files(v))[0]
+    return rows.select(
+        F.regexp_extract("file", r"part=(\d+)", 1).cast("int").alias("part"), C("id").cast("long").alias("id"), "row_no", "email", "note")
 
 
 def _import_rows(v):

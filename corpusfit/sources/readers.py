@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusfit.functions.text import strip
-from corpusfit.scale import ordered_rank
+from corpusfit.scale import cut_lineage, ordered_rank
 
 MAX_MB = 20
 # Accepted extensions and the first bytes their files must have (hex).
@@ -44,10 +44,85 @@ def file_triage(files: DataFrame, max_mb: int = MAX_MB) -> DataFrame:
     return files.select("path", reason.isNull().alias("ok"), reason.alias("reason"))
 
 
-def read_import_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV rows with trimmed lower-case headers and their file line (for single-line records)."""
-    raw = spark.read.csv(path, header=True, mode="PERMISSIVE", multiLine=False)
-    return raw.select(*[F.coalesce(strip(F.col(f"`{c}`")), F.lit("")).alias(c.strip().lower()) for c in raw.columns])
+#: A record of more lines than this is taken for one whose quote is never closed.
+MOST_LINES = 1000
+
+
+def csv_records(spark: SparkSession, path: str, most_lines: int = MOST_LINES) -> DataFrame:
+    """Records of CSV files with the file, the line on which they begin, their number of lines, and their text.
+
+    A quoted field may hold line ends, and files are still read in splits: lines and quotes are counted within each split,
+    the sums of the splits before it are added, and a line belongs to the record that is open where it begins. Only
+    records of several lines are gathered. A quote opens or closes a field wherever it stands, so quotes inside a value have
+    to be doubled and the value quoted. Blank lines between records are left out. A record of more than
+    ``most_lines`` lines has no text (null): only that many lines are ever held together.
+    """
+    c = F.col
+    lines = spark.read.text(path).select(
+        c("_metadata.file_path").alias("file"), c("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("__at"), c("value").alias("line"),
+        F.regexp_count("value", F.lit('"')).alias("quotes"))
+    upto = Window.partitionBy("file", "split").orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = lines.withColumn("__n", F.count(F.lit(1)).over(upto)).withColumn("__q", F.sum("quotes").over(upto))
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    # A few numbers per split. The last line that begins a record is kept for each parity that the split may start with.
+    even, odd = (c("__q") - c("quotes")) % 2 == 0, (c("__q") - c("quotes")) % 2 == 1
+    sums = placed.groupBy("file", "split").agg(
+        F.count(F.lit(1)).alias("__lines"), F.sum("quotes").alias("__quotes"),
+        F.max(F.when(even, c("__n"))).alias("__even"), F.max(F.when(odd, c("__n"))).alias("__odd")
+    ).withColumn("__n0", F.coalesce(F.sum("__lines").over(earlier), F.lit(0))).withColumn(
+        "__q0", F.coalesce(F.sum("__quotes").over(earlier), F.lit(0)))
+    own = c("__n0") + F.when(c("__q0") % 2 == 0, c("__even")).otherwise(c("__odd"))
+    splits = sums.withColumn("__open", F.last(own, True).over(earlier)).select("file", "split", "__n0", "__q0", "__open")
+    begins = (c("__q0") + c("__q") - c("quotes")) % 2 == 0
+    numbered = placed.join(splits, ["file", "split"]).withColumn("line_no", c("__n0") + c("__n")).withColumn(
+        "begins", begins).withColumn("ends", (c("__q0") + c("__q")) % 2 == 0).withColumn(
+        "record", F.coalesce(F.last(F.when(c("begins"), c("line_no")), True).over(upto), c("__open")))
+    single = numbered.where(c("begins") & c("ends") & (F.trim("line") != "")).select(
+        "file", c("line_no").alias("row_no"), F.lit(1).cast("long").alias("lines"), c("line").alias("record"))
+    held = F.when(c("line_no") - c("record") < most_lines, F.struct("line_no", "line"))
+    several = numbered.where(~(c("begins") & c("ends"))).groupBy("file", c("record").alias("row_no")).agg(
+        F.count(F.lit(1)).alias("lines"), F.array_sort(F.collect_list(held)).alias("__l"), F.max(c("ends") & ~c("begins")).alias("__closed"))
+    whole = F.when(c("__closed") & (c("lines") <= most_lines), F.array_join(F.transform("__l", lambda x: x["line"]), "\n"))
+    return single.unionByName(several.select("file", "row_no", "lines", whole.alias("record")))
+
+
+def read_import_csv(spark: SparkSession, path: str, most_lines: int = MOST_LINES) -> tuple[DataFrame, DataFrame]:
+    """(rows, bad records) of CSV files with a header each.
+
+    Rows have the file, ``row_no`` (the line on which the record begins; the header is line 1) and the trimmed values under
+    the trimmed lower-case headers of all files; a column that a file lacks, or a value that a short record lacks, is empty.
+    Bad records (file, row_no, lines, reason) have more values than the header or a quote that is never closed.
+    A header given twice counts at its first place. Files without a line give nothing. One number and the
+    headers of the files that differ are read by the driver.
+    """
+    c = F.col
+    records = cut_lineage(csv_records(spark, path, most_lines))
+    first = records.groupBy("file").agg(F.min_by(F.struct("row_no", "record"), "row_no").alias("__first"))
+
+    def values(text, width):
+        return F.from_csv(
+            text, ", ".join(f"c{k} string" for k in range(width)), {"escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1"})
+
+    # More values than commas plus one there cannot be.
+    width = 2 + (first.agg(F.max(F.regexp_count("__first.record", F.lit(",")))).first()[0] or 0)
+    names = [f"c{k}" for k in range(width)]
+    cells = records.withColumn("__c", values(c("record"), width))
+    heads = cells.join(first.select("file", c("__first.row_no").alias("row_no")), ["file", "row_no"]).select(
+        "file", c("row_no").alias("__head"), F.transform(F.filter(F.array(*[c(f"__c.{n}") for n in names]), lambda x: x.isNotNull()),
+                                  lambda x: F.lower(strip(F.replace(x, F.lit("\ufeff"), F.lit(""))))).alias("__names"))
+    known = sorted({n for row in heads.select("__names").distinct().toLocalIterator() for n in row[0] if n})
+    rows = cells.join(heads, "file").where(c("row_no") > c("__head")).withColumn(
+        "__v", F.array(*[F.coalesce(strip(c(f"__c.{n}")), F.lit("")) for n in names])).withColumn(
+        "__reason", F.when(c("record").isNull(), "quote is not closed").when(
+            F.exists(F.slice("__v", F.size("__names") + 1, width), lambda x: x != ""), "more values than headers"))
+
+    def of(name):
+        at = F.array_position("__names", name)
+        return F.when(at > 0, F.get("__v", (at - 1).cast("int"))).otherwise("").alias(name)
+
+    good = rows.where("__reason is null").select("file", "row_no", *[of(n) for n in known if n not in ("file", "row_no")])
+    return good, rows.where("__reason is not null").select("file", "row_no", "lines", c("__reason").alias("reason"))
 
 
 def number_rows(rows: DataFrame, order: list[Column]) -> DataFrame:
