@@ -11,7 +11,8 @@ span found by a pattern covers it.
 
 Positions count code points; ends are exclusive. Spans are written ``kind:start:end``.
 
-Defined cases: null text counts as empty; repeated rows are scanned each; an empty table gives no rows; further columns are ignored.
+Defined cases: null text counts as empty; very long texts and candidates are read whole, in time that grows with their length; repeated
+rows are scanned each; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -53,18 +54,21 @@ DIGITS = "0123456789"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 CLASSES = (
     EntropyClass("entropy_hex", r"(?<![0-9A-Za-z])(?:[0-9A-F]{20,}|[0-9a-f]{20,})(?![0-9A-Za-z])", DIGITS + "abcdefABCDEF", 20, 3.0),
-    EntropyClass("entropy_base64", r"(?<![0-9A-Za-z+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[^A-Z\x20]*[A-Z])(?=[^a-z\x20]*[a-z])[0-9A-Za-z+/_-]{24,}",
+    EntropyClass("entropy_base64", r"(?<![0-9A-Za-z+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9a-z+/_-]*[A-Z])(?=[0-9A-Z+/_-]*[a-z])[0-9A-Za-z+/_-]{24,}",
                  DIGITS + LOWER + LOWER.upper() + "+/_-", 24, 3.9),
     # In lower case, or in upper case as tokens and base32 are; runs that are hexadecimal have their own class.
     EntropyClass("entropy_token", r"(?<![0-9A-Za-z])(?:(?=[a-z]*[0-9])(?=[0-9]*[a-z])[0-9a-z]{24,}|(?=[A-Z]*[0-9])(?=[0-9A-F]*[G-Z])[0-9A-Z]{24,})(?![0-9A-Za-z])",
                  DIGITS + LOWER + LOWER.upper(), 24, 3.6),
 )
+#: Characters of a long candidate that are judged at a time; a sum of so many steps is off by far less than ``SLACK``.
+PIECE = 512
+SLACK = 1e-9
 #: Shapes that are no secrets: unique ids, digests that say so, numbered or repeated fillers.
 ALLOWED = (
     r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
     r"^(?:sha1|sha256|sha512|md5)[-_]",
     r"^[0-9]+$",
-    r"(?:example|sample|dummy|placeholder|abcdefghij|0123456789)",
+    r"(?i)(?:example|sample|dummy|placeholder|abcdefghij|0123456789)",
 )
 
 
@@ -76,15 +80,17 @@ def _placed(text: Column, pattern: str, kind: str, keep) -> Column:
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("spans"))
 
     def step(state: Column, pair: Column) -> Column:
-        begin = state["at"] + F.length(pair["gap"])
+        begin = state["at"] + pair["gap"]
         end = begin + F.length(pair["value"])
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(
-            F.struct(begin.alias("start"), end.alias("end"), pair["value"].alias("value")))).alias("spans"))
+        # Only what is kept is gathered, since each gathering copies the array.
+        return F.struct(end.alias("at"), F.when(keep(pair["value"]), F.concat(state["spans"], F.array(
+            F.struct(begin.alias("start"), end.alias("end"), pair["value"].alias("value"))))).otherwise(state["spans"]).alias("spans"))
 
-    pairs = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda gap, value: F.struct(gap.alias("gap"), value.alias("value")))
+    pairs = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda gap, value: F.struct(
+        F.length(gap).alias("gap"), value.alias("value")))
     spans = F.aggregate(pairs, start, step, lambda state: state["spans"])
     order = {"assign": 0, "access": 1, "hex": 2}.get(kind, 3)
-    return F.transform(F.filter(spans, lambda s: keep(s["value"])), lambda s: F.struct(
+    return F.transform(spans, lambda s: F.struct(
         s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["value"].alias("value")))
 
 
@@ -94,31 +100,38 @@ def _term(count: Column) -> Column:
 
 
 def best_entropy(value: Column, kind: EntropyClass) -> Column:
-    """Greatest Shannon entropy of a window of ``value``, with counts kept up to date character by character."""
-    size = kind.window
-    zero = F.array_repeat(F.lit(0), len(kind.alphabet) + 1)
-    start = F.struct(zero.alias("counts"), F.lit(0.0).alias("sum"), F.lit(-1.0).alias("best"))
-
-    def changed(counts: Column, place: Column, by: int) -> Column:
-        return F.transform(counts, lambda c, k: F.when(k == place, c + by).otherwise(c))
+    """Greatest Shannon entropy of a window of ``value``, with counts kept up to date character by character.
 
-    def step(state: Column, i: Column) -> Column:
-        into = F.instr(F.lit(kind.alphabet), F.substring(value, i, F.lit(1)))
-        added = F.transform(F.array(F.get(state["counts"], into)), lambda c: F.struct(
-            changed(state["counts"], into, 1).alias("counts"),
-            (state["sum"] + _term(c + 1) - _term(c)).alias("sum")))[0]
+    Long values are judged in pieces that overlap by a window less one character, so that every window lies in a piece
+    and the time grows with the value's length.
+    """
+    size = kind.window
+    pieces = F.regexp_extract_all(value, F.lit(rf"(?s)(?=(.{{1,{PIECE + size - 1}}})).{{1,{PIECE}}}"), F.lit(1))
+    return F.array_max(F.transform(pieces, lambda piece: _best_of_piece(piece, kind)))
 
-        def removed(s: Column) -> Column:
-            out = F.instr(F.lit(kind.alphabet), F.substring(value, i - size, F.lit(1)))
-            return F.transform(F.array(F.get(s["counts"], out)), lambda c: F.struct(
-                changed(s["counts"], out, -1).alias("counts"), (s["sum"] + _term(c - 1) - _term(c)).alias("sum")))[0]
 
-        slid = F.transform(F.array(added), lambda s: F.when(i > size, removed(s)).otherwise(s))[0]
+def _best_of_piece(piece: Column, kind: EntropyClass) -> Column:
+    size = kind.window
+    zero = F.array_repeat(F.lit(0), len(kind.alphabet) + 1)
+    start = F.struct(zero.alias("counts"), F.lit(0.0).alias("sum"), F.lit(-1.0).alias("best"))
+    # Every character is looked up once, in an array that later steps only index.
+    places = F.transform(F.split(piece, ""), lambda c: F.instr(F.lit(kind.alphabet), c))
+    moves = F.transform(F.array(places), lambda all_: F.transform(all_, lambda p, i: F.struct(
+        p.alias("into"), F.when(i >= size, F.get(all_, i - size)).otherwise(-1).alias("out"), (i >= size - 1).alias("full"))))[0]
+
+    def step(state: Column, move: Column) -> Column:
+        counts, into, out = state["counts"], move["into"], move["out"]
+        gain = F.transform(F.array(F.get(counts, into)), lambda c: _term(c + 1) - _term(c))[0]
+        loss = F.when(out >= 0, F.transform(F.array(F.get(counts, out)), lambda c: _term(c) - _term(c - 1))[0]).otherwise(F.lit(0.0))
+        changed = F.transform(counts, lambda c, k: F.when(k == into, c + 1).when(k == out, c - 1).otherwise(c))
+        # A character that enters as its like leaves changes nothing.
+        slid = F.when(into == out, F.struct(counts.alias("counts"), state["sum"].alias("sum"))).otherwise(
+            F.struct(changed.alias("counts"), (state["sum"] + gain - loss).alias("sum")))
         return F.transform(F.array(slid), lambda s: F.struct(
             s["counts"].alias("counts"), s["sum"].alias("sum"),
-            F.greatest(state["best"], F.when(i >= size, math.log2(size) - s["sum"] / size).otherwise(F.lit(-1.0))).alias("best")))[0]
+            F.greatest(state["best"], F.when(move["full"], math.log2(size) - s["sum"] / size).otherwise(F.lit(-1.0))).alias("best")))[0]
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(value)), start, step, lambda s: s["best"])
+    return F.aggregate(moves, start, step, lambda s: s["best"])
 
 
 def _allowed(value: Column) -> Column:
@@ -155,7 +168,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def _entropy_spans(text: Column, kind: EntropyClass) -> Column:
-    return _placed(text, kind.pattern, kind.name, lambda v: ~_allowed(v) & (best_entropy(v, kind) >= kind.threshold))
+    return _placed(text, kind.pattern, kind.name, lambda v: ~_allowed(v) & (best_entropy(v, kind) >= kind.threshold - SLACK))
 
 
 def report(docs: DataFrame) -> DataFrame:

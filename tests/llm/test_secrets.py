@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 from corpusfit.llm import secrets
@@ -82,3 +83,25 @@ def test_values_after_an_equals_sign_and_upper_case(spark):
         assert f"{kind}:{at}:{at + len(value)}" in got[i].split(","), (text, got[i])
         assert got[i] == plain(text)[-1]
     assert all(got[len(found) + k] == "" for k in range(len(plain_texts)))
+
+
+def test_long_candidates_take_linear_time(spark):
+    """One value of 200,000 characters whose only good window lies across a cut between pieces."""
+    rng, size = random.Random(9), 200_000
+    good = "".join(rng.sample("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 24))
+    dull = lambda n: ("aaB1" * n)[:n]
+    texts_ = [dull(secrets.PIECE * 200 - 9) + good + dull(size), dull(size), dull(600) + good, "".join(rng.choices(good, k=size))]
+    docs = spark.createDataFrame([*enumerate(texts_)], "doc_id long, text string")
+    begun = time.time()
+    got = {r.doc_id: r.spans for r in secrets.report(docs).collect()}
+    assert time.time() - begun < 90
+    assert got == {0: f"entropy_base64:0:{len(texts_[0])}", 1: "", 2: f"entropy_base64:0:{len(texts_[2])}", 3: f"entropy_base64:0:{size}"}
+
+
+def test_candidates_end_where_their_class_ends(spark):
+    value = "77bccp6f35z7_mkxgxbwzfryq53"
+    filler = "wJalrXUtnFEMIxK7MDENGxbPxRfiCY"
+    rows = [value, value + "\nHello", filler + "EXAMPLEKEY", filler + "exampleKEY", filler + "KEYS"]
+    docs = spark.createDataFrame([*enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.report(docs).collect()}
+    assert [got[k] for k in range(4)] == [""] * 4 and got[4] == f"entropy_base64:0:{len(rows[4])}"
