@@ -388,18 +388,3 @@ def _(v):
     CAST(start_year AS VARCHAR) AS "start", CAST(end_year AS VARCHAR) AS "end" FROM profile_ranges""")
 def _(v):
     return flags.experience_entries(segment.segment(v("profile_docs")))
-
-
-@query("profile_from_page", """SELECT page_id, kind, position, name, detail, start_month, end_month FROM (
-    SELECT page_id, 'experience' AS kind, CAST(0 AS BIGINT) AS position, 'Lead & maker' AS name, 'Firm ' || page_id AS detail, '2001-02' AS start_month, NULL AS end_month FROM pages
-    UNION ALL SELECT page_id, 'experience', 1, NULL, 'Shop', '1999-01', '2000-03' FROM pages
-    UNION ALL SELECT page_id, 'education', 0, 'School ' || page_id, 'BSc', NULL, NULL FROM pages
-    UNION ALL SELECT page_id, 'skill', 0, 'Sql', NULL, NULL, NULL FROM pages UNION ALL SELECT page_id, 'skill', 2, 'C++', NULL, NULL, NULL FROM pages)""")
-def _(v):
-    k = C("page_id").cast("string")
-    html = F.concat(
-        C("html"), F.lit('<section data-section="experience"><ul><li><h3 class="x">Lead &amp; maker</h3><h4>Firm '), k,
-        F.lit('</h4><span class="date-range">Feb 2001 – Present</span></li><li><h4>Shop</h4><span class="date">1999</span><span class="date">Mar 2000</span></li></ul></section>'
-              '<section><h2>My Education</h2><ul><li><h3>School '), k,
-        F.lit('</h3><h4>BSc</h4></li></ul></section><section data-section="skills"><span class="skill-name">Sql</span><li class="skill">SQL</li><span class="pill-text">C++</span></section>'))
-    return flags.profile_from_page(v("pages").select("page_id", html.alias("html")))

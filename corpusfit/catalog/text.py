@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusfit.catalog.registry import query
 from corpusfit.functions import dates, labels, lists, text
-from corpusfit.operators import dictionary, flags, joins, topk
+from corpusfit.operators import dictionary, flags, joins, page_profile, topk
 
 C = F.col
 YEAR = 2002
@@ -317,6 +317,30 @@ def _(v):
     return v("pages").select("page_id", text.page_meta(C("html")).alias("m")).select("page_id", "m.*")
 
 
+ENTRY = r"regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<li><a href=\"/[^\"]*\">([^<]*)</a></li>', 1)"
+
+
+@query("profile_from_page", rf"""WITH p AS (SELECT page_id, list_transform({ENTRY}, lambda x: {tags('x')}) AS links, {tags("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title FROM pages),
+    l AS (SELECT page_id, unnest(links) AS name, unnest(range(len(links))) AS position FROM p)
+  SELECT page_id, 'experience' AS kind, position, name, CAST(NULL AS VARCHAR) AS detail, CAST(NULL AS VARCHAR) AS start_month, CAST(NULL AS VARCHAR) AS end_month FROM l WHERE name <> ''
+  UNION ALL SELECT page_id, 'skill', min(position), arg_min(name, position), NULL, NULL, NULL FROM l WHERE length(name) BETWEEN 1 AND 99 GROUP BY page_id, lower(name)
+  UNION ALL SELECT page_id, 'education', 0, CASE WHEN links[1] <> '' THEN links[1] END, nullif(title, ''), '1999-01', '2000-03' FROM p WHERE links[1] <> ''
+  UNION ALL SELECT page_id, 'education', 1, links[1], NULL, NULL, NULL FROM p WHERE links[1] <> ''
+  UNION ALL SELECT page_id, 'education', 2, nullif(title, ''), NULL, NULL, NULL FROM p WHERE title <> ''""")
+def _(v):
+    """Links of the pages' menus stand for work entries and pills; a record with a nested list, told by its id, follows the page."""
+    title = F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1)
+    menu = F.regexp_extract("html", "(?s)<nav>(.*?)</nav>", 1)
+    first = F.regexp_extract(menu, '<li><a href="/[^"]*">([^<]*)</a></li>', 1)
+    html = F.regexp_replace(
+        F.regexp_replace("html", "(?s)<nav>(.*?)</nav>", "<section><h2>Work History</h2>$1</section>"),
+        '<li>(<a) (href="/[^"]*">[^<]*</a>)</li>', '<li><h3>$1 class="endorsement-pill" $2</h3></li>')
+    record = F.concat(
+        F.lit('<div id="my-academic-record"><ul><li><h3>Outer</h3><h4>'), title, F.lit('</h4><ul><li><span class="school">'), first,
+        F.lit('</span></li></ul><span class="date">1999</span><span class="date">Mar 2000</span></li><li><h3>'), title, F.lit("</h3></li></ul></div>"))
+    return page_profile.profile_from_page(v("pages").select("page_id", F.concat(html, record).alias("html")))
+
+
 @query("page_headings", rf"""SELECT page_id, array_to_string(list_filter(list_transform(regexp_extract_all(html, '(?is)<h[1-4][^>]*>(.*?)</h[1-4]>', 1),
     lambda h: {tags('h')}), lambda h: length(h) BETWEEN 5 AND 199), ' | ') AS headings FROM pages""")
 def _(v):
