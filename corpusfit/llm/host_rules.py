@@ -5,7 +5,7 @@ single rules. Per host: how many documents fail each rule. A host's failure rate
 with a beta prior that is fitted to the counts (beta-binomial moments from pairs of documents, hosts weighted by documents,
 so without the sampling noise of the rates), so a host with few documents is judged mostly by the prior. A host fails when a shrunk rate has odds
 of ``times_mean`` those of the prior mean and at least ``least_rate``, or is over ``greatest_limit`` in any case; the
-verdict is joined back to its documents. ``rate_*`` are the rates by a prior with the plain mean and variance of the hosts' rates.
+verdict is joined back to its documents. ``rate_*`` are the shrunk rates that are judged.
 
 Counts are pre-aggregated in the map tasks, so a host with a third of all documents is one row per task.
 
@@ -51,7 +51,7 @@ def _counts(docs: DataFrame, host: str) -> DataFrame:
         F.regexp_extract_all(text, F.lit(f"[^{SPACE}]+"), F.lit(0)).alias("words"),
         F.filter(F.split(text, "\n", -1), lambda line: line.rlike(f"[^{SPACE}]")).alias("lines"))
     count = F.size("words")
-    # Hash of every window; its lower bits are then replaced by its place, so that one sort brings equal windows together.
+    # Hash of every window with its place: one sort brings equal windows together.
     windows = F.when(count >= WINDOW, F.transform(
         F.sequence(F.lit(0), count - WINDOW),
         lambda i: F.xxhash64(*[F.get(F.col("words"), i + k) for k in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>"))
@@ -61,24 +61,13 @@ def _counts(docs: DataFrame, host: str) -> DataFrame:
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size("lines").cast("long").alias("n_lines"), windows.alias("windows"))
-    size = F.lit(1 << 24).cast("long")  # places of a text: more than its words can be
-    placed = hashed.withColumn("sorted", F.sort_array(F.transform(
-        "windows", lambda h, i: h - F.pmod(h, size) + i.cast("long"))))
-
-    def place(value: Column) -> Column:
-        return F.pmod(value, size).cast("int")
-
-    def same(one: Column, other: Column) -> Column:
-        # Equal upper bits are made sure by the whole hashes.
-        return (one - F.pmod(one, size) == other - F.pmod(other, size)) & (
-            F.get(F.col("windows"), place(one)) == F.get(F.col("windows"), place(other)))
+    placed = hashed.withColumn("sorted", F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
 
     def again(value: Column, i: Column) -> Column:
-        return F.coalesce(same(value, F.get(F.col("sorted"), i - 1)), F.lit(False)) | F.coalesce(
-            same(value, F.get(F.col("sorted"), i + 1)), F.lit(False))
+        return F.coalesce(value["h"] == F.get(F.col("sorted"), i - 1)["h"], F.lit(False)) | F.coalesce(
+            value["h"] == F.get(F.col("sorted"), i + 1)["h"], F.lit(False))
 
-    repeated = placed.withColumn(
-        "starts", F.sort_array(F.transform(F.filter("sorted", again), lambda v: place(v))))
+    repeated = placed.withColumn("starts", F.sort_array(F.transform(F.filter("sorted", again), lambda v: v["i"])))
     covered = F.aggregate(
         F.transform("starts", lambda p, i: F.least(
             F.lit(WINDOW), F.coalesce(F.get(F.col("starts"), i + 1) - p, F.lit(WINDOW)))),
@@ -117,25 +106,16 @@ def host_verdicts(judged: DataFrame, rules: Rules = Rules()) -> DataFrame:
     names = list(failures(rules))
     hosts = judged.where("host is not null").groupBy("host").agg(
         F.count(F.lit(1)).alias("n_docs"), *[F.sum(F.col(f"failed_{n}").cast("long")).alias(n) for n in names])
-    stats = []
+    stats = [F.count(F.lit(1)).alias("hosts"), F.sum("n_docs").alias("docs")]
     for n in names:
-        rate = F.col(n) / F.col("n_docs")
-        stats += [F.avg(rate).alias(f"mean_{n}"), F.var_samp(rate).alias(f"var_{n}"), F.sum(n).alias(f"sum_{n}"),
-                  F.sum((F.col(n) - 1) * rate).alias(f"pairs_{n}")]
-    stats += [F.count(F.lit(1)).alias("hosts"), F.sum("n_docs").alias("docs")]
+        stats += [F.sum(n).alias(f"sum_{n}"), F.sum((F.col(n) - 1) * F.col(n) / F.col("n_docs")).alias(f"pairs_{n}")]
     prior, out = hosts.agg(*stats).first(), hosts  # the prior is one row: a few numbers per rule
     failed = F.lit(False)
     for n in names:
-        mean, var = prior[f"mean_{n}"] or 0.0, prior[f"var_{n}"] or 0.0
-        # Beta(mean * strength, (1 - mean) * strength) has this mean and variance. Rates that do not differ say nothing
-        # against any host: the prior is then as strong as a million documents.
-        strength = min(1e6, max(1e-3, mean * (1 - mean) / var - 1)) if var > 0 else 1e6
-        shrunk = (F.col(n) + mean * strength) / (F.col("n_docs") + strength)
-        out = out.withColumn(f"rate_{n}", shrunk)
         mean, strength = _beta_binomial(prior["hosts"], prior["docs"] or 0, prior[f"sum_{n}"] or 0, prior[f"pairs_{n}"] or 0.0)
+        out = out.withColumn(f"rate_{n}", (F.col(n) + mean * strength) / (F.col("n_docs") + strength))
         by_odds = rules.times_mean * mean / (1 - mean + rules.times_mean * mean)
-        limit = min(rules.greatest_limit, max(rules.least_rate, by_odds))
-        failed = failed | ((F.col(n) + mean * strength) / (F.col("n_docs") + strength) > limit)
+        failed = failed | (F.col(f"rate_{n}") > min(rules.greatest_limit, max(rules.least_rate, by_odds)))
     return out.withColumn("host_failed", failed).select("host", "n_docs", *[f"rate_{n}" for n in names], "host_failed")
 
 

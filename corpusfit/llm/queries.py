@@ -87,9 +87,11 @@ def op2_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     f AS (SELECT doc_id, host, unnest([{'r': 'short', 'x': n_words < 10}, {'r': 'repeats', 'x': 100 * n_repeat_words > 20 * n_words}, {'r': 'symbols', 'x': 100 * n_symbols > 10 * word_chars},
       {'r': 'dup_lines', 'x': 100 * n_dup_lines > 30 * n_lines}, {'r': 'word_length', 'x': word_chars < 2 * n_words OR word_chars > 12 * n_words}]) AS q FROM c),
     h AS (SELECT host, q.r AS r, count(*) AS n, count(*) FILTER (q.x) AS k FROM f WHERE host IS NOT NULL GROUP BY 1, 2),
-    p AS (SELECT r, avg(k / n) AS m, coalesce(var_samp(k / n), 0) AS v FROM h GROUP BY r),
-    s AS (SELECT *, CASE WHEN v > 0 THEN least(1e6, greatest(1e-3, m * (1 - m) / v - 1)) ELSE 1e6 END AS strength FROM p),
-    bad AS (SELECT DISTINCT host FROM h JOIN s USING (r) WHERE (k + m * strength) / (n + strength) > greatest(0.5, 3 * m)),
+    p AS (SELECT r, count(*) AS hosts, sum(n) AS docs, sum(k) AS failed, sum((k - 1) * k / n) AS pairs FROM h GROUP BY r),
+    m AS (SELECT *, failed / docs AS m FROM p),
+    a AS (SELECT *, CASE WHEN docs > hosts AND m * (1 - m) > 0 THEN (pairs / (docs - hosts) - m * m) / (m * (1 - m)) ELSE 0 END AS alike FROM m),
+    s AS (SELECT r, m, CASE WHEN alike > 0 THEN least(1e6, greatest(2, 1 / alike - 1)) ELSE 1e6 END AS strength, least(0.9, greatest(0.5, 3 * m / (1 - m + 3 * m))) AS most FROM a),
+    bad AS (SELECT DISTINCT host FROM h JOIN s USING (r) WHERE (k + m * strength) / (n + strength) > most),
     b AS (SELECT c.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, host IS NOT NULL AND host IN (SELECT host FROM bad) AS host_failed FROM c)
   SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT host_failed AS kept, host, host_failed FROM b""")
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,12 @@
 
 import random
 import re
-import statistics
 from collections import Counter
 
+import duckdb
 from pyspark.sql import functions as F
 
-from corpusfit.llm import host_rules
+from corpusfit.llm import host_rules, queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -60,9 +60,11 @@ def test_counts_and_hosts(spark):
     for i, text, source, _ in rows:
         if source is not None:
             by_host.setdefault(source, []).append(plain(text)[0] < 10)
-    rates = [sum(v) / len(v) for v in by_host.values()]
-    mean, var = statistics.mean(rates), statistics.variance(rates)
-    strength = min(1e6, max(1e-3, mean * (1 - mean) / var - 1))
+    n_docs, n_failed = sum(map(len, by_host.values())), sum(map(sum, by_host.values()))
+    mean = n_failed / n_docs
+    together = sum((sum(v) - 1) * sum(v) / len(v) for v in by_host.values()) / (n_docs - len(by_host))
+    alike = (together - mean * mean) / (mean * (1 - mean))
+    strength = max(2.0, 1 / alike - 1) if alike > 0 else 1e6
     for host, v in by_host.items():
         assert abs(hosts[host].rate_short - (sum(v) + mean * strength) / (len(v) + strength)) < 1e-9
         assert hosts[host].n_docs == len(v)
@@ -94,3 +96,21 @@ def test_one_document_is_no_verdict(spark):
     assert verdicts(spark, [(f"h{k}", 1, int(k % 20 == 0)) for k in range(400)]) == set()
     assert verdicts(spark, [(f"h{k}", 1 + k % 2, int(k % 20 == 0)) for k in range(400)]) == set()
     assert verdicts(spark, [(f"h{k}", 1, int(k % 20 == 0)) for k in range(400)] + [("bad", 200, 190)]) == {"bad"}
+
+
+def test_twin_where_hosts_fail(spark, tmp_path):
+    """The DuckDB twin knows the fitted prior: hosts that fail wholly, partly, hardly or with one document."""
+    rng, rows = random.Random(3), []
+    shares = {"bad": (60, 60), "half": (40, 24), "mixed": (50, 20), "one": (1, 1), "good": (80, 1), None: (5, 2)} | {f"h{k}": (12, 0) for k in range(6)}
+    for host, (n, bad) in shares.items():
+        for k in range(n):
+            words = [f"w{rng.randrange(10_000)}" for _ in range(30)]
+            rows.append((len(rows), "### $$$ " * 20 + " ".join(words) if k < bad else " ".join(words), host))
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((tuple(r) for r in queries.op6_host_rules(spark, str(tmp_path)).collect()), key=str)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.execute(queries.ORACLES["op6_host_rules"]).fetchall(), key=str)
+    assert got == want and len(got) == len(rows)
+    failed = {r[8] for r in got if r[9]}
+    assert "bad" in failed and not failed & {"one", "good", "h0", None}
