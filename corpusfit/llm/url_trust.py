@@ -3,9 +3,8 @@
 Rules name a host (with all its subdomains) and the beginning of a path; the longest one that fits decides. Hosts without a rule
 are judged by two personalised PageRanks over host edges: trust starts at trusted hosts and follows links, distrust
 starts at blocked hosts and goes against them (who links to a bad host is suspect). Blocked hosts without a rule are blocked.
-Any other host is blocked when its distrust exceeds ``times`` its trust by more than ``least_distrust`` of one blocked
-seed's mass, so the least distrust does not depend on how many hosts are blocked. Trust and distrust are compared as
-shares of all trust and all distrust.
+Any other host is blocked when its distrust exceeds ``times`` its trust by more than ``least_distrust``, all in masses of one
+seed of their kind, so a verdict does not depend on how many other hosts are blocked or trusted.
 
 Host edges are counted per pair of hosts: absolute links and named hosts in the pages' HTML, and a host's parent domain
 where that is a host of the table too. Seeds are the hosts of rules that cover whole hosts, and those of two given lists.
@@ -36,7 +35,6 @@ MENTION = r"(?:://|&copy;\s{0,4})((?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"
 @dataclass(frozen=True)
 class Settings:
     follow: float = 0.7
-    most_rounds: int = 40
     rounds_between_looks: int = 5
     settled: float = 1e-3
     times: float = 1.0
@@ -110,28 +108,26 @@ def ranks(edges: DataFrame, seeds: DataFrame, settings: Settings = Settings()) -
         "kind", F.col("source").alias("host"), "target", (F.col("pages") / F.col("all")).alias("share")))
     state = start.withColumnRenamed("mass", "rank")
     base = start.select("kind", "host", (F.col("mass") * (1 - settings.follow)).alias("rank"))
-    done = 0
-    while done < settings.most_rounds:
+    # What still moves falls by ``follow`` a round, so this ends.
+    while True:
         before = state
         for _ in range(settings.rounds_between_looks):
             moved = shares.join(state, ["kind", "host"]).select(
                 "kind", F.col("target").alias("host"), (F.col("rank") * F.col("share") * settings.follow).alias("rank"))
             state = moved.union(base).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-            done += 1
         state = cut_lineage(state)
         # In all, and at every host in masses of one seed: a single seed's surroundings are small in all when there are many.
         moved = F.abs(F.coalesce("now", F.lit(0.0)) - F.coalesce("rank", F.lit(0.0)))
         change = state.withColumnRenamed("rank", "now").join(before, ["kind", "host"], "full").join(total, "kind").agg(
             F.sum(moved), F.max(moved * F.col("all"))).first()
         if max(change[0] or 0.0, change[1] or 0.0) <= settings.settled:
-            break
-    return state
+            return state
 
 
 def judge(
     pages: DataFrame, rules: DataFrame, trusted: Sequence[str] = (), blocked: Sequence[str] = (), settings: Settings = Settings()
 ) -> DataFrame:
-    """``page_id, host, path, rule, verdict, trust, distrust`` of every page. ``rules`` has (rule, verdict)."""
+    """``page_id, host, path, rule, verdict, trust, distrust`` of every page, the last two in masses of one seed. ``rules`` has (rule, verdict)."""
     places = located(pages)
     hosts = cut_lineage(places.groupBy("host").agg(F.count(F.lit(1)).alias("pages")))
     by_host = rules_by_host(hosts, rules)
@@ -149,11 +145,9 @@ def judge(
     found = ranks(both, seeds, settings)
     in_seeds = found.join(_totals(seeds), "kind")
     kinds = ("trust", "distrust")
-    scored = in_seeds.groupBy("host").agg(
-        *[F.coalesce(F.max(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0)).alias(k) for k in kinds],
-        F.max(F.when(F.col("kind") == "distrust", F.col("all"))).alias("blocked"))
-    # Null, and so no suspect, for a host that no distrust reaches.
-    suspect = F.coalesce(F.col("distrust") > settings.times * F.col("trust") + settings.least_distrust / F.col("blocked"), F.lit(False))
+    scored = in_seeds.groupBy("host").agg(*[
+        F.coalesce(F.max(F.when(F.col("kind") == k, F.col("rank") * F.col("all"))), F.lit(0.0)).alias(k) for k in kinds])
+    suspect = F.col("distrust") > settings.times * F.col("trust") + settings.least_distrust
     scored = scored.join(seeds.where("kind = 'distrust'").select("host", F.lit(True).alias("bad")), "host", "left").select(
         "host", *kinds, (F.coalesce("bad", F.lit(False)) | suspect).alias("suspect"))
     # Written, so that the join below begins with plain exchanges, which Spark can split at a host with very many pages.

@@ -51,9 +51,9 @@ def plain(blocked, settings):
     good = {h for h in hosts if inside(h, "org")} - bad
     out = {}
     for kind, seeds, links in (("trust", good, edges), ("distrust", bad, {(t, s): n for (s, t), n in edges.items()})):
-        start = {h: 1 / len(seeds) for h in seeds}
+        start = {h: 1.0 for h in seeds}
         rank = dict(start)
-        for _ in range(settings.most_rounds):
+        for _ in range(150):
             new = {h: m * (1 - settings.follow) for h, m in start.items()}
             for (s, t), n in links.items():
                 new[t] = new.get(t, 0) + settings.follow * rank.get(s, 0) * n / sum(k for (x, _), k in links.items() if x == s)
@@ -63,7 +63,7 @@ def plain(blocked, settings):
 
 
 def test_judged(spark):
-    settings = url_trust.Settings(settled=0.0)
+    settings = url_trust.Settings(settled=1e-13)
     pages = spark.createDataFrame([(*p, "z") for p in PAGES], "page_id long, url string, html string, host string")
     rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
     rows = url_trust.judge(pages, rules, blocked=["bad.net"], settings=settings).collect()
@@ -101,6 +101,18 @@ def test_verdicts_do_not_depend_on_the_number_of_seeds(spark, seeds):
     assert [got[k] for k in range(5000, 5004)] == ["block", "block", "allow", "allow"]
 
 
+@pytest.mark.parametrize("good,bad", [(1, 1), (400, 1), (1, 400)])
+def test_verdicts_do_not_depend_on_the_other_side(spark, good, bad):
+    """A host that a trusted host and, less, distrust reach keeps its verdict when seeds far away are added on one side."""
+    rows = [(k, f"http://h{k}.bad.net/", None) for k in range(bad)] + [(1000 + k, f"http://g{k}.org/", None) for k in range(good)]
+    rows += [(5000, "http://g0.org/a", "https://trusted.net/"), (5001, "http://trusted.net/", "https://h0.bad.net/ https://p.net/ https://q.net/"),
+             (5002, "http://suspect.net/", "https://h0.bad.net/")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rules = spark.createDataFrame([("org/", "allow")], "rule string, verdict string")
+    got = {r.page_id: r.verdict for r in url_trust.judge(pages, rules, blocked=["bad.net"]).collect()}
+    assert (got[5001], got[5002]) == ("allow", "block")
+
+
 def test_a_long_way_from_one_of_many_seeds(spark):
     rows = [(k, f"http://h{k}.bad.net/", None) for k in range(2000)]
     rows += [(5000 + k, f"http://c{k}.net/", f"https://{'c%d.net' % (k - 1) if k else 'h0.bad.net'}/") for k in range(12)]
