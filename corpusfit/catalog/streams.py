@@ -50,6 +50,26 @@ def _(v):
     return run.read_result(v.spark, folder).withColumn("received_at", C("received_at").cast("timestamp_ntz"))
 
 
+@query("intake_late", """WITH m AS (SELECT message_id, received_at, CASE WHEN day(received_at) <= 10 THEN 0 WHEN day(received_at) > 20 THEN 1 ELSE 2 END AS b, events.user_id FROM landing JOIN events ON event_id = message_id),
+    e AS (SELECT message_id, received_at, b FROM m UNION ALL SELECT message_id, received_at, greatest(b, 1) FROM m WHERE user_id % 3 = 0),
+    t AS (SELECT b, max(received_at) AS newest FROM e GROUP BY b),
+    l AS (SELECT message_id, b, coalesce(received_at < (SELECT max(newest) FROM t WHERE t.b < e.b) - INTERVAL 15 DAY, false) AS late FROM e),
+    f AS (SELECT message_id, min(b) AS b FROM l WHERE NOT late GROUP BY message_id)
+  SELECT message_id, 'landed' AS fate, b AS batch_id FROM f UNION ALL SELECT message_id, 'late', b FROM l WHERE late""")
+def _(v):
+    """First the month's first ten days, then its end, then what lies between; a third of the messages come twice."""
+    folder = run.work_folder(v.spark, "late")
+    rows = _landing(v("events").withColumn("ts", C("ts").cast("timestamp"))).join(v("events").select(C("event_id").alias("message_id"), "user_id"), "message_id")
+    day = F.dayofmonth("received_at")
+    part = F.when(day <= 10, 0).when(day > 20, 1).otherwise(2)
+    sent = rows.withColumn("part", part).unionByName(rows.where("user_id % 3 = 0").withColumn("part", F.greatest(part, F.lit(1))))
+    stream = run.batches_stream(sent, f"{folder}/in", [C("part") == 0, C("part") == 1])
+    intake.land_with_late(stream.drop("part", "user_id"), folder, "message_id", "received_at", 15 * 86400)
+    landed = run.read_result(v.spark, folder).select("message_id", F.lit("landed").alias("fate"), C("batch_id").cast("int"))
+    late = v.spark.read.parquet(f"{folder}/late").select("message_id", F.lit("late").alias("fate"), C("batch_id").cast("int"))
+    return landed.unionByName(late)
+
+
 @query("intake_merge", """SELECT message_id, received_at, CASE WHEN status IN ('failed', 'keyword_filtered', 'new') THEN 'processed' ELSE status END AS status FROM landing""")
 def _(v):
     stored = v("landing").select("message_id", "received_at", "status")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusfit.scale import cut_lineage
 from corpusfit.streaming import run
 
 # States from which a message may be taken in again.
@@ -18,6 +19,42 @@ def intake_dedup(stream: DataFrame, id_col: str, ts: str, delay: str = "1 day")
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([id_col])
 
 
+def land_with_late(stream: DataFrame, folder: str, id_col: str, ts: str, delay_seconds: int) -> None:
+    """First row of each message id as ``intake_dedup``, with a side table of the rows that come too late.
+
+    The mark is the newest time of earlier batches less the delay. A row before it goes to ``folder``/late and is counted there. The
+    others land once: only ids that landed within two delays of the newest time are read, by day, so a batch costs the
+    same however much has landed. A batch that is repeated after a failure replaces its own files. A row without a time
+    cannot be late and meets the rows without a time.
+    """
+    spark = stream.sparkSession
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        newest = None
+        if batch_id > 0:
+            newest = spark.read.parquet(f"{folder}/marks").where(F.col("batch_id") < batch_id).agg(F.max("newest")).first()[0]
+        rows = cut_lineage(batch)  # the source is read once for four results
+        mark = F.lit(newest) - F.make_dt_interval(secs=F.lit(delay_seconds))
+        late = F.coalesce(F.col(ts) < mark, F.lit(False)) if newest is not None else F.lit(False)
+        first = run.first_rows(rows.where(~late), [id_col], [ts])
+        if batch_id > 0:
+            known = run.read_result(spark, folder).where(F.col("batch_id") < batch_id)
+            if newest is not None:
+                since = F.to_date(F.lit(newest) - F.make_dt_interval(secs=F.lit(2 * delay_seconds)))
+                known = known.where(F.col("day").isNull() | (F.col("day") >= since))
+            first = first.join(known.select(id_col), id_col, "left_anti")
+        first.withColumn("day", F.to_date(ts)).write.mode("overwrite").partitionBy("day").parquet(f"{folder}/data/batch_id={batch_id}")
+        rows.where(late).write.mode("overwrite").parquet(f"{folder}/late/batch_id={batch_id}")
+        rows.agg(F.max(ts).alias("newest")).write.mode("overwrite").parquet(f"{folder}/marks/batch_id={batch_id}")
+
+    run.run_batches(stream, folder, handle)
+
+
+def late_counts(spark, folder: str) -> DataFrame:
+    """Late rows per batch."""
+    return spark.read.parquet(f"{folder}/late").groupBy("batch_id").agg(F.count(F.lit(1)).alias("late"))
+
+
 def intake_merge(landing: DataFrame, incoming: DataFrame, order: str = "received_at") -> DataFrame:
     """Landing table after a batch: new ids are added, retryable rows replaced, others kept."""
     values = [c for c in landing.columns if c != "message_id"]
