@@ -11,7 +11,8 @@ C = F.col
 
 
 def _stream(v, table: str):
-    return run.file_stream(v.spark, v.folder, v(table).schema, f"{table}.parquet")
+    """A table that is one file, or a folder of files; only a pattern of paths may name either."""
+    return run.file_stream(v.spark, f"{v.folder}/{table}.parque[t]", v(table).schema, "*")
 
 
 def _shuffled_stream(v, table: str, again: str | None = None):
