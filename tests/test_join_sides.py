@@ -3,6 +3,7 @@
 import re
 
 from corpusfit.plans import matching, scoring, tfidf
+from corpusfit.scale import cut_lineage
 
 
 def broadcast_columns(df):
@@ -31,3 +32,29 @@ def test_sections_are_not_broadcast_to_their_skills(spark):
         sections, found.groupBy("doc_id").agg(matching.F.array_distinct(matching.F.collect_list(matching.F.struct(
             "skill", matching.F.lower("skill").alias("name"), matching.long_words(matching.F.col("skill")).alias("words"),
             matching.skill_aliases(matching.F.col("skill")).alias("aliases")))).alias("skills")), 2002)))
+
+
+def planned_broadcasts(df):
+    """The two topmost steps of each side that the planner would broadcast before it has run anything."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    return "\n".join(step for i, line in enumerate(lines) if "BroadcastExchange" in line for step in lines[i + 1:i + 3])
+
+
+def stored(spark, *tables):
+    """Tables as files, whose size the planner knows."""
+    return [cut_lineage(t) for t in tables]
+
+
+def test_education_texts_and_pairs_are_not_broadcast_to_scores(spark):
+    sections, pairs, skills = tables(spark)
+    roles = spark.createDataFrame([(1, 50, 30, 20, 2, None, None)], (
+        "role_id int, weight_projects int, weight_skills int, weight_education int, min_experience int, min_degree string, preferred_majors string"))
+    found = spark.createDataFrame([(k, 1, True, 0.5) for k in range(40)], "doc_id long, role_id int, is_required boolean, work_score double")
+    sections, pairs, skills, roles, found = stored(spark, sections, pairs, skills, roles, found)
+    scored = scoring.score_documents(found, sections, roles, skills, pairs)
+    assert not re.search("edu_text|collect_list|project_sum", planned_broadcasts(scored))
+    vector = "array<struct<term:bigint,w:double>>"
+    docs = spark.createDataFrame([(k, 1.0, [(7, 1.0)]) for k in range(40)], f"doc_id long, total double, terms {vector}")
+    terms = spark.createDataFrame([(1, 1.0, [(7, 1.0)])], f"role_id int, total double, terms {vector}")
+    docs, terms = stored(spark, docs, terms)
+    assert "doc_id" not in planned_broadcasts(tfidf.pair_cosine(docs, terms, pairs))
