@@ -9,7 +9,7 @@ from corpusfit.functions import labels
 from corpusfit.functions.text import fit_summary
 from corpusfit.operators.filters import gate_experience
 from corpusfit.plans import matching, requirements, scoring, tfidf
-from corpusfit.scale import cut_lineage
+from corpusfit.scale import by_shuffle, cut_lineage
 
 MAIL_FROM = 85
 
@@ -36,7 +36,7 @@ def evaluate(
     open_pairs = routed.filter(~c("intake_paused") & c("gate_reason").isNull())
     relevance = tfidf.tfidf_relevance(docs, role_docs, open_pairs.select("doc_id", "role_id"))
     routed = cut_lineage(routed.join(
-        relevance.select("doc_id", "role_id", c("score").alias("tfidf_score")), ["doc_id", "role_id"], "left"
+        by_shuffle(relevance.select("doc_id", "role_id", c("score").alias("tfidf_score"))), ["doc_id", "role_id"], "left"
     ).withColumn("eval_status", F.when(c("intake_paused"), "queued").when(c("gate_reason").isNotNull(), "experience_filtered")
                  .when((c("tfidf_threshold") > 0) & (c("tfidf_score") < c("tfidf_threshold")), "tfidf_filtered"))
      .withColumn("fresher", labels.is_fresher(c("is_entry_level"), c("level"), c("graduation_year"), as_of_year)))
@@ -49,15 +49,15 @@ def evaluate(
     scored = scoring.score_documents(found, sections, roles, role_skills, by_skills, jd)
     ruled = requirements.score_requirements(
         requirements.requirement_breakdown(sections, rules, roles, by_rules, as_of_year), roles, jd).select(*scored.columns)
-    both = scored.unionByName(ruled).join(modifiers.select("doc_id", "role_id", "modifier"), ["doc_id", "role_id"], "left")
+    both = scored.unionByName(ruled).join(by_shuffle(modifiers.select("doc_id", "role_id", "modifier")), ["doc_id", "role_id"], "left")
     final = both.select(
         "doc_id", "role_id", F.lit(None).cast("string").alias("eval_status"),
         F.greatest(F.lit(0.0), F.least(F.lit(100.0), c("total") + F.coalesce("modifier", F.lit(0.0)))).alias("total_score"),
         "project_score", "skill_score", "education_score", "experience_score", "jd_alignment",
-    ).join(routed.select("doc_id", "role_id", "tfidf_score"), ["doc_id", "role_id"])
+    ).join(by_shuffle(routed.select("doc_id", "role_id", "tfidf_score")), ["doc_id", "role_id"])
 
     stopped = routed.filter(c("eval_status").isNotNull())
-    hits = stopped.filter("eval_status = 'tfidf_filtered'").join(docs.select("doc_id", "text"), "doc_id").select(
+    hits = stopped.filter("eval_status = 'tfidf_filtered'").join(by_shuffle(docs.select("doc_id", "text")), "doc_id").select(
         "doc_id", "role_id", F.array_join(tfidf.keyword_hits(c("text"), c("__skills")), ", ").alias("__hits"))
     early = F.concat(F.lit("Entry rules: "), c("gate_reason"), F.lit(". Not scored."))
     weak = F.concat(
@@ -65,7 +65,7 @@ def evaluate(
         F.lit("% is below the threshold of the role. Not scored. Skills named: "),
         F.coalesce(F.nullif(c("__hits"), F.lit("")), F.lit("none")), F.lit("."))
     zero = [F.lit(0.0).alias(n) for n in ("project_score", "skill_score", "education_score", "experience_score", "jd_alignment")]
-    early_rows = stopped.join(hits, ["doc_id", "role_id"], "left").select(
+    early_rows = stopped.join(by_shuffle(hits), ["doc_id", "role_id"], "left").select(
         "doc_id", "role_id", "eval_status",
         F.when(c("eval_status") == "tfidf_filtered", F.bround(c("tfidf_score") * 20, 1)).otherwise(0.0).alias("total_score"), *zero,
         F.when(c("eval_status") == "tfidf_filtered", c("tfidf_score")).alias("tfidf_score"),

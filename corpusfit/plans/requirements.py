@@ -12,7 +12,7 @@ from corpusfit.operators.topk import best_excerpt
 from corpusfit.plans.scoring import majors_of, shown
 from corpusfit.plans import vectors
 from corpusfit.plans.tfidf import TECH_WORD
-from corpusfit.scale import cut_lineage
+from corpusfit.scale import by_shuffle, cut_lineage
 
 
 TOP_SECTION_WEIGHT = 1.2
@@ -44,9 +44,9 @@ def rule_similarity(sections: DataFrame, rules: DataFrame, pairs: DataFrame) ->
     role_terms, role_own = parts(rule_vectors, "role_id", "dr", "rule_own")
     n_sec = doc_vectors.select("doc_id", F.col("n_items").alias("n_sec"))
     n_req = rule_vectors.select("role_id", F.col("n_items").alias("n_req"))
-    sized = pairs.select("doc_id", "role_id").distinct().join(n_sec, "doc_id").join(n_req, "role_id").withColumn(
+    sized = pairs.select("doc_id", "role_id").distinct().join(by_shuffle(n_sec), "doc_id").join(n_req, "role_id").withColumn(
         "n", F.col("n_sec") + F.col("n_req"))
-    met = sized.join(doc_terms, "doc_id").join(role_terms, ["role_id", "term"])
+    met = sized.join(by_shuffle(doc_terms), "doc_id").join(role_terms, ["role_id", "term"])
     shared = met.withColumn("idf", _idf(F.col("n"), F.col("ds") + F.col("dr"))).select(
         "doc_id", "role_id", "idf",
         (F.pow("idf", 2) - F.pow(_idf(F.col("n"), F.col("ds")), 2)).alias("fix_s"),
@@ -66,7 +66,7 @@ def rule_similarity(sections: DataFrame, rules: DataFrame, pairs: DataFrame) ->
 
     full = (
         dots.join(sec_fix, [*key, "start_line"]).join(rule_fix, [*key, "rule_id"])
-        .join(sized.select(*key, "n"), key).join(doc_own, ["doc_id", "start_line"]))
+        .join(by_shuffle(sized.select(*key, "n")), key).join(by_shuffle(doc_own), ["doc_id", "start_line"]))
     full = full.join(role_own, ["role_id", "rule_id"])
     norm = F.sqrt(own("sec_own") + F.col("sec_fix")) * F.sqrt(own("rule_own") + F.col("rule_fix"))
     return full.select(*key, "rule_id", "start_line", F.least(F.col("dot") / F.nullif(norm, F.lit(0.0)), F.lit(1.0)).alias("cosine"))
@@ -89,7 +89,7 @@ def requirement_breakdown(
     sections = sections.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
     text_rules = rules.filter(c("req_type").isin("skill", "other"))
     sims = rule_similarity(sections, rules, pairs)
-    ranked = sims.join(sections.select("doc_id", "start_line", "weight", "text"), ["doc_id", "start_line"]).withColumn(
+    ranked = sims.join(by_shuffle(sections.select("doc_id", "start_line", "weight", "text")), ["doc_id", "start_line"]).withColumn(
         "effective", c("cosine") * c("weight"))
     ranked = ranked.join(text_rules.select("role_id", "rule_id", "label"), ["role_id", "rule_id"]).filter("effective > 0")
     best = ranked.withColumn("evidence", best_excerpt(c("text"), c("label"))).groupBy("doc_id", "role_id", "rule_id").agg(
@@ -111,7 +111,7 @@ def requirement_breakdown(
         .otherwise(F.array_join(F.transform("__p", lambda p: p["text"]), " ")).alias("exp_text"))
     other = rules.filter(c("req_type").isin("education", "experience"))
     settings = roles.select("role_id", "min_degree", "preferred_majors")
-    rows = pairs.select("doc_id", "role_id").distinct().join(texts, "doc_id").join(settings, "role_id").join(other, "role_id")
+    rows = pairs.select("doc_id", "role_id").distinct().join(by_shuffle(texts), "doc_id").join(settings, "role_id").join(other, "role_id")
     words = _label_words(c("label"))
     edu_base = edu_score(c("edu_text"), c("min_degree"), majors_of(c("preferred_majors")))
     edu_raw = F.least(edu_base + _share(words, c("edu_text")) * 0.5 * (1.0 - edu_base), F.lit(1.0))
@@ -151,7 +151,7 @@ def score_requirements(
         F.max_by("evidence", F.when(c("evidence").isNotNull(), F.struct("raw", -c("rule_id")))).alias("top_excerpt"),
         F.array_sort(F.collect_list(F.struct(
             "rule_id", "label", "req_type", "weight", F.bround(c("raw") * 100, 2).alias("score"), "evidence"))).alias("breakdown"))
-    sums = sums.join(jd.select("doc_id", "role_id", c("score").alias("jd")), ["doc_id", "role_id"], "left").na.fill(0.0, ["jd"]) if (
+    sums = sums.join(by_shuffle(jd.select("doc_id", "role_id", c("score").alias("jd"))), ["doc_id", "role_id"], "left").na.fill(0.0, ["jd"]) if (
         jd is not None) else sums.withColumn("jd", F.lit(0.0))
     total = F.when(c("jd") > 0, c("weighted") * 100 * 0.85 + c("jd") * 100 * 0.15).otherwise(c("weighted") * 100)
     project = F.when(c("jd") > 0, c("project_raw") * 0.70 + c("jd") * 0.30).otherwise(c("project_raw"))

@@ -58,3 +58,16 @@ def test_education_texts_and_pairs_are_not_broadcast_to_scores(spark):
     terms = spark.createDataFrame([(1, 1.0, [(7, 1.0)])], f"role_id int, total double, terms {vector}")
     docs, terms = stored(spark, docs, terms)
     assert "doc_id" not in planned_broadcasts(tfidf.pair_cosine(docs, terms, pairs))
+
+
+def test_section_texts_are_not_broadcast_to_rules(spark):
+    from corpusfit.plans import requirements
+
+    sections, pairs, _ = tables(spark)
+    rules = spark.createDataFrame(
+        [(1, 1, "skill", 50.0, "react", None), (1, 2, "education", 50.0, "bachelor of engineering", None)],
+        "role_id int, rule_id long, req_type string, weight double, label string, min_years int")
+    roles = spark.createDataFrame([(1, None, None)], "role_id int, min_degree string, preferred_majors string")
+    sections, pairs, rules, roles = stored(spark, sections, pairs, rules, roles)
+    rows = requirements.requirement_breakdown(sections, rules, roles, pairs, 2002)
+    assert not re.search("exp_text|start_line|sec_own|n_sec", planned_broadcasts(rows))
