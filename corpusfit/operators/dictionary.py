@@ -1,13 +1,21 @@
-"""Which dictionary terms occur in which texts, by equi-joins instead of text x term loops."""
+"""Which dictionary terms occur in which texts, by looked-up windows and equi-joins instead of text x term loops."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusfit.scale import spread
 
 ANCHOR = 4
+#: Lists up to this length travel to the tasks; longer ones meet the texts by joins.
+IN_TASK = 20_000
+TEXTS_AT_ONCE, PLACES_AT_ONCE = 500, 1 << 19
+WINDOW = 8
 
 
 def _windows(text: Column) -> Column:
@@ -16,16 +24,90 @@ def _windows(text: Column) -> Column:
         F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(1, ANCHOR + 1)]))
 
 
-def contained_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(text_id, term) for every term that is a substring of the text; one plan for lists of any length.
+def contained_terms(texts: DataFrame, terms: DataFrame, in_task: int = IN_TASK) -> DataFrame:
+    """(text_id, term) for every term that is a substring of the text.
+
+    A list of at most ``in_task`` terms goes to the tasks, where a text is read once for all of them; a longer list
+    meets the texts by joins.
+    """
+    wanted = terms.select("term").distinct().filter(F.length("term") > 0)
+    listed = [r.term for r in wanted.limit(in_task + 1).collect()]
+    if len(listed) > in_task:
+        return _contained_by_join(texts, wanted)
+    names = sorted(listed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spelled, table = [t.encode() for t in names], pa.array(names, pa.string())
+        tables = _window_tables(spelled)
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(at, TEXTS_AT_ONCE)
+                owner, found = _held([(t or "").encode() for t in part.column(1).to_pylist()], spelled, tables)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), table.take(pa.array(found))], names=["text_id", "term"])
+
+    kind = texts.schema["text_id"].dataType.simpleString()
+    return spread(texts.select("text_id", "text")).mapInArrow(run, f"text_id {kind}, term string")
+
+
+def _mixed(windows: np.ndarray) -> np.ndarray:
+    """16 bits of each window of up to ``WINDOW`` bytes."""
+    return (windows * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
+
+
+def _window_tables(terms: Sequence[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By window size: which mixed windows may begin a term, the sorted first windows, and their terms in that order.
+
+    A term's window is the whole term, or its first ``WINDOW`` bytes.
+    """
+    tables = {}
+    for n in sorted({min(len(t), WINDOW) for t in terms}):
+        mine = [k for k, t in enumerate(terms) if min(len(t), WINDOW) == n]
+        firsts = np.array([int.from_bytes(terms[k][:n], "big") for k in mine], np.uint64)
+        order = np.argsort(firsts, kind="stable")
+        may = np.zeros(1 << 16, bool)
+        may[_mixed(firsts)] = True
+        tables[n] = may, firsts[order], np.array(mine, np.int64)[order]
+    return tables
+
+
+def _held(texts: Sequence[bytes], terms: Sequence[bytes], tables: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(text, term) places of all terms that the texts hold; whole terms longer than a window are confirmed in their text."""
+    ends = np.cumsum([len(t) for t in texts])
+    joined = np.frombuffer(b"".join(texts) + bytes(WINDOW), np.uint8)
+    seen = np.zeros((len(texts), len(terms)), bool)
+    for at in range(0, len(joined) - WINDOW, PLACES_AT_ONCE):
+        size = min(PLACES_AT_ONCE, len(joined) - WINDOW - at)
+        windows = np.zeros(size, np.uint64)
+        for n in range(1, max(tables, default=0) + 1):
+            windows = (windows << np.uint64(8)) | joined[at + n - 1:at + n - 1 + size]
+            if n not in tables:
+                continue
+            may, firsts, mine = tables[n]
+            place = np.flatnonzero(may[_mixed(windows)])
+            low, high = (np.searchsorted(firsts, windows[place], side) for side in ("left", "right"))
+            # A window that begins several terms counts for each.
+            several = high - low
+            place, first = np.repeat(place, several), np.repeat(low, several)
+            which = mine[first + np.arange(len(first)) - np.repeat(np.cumsum(several) - several, several)]
+            owner = np.searchsorted(ends, place + at, "right")
+            whole = place + at + n <= ends[owner]
+            seen[owner[whole], which[whole]] = True
+    owner, which = np.nonzero(seen)
+    long = np.array([len(t) > WINDOW for t in terms], bool)
+    sure = [not x or terms[k] in texts[i] for i, k, x in zip(owner, which, long[which])] if long.any() else slice(None)
+    return owner[sure], which[sure]
+
+
+def _contained_by_join(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``contained_terms`` for lists of any length.
 
     Each term is filed under its first ``ANCHOR`` characters (all of them when it is shorter). A text offers its
     windows, so a term that occurs always meets its text on that key. Texts are looked at again just for candidates that
     are longer than the window.
     """
-    wanted = terms.select("term").distinct().filter(F.length("term") > 0)
     keyed = wanted.select("term", F.substring("term", 1, ANCHOR).alias("__anchor"))
-    offered = spread(texts).select("text_id", F.explode(_windows(F.col("text"))).alias("__anchor"))
+    # explode_outer: the inner form would make the windows a second time, to drop texts without any
+    offered = spread(texts).select("text_id", F.explode_outer(_windows(F.col("text"))).alias("__anchor"))
     met = offered.join(keyed, "__anchor")
     sure = met.filter(F.col("term") == F.col("__anchor")).select("text_id", "term")
     longer = met.filter(F.col("term") != F.col("__anchor")).select("text_id", "term")
@@ -39,7 +121,7 @@ def _verified(texts: DataFrame, open_pairs: DataFrame, present) -> DataFrame:
     """
     listed = open_pairs.groupBy("text_id").agg(F.collect_set("term").alias("__terms"))
     return texts.join(listed, "text_id").select(
-        "text_id", F.explode(F.filter("__terms", lambda t: present(F.col("text"), t))).alias("term"))
+        "text_id", F.explode_outer(F.filter("__terms", lambda t: present(F.col("text"), t))).alias("term")).filter("term is not null")
 
 
 def words_of(text: Column, pattern: str = r"(?U)\w+") -> Column:
@@ -69,7 +151,7 @@ def bounded_terms(texts: DataFrame, terms: DataFrame, edge: str = "[a-z0-9]", to
     keyed = terms.select(F.lower("term").alias("term")).distinct().withColumn(
         "__head", F.regexp_extract("term", run, 0))
     heads = F.array_distinct(F.regexp_extract_all("text", F.lit(run), 0))
-    offered = spread(lower).select("text_id", F.explode(heads).alias("__head"))
+    offered = spread(lower).select("text_id", F.explode_outer(heads).alias("__head"))
     met = offered.join(keyed.filter("__head <> ''"), "__head")
 
     def present(text: Column, term: Column) -> Column:
