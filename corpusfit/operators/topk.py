@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusfit.scale import by_shuffle
+
 # Columns a result page may be sorted by.
 SORTABLE = ("total_score", "project_score", "skill_score", "education_score", "evaluated_at")
 
@@ -24,6 +27,7 @@ def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
 #: Rows that may be sorted together for a page; a page that begins later is sought first.
 SORTED_AT_ONCE = 10_000
 SKETCH = 64
+TEXTS_AT_ONCE = 500
 
 
 def _sought(rows: DataFrame, key: str, offset: int, upto: int, most: int) -> tuple[DataFrame, int]:
@@ -141,13 +145,43 @@ def best_excerpt(text: Column, skill: Column) -> Column:
     return excerpt_of(sentences(text), F.lower(skill), significant_words(skill))
 
 
+def _first_line(lower: str, word: str) -> int | None:
+    """Number of the first of the joined lower-case sentences, none of which holds a line feed, that holds the word."""
+    at = -1 if "\n" in word else lower.find(word)
+    return None if at < 0 else lower.count("\n", 0, at)
+
+
+def _chosen(lines: Sequence[str] | None, lower: str, name: str, words: Sequence[str]) -> str | None:
+    if not lines:
+        return None
+    at = _first_line(lower, name)
+    if at is None:
+        at = min((k for k in (_first_line(lower, w) for w in words) if k is not None), default=None)
+    return None if at is None else lines[at]
+
+
 def best_excerpts(docs: DataFrame, hits: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``best_excerpt`` for many (key, term) at once: a text meets its terms as one list and is cut into sentences once."""
-    listed = hits.groupBy(key).agg(F.collect_set("term").alias("__terms"))
-    lines = docs.select(key, sentences(F.col("text")).alias("__lines")).join(listed, key)
-    found = F.transform("__terms", lambda t: F.struct(
-        t.alias("term"), excerpt_of(F.col("__lines"), F.lower(t), significant_words(t)).alias("excerpt")))
-    return lines.select(key, F.inline(found))
+    """``best_excerpt`` for many (key, term) at once: a text meets its terms as one list, is cut into sentences and lower-cased once,
+    and is read up to a term's first place."""
+    listed = hits.groupBy(key).agg(F.collect_set("term").alias("terms")).select(key, F.transform("terms", lambda t: F.struct(
+        t.alias("term"), F.lower(t).alias("name"), significant_words(t).alias("words"))).alias("terms"))
+    lines = docs.select(key, sentences(F.col("text")).alias("lines")).withColumn("lower", F.lower(F.array_join("lines", "\n")))
+    rows = by_shuffle(lines).join(listed, key).select(key, "lines", "lower", "terms")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(at, TEXTS_AT_ONCE)
+                owner, terms, found = [], [], []
+                for i, (lines, lower, asked) in enumerate(zip(*(part.column(c).to_pylist() for c in (1, 2, 3)))):
+                    owner += [i] * len(asked)
+                    terms += [t["term"] for t in asked]
+                    found += [_chosen(lines, lower, t["name"], t["words"]) for t in asked]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(owner, pa.int32())), pa.array(terms, pa.string()), pa.array(found, pa.string())],
+                    names=[key, "term", "excerpt"])
+
+    return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, term string, excerpt string")
 
 
 def top_excerpt(matches: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import random
 
-from corpusfit.operators import dictionary
+from corpusfit.operators import dictionary, topk
 
 
 def plan_of(df):
@@ -22,3 +22,19 @@ def test_a_text_is_read_once_for_all_terms(spark):
     assert sorted(map(tuple, dictionary.contained_terms(texts.where("text_id < 300"), listed, in_task=3).collect())) == sorted(w for w in want if w[0] < 300)
     assert "Generate" not in plan_of(found)
     assert dictionary.contained_terms(texts, listed.limit(0)).count() == 0
+
+
+def test_excerpts_are_sought_once(spark):
+    text = "First of all İstanbul is named. Then ΣΑΣ came\nto a long line with Spark in it! Spark and spark again and more. Machine work at the very end"
+    docs = spark.createDataFrame([(1, text), (2, "short. too"), (3, "")], "doc_id long, text string")
+    hits = spark.createDataFrame(
+        [(1, t) for t in ("spark", "came", "line with", "came\nto", "machine learning", "zzz end", "none of these", "", "i̇stanbul", "σας")] + [(2, "short"), (2, ""), (3, "x")],
+        "doc_id long, term string")
+    out = topk.best_excerpts(docs, hits)
+    got = {(r.doc_id, r.term): r.excerpt for r in out.collect()}
+    first, line = "First of all İstanbul is named", "to a long line with Spark in it"
+    single = docs.join(hits, "doc_id").select("doc_id", "term", topk.best_excerpt(topk.F.col("text"), topk.F.col("term")).alias("e"))
+    assert got == {(r.doc_id, r.term): r.e for r in single.collect()}
+    assert got[1, "spark"] == line and got[1, ""] == first and got[1, "came\nto"] is None and got[2, ""] is None
+    plan = plan_of(out)
+    assert "Generate" not in plan and "BroadcastExchange" not in plan
