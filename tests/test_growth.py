@@ -38,3 +38,37 @@ def test_excerpts_are_sought_once(spark):
     assert got[1, "spark"] == line and got[1, ""] == first and got[1, "came\nto"] is None and got[2, ""] is None
     plan = plan_of(out)
     assert "Generate" not in plan and "BroadcastExchange" not in plan
+
+
+def test_lean_views_give_the_rows_of_their_sql(spark, tmp_path, monkeypatch):
+    from corpusfit.catalog import views
+
+    rows = {
+        "orders": ("o_orderkey long, o_custkey long", [(1, 7), (2, 7), (3, 8), (4, None)]),
+        "lineitem": ("l_orderkey long, l_partkey long, l_shipdate timestamp_ntz", [
+            (o, p, topk_day(d)) for o, p, d in [(1, 1, 3), (1, 1, 5), (2, 1, 4), (2, 2, 1), (3, 2, None), (3, 9, 2), (4, 1, 2), (4, 1, 6), (None, 1, 1)]]),
+        # A key that stands twice, with equal and with other values.
+        "part": ("p_partkey long, p_name string, p_brand string, p_size int", [(1, "bolt", "A", 1), (1, "bolt", "A", 1), (2, "rod", "B", 2), (2, "nut", "B", None)]),
+    }
+    for name, (schema, values) in rows.items():
+        spark.createDataFrame(values, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    inputs = views.Inputs(spark, str(tmp_path))
+    ctes = ", ".join(f"{t} AS (SELECT * FROM parquet.`{tmp_path}/{t}.parquet`)" for t in rows)
+    for name in views.SPARK_FORMS:
+        plain = spark.sql(f"WITH {ctes}, repos AS ({views.VIEWS['repos']}) {views._dialect(views.VIEWS[name], views._SPARK)}")
+        lean = inputs.sql(f"SELECT * FROM {name}")
+        assert lean.dtypes == plain.dtypes
+        assert sorted(map(str, lean.collect())) == sorted(map(str, plain.collect())) and lean.count() > 1
+    # The lines' tasks follow their table, and no aggregate beside the join holds them.
+    monkeypatch.setattr(views, "LINES_PER_TASK", 50)
+    many = inputs.tasks()
+    assert many > spark.sparkContext.defaultParallelism
+    for name in views.SPARK_FORMS:
+        plan = plan_of(inputs.sql(f"SELECT * FROM {name}"))
+        assert f", {many}), REPARTITION_BY_NUM" in plan
+
+
+def topk_day(d):
+    import datetime
+
+    return None if d is None else datetime.datetime(2001, 1, d)
