@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from corpusfit.scale import ensure_checkpoint_dir
+from corpusfit.scale import cut_lineage, ensure_checkpoint_dir
 
 POLL_SECONDS = 60
 
@@ -31,11 +31,13 @@ def file_stream(
 def batches_stream(rows: DataFrame, folder: str, upto: Sequence[Column]) -> DataFrame:
     """The rows as a stream with one batch for those that each condition holds for first, and one for the rest.
 
-    Each batch is one file, written one after another: a file source takes files by time of change.
+    Each batch is one file, written one after another: a file source takes files by time of change. The rows are made
+    in many tasks first, so the one task of a file only copies them.
     """
     number = F.coalesce(*(F.when(c, k) for k, c in enumerate(upto)), F.lit(len(upto)))
+    made = cut_lineage(rows.withColumn("__batch", number))
     for k in range(len(upto) + 1):
-        rows.where(number == k).coalesce(1).write.mode("append").parquet(folder)
+        made.where(F.col("__batch") == k).drop("__batch").coalesce(1).write.mode("append").parquet(folder)
     return file_stream(rows.sparkSession, folder, rows.schema, files_per_trigger=1)
 
 

@@ -72,3 +72,17 @@ def topk_day(d):
     import datetime
 
     return None if d is None else datetime.datetime(2001, 1, d)
+
+
+def test_a_batch_file_is_written_without_joins(spark, tmp_path, monkeypatch):
+    from corpusfit.streaming import run
+
+    plans = []
+    write = type(spark.range(1)).coalesce
+    monkeypatch.setattr(type(spark.range(1)), "coalesce", lambda df, n: plans.append(plan_of(df)) or write(df, n))
+    rows = spark.range(60).withColumnRenamed("id", "k").join(spark.range(40).selectExpr("id AS k", "id % 3 AS part"), "k")
+    folder = str(tmp_path / "in")
+    run.batches_stream(rows, folder, [run.F.col("part") == 0, run.F.col("part") == 1])
+    assert len(plans) == 3 and not any("Join" in p for p in plans)
+    files = spark.read.parquet(folder).select("k", "part", run.F.input_file_name().alias("f"))
+    assert files.count() == 40 and files.groupBy("f").agg(run.F.countDistinct("part").alias("n")).where("n > 1").count() == 0
