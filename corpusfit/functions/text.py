@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,6 +28,11 @@ def literal_map(pairs: dict[str, str | float]) -> Column:
     return F.expr(f"map({items})")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` names it: a lambda's parts are not shared by the planner."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
@@ -277,6 +282,10 @@ def years_of_experience(experience: Column, summary: Column, as_of_year: int) ->
 
 def graduation_candidates(c: Column, as_of_year: int) -> Column:
     """All years that could be a graduation year, by five readings of the text."""
+    return bound(c, lambda text: _graduation_candidates(text, as_of_year))
+
+
+def _graduation_candidates(c: Column, as_of_year: int) -> Column:
     def ints(array):
         return F.transform(array, lambda y: F.nullif(y, F.lit("")).try_cast("int"))
 
@@ -299,17 +308,20 @@ SEPARATOR = "\n|\n"
 
 def degree_lines(c: Column, ahead: int = 5) -> Column:
     """Lines with a degree word and up to ``ahead`` lines after each, until another heading."""
-    lines = text_lines(c)
     stops = literal_array(lists.OTHER_HEADING_WORDS)
 
-    def block(line, i):
-        after = F.slice(lines, i + 2, ahead)
-        halted = F.transform(after, lambda x: F.exists(stops, lambda w: F.contains(F.lower(x), w)))
-        cut = F.array_position(halted, F.lit(True))
-        kept = F.when(cut > 0, F.slice(after, F.lit(1), F.greatest(cut - 1, F.lit(0)).cast("int"))).otherwise(after)
-        return F.when(line.rlike(lists.DEGREE_LINE_PATTERN), F.concat(F.array(line), kept))
+    def halts(line):
+        return bound(F.lower(line), lambda x: F.exists(stops, lambda w: F.contains(x, w)))
+
+    def kept(after):
+        return bound(F.array_position(F.transform(after, halts), F.lit(True)), lambda cut: F.when(
+            cut > 0, F.slice(after, F.lit(1), F.greatest(cut - 1, F.lit(0)).cast("int"))).otherwise(after))
+
+    def blocks(lines):
+        return F.transform(lines, lambda line, i: F.when(
+            line.rlike(lists.DEGREE_LINE_PATTERN), F.concat(F.array(line), bound(F.slice(lines, i + 2, ahead), kept))))
 
-    return F.flatten(F.array_compact(F.transform(lines, block)))
+    return F.flatten(F.array_compact(bound(text_lines(c), blocks)))
 
 
 def graduation_year(education: Column, raw_text: Column, as_of_year: int) -> Column:

@@ -86,3 +86,20 @@ def test_a_batch_file_is_written_without_joins(spark, tmp_path, monkeypatch):
     assert len(plans) == 3 and not any("Join" in p for p in plans)
     files = spark.read.parquet(folder).select("k", "part", run.F.input_file_name().alias("f"))
     assert files.count() == 40 and files.groupBy("f").agg(run.F.countDistinct("part").alias("n")).where("n > 1").count() == 0
+
+
+def made(df, part):
+    """How often the optimized plan computes ``part``."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count(part)
+
+
+def test_degree_lines_are_found_once_for_all_readings_of_a_year(spark):
+    from corpusfit.functions import text
+
+    said = "Bachelor of X\n1999-03\nSkills\n2001\nother 2002\nClass of 1998\n\nBCA\na\nb\nc\nd\ne\n2000"
+    docs = spark.createDataFrame([(said, "1997 - May 2001"), ("2002", "Expected 1996"), ("x", ""), (None, None)], "text string, edu string")
+    out = docs.select(text.graduation_year(topk.F.col("edu"), topk.F.col("text"), 2002).alias("y"))
+    assert [r.y for r in out.collect()] == [2003, 1996, None, None]
+    assert [r.n for r in docs.select(topk.F.array_join(text.degree_lines(topk.F.col("text")), "/").alias("n")).collect()] == [
+        "Bachelor of X/1999-03/BCA/a/b/c/d/e", "", "", None]
+    assert made(out, "polytechnic") == 1
