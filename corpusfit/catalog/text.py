@@ -124,7 +124,9 @@ def _(v):
     THEN CAST((SELECT count(*) FROM y WHERE y.owner = n.owner) AS DOUBLE) ELSE CAST(n.owner % 40 + 1 AS DOUBLE) END AS years FROM profile_names n""")
 def _(v):
     stated = F.concat(F.lit("over "), (C("owner") % 40 + 1).cast("string"), F.lit("+ years in shops"))
-    return v.sql(JOBS).select("owner", text.years_of_experience(C("jobs"), stated, YEAR).alias("years"))
+    # Dealt out by the size of the lines' table: the joined texts are few bytes, but much work each.
+    jobs = v.sql(JOBS).repartition(v.tasks(), "owner")
+    return jobs.select("owner", text.years_of_experience(C("jobs"), stated, YEAR).alias("years"))
 
 
 @query("years_phrase", """SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 61 BETWEEN 1 AND 49

@@ -229,14 +229,19 @@ def year_ranges(c: Column, as_of_year: int) -> Column:
         "named_struct('tail', '', 'found', "
         "cast(array() as array<struct<start_year:int,end_year:int,intern:boolean>>))")
 
+    def last_five(lines):
+        return bound(lines, lambda x: F.slice(x, F.greatest(F.size(x) - 4, F.lit(1)), 5))
+
+    def filled(lines):
+        return F.filter(lines, lambda x: x.rlike(r"(?U)\S"))
+
     def step(acc, part):
-        lines = F.split(F.concat(acc["tail"], part["before"]), "\n")
         # The last line is still open: the span and what follows it belong to it.
-        open_line = F.element_at(lines, -1)
-        closed = F.filter(F.slice(lines, 1, F.size(lines) - 1), lambda x: strip(x) != "")
-        closed = F.slice(closed, F.greatest(F.size(closed) - 4, F.lit(1)), 5)
-        near = F.filter(F.array_append(closed, open_line), lambda x: strip(x) != "")
-        near = F.slice(near, F.greatest(F.size(near) - 4, F.lit(1)), 5)
+        return bound(F.split(F.concat(acc["tail"], part["before"]), "\n"), lambda lines: bound(
+            last_five(filled(F.slice(lines, 1, F.size(lines) - 1))), lambda closed: add(acc, part, F.element_at(lines, -1), closed)))
+
+    def add(acc, part, open_line, closed):
+        near = last_five(filled(F.array_append(closed, open_line)))
         span = F.struct(
             _year_of(part["first"], as_of_year).alias("start_year"),
             _year_of(part["last"], as_of_year).alias("end_year"),
@@ -275,9 +280,9 @@ def years_phrase(c: Column) -> Column:
 
 def years_of_experience(experience: Column, summary: Column, as_of_year: int) -> Column:
     """Union of spans outside internships, else a figure stated in the summary."""
-    spans = F.filter(year_ranges(experience, as_of_year), lambda s: ~s["intern"])
-    bare = F.transform(spans, lambda s: F.struct(s["start_year"], s["end_year"]))
-    return F.when(F.size(spans) > 0, merged_years(bare)).otherwise(years_phrase(summary))
+    outside = F.filter(year_ranges(experience, as_of_year), lambda s: ~s["intern"])
+    bare = F.transform(outside, lambda s: F.struct(s["start_year"], s["end_year"]))
+    return bound(bare, lambda spans: F.when(F.size(spans) > 0, merged_years(spans)).otherwise(years_phrase(summary)))
 
 
 def graduation_candidates(c: Column, as_of_year: int) -> Column:

@@ -103,3 +103,17 @@ def test_degree_lines_are_found_once_for_all_readings_of_a_year(spark):
     assert [r.n for r in docs.select(topk.F.array_join(text.degree_lines(topk.F.col("text")), "/").alias("n")).collect()] == [
         "Bachelor of X/1999-03/BCA/a/b/c/d/e", "", "", None]
     assert made(out, "polytechnic") == 1
+
+
+def test_lines_before_a_span_are_cut_once(spark):
+    from corpusfit.functions import text
+
+    said = "Intern\n \nat a\n\nb\nc\nd 1990 - 1992, 1993-1995\nEngineer\n1995 to present\n\u00a0\nTrainee 1999-2001"
+    docs = spark.createDataFrame([(said, ""), ("none", "over 7+ years"), (None, "x")], "text string, summary string")
+    spans = docs.select(text.year_ranges(topk.F.col("text"), 2002).alias("s"))
+    assert [[tuple(x) for x in r.s] for r in spans.collect()[:2]] == [
+        [(1990, 1992, True), (1993, 1995, True), (1995, 2002, False), (1999, 2001, True)], []]
+    years = docs.select(text.years_of_experience(topk.F.col("text"), topk.F.col("summary"), 2002).alias("y"))
+    assert [r.y for r in years.collect()] == [7.0, 7.0, None]
+    # One cut of the text at its spans and one of the lines before a span.
+    assert made(spans, "split(") == 2 and made(years, "split(") == 2
