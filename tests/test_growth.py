@@ -117,3 +117,27 @@ def test_lines_before_a_span_are_cut_once(spark):
     assert [r.y for r in years.collect()] == [7.0, 7.0, None]
     # One cut of the text at its spans and one of the lines before a span.
     assert made(spans, "split(") == 2 and made(years, "split(") == 2
+
+
+def test_terms_of_many_groups_are_counted_at_once(spark, monkeypatch):
+    import pyarrow as pa
+
+    from corpusfit.plans import vectors
+
+    rng = random.Random(3)
+    rows = [(g, i, " ".join(rng.choice("abcd") for _ in range(rng.randrange(7)))) for g in range(60) for i in range(rng.randrange(1, 4))] + [(None, 1, None), (70, 2, "")]
+    table = spark.createDataFrame(rows, "doc_id long, line int, text string").repartition(1)
+    runs, calls, write, count = [], [], type(table).mapInArrow, vectors.counted
+    monkeypatch.setattr(type(table), "mapInArrow", lambda df, run, schema: runs.append((df, run)) or write(df, run, schema))
+    monkeypatch.setattr(vectors, "counted", lambda *x: calls.append(1) or count(*x))
+    for bitmap in (None, bytes([0x5A]) * (1 << (vectors.BITMAP_BITS - 3))):
+        out = vectors.group_vectors(table, "doc_id", "line", topk.F.col("text"), 2, "[a-z]", bitmap)
+        assert out.count() == len({g for g, *_ in rows})
+        packed, run = runs.pop()
+        whole = packed.toArrow().combine_chunks().to_batches()
+        assert len(whole) == 1
+        del calls[:]
+        at_once = pa.Table.from_batches(run(iter(whole))).to_pylist()
+        assert len(calls) == 1
+        single = pa.Table.from_batches(run(iter([whole[0].slice(k, 1) for k in range(whole[0].num_rows)]))).to_pylist()
+        assert at_once == single and any(r["terms"] for r in single) and any(not r["terms"] for r in single)
