@@ -141,3 +141,20 @@ def test_terms_of_many_groups_are_counted_at_once(spark, monkeypatch):
         assert len(calls) == 1
         single = pa.Table.from_batches(run(iter([whole[0].slice(k, 1) for k in range(whole[0].num_rows)]))).to_pylist()
         assert at_once == single and any(r["terms"] for r in single) and any(not r["terms"] for r in single)
+
+
+def test_words_are_counted_where_their_document_is(spark, tmp_path):
+    from corpusfit.catalog import views
+
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(2300)]
+    rows = [(i, " ".join(rng.choices(words, k=90)).replace("w7 ", "W7, ")) for i in range(120)]
+    # Ids that stand more than once, with equal and with other words; no id, no text, no words.
+    rows += [(3, "twice w1 w1"), (3, "twice w2"), (3, None), (None, "twice w1"), (None, "twice w1 alone"), (900, None), (901, "- !"), (902, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    ctes = f"documents AS (SELECT * FROM parquet.`{tmp_path}/documents.parquet`), token_docs AS ({views._dialect(views.VIEWS['token_docs'], views._SPARK)})"
+    plain = spark.sql(f"WITH {ctes} {views.VIEWS['dict_terms']}")
+    lean = views.Inputs(spark, str(tmp_path)).sql("SELECT * FROM dict_terms")
+    assert lean.dtypes == plain.dtypes
+    assert sorted(map(tuple, lean.collect())) == sorted(map(tuple, plain.collect())) and lean.count() == 2000
+    assert "array_distinct" in plan_of(lean) and "TakeOrderedAndProject" in plan_of(lean)
