@@ -158,3 +158,17 @@ def test_words_are_counted_where_their_document_is(spark, tmp_path):
     assert lean.dtypes == plain.dtypes
     assert sorted(map(tuple, lean.collect())) == sorted(map(tuple, plain.collect())) and lean.count() == 2000
     assert "array_distinct" in plan_of(lean) and "TakeOrderedAndProject" in plan_of(lean)
+
+
+def test_claims_are_judged_where_they_are_made(spark, monkeypatch):
+    from corpusfit import catalog
+    from corpusfit.catalog import views
+
+    catalog.load_all()
+    monkeypatch.setattr(views, "LINES_PER_TASK", 5000)
+    many = views.Inputs(spark, "/root/testdata/sf0.001").tasks()
+    assert many > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = plan_of(catalog.QUERIES["skill_gap_severity"](spark, "/root/testdata/sf0.001"))
+    assert f"hashpartitioning(owner#" in plan and f", {many}), REPARTITION_BY_NUM" in plan
+    # No claim is shuffled by its skill.
+    assert not [x for x in plan.splitlines() if "hashpartitioning(owner#" in x and "skill#" in x]
