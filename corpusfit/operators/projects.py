@@ -103,11 +103,15 @@ def relevant_repos(repos: DataFrame, role_skills: DataFrame, pairs: DataFrame) -
     skills = role_skills.groupBy("role_id").agg(F.array_sort(F.collect_set(F.lower("skill"))).alias("__skills"))
     about = F.col("description") if "description" in repos.columns else F.lit("")
     said = F.lower(F.concat(F.coalesce("name", F.lit("")), F.lit(" "), F.coalesce(about, F.lit(""))))
-    matched = F.filter("__skills", lambda s: F.contains(F.col("__said"), s) | F.contains(s, F.col("__said")))
+    def named(s):
+        return F.contains(F.col("__said"), s) | F.contains(s, F.col("__said"))
+
+    # ``exists`` stops at the first skill; the list is made for rows that stay, and where it is asked for.
     return (
         pairs.select("owner", "role_id").distinct()
         .join(repos.select("owner", "repo_id", "name", said.alias("__said")), "owner").join(skills, "role_id")
-        .select("owner", "role_id", "repo_id", "name", matched.alias("matched_skills")).filter(F.size("matched_skills") > 0))
+        .filter(F.exists("__skills", named))
+        .select("owner", "role_id", "repo_id", "name", F.filter("__skills", named).alias("matched_skills")))
 
 
 def _name_words(name: Column) -> Column:
@@ -116,8 +120,8 @@ def _name_words(name: Column) -> Column:
 
 def unverified_projects(names: DataFrame, relevant: DataFrame, pairs: DataFrame) -> DataFrame:
     """Per (owner, role): how many named projects there are, and how many share no word with a relevant repository's name."""
-    words = relevant.groupBy("owner", "role_id").agg(
-        F.array_distinct(F.flatten(F.collect_set(_name_words(F.col("name"))))).alias("__words"))
+    words = relevant.groupBy("owner", "role_id").agg(F.collect_set("name").alias("__names")).select(
+        "owner", "role_id", F.array_distinct(F.flatten(F.transform("__names", _name_words))).alias("__words"))
     rows = pairs.select("owner", "role_id").distinct().join(names.select("owner", "project_name"), "owner").join(
         words, ["owner", "role_id"], "left")
     known = F.coalesce(F.arrays_overlap(_name_words(F.col("project_name")), F.col("__words")), F.lit(False))

@@ -172,3 +172,19 @@ def test_claims_are_judged_where_they_are_made(spark, monkeypatch):
     assert f"hashpartitioning(owner#" in plan and f", {many}), REPARTITION_BY_NUM" in plan
     # No claim is shuffled by its skill.
     assert not [x for x in plan.splitlines() if "hashpartitioning(owner#" in x and "skill#" in x]
+
+
+def test_names_of_repositories_are_cut_into_words_once(spark):
+    from corpusfit.operators import projects
+
+    repos = spark.createDataFrame([(1, 1, "Red bolt"), (1, 2, "red bolt"), (1, 3, "Tool"), (1, 4, None), (2, 5, "rod"), (3, 6, "none")], "owner long, repo_id long, name string")
+    pairs = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (2, 1), (3, 2)], "owner long, role_id long")
+    skills = spark.createDataFrame([(1, "Bolt"), (1, "bolt"), (1, "a tool "), (2, "rod")], "role_id long, skill string")
+    found = projects.relevant_repos(repos, skills, pairs)
+    # A repository without a name is a part of any skill that holds a space.
+    assert sorted((r.owner, r.role_id, r.repo_id, tuple(r.matched_skills)) for r in found.collect()) == [
+        (1, 1, 1, ("bolt",)), (1, 1, 2, ("bolt",)), (1, 1, 3, ("a tool ",)), (1, 1, 4, ("a tool ",))]
+    names = spark.createDataFrame([(1, "The bolt!"), (1, "Tools"), (1, "tool"), (2, "bolt"), (9, "bolt")], "owner long, project_name string")
+    out = projects.unverified_projects(names, found, pairs)
+    assert sorted(map(tuple, out.collect())) == [(1, 1, 3, 1), (1, 2, 3, 3), (2, 1, 1, 1)]
+    assert made(out, "collect_set(name") == 1 and made(out, "exists(") > 0
