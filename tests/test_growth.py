@@ -188,3 +188,25 @@ def test_names_of_repositories_are_cut_into_words_once(spark):
     out = projects.unverified_projects(names, found, pairs)
     assert sorted(map(tuple, out.collect())) == [(1, 1, 3, 1), (1, 2, 3, 3), (2, 1, 1, 1)]
     assert made(out, "collect_set(name") == 1 and made(out, "exists(") > 0
+
+
+def test_listed_skills_are_gathered_where_the_lines_are_dealt_out(spark, tmp_path):
+    """Skills of an owner meet their document by one exchange of lines; owners without lines and names that stand twice give their rows."""
+    from corpusfit import catalog
+
+    catalog.load_all()
+    rows = {
+        "customer": ("c_custkey long, c_mktsegment string", [(5, "AUTO"), (6, "AUTO"), (10, "AUTO"), (15, "AUTO")]),
+        "orders": ("o_orderkey long, o_custkey long, o_orderdate timestamp_ntz", [(1, 5, topk_day(1)), (2, 6, topk_day(2)), (3, 15, topk_day(3)), (4, None, topk_day(3))]),
+        "lineitem": ("l_orderkey long, l_partkey long, l_shipdate timestamp_ntz", [(o, p, topk_day(4)) for o, p in [(1, 1), (1, 2), (1, 2), (2, 1), (2, 3), (3, 3), (4, 1)]]),
+        "part": ("p_partkey long, p_name string, p_brand string, p_size int", [(1, "Bolt", "A", 1), (2, "rod", "A", 1), (3, "red widget", "B", 2)]),
+        "conversations": ("conv_id long, turn int, role string, text string", []),
+    }
+    for name, (schema, values) in rows.items():
+        spark.createDataFrame(values, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = catalog.QUERIES["tenure_years"](spark, str(tmp_path))
+    plan = plan_of(got)
+    assert plan.count("REPARTITION_BY_NUM") == 1 and "Union" not in plan
+    # An owner divisible by five has "docker and 4 years of red widget work" behind the names that were deployed.
+    assert sorted((r.doc_id, r.skill, r.years) for r in got.collect()) == [
+        (5, "Bolt", 4.0), (5, "red widget", 4.0), (5, "rod", 4.0), (6, "Bolt", None), (6, "red widget", None), (10, "red widget", 4.0), (15, "red widget", 4.0)]

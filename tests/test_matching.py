@@ -48,6 +48,34 @@ def test_years_of_odd_texts(spark):
     assert one_year("react", "5 years " + "x" * 100_000 + " react " + "1" * 50_000 + " " * 50_000) == 5.0
 
 
+def test_years_are_those_of_the_whole_text_when_far_parts_are_cut(spark):
+    """A text is shortened once for all names, to what is near to stated years; every name finds the same years in it."""
+    rng = random.Random(11)
+    names = [*NAMES, "years of", " react", "of", "x3", "a name of some length, with a comma"]
+    parts = [*names, "unreact", "xc++", "solid", "5 years", "12+ years", "1 year", "3years4yearsabc", "year", "years", "(2019-2023)", "   (2020 – present)",
+             "(1999)", ".", "\n", "word " * 9, "z" * 58, "z" * 61, "filler text " * 20, "w" * 200, "42", "7 ", "é" * 70, "٣ years", "\u2003"]
+    texts = [rng.choice(["", " ", " "]).join(rng.choices(parts, k=rng.randint(1, 25))) for _ in range(4000)]
+    rows = [(t, rng.sample(names, 4)) for t in texts]
+    longest = F.array_max(F.transform("names", lambda n: F.length(n)))
+    near = text.tenure_near(text.tenure_text(F.col("t")), longest)
+    got = spark.createDataFrame(rows, "t string, names array<string>").select(
+        "t", "names", text.bound(near, lambda x: F.transform("names", lambda n: text.tenure_in(n, x, 2024))).alias("cut"),
+        text.bound(text.tenure_text(F.col("t")), lambda x: F.transform("names", lambda n: text.tenure_in(n, x, 2024))).alias("whole"),
+        F.transform("names", lambda n: text.tenure_years(n, F.col("t"), 2024)).alias("single")).collect()
+    wrong = [(r.names, r.t, r.cut, r.whole, r.single) for r in got if not r.cut == r.whole == r.single]
+    assert not wrong, wrong[:5]
+    assert sum(y is not None for r in got for y in r.whole) > 2000
+
+
+def test_names_are_not_sought_in_far_text(spark):
+    far = "built things of many kinds. " * 5000
+    value = f"{far}react {far}9 years of react {far}c++ (2019-2023){far}"
+    row = spark.createDataFrame([(value,)], "t string").select(text.tenure_near(text.tenure_text(F.col("t")), F.lit(5))).first()
+    assert len(row[0]) < 250 and "9 years of react" in row[0] and "c++ (2019-2023)" in row[0]
+    short = spark.range(1).select(text.tenure_near(text.tenure_text(F.lit("3 years of go")), F.lit(2))).first()
+    assert short[0] == "3 years of go"
+
+
 def _sections(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, start_line int, type string, text string")
 
