@@ -10,6 +10,7 @@ from corpusfit.functions import lists
 from corpusfit.functions.text import page_headings
 from corpusfit.operators import dictionary, flags, sets
 from corpusfit.plans import dedup, segment, tfidf
+from corpusfit.scale import salted_join
 from corpusfit.sources import readers, sinks
 from corpusfit.streaming import run
 
@@ -202,7 +203,7 @@ def _(v):
     links = dedup.near_dup_links(_fps(v))
     members = dedup.near_dup_classes(_fps(v), links)
     several = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("class_id")
-    return members.join(several, "class_id").select("doc_id", C("class_id").alias("cluster_id"), (C("doc_id") == C("class_id")).alias("keep"))
+    return salted_join(members, several, "class_id").select("doc_id", C("class_id").alias("cluster_id"), (C("doc_id") == C("class_id")).alias("keep"))
 
 
 @query("near_dup_classes", f"""WITH RECURSIVE {FPS}, {PAIRS}, e AS MATERIALIZED (SELECT a AS u, b AS v FROM pairs UNION SELECT b, a FROM pairs),

@@ -2,6 +2,9 @@
 
 Equal fingerprints are collapsed to their smallest id before any comparison, so a
 group of exact copies costs one row per copy, never one row per pair of copies.
+
+Stored prints are small files, and what is made of them (bucket rows, links, labels) is many times larger than the
+planner takes it for: those sides are shuffled, never sent through the driver.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusfit.functions.text import norm_fingerprint
-from corpusfit.scale import cut_lineage, salted_join, spread
+from corpusfit.scale import by_shuffle, cut_lineage, salted_join, spread
 
 #: Members of a chunk, and pairs looked at in one step: they bound a task's memory, not what is compared.
 CHUNK = 512
@@ -129,7 +132,7 @@ def _dealt_out(reps: DataFrame, blocks: int, keep: int, group: Sequence[str]) ->
     key = [*group, "__choice", "__key"]
     met = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
     chunks = F.ceil(F.col("__n") / CHUNK).cast("int")
-    rows = keyed.join(met, key).withColumn("__own", F.pmod(F.xxhash64("fp"), chunks).cast("int")).withColumn(
+    rows = keyed.join(by_shuffle(met), key).withColumn("__own", F.pmod(F.xxhash64("fp"), chunks).cast("int")).withColumn(
         "__other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     run = [*key, "__low", "__high"]
     return rows.select(
@@ -335,7 +338,7 @@ def near_dup_links(
     reps = cut_lineage(representatives(fps, id_col, g))
     found = block_links(reps, max_bits, blocks, keep or blocks - max_bits, g).groupBy(*g, "rep").agg(
         F.sum("n_links").alias("n_links"), F.min("least").alias("least"), F.collect_set("root").alias("roots"))
-    return cut_lineage(reps.join(found, [*g, "rep"], "left").select(
+    return cut_lineage(reps.join(by_shuffle(found), [*g, "rep"], "left").select(
         *g, "rep", "fp", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.least("least", "rep").alias("least"),
         F.coalesce("roots", F.array().cast("array<bigint>")).alias("roots")))
 
@@ -344,7 +347,7 @@ def near_dup_classes(fps: DataFrame, links: DataFrame, id_col: str = "doc_id") -
     """``id, rep, class_id, n_links`` per document: its print's smallest id, the smallest id of its group, and how many other prints are near."""
     edges = links.select(F.col("rep").alias("a"), F.explode("roots").alias("b")).where("a <> b")
     groups = dup_clusters(edges).select(F.col("doc_id").alias("rep"), "cluster_id")
-    classes = links.join(groups, "rep", "left").select("fp", "rep", F.coalesce("cluster_id", "rep").alias("class_id"), "n_links")
+    classes = links.join(by_shuffle(groups), "rep", "left").select("fp", "rep", F.coalesce("cluster_id", "rep").alias("class_id"), "n_links")
     return salted_join(fps.filter(F.col("fp").isNotNull()), classes, "fp").select(id_col, "rep", "class_id", "n_links")
 
 
@@ -381,29 +384,29 @@ def first_come(fps: DataFrame, pairs: DataFrame, id_col: str = "doc_id") -> Data
     """
     reps = cut_lineage(representatives(fps, id_col))
     open_pairs = cut_lineage(pairs.where("bits > 0").select("a", "b"))
-    kept = reps.join(open_pairs.select(F.col("b").alias("rep")).distinct(), "rep", "left_anti").select("rep")
+    kept = reps.join(by_shuffle(open_pairs.select(F.col("b").alias("rep")).distinct()), "rep", "left_anti").select("rep")
     out = [kept]
     while open_pairs.limit(1).count():
         # Neighbours of kept documents are dropped, and with them all their pairs.
         first = cut_lineage(open_pairs.select(F.col("a").alias("x")).distinct().join(
-            open_pairs.select(F.col("b").alias("x")).distinct(), "x", "left_anti"))
-        gone = open_pairs.join(first.select(F.col("x").alias("a")), "a", "left_semi").select(F.col("b").alias("x")).distinct()
+            by_shuffle(open_pairs.select(F.col("b").alias("x")).distinct()), "x", "left_anti"))
+        gone = open_pairs.join(by_shuffle(first.select(F.col("x").alias("a"))), "a", "left_semi").select(F.col("b").alias("x")).distinct()
         settled = cut_lineage(first.unionByName(gone))
         ends = cut_lineage(open_pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct())
         left = open_pairs
         for end in ("a", "b"):
-            left = left.join(settled.select(F.col("x").alias(end)), end, "left_anti")
+            left = left.join(by_shuffle(settled.select(F.col("x").alias(end))), end, "left_anti")
         open_pairs = cut_lineage(left.select("a", "b"))
         # A document whose pairs are all settled, and that is not dropped, stays: no earlier neighbour of it has stayed.
         waiting = open_pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct()
-        free = ends.join(settled, "x", "left_anti").join(waiting, "x", "left_anti")
+        free = ends.join(by_shuffle(settled), "x", "left_anti").join(by_shuffle(waiting), "x", "left_anti")
         later = open_pairs.select(F.col("b").alias("x")).distinct()
-        out += [free.select(F.col("x").alias("rep")), open_pairs.select(F.col("a").alias("x")).distinct().join(later, "x", "left_anti").select(F.col("x").alias("rep"))]
+        out += [free.select(F.col("x").alias("rep")), open_pairs.select(F.col("a").alias("x")).distinct().join(by_shuffle(later), "x", "left_anti").select(F.col("x").alias("rep"))]
     stays = out[0]
     for part in out[1:]:
         stays = stays.unionByName(part)
     return fps.filter(F.col("fp").isNotNull()).select(id_col).join(
-        stays.distinct().select(F.col("rep").alias(id_col), F.lit(True).alias("kept")), id_col, "left").select(
+        by_shuffle(stays.distinct().select(F.col("rep").alias(id_col), F.lit(True).alias("kept"))), id_col, "left").select(
         id_col, F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
@@ -421,7 +424,7 @@ def dup_clusters(pairs: DataFrame) -> DataFrame:
     while True:
         offered = salted_join(edges, labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(
             F.min("label").alias("__near"))
-        low = labels.join(offered, "u").select("u", F.col("label").alias("__old"), F.least("label", "__near").alias("label"))
+        low = labels.join(by_shuffle(offered), "u").select("u", F.col("label").alias("__old"), F.least("label", "__near").alias("label"))
         jump = labels.select(F.col("u").alias("label"), F.col("label").alias("__next"))
         moved = cut_lineage(salted_join(low, jump, "label").select(
             "u", "__old", F.least("label", "__next").alias("label")))

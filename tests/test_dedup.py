@@ -206,3 +206,31 @@ def test_fingerprints_of_a_batch(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     bodies = {r.doc_id: r.b for r in docs.select("doc_id", F.regexp_replace(norm_fingerprint(F.col("text")), r"(?U)\W+", "").alias("b")).collect()}
     assert {r.doc_id: r.fp for r in dedup.simhash(docs).collect()} == {i: plain(b) for i, b in bodies.items()}
+
+
+def test_nothing_made_of_prints_is_sent_through_the_driver(spark, monkeypatch):
+    plans = []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    real = dedup.cut_lineage
+    monkeypatch.setattr(dedup, "cut_lineage", lambda df: real(noted(df)))
+    rows = neighbours(41, 300, 5)
+    fps = real(spark.createDataFrame(rows, "doc_id long, fp long"))
+    links = dedup.near_dup_links(fps)
+    pairs = noted(dedup.near_dup_pairs(fps))
+    noted(dedup.near_dup_classes(fps, links)).count()
+    noted(dedup.first_come(fps, pairs)).count()
+    noted(dedup.dup_clusters(pairs)).count()
+    assert len(plans) > 10 and not [p for p in plans if "BroadcastExchange" in p]
+
+
+def test_queries_of_prints_broadcast_nothing(spark):
+    from corpusfit import catalog
+
+    catalog.load_all()
+    for name in ("near_dup_pairs", "near_dup_classes", "dup_first_come", "dup_clusters"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastExchange" not in plan, name
