@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusfit.catalog.registry import query
 from corpusfit.functions import dates, labels, lists, text
 from corpusfit.operators import dictionary, flags, joins, page_profile, topk
+from corpusfit.scale import by_shuffle
 
 C = F.col
 YEAR = 2002
@@ -461,6 +462,6 @@ def _(v):
       OR EXISTS (SELECT 1 FROM profile_ranges g WHERE g.owner = r.owner AND range_id % 9 <> 0) THEN 1.0E0 ELSE 0.75E0 END AS tier
   FROM (SELECT DISTINCT owner, name FROM repos) r""")
 def _(v):
-    listed = v.sql("SELECT DISTINCT owner AS doc_id, name AS skill FROM repos")
-    return v("profile_docs").join(listed, "doc_id").select(
-        "doc_id", "skill", text.confidence_tier(C("text"), C("skill")).alias("tier"))
+    listed = v("owned_names").groupBy(C("owner").alias("doc_id")).agg(F.collect_list(F.struct("name")).alias("names"))
+    return v("profile_docs").join(by_shuffle(listed), "doc_id").select(
+        "doc_id", F.inline(text.confidence_tiers(C("text"), C("names")["name"])))

@@ -122,3 +122,23 @@ def test_flag_notes(spark):
 
 def test_interview_questions_are_five(one):
     assert len(one(lambda m: text.interview_questions(F.lit("Baker"), m, F.array().cast("array<string>")), ["Spark"])) == 5
+
+
+def test_a_text_is_rated_once_for_all_its_skills(spark):
+    rows = [
+        (1, "Designed Spark jobs. Did not use Kafka\nbefore. Learned kafka and go. n", ["spark", "KAFKA", "go", "rust", None]),
+        (2, None, ["spark"]), (3, "Works with c++. Uses c++", ["c++", ""]), (4, "", []), (5, "a.b", None)]
+    df = spark.createDataFrame(rows, "id int, text string, skills array<string>")
+    one_by_one = df.select("id", "text", F.explode("skills").alias("skill")).select(
+        "id", "skill", text.confidence_tier(F.col("text"), F.col("skill")).alias("tier"))
+    at_once = df.select("id", F.inline(text.confidence_tiers(F.col("text"), F.col("skills"))))
+    assert at_once.columns == ["id", "skill", "tier"]
+    got = sorted(at_once.collect(), key=str)
+    assert got == sorted(one_by_one.collect(), key=str) and len(got) == 8
+    assert {(r.id, r.skill): r.tier for r in got}[1, "spark"] == 1.2
+    # The query's join has a row per document, not a copy of its text per skill.
+    from corpusfit import catalog
+
+    catalog.load_all()
+    plan = catalog.QUERIES["confidence_tier"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate inline") < plan.index("SortMergeJoin") and "Generate" not in plan[plan.index("SortMergeJoin"):]
