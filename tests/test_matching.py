@@ -103,3 +103,25 @@ def test_no_text_leaves_its_row(spark):
     wanted = spark.createDataFrame([(1, [])], "doc_id long, skills array<struct<skill:string,name:string,words:array<string>,aliases:array<string>>>")
     assert set(matching.skill_hits(sections, wanted, 2024).columns) == {
         "doc_id", "skill", "start_line", "kind", "type", "excerpt", "plain", "fresh"}
+
+
+def test_finds_of_a_document_are_not_shuffled_to_its_pairs(spark):
+    import re
+
+    from corpusfit.scale import cut_lineage
+
+    sections = cut_lineage(spark.createDataFrame(
+        [(k, 0, "projects", "built with react and kafka for 3 years") for k in range(20)], "doc_id long, start_line int, type string, text string"))
+    pairs = cut_lineage(spark.createDataFrame(
+        [(k, r, r == 2) for k in range(20) for r in (1, 2, 3)] + [(3, 1, True), (5, None, False)], "doc_id long, role_id int, fresher boolean"))
+    skills = cut_lineage(spark.createDataFrame(
+        [(1, "react", True), (2, "react", False), (2, "kafka", True), (3, "go", True), (1, None, True)], "role_id int, skill string, is_required boolean"))
+    found = matching.match_skills(sections, skills, pairs, 2002)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\(doc_id#\d+L?, skill#", plan)
+    # Only texts go through the exchange, not what is made of them.
+    before, made = zip(*[(m.start(), plan[m.end():m.end() + 400]) for m in re.finditer(r"Exchange hashpartitioning\(doc_id#\d+L?, 4\)", plan)])
+    assert not any("regexp" in x for x in made)
+    got = {(r.doc_id, r.role_id, r.skill, r.is_required) for r in found.collect()}
+    assert found.count() == len(got) and got == {
+        (k, *x) for k in range(20) for x in ((1, "react", True), (2, "react", False), (2, "kafka", True))}
