@@ -162,9 +162,15 @@ def bounded_terms(texts: DataFrame, terms: DataFrame, edge: str = "[a-z0-9]", to
         return F.contains(text, term) & F.regexp_like(text, bounded)
 
     sure = met.filter(F.col("term") == F.col("__head")).select("text_id", "term")
-    open_pairs = met.filter(F.col("term") != F.col("__head")).select("text_id", "term")
-    odd = contained_terms(lower, keyed.filter("__head = ''").select("term"))
-    return sure.unionByName(_verified(lower, open_pairs, present)).unionByName(_verified(lower, odd, present))
+    # Texts are shuffled to their candidates only where the list has terms that need a look at the whole text.
+    more = {r.kind for r in keyed.filter("term <> __head").select((F.col("__head") == "").alias("kind")).distinct().collect()}
+    if False in more:
+        open_pairs = met.filter(F.col("term") != F.col("__head")).select("text_id", "term")
+        sure = sure.unionByName(_verified(lower, open_pairs, present))
+    if True in more:
+        odd = contained_terms(lower, keyed.filter("__head = ''").select("term"))
+        sure = sure.unionByName(_verified(lower, odd, present))
+    return sure
 
 
 def dictionary_match(texts: DataFrame, terms: DataFrame, mode: str = "word") -> DataFrame:
