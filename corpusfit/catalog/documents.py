@@ -10,7 +10,7 @@ from corpusfit.functions import lists
 from corpusfit.functions.text import page_headings
 from corpusfit.operators import dictionary, flags, sets
 from corpusfit.plans import dedup, segment, tfidf
-from corpusfit.scale import salted_join
+from corpusfit.scale import by_shuffle, salted_join
 from corpusfit.sources import readers, sinks
 from corpusfit.streaming import run
 
@@ -178,7 +178,7 @@ OWNED = """owned AS MATERIALIZED (SELECT source, fp, min(doc_id) AS rep FROM fps
 
 
 def _owned(v):
-    return v.keep("owned_fps", lambda: _fps(v).join(v("documents").select("doc_id", "source"), "doc_id"))
+    return v.keep("owned_fps", lambda: v("documents").select("doc_id", "source").join(by_shuffle(_fps(v)), "doc_id").select("doc_id", "fp", "source"))
 
 
 @query("near_dup_same_owner", f"WITH {FPS}, {OWNED} SELECT source, a, b, bits FROM owner_pairs")

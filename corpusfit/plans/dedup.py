@@ -362,10 +362,10 @@ def dup_status(
     id_col: str = "doc_id",
 ) -> DataFrame:
     """duplicate / near_duplicate / unique per document in id order, with the earliest match; links are those of ``near_dup_links``."""
-    out = fps.select(id_col).join(_earliest(links, fps, id_col), id_col, "left").withColumnRenamed("first_id", "__dup")
+    out = fps.select(id_col).join(by_shuffle(_earliest(links, fps, id_col)), id_col, "left").withColumnRenamed("first_id", "__dup")
     if owner_links is not None:
         near = _earliest(owner_links, fps, id_col, (owner,)).withColumnRenamed("first_id", "__near")
-        out = out.join(near, id_col, "left")
+        out = out.join(by_shuffle(near), id_col, "left")
     else:
         out = out.withColumn("__near", F.lit(None).cast("long"))
     return out.select(

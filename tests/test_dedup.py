@@ -218,19 +218,20 @@ def test_nothing_made_of_prints_is_sent_through_the_driver(spark, monkeypatch):
     real = dedup.cut_lineage
     monkeypatch.setattr(dedup, "cut_lineage", lambda df: real(noted(df)))
     rows = neighbours(41, 300, 5)
-    fps = real(spark.createDataFrame(rows, "doc_id long, fp long"))
-    links = dedup.near_dup_links(fps)
+    fps = real(spark.createDataFrame([(*r, "xy"[r[0] % 2]) for r in rows], "doc_id long, fp long, owner string"))
+    links, owned = dedup.near_dup_links(fps), dedup.near_dup_links(fps, 10, 11, 1, "owner")
     pairs = noted(dedup.near_dup_pairs(fps))
     noted(dedup.near_dup_classes(fps, links)).count()
+    noted(dedup.dup_status(fps, links, owned, "owner")).count()
     noted(dedup.first_come(fps, pairs)).count()
     noted(dedup.dup_clusters(pairs)).count()
-    assert len(plans) > 10 and not [p for p in plans if "BroadcastExchange" in p]
+    assert len(plans) > 12 and not [p for p in plans if "BroadcastExchange" in p]
 
 
 def test_queries_of_prints_broadcast_nothing(spark):
     from corpusfit import catalog
 
     catalog.load_all()
-    for name in ("near_dup_pairs", "near_dup_classes", "dup_first_come", "dup_clusters"):
+    for name in ("near_dup_pairs", "near_dup_classes", "dup_first_come", "dup_clusters", "dup_status"):
         plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastExchange" not in plan, name
